@@ -72,6 +72,11 @@ def half_even(value: Column, digits: int = 4) -> Column:
     return F.bround(value, digits)
 
 
+def fixed(value: Column, digits: int = 6) -> Column:
+    """Fixed-decimal text, rounding the exact binary value half to even as printf does."""
+    return F.call_function("format_number", value.cast("double"), F.lit("0." + "0" * digits))
+
+
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
