@@ -17,7 +17,7 @@ vertex as (
     select page_id, line_idx, len(string_split(points, ' ')) as n, unnest(string_split(points, ' ')) as p,
       unnest(range(len(string_split(points, ' ')))) as i from poly) v),
 edge as (
-  select a.page_id as page_id, a.line_idx as line_idx, a.i as i, a.x as x, a.y as y, b.x as bx, b.y as by
+  select a.page_id as page_id, a.line_idx as line_idx, a.i as i, a.x as x, a.y as y, b.x as nx, b.y as ny
   from vertex a join vertex b on a.page_id = b.page_id and a.line_idx = b.line_idx and b.i = (a.i + 1) % a.n)
 """
 

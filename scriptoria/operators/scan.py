@@ -54,23 +54,29 @@ def prefix_scan(
     order: Sequence[Column],
     running: dict[str, tuple[str, Column]],
     group_limit: int = GROUP_LIMIT,
+    inclusive: bool = True,
+    sliced: bool | None = None,
 ) -> DataFrame:
-    """Add inclusive running aggregates over the rows of a group up to each row.
+    """Add running aggregates over the rows of a group up to each row.
 
     *running* maps a new column to ``(op, value)`` with op one of count, sum, max,
     min, last (last non-null value).  *order* must order the rows of a group totally.
+    The row itself counts only if *inclusive*.  *sliced* tells whether large groups
+    are to be cut, where the caller has looked at the sizes already.
     """
     by = list(by)
-    if not any_group_exceeds(df, by, group_limit):
+    if sliced is None:
+        sliced = any_group_exceeds(df, by, group_limit)
+    if not sliced:
         whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        whole = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        whole = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         return df.select(
             "*", *[_LOCAL[op](value).over(whole).alias(name) for name, (op, value) in running.items()]
         )
-    return _sliced_scan(df, by, order, running)
+    return _sliced_scan(df, by, order, running, inclusive)
 
 
-def _sliced_scan(df, by, order, running):
+def _sliced_scan(df, by, order, running, inclusive):
     values = {f"_v_{name}": value for name, (_, value) in running.items()}
     sliced = (
         df.select("*", *[v.alias(n) for n, v in values.items()])
@@ -101,7 +107,7 @@ def _sliced_scan(df, by, order, running):
             for name, (op, _) in running.items()
         ],
     )
-    inside = Window.partitionBy(*by, "_slice").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "_slice").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = sliced.select(
         *df.columns,
         "_slice",
@@ -143,3 +149,9 @@ def attach_group_values(rows: DataFrame, values: DataFrame, keys: Sequence[str],
     spread = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     return salted.join(spread, keys + ["_salt"]).drop("_salt")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition for Python work, which is bound by CPU: the partitions are not merged for being small."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
