@@ -1,4 +1,4 @@
 """Registered queries, one per operator, with their checking SQL."""
 
-from scriptoria.checks import files, formats, geometry, matching  # noqa: F401
+from scriptoria.checks import files, formats, geometry, matching, raster  # noqa: F401
 from scriptoria.checks.registry import ORACLES, QUERIES, as_query  # noqa: F401

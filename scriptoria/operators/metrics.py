@@ -93,15 +93,21 @@ def segment_variance(pixels: DataFrame, key: str = "page_id", segment: str = "sp
 def segment_affinity(pixels: DataFrame, key: str = "page_id", segment: str = "sp_id", prob: str = "prob") -> DataFrame:
     """Mean squared difference of neighbours in one segment, over rows and columns, averaged.
 
-    The windows run over single pixel rows and columns.
+    Neighbours meet by an equality join on their coordinates, so the work of a page
+    is spread by pixel.
     """
-    along = Window.partitionBy(key, "y").orderBy("x")
-    down = Window.partitionBy(key, "x").orderBy("y")
-    rows = pixels
-    for name, w, axis in (("h", along, "x"), ("v", down, "y")):
-        near = (F.lead(axis).over(w) == F.col(axis) + 1) & (F.lead(segment).over(w) == F.col(segment))
-        rows = rows.withColumn(f"_{name}", F.when(near, F.pow(F.lead(prob).over(w) - F.col(prob), 2)))
-    return rows.agg(((F.avg("_h") + F.avg("_v")) / 2).alias("affinity"))
+    here = pixels.select(key, "y", "x", segment, F.col(prob).alias("_p"))
+    steps = F.explode(F.array(
+        F.struct(F.lit("h").alias("dir"), F.lit(0).alias("dy"), F.lit(1).alias("dx")),
+        F.struct(F.lit("v").alias("dir"), F.lit(1).alias("dy"), F.lit(0).alias("dx")),
+    )).alias("step")
+    before = here.select(key, segment, F.col("_p").alias("_q"), "y", "x", steps).select(
+        key, segment, "_q", (F.col("y") + F.col("step.dy")).alias("y"), (F.col("x") + F.col("step.dx")).alias("x"), "step.dir"
+    )
+    squared = F.pow(F.col("_p") - F.col("_q"), 2)
+    pairs = here.join(before, [key, segment, "y", "x"])
+    means = [F.avg(F.when(F.col("dir") == d, squared)) for d in ("h", "v")]
+    return pairs.agg(((means[0] + means[1]) / 2).alias("affinity"))
 
 
 def otsu_thresholds(pixels: DataFrame, key: str = "page_id", prob: str = "prob") -> DataFrame:
