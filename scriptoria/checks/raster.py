@@ -15,7 +15,7 @@ from scriptoria.operators import metrics as Q
 from scriptoria.operators import selection as sel
 from scriptoria.operators import spans as R
 from scriptoria.operators import tiles as T
-from scriptoria.operators.scan import attach_group_values
+from scriptoria.operators.scan import attach_group_values, spread
 from scriptoria.operators.scoring import score_batches
 from scriptoria.samples import Samples, oracle
 
@@ -45,7 +45,7 @@ filled as (
       cast(sum(y * (x1 - x0 + 1)) as bigint) as moment from filled group by page_id, line_idx""", SCANLINE),
 )
 def fill_polygon(s: Samples):
-    spans = R.fill_polygons(points(s).select("page_id", "line_idx", "points"))
+    spans = R.fill_polygons(spread(points(s).select("page_id", "line_idx", "points")))
     n = (F.col("x1") - F.col("x0") + 1).cast("long")
     return spans.groupBy("page_id", "line_idx").agg(
         F.count(F.lit(1)).alias("n_spans"), F.sum(n).alias("area"), F.sum(F.col("y") * n).alias("moment")
@@ -153,13 +153,14 @@ def span_iou(s: Samples):
 @check(
     "r04_close_mask",
     oracle("grid", """select page_id, count(*) as area, cast(sum(y) as bigint) as sum_y, cast(sum(x) as bigint) as sum_x from eroded group by page_id""", """
+      offset_(dy, dx) as (values (-1, -3), (-1, -2), (-1, -1), (-1, 0), (-1, 1), (-1, 2), (-1, 3), (0, -3), (0, -2), (0, -1), (0, 0), (0, 1), (0, 2), (0, 3), (1, -3), (1, -2), (1, -1), (1, 0), (1, 1), (1, 2), (1, 3)),
       size as (select page_id, max(y) + 1 as h from grid group by page_id),
-      k as (select unnest(range(-1, 2)) as dy, 0 as j), k2 as (select dy, unnest(range(-3, 4)) as dx from k),
-      grown as (select distinct g.page_id as page_id, g.y - k2.dy as y, g.x - k2.dx as x from grid g join size using (page_id), k2
-        where g.mask = 1 and g.y - k2.dy between 0 and h - 1 and g.x - k2.dx between 0 and 15),
-      missing as (select g.page_id as page_id, g.y as y, g.x as x from grid g anti join grown using (page_id, y, x)),
-      eaten as (select distinct m.page_id as page_id, m.y - k2.dy as y, m.x - k2.dx as x from missing m, k2),
-      eroded as (select g.page_id as page_id, g.y as y, g.x as x from grown g anti join eaten using (page_id, y, x))"""),
+      moved as (select g.page_id as page_id, g.y - o.dy as y, g.x - o.dx as x from grid g cross join offset_ o where g.mask = 1),
+      grown as (select m.page_id as page_id, m.y as y, m.x as x from moved m join size s on s.page_id = m.page_id
+        where m.y >= 0 and m.y < s.h and m.x >= 0 and m.x < 16 group by m.page_id, m.y, m.x),
+      missing as (select page_id, y, x from grid except select page_id, y, x from grown),
+      eroded as (select page_id, y, x from grown except
+        select m.page_id, m.y - o.dy, m.x - o.dx from missing m cross join offset_ o)"""),
 )
 def close_mask(s: Samples):
     closed = R.close_mask(mask_spans(s), R.rect_kernel(7, 3), s.grid_size)

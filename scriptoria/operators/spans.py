@@ -8,78 +8,88 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from scriptoria.functions import geometry as G
 
-INTERVALS = "array<struct<x0:int,x1:int>>"
 
+def _polygon_rows(offsets: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans (polygon, y, x0, x1) of the closed polygons with vertices x, y between offsets.
 
-def _floor_div(n: Column, d: Column) -> Column:
-    return ((n - F.pmod(n, d)) / d).cast("int")
-
-
-def _scanline(points: Column, y: Column) -> Column:
-    """Merged integer intervals of the closed polygon on row *y*."""
-    edges = F.zip_with(points, G._rotated(points), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-    def crossing(e: Column) -> Column:
-        up = e["a"]["y"] <= e["b"]["y"]
-        x_lo = F.when(up, e["a"]["x"]).otherwise(e["b"]["x"]).cast("long")
-        y_lo = F.least(e["a"]["y"], e["b"]["y"]).cast("long")
-        run = F.when(up, e["b"]["x"] - e["a"]["x"]).otherwise(e["a"]["x"] - e["b"]["x"]).cast("long")
-        rise = F.abs(e["b"]["y"] - e["a"]["y"]).cast("long")
-        numerator = x_lo * rise + (y - y_lo) * run
-        lo = _floor_div(numerator, rise)
-        return F.struct(
-            (numerator / rise).alias("at"),
-            F.when(F.pmod(numerator, rise) == 0, lo).otherwise(lo + 1).alias("up"),
-            lo.alias("down"),
-        )
-
-    active = F.filter(edges, lambda e: (F.least(e["a"]["y"], e["b"]["y"]) <= y) & (y < F.greatest(e["a"]["y"], e["b"]["y"])))
-    crossings = F.array_sort(F.transform(active, crossing))
-    inside = F.transform(
-        F.filter(F.transform(crossings, lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda s: s["i"] % 2 == 0),
-        lambda s: F.struct(s["c"]["up"].alias("x0"), F.get(crossings, s["i"] + 1)["down"].alias("x1")),
-    )
-    flat = F.transform(
-        F.filter(edges, lambda e: (e["a"]["y"] == y) & (e["b"]["y"] == y)),
-        lambda e: F.struct(F.least(e["a"]["x"], e["b"]["x"]).alias("x0"), F.greatest(e["a"]["x"], e["b"]["x"]).alias("x1")),
-    )
-    corners = F.transform(F.filter(points, lambda p: p["y"] == y), lambda p: F.struct(p["x"].alias("x0"), p["x"].alias("x1")))
-    pieces = F.array_sort(F.filter(F.concat(inside, flat, corners), lambda s: s["x0"] <= s["x1"]))
-    return merged_intervals(pieces)
-
-
-def merged_intervals(sorted_pieces: Column) -> Column:
-    """Union of sorted closed integer intervals; touching ones join."""
-    def step(acc: Column, s: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        joins = (F.size(acc) > 0) & (s["x0"] <= last["x1"] + 1)
-        grown = F.concat(
-            F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
-            F.array(F.struct(last["x0"].alias("x0"), F.greatest(last["x1"], s["x1"]).alias("x1"))),
-        )
-        return F.when(joins, grown).otherwise(F.concat(acc, F.array(s)))
-
-    return F.aggregate(sorted_pieces, F.array().cast(INTERVALS), step)
+    A row of a polygon is covered between its crossings with the edges that start
+    at or above it, on its flat edges and at its vertices.
+    """
+    sizes = np.diff(offsets)
+    poly = np.repeat(np.arange(len(sizes)), sizes)
+    after = np.arange(len(x)) + 1
+    ends = offsets[1:][sizes > 0]
+    after[ends - 1] = offsets[:-1][sizes > 0]
+    nx, ny = x[after], y[after]
+
+    up = y <= ny
+    x_lo, y_lo = np.where(up, x, nx), np.minimum(y, ny)
+    run, rise = np.where(up, nx - x, x - nx), np.abs(ny - y)
+    e = np.repeat(np.arange(len(x)), rise)
+    row = y_lo[e] + np.arange(len(e)) - np.repeat(np.cumsum(rise) - rise, rise)
+    numerator = x_lo[e] * rise[e] + (row - y_lo[e]) * run[e]
+    order = np.lexsort((numerator / rise[e], row, poly[e]))
+    e, row, numerator = e[order], row[order], numerator[order]
+    inside_0, inside_1 = -(-numerator[0::2] // rise[e[0::2]]), numerator[1::2] // rise[e[1::2]]
+
+    flat = y == ny
+    p = np.concatenate([poly[e[0::2]], poly[flat], poly])
+    py = np.concatenate([row[0::2], y[flat], y])
+    x0 = np.concatenate([inside_0, np.minimum(x, nx)[flat], x])
+    x1 = np.concatenate([inside_1, np.maximum(x, nx)[flat], x])
+    real = x0 <= x1
+    p, py, x0, x1 = p[real], py[real], x0[real], x1[real]
+    order = np.lexsort((x1, x0, py, p))
+    p, py, x0, x1 = p[order], py[order], x0[order], x1[order]
+    if not len(p):
+        return p, py, x0, x1
+    new_row = np.ones(len(p), dtype=bool)
+    new_row[1:] = (p[1:] != p[:-1]) | (py[1:] != py[:-1])
+    # Furthest end so far within a row, by lifting each row above the one before.
+    lift = np.cumsum(new_row) * (int(x1.max()) - int(x0.min()) + 2)
+    reach = np.maximum.accumulate(x1 + lift) - lift
+    start = new_row.copy()
+    start[1:] |= x0[1:] > reach[:-1] + 1
+    at = np.flatnonzero(start)
+    return p[at], py[at], x0[at], np.maximum.reduceat(x1, at)
 
 
 def fill_polygons(df: DataFrame, points: str = "points") -> DataFrame:
     """Polygon rows to spans of the pixels inside or on the outline.
 
-    A narrow transformation: every polygon row expands to its pixel rows and each
-    of those computes its own crossings, so nothing is shuffled.
+    A narrow transformation over Arrow batches: nothing is shuffled, and the rows of
+    many polygons are computed together.
     """
-    p = F.col(points)
-    rows = df.filter(F.size(p) > 0).withColumn(
-        "y", F.explode(F.sequence(F.array_min(G.ys(p)), F.array_max(G.ys(p))))
-    )
     keep = [c for c in df.columns if c != points]
-    return rows.select(*keep, "y", F.explode(_scanline(p, F.col("y"))).alias("s")).select(*keep, "y", "s.x0", "s.x1")
+    rows = df.filter(F.size(points) > 0).select(*keep, G.xs(F.col(points)).alias("_xs"), G.ys(F.col(points)).alias("_ys"))
+    step = 1 << 12
+
+    def fill(batches):
+        for whole in batches:
+            for first in range(0, whole.num_rows, step):
+                batch = whole.slice(first, step)
+                xs, ys = batch.column("_xs"), batch.column("_ys")
+                offsets = np.asarray(xs.offsets, dtype=np.int64)
+                x = xs.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                y = ys.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                p, py, x0, x1 = _polygon_rows(offsets - offsets[0], x, y)
+                kept = batch.select(keep).take(pa.array(p))
+                numbers = [pa.array(v.astype(np.int32)) for v in (py, x0, x1)]
+                yield pa.RecordBatch.from_arrays([*kept.columns, *numbers], names=[*keep, "y", "x0", "x1"])
+
+    schema = rows.select(*keep).schema
+    for name in ("y", "x0", "x1"):
+        schema = schema.add(name, T.IntegerType())
+    return rows.mapInArrow(fill, schema)
 
 
 def box_spans(df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -123,12 +133,14 @@ def span_area(x0: str = "x0", x1: str = "x1") -> Column:
     return F.sum((F.col(x1) - F.col(x0) + 1).cast("long"))
 
 
-def instance_map(spans: DataFrame, cell: int = 256) -> DataFrame:
+def instance_map(spans: DataFrame, cell: int = 1024) -> DataFrame:
     """Which instance owns each pixel when later instances overwrite earlier ones.
 
     Spans are cut at multiples of *cell*; equal pieces keep their largest instance
     (combined before the shuffle), so the pieces of one cell are limited by
     ``cell * (cell + 1) / 2`` however many instances lie on top of each other.
+    Pieces that meet no other pass through; only the others are cut into the
+    intervals between their ends.
     """
     c = F.explode(F.sequence(F.floor(F.col("x0") / cell).cast("int"), F.floor(F.col("x1") / cell).cast("int")))
     cut = spans.select("page_id", "inst_id", "y", "x0", "x1", c.alias("cell")).select(
@@ -137,35 +149,36 @@ def instance_map(spans: DataFrame, cell: int = 256) -> DataFrame:
         F.least("x1", F.col("cell") * cell + cell - 1).alias("x1"),
     )
     owners = cut.groupBy("page_id", "y", "cell", "x0", "x1").agg(F.max("inst_id").alias("inst_id"))
-    pieces = owners.groupBy("page_id", "y", "cell").agg(
-        F.collect_list(F.struct("x0", "x1", "inst_id")).alias("pieces")
+    row = Window.partitionBy("page_id", "y", "cell").orderBy("x0", "x1")
+    marked = owners.select(
+        "page_id", "inst_id", "y", "x0", "x1", "cell",
+        F.max("x1").over(row.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.lead("x0").over(row).alias("_after"),
     )
+    meets = (F.coalesce("_before", F.lit(-1)) >= F.col("x0")) | F.coalesce(F.col("_after") <= F.col("x1"), F.lit(False))
+    at_edge = (F.col("x0") % cell == 0) | (F.col("x1") % cell == cell - 1)
+    columns = ["page_id", "inst_id", "y", "x0", "x1"]
+    free = marked.filter(~meets).select(*columns)
+    resolved = _visible_pieces(marked.filter(meets)).select(*columns)
+    # Only runs cut by a cell border or by another instance can continue in another row.
+    joined = merge_spans(free.filter(at_edge).unionByName(resolved), ["page_id", "inst_id"]).select(*columns)
+    return free.filter(~at_edge).unionByName(joined)
+
+
+def _visible_pieces(pieces: DataFrame) -> DataFrame:
+    """Owner of every interval between the ends of the pieces of a cell."""
+    gathered = pieces.groupBy("page_id", "y", "cell").agg(F.collect_list(F.struct("x0", "x1", "inst_id")).alias("pieces"))
     p = F.col("pieces")
-    cuts = F.array_sort(
-        F.array_distinct(F.concat(F.transform(p, lambda s: s["x0"]), F.transform(p, lambda s: s["x1"] + 1)))
-    )
-    elementary = F.transform(
-        F.filter(
-            F.transform(F.col("cuts"), lambda x, i: F.struct(x.alias("x0"), (F.get(F.col("cuts"), i + 1) - 1).alias("x1"))),
-            lambda s: s["x1"].isNotNull(),
-        ),
-        lambda e: F.struct(
-            e["x0"].alias("x0"),
-            e["x1"].alias("x1"),
-            F.array_max(
-                F.transform(
-                    F.filter(F.col("pieces"), lambda s: (s["x0"] <= e["x0"]) & (s["x1"] >= e["x1"])),
-                    lambda s: s["inst_id"],
-                )
-            ).alias("inst_id"),
-        ),
-    )
-    alone = F.size(p) == 1
-    runs = pieces.withColumn("cuts", F.when(~alone, cuts)).select(
-        "page_id", "y", F.explode(F.when(alone, F.transform(p, lambda s: s)).otherwise(elementary)).alias("s")
+    ends = F.array_sort(F.array_distinct(F.concat(F.transform(p, lambda s: s["x0"]), F.transform(p, lambda s: s["x1"] + 1))))
+    # One row per interval first, so that each looks for its owner once.
+    at = gathered.select("page_id", "y", "pieces", F.explode(F.arrays_zip(ends.alias("x0"), F.slice(ends, F.lit(2), F.size(ends) - 1).alias("end"))).alias("i"))
+    owner = F.aggregate(
+        p,
+        F.lit(None).cast(pieces.schema["inst_id"].dataType),
+        lambda acc, s: F.when((s["x0"] <= F.col("i.x0")) & (s["x1"] >= F.col("i.end") - 1), F.greatest(acc, s["inst_id"])).otherwise(acc),
     )
-    runs = runs.select("page_id", "y", "s.*").filter(F.col("inst_id").isNotNull())
-    return merge_spans(runs, ["page_id", "inst_id"]).select("page_id", "inst_id", "y", "x0", "x1")
+    return at.filter("i.end is not null").select(
+        "page_id", owner.alias("inst_id"), "y", F.col("i.x0").alias("x0"), (F.col("i.end") - 1).alias("x1")
+    ).filter("inst_id is not null")
 
 
 def touching_boundary(owner: DataFrame, wrap_size: tuple[str, str] | None = None) -> DataFrame:
