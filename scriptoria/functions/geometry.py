@@ -13,8 +13,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-POINTS_INT = "array<struct<x:int,y:int>>"
-POINTS_DOUBLE = "array<struct<x:double,y:double>>"
 
 
 def parse_points(text: Column, number: str = "int", separator: str = r"\s+") -> Column:

@@ -22,7 +22,7 @@ def read_metrics(spark: SparkSession, path: str | list[str], columns: Sequence[s
         spark.read.option("ignoreCorruptFiles", "true").option("wholetext", "true").text(path)
         .select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n").alias("lines"))
     )
-    header = F.transform(F.split(F.col("lines")[0], ","), F.trim)
+    header = F.transform(F.split(F.col("lines")[0], ","), lambda t: F.trim(t))
     body = rows.select("path", header.alias("header"), F.posexplode(F.slice("lines", 2, 1 << 30)).alias("row_no", "line"))
     cells = body.filter(F.trim("line") != "").withColumn("cells", F.split("line", ","))
     def cell(c: str) -> Column:
