@@ -23,7 +23,7 @@ ENTRY = r"Image\s+\d+:\s+(\S+\.jpg)"
 
 def read_notes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file_id, n (line number), line of text files."""
-    files = spark.read.option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(
         F.col("_metadata.file_path").alias("file_id"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")
     )

@@ -59,15 +59,13 @@ def line_points(points_text: Column, profile: str) -> Column:
 def text_lines(pages: DataFrame, profile: str = "all_lines") -> DataFrame:
     """Lines with coordinates in document order: stem, line_idx, line_id, points, baseline."""
     lines = F.flatten(F.transform(F.coalesce("regions", F.array()), lambda r: F.coalesce(r["TextLine"], F.array())))
-    rows = pages.select("stem", F.posexplode(lines).alias("pos", "tl")).filter("tl.Coords._points is not null")
-    parsed = rows.select(
-        "stem", "pos", F.col("tl._id").alias("line_id"),
-        line_points(F.col("tl.Coords._points"), profile).alias("points"),
-        F.col("tl.Baseline._points").alias("baseline"),
-    ).filter("points is not null")
-    # One document is one row, so its lines can be numbered inside the row's own array.
-    kept = parsed.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("pos", "line_id", "points", "baseline"))).alias("l"))
-    return kept.select("stem", F.posexplode("l").alias("line_idx", "e")).select(
+    with_coords = F.filter(lines, lambda t: t["Coords"]["_points"].isNotNull())
+    parsed = F.transform(with_coords, lambda t: F.struct(
+        t["_id"].alias("line_id"), line_points(t["Coords"]["_points"], profile).alias("points"), t["Baseline"]["_points"].alias("baseline")
+    ))
+    # A document is one row, so its lines are filtered and numbered inside the row.
+    kept = F.filter(parsed, lambda t: t["points"].isNotNull())
+    return pages.select("stem", F.posexplode(kept).alias("line_idx", "e")).select(
         "stem", "line_idx", "e.line_id", "e.points", "e.baseline"
     )
 

@@ -19,7 +19,7 @@ def read_metrics(spark: SparkSession, path: str | list[str], columns: Sequence[s
     Files may differ in their columns: each is matched by its own header.
     """
     rows = (
-        spark.read.option("ignoreCorruptFiles", "true").option("wholetext", "true").text(path)
+        spark.read.option("ignoreCorruptFiles", "true").text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n").alias("lines"))
     )
     header = F.transform(F.split(F.col("lines")[0], ","), lambda t: F.trim(t))
