@@ -201,9 +201,9 @@ def outline_band(s: Samples):
     return R.outline_band(points(s), ["page_id"]).groupBy("page_id").agg(R.span_area().alias("area"), F.count(F.lit(1)).alias("n_spans"))
 
 
-@check("r09_gray_variance", oracle("grid", "select page_id, round(var_pop(0.299 * red + 0.587 * green + 0.114 * blue), 4) as variance from grid group by page_id"))
+@check("r09_gray_variance", oracle("grid", "select page_id, round(var_pop((299 * red + 587 * green + 114 * blue) / 1000), 2) as variance from grid group by page_id"))
 def gray_variance(s: Samples):
-    return sel.page_variance(s.grid).withColumn("variance", F.round("variance", 4))
+    return sel.page_variance(s.grid).withColumn("variance", F.round("variance", 2))
 
 
 TILES = """
@@ -316,9 +316,9 @@ def line_crops(s: Samples):
 @check(
     "s06_mask_policies",
     oracle("grid", """select page_id, count(*) filter (where blue = 8) as colour, count(*) filter (where red = 128) as dont_care,
-      count(*) filter (where floor(0.299 * red + 0.587 * green + 0.114 * blue + 0.5) > 0) as gray,
+      count(*) filter (where (299 * red + 587 * green + 114 * blue + 500) // 1000 > 0) as gray,
       count(*) filter (where red + green + blue > 0) as any_channel,
-      count(*) filter (where floor(0.299 * red + 0.587 * green + 0.114 * blue + 0.5) > 127) as above_127 from grid group by page_id"""),
+      count(*) filter (where (299 * red + 587 * green + 114 * blue + 500) // 1000 > 127) as above_127 from grid group by page_id"""),
 )
 def mask_policies(s: Samples):
     rgb = [F.col(c) for c in ("red", "green", "blue")]

@@ -95,7 +95,13 @@ def run_name(*parts: Column) -> Column:
 
 
 def gray(r: Column, g: Column, b: Column) -> Column:
-    return F.lit(0.299) * r + F.lit(0.587) * g + F.lit(0.114) * b
+    """Luma with weights 0.299, 0.587, 0.114, in whole thousandths so that it is exact."""
+    return (299 * r + 587 * g + 114 * b) / 1000
+
+
+def gray_level(r: Column, g: Column, b: Column) -> Column:
+    """Luma rounded to a byte."""
+    return F.floor((299 * r + 587 * g + 114 * b + 500) / 1000)
 
 
 def normalise_channel(value: Column, channel: str) -> Column:
@@ -112,11 +118,11 @@ def mask_text(policy: str, r: Column, g: Column, b: Column) -> Column:
     if policy == "colour_coded":
         return b == 8
     if policy == "gray_positive":
-        return F.floor(gray(r, g, b) + 0.5) > 0
+        return gray_level(r, g, b) > 0
     if policy == "any_channel":
         return (r + g + b) > 0
     if policy == "above_127":
-        return F.floor(gray(r, g, b) + 0.5) > 127
+        return gray_level(r, g, b) > 127
     raise ValueError(f"unknown mask policy: {policy}")
 
 

@@ -224,24 +224,20 @@ def outline_band(df: DataFrame, keys: Sequence[str], points: str = "points", thi
     half = thickness // 2
     p = F.col(points)
     edges = df.select(*keys, F.explode(F.zip_with(p, G._rotated(p), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("e"))
-    # The pixels an edge passes through, one span per row, then grown by the half thickness.
     lo_y, hi_y = F.least("e.a.y", "e.b.y"), F.greatest("e.a.y", "e.b.y")
-    rows = edges.withColumn("y", F.explode(F.sequence(lo_y, hi_y)))
+    rows = edges.withColumn("y", F.explode(F.sequence(lo_y - half, hi_y + half)))
     up = F.col("e.a.y") <= F.col("e.b.y")
     x_lo = F.when(up, F.col("e.a.x")).otherwise(F.col("e.b.x"))
     x_hi = F.when(up, F.col("e.b.x")).otherwise(F.col("e.a.x"))
     rise = (hi_y - lo_y).cast("double")
     at = lambda y: x_lo + (x_hi - x_lo) * (y - lo_y) / F.nullif(rise, F.lit(0.0))
     left_x, right_x = F.least(x_lo, x_hi), F.greatest(x_lo, x_hi)
-    u, v = at(F.col("y") - 0.5), at(F.col("y") + 0.5)
+    # The edge passes through the rows within half of y between these two points.
+    u, v = at(F.col("y") - half - 0.5), at(F.col("y") + half + 0.5)
     x0 = F.greatest(left_x, F.coalesce(F.floor(F.least(u, v) + 0.5).cast("int"), left_x))
     x1 = F.least(right_x, F.coalesce(F.floor(F.greatest(u, v) + 0.5).cast("int"), right_x))
-    line = rows.select(*keys, "y", x0.alias("x0"), x1.alias("x1"))
-    grown = line.select(
-        *keys, F.explode(F.sequence(F.col("y") - half, F.col("y") + half)).alias("y"),
-        (F.col("x0") - half).alias("x0"), (F.col("x1") + half).alias("x1"),
-    )
-    return merge_spans(grown, keys)
+    band = rows.select(*keys, "y", (x0 - half).alias("x0"), (x1 + half).alias("x1"))
+    return merge_spans(band, keys)
 
 
 # --- morphology ------------------------------------------------------------------------

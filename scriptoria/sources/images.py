@@ -19,7 +19,7 @@ def _channels(data: memoryview, height: int, width: int, n: int) -> tuple[np.nda
 
 
 def _gray(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5)
+    return (299 * r + 587 * g + 114 * b + 500) // 1000
 
 
 def _text_and_dont_care(policy: str, r: np.ndarray, g: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
