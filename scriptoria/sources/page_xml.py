@@ -75,6 +75,12 @@ def line_from_fragment(fragment: Column) -> Column:
     return F.from_xml(fragment, LINE_FIELDS, {"ignoreNamespace": "true"})
 
 
+def page_size(fragment: Column) -> Column:
+    """imageWidth and imageHeight of a ``<Page>`` element, without reading the image."""
+    page = F.from_xml(fragment, "_imageFilename string,_imageWidth int,_imageHeight int", {"ignoreNamespace": "true"})
+    return F.struct(page["_imageWidth"].alias("width"), page["_imageHeight"].alias("height"))
+
+
 def regions(pages: DataFrame) -> DataFrame:
     """Regions with coordinates: stem, region_idx, points."""
     rows = pages.select("stem", F.posexplode("regions").alias("region_idx", "r"))

@@ -86,10 +86,14 @@ def write_masks(spans: DataFrame, path: str, mode: str = "overwrite") -> None:
     spans.write.mode(mode).parquet(path)
 
 
+def probability_level(prob: Column) -> Column:
+    """``clip(prob * 255)`` cut to a whole number."""
+    return F.floor(F.least(F.greatest(prob * 255, F.lit(0.0)), F.lit(255.0))).cast("short")
+
+
 def write_probabilities(pixels: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Probability maps as bytes, ``clip(prob * 255)`` cut to whole numbers."""
-    level = F.floor(F.least(F.greatest(F.col("prob") * 255, F.lit(0.0)), F.lit(255.0))).cast("short")
-    pixels.withColumn("level", level).drop("prob").write.mode(mode).parquet(path)
+    """Probability maps as bytes."""
+    pixels.withColumn("level", probability_level(F.col("prob"))).drop("prob").write.mode(mode).parquet(path)
 
 
 def output_stems(files: DataFrame) -> DataFrame:
