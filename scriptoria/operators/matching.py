@@ -128,7 +128,8 @@ def greedy_match(
 def _fold_match(live: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in live.schema.fields}
     choice = F.struct((-F.col("iou")).alias("cost"), F.col("pred_idx").alias("pred_idx"))
-    lines = live.groupBy("page_id", "gt_idx").agg(F.array_sort(F.collect_list(choice)).alias("choices"))
+    # These pages are small: one shuffle by page serves both aggregations.
+    lines = live.repartition("page_id").groupBy("page_id", "gt_idx").agg(F.array_sort(F.collect_list(choice)).alias("choices"))
     page = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("gt_idx", "choices"))).alias("lines"))
     match = f"array<struct<gt_idx:{kinds['gt_idx']},pred_idx:{kinds['pred_idx']},iou:double>>"
 

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import scalars as S
 
-HSCP_SCHEMA = "DR double, RA double, FM double, M int, N_gt int, N_pred int, image string"
-MASK_SCHEMA = "image string, IoU double, Precision double, Recall double, F1 double, Dice double"
-
 
 def read_metrics(spark: SparkSession, path: str | list[str], columns: Sequence[str]) -> DataFrame:
     """Numeric columns of CSV files with a header; what cannot be read becomes null.
