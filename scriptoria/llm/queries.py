@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm import pii, quality, secrets
+from scriptoria.llm import exact_dedup, html_template, mixing, oracles, pii, quality, secrets, sentencepiece_bpe, vector_graph
 from scriptoria.llm.common import fold, of_kinds, span_list, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +48,22 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         long_count(F.filter("secrets", lambda s: s["live"])).alias("n_live"))
 
 
+@query("op4_source_mixing", oracles.MIXING)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("at.doc_id", "at.size", "source_size", "target", "taken")
+
+
+@query("op5_sentencepiece")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentencepiece_bpe.add_ids(table(spark, folder, "documents").select("doc_id", "text"), path).drop("text")
+    decoded = sentencepiece_bpe.decode(F.col("ids"), path)
+    return coded.select(
+        "doc_id", long_count(F.col("ids")).alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(decoded, 256).alias("decoded_sha256"))
+
+
 @query("op6_pii")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find_pii(table(spark, folder, "documents").select("doc_id", "text"))
@@ -56,3 +73,22 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(span_list(of_kinds(F.col("pii"), pii.BASE_KINDS)), 256).alias("base_sha256"),
         span_list(F.col("pii")).alias("spans"),
         F.aggregate("pii", F.lit(0.0), lambda a, s: F.greatest(a, s["score"])).alias("top_score"))
+
+
+@query("op8_exact_dedup", oracles.EXACT_DEDUP)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    found = exact_dedup.duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+@query("op2_html_extraction")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_template.extract(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "extracted.text", F.length("extracted.text").cast("long").alias("n_chars"))
+
+
+@query("op7_vector_search")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = vector_graph.nearest(rows, rows.where(F.col("id") % 100 == 0))
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
