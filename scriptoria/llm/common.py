@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptoria.session import checkpointed
+
 #: White space as the contracts define it: space and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
 
@@ -40,3 +42,26 @@ def span_list(spans: Column, keep: Column | None = None) -> Column:
 
 def of_kinds(spans: Column, kinds: tuple[str, ...]) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+
+def keep_marked(docs: DataFrame, keys: list[Column], decisions: DataFrame) -> DataFrame:
+    """The rows of *docs* that *decisions* (k0, k1, ..., kept) keeps, with their columns.
+
+    Keys are computed on both sides; rows equal in all keys are interchangeable, and as many
+    as are kept of them (all, none or one) stay.  Only what is dropped is joined, so a table
+    that loses few rows is not moved.
+    """
+    names = [free_name(docs, f"keep_k{i}") for i in range(len(keys))]
+    theirs = [free_name(docs, f"lost_k{i}") for i in range(len(keys))]
+    rows, stay = free_name(docs, "keep_rows"), free_name(docs, "keep_stay")
+    lost = decisions.groupBy(*(F.col(f"k{i}").alias(k) for i, k in enumerate(theirs))).agg(
+        F.count("*").alias(rows), F.sum(F.col("kept").cast("int")).alias(stay)).where(F.col(rows) > F.col(stay))
+    lost = checkpointed(lost)
+    keyed = docs.withColumns(dict(zip(names, keys, strict=True)))
+    same = F.lit(True)
+    for name, k in zip(names, theirs, strict=True):
+        same = same & keyed[name].eqNullSafe(lost[k])
+    joined = keyed.join(lost, same, "left")
+    whole = joined.where(F.col(rows).isNull()).select(*docs.columns)
+    one = joined.where(F.col(stay) > 0).dropDuplicates(names).select(*docs.columns)
+    return whole.unionByName(one)

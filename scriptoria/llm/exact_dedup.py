@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.llm import golomb
-from scriptoria.llm.common import SPACE, free_name, whole_text
+from scriptoria.llm.common import SPACE, keep_marked, whole_text
 from scriptoria.session import checkpointed
 
 FINGERPRINT_BITS = 60
@@ -124,18 +124,7 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owne
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of *docs* that stay, with their columns.
-
-    Texts are read again and matched with what is dropped of their (id, length, SHA-256);
-    only rows equal in all of these, of which one stays, are moved.
-    """
-    names = {n: free_name(docs, f"dup_{n}") for n in ("id", "length", "sha", "rows", "stay", "h", "l")}
-    found = duplicates(docs, text, doc_id).groupBy("doc_id", "length", "sha").agg(
-        F.count("*").alias("rows"), F.sum(F.col("kept").cast("int")).alias("stay")).where("rows > stay")
-    found = checkpointed(found.select(*(F.col(c).alias(names[n]) for c, n in (("doc_id", "id"), ("length", "length"), ("sha", "sha"), ("rows", "rows"), ("stay", "stay")))))
-    mine = docs.withColumn(names["l"], F.length(whole_text(text))).withColumn(names["h"], F.unhex(F.sha2(normalised(F.col(text)), 256)))
-    joined = mine.join(found, F.col(doc_id).eqNullSafe(F.col(names["id"])) & (F.col(names["l"]) == F.col(names["length"]))
-                       & (F.col(names["h"]) == F.col(names["sha"])), "left")
-    whole = joined.where(F.col(names["rows"]).isNull()).select(*docs.columns)
-    equal = joined.where(F.col(names["stay"]) > 0).dropDuplicates([names["id"], names["length"], names["sha"]]).select(*docs.columns)
-    return whole.unionByName(equal)
+    """The rows of *docs* that stay, with their columns: of equal rows one."""
+    keys = [docs[doc_id], F.length(whole_text(docs[text])), F.unhex(F.sha2(normalised(docs[text]), 256))]
+    found = duplicates(docs, text, doc_id).select(F.col("doc_id").alias("k0"), F.col("length").alias("k1"), F.col("sha").alias("k2"), "kept")
+    return keep_marked(docs, keys, found)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm import exact_dedup, html_template, mixing, oracles, pii, quality, secrets, sentencepiece_bpe, vector_graph
+from scriptoria.llm import exact_dedup, html_template, jaccard_join, mixing, oracles, pii, quality, secrets, sentencepiece_bpe, vector_graph
 from scriptoria.llm.common import fold, of_kinds, span_list, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     found = vector_graph.nearest(rows, rows.where(F.col("id") % 100 == 0))
     return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similar(table(spark, folder, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id", "links")
