@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm import exact_dedup, html_template, jaccard_join, mixing, oracles, pii, quality, secrets, sentencepiece_bpe, vector_graph
+from scriptoria.llm import exact_dedup, html_template, jaccard_join, lm_scoring, mixing, oracles, pii, quality, secrets, sentencepiece_bpe, vector_graph
 from scriptoria.llm.common import fold, of_kinds, span_list, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_jaccard_join")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similar(table(spark, folder, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id", "links")
+
+
+@query("op10_lm_scoring")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    scored = lm_scoring.score_texts(table(spark, folder, "documents"), fold("doc_id", 7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
