@@ -32,9 +32,10 @@ from scriptoria.llm.common import whole_text
 
 BLANK = "▁"
 NONE = np.iinfo(np.int32).max
-#: Characters encoded at once, and segments remembered by a task: bounds of memory only.
-BATCH_CHARS = 1_000_000
-CACHED_SEGMENTS = 300_000
+#: Characters encoded at once, segments remembered by a task, rows decoded at once: bounds of memory only.
+BATCH_CHARS = 300_000
+CACHED_SEGMENTS = 200_000
+DECODED_ROWS = 500
 #: Texts a model must encode as the library does before it is used.
 PROBES = ("", " ", "a", "  a  b ", "x\ny", "▁q", "é①ﬁ\x00\t", "aaaaaaaa", "The end. 123 456", "ﬀ 　 ½")
 
@@ -247,9 +248,10 @@ def encode(text: Column, path: str) -> Column:
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(load(path))
         for texts in batches:
-            ids = [i for group in groups(texts) for i in encoder(group)]
-            ends = np.cumsum([0] + [len(i) for i in ids]).astype(np.int32)
-            yield pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.zeros(0, np.int32)]))
+            for group in groups(texts):
+                ids = list(encoder(group))
+                ends = np.cumsum([0] + [len(i) for i in ids]).astype(np.int32)
+                yield pa.ListArray.from_arrays(ends, np.concatenate(ids))
 
     return ids_of(whole_text(text))
 
@@ -261,7 +263,9 @@ def decode(ids: Column, path: str) -> Column:
         model = load(path)
         for lists in batches:
             flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            yield pa.array([model.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+            for at in range(0, len(lists), DECODED_ROWS):
+                part = ends[at:at + DECODED_ROWS + 1]
+                yield pa.array([model.decode(flat[a:b]) for a, b in zip(part[:-1], part[1:], strict=True)], pa.string())
 
     return text_of(F.coalesce(ids, F.expr("cast(array() as array<int>)")))
 
