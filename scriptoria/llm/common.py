@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.session import checkpointed
+from scriptoria.session import checkpointed, ensure_checkpoint_dir
 
 #: White space as the contracts define it: space and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
 
 
+#: What Spark hands to Python at once: whole texts are long, so the default of 10,000 rows holds too much.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small in this session, for executors with little memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -26,6 +38,17 @@ def fold(doc_id: str | Column, folds: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """*df* written to a table of its own in the shared checkpoint folder, and read back.
+
+    Like a checkpoint, but nothing of the plan is carried on: a checkpointed frame keeps the
+    constraints of its plan, which grow with every round of an iteration.
+    """
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that *df* does not use (names compare without case)."""
     used = {c.lower() for c in df.columns}

@@ -39,7 +39,7 @@ from scriptoria.session import checkpointed
 
 END, BEGIN = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 #: Tokens of a shard on average, and bytes of a block: bounds of a task's memory only.
-SHARD_TOKENS, BLOCK_BYTES = 3_000_000, 6_000_000
+SHARD_TOKENS, BLOCK_BYTES = 2_000_000, 6_000_000
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -49,7 +49,7 @@ def pack(values: np.ndarray) -> bytes:
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int32)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -195,13 +195,19 @@ class Shard:
             base += m["rows"]
         self.rows = base
         word, context, pair_rows, self.row, self.times, train = map(np.concatenate, (word, context, pair_rows, row, times, train))
-        self.sent = np.repeat(np.arange(len(pair_rows)), pair_rows)  # of each entry, the sent pair
+        self.sent = np.repeat(np.arange(len(pair_rows), dtype=np.int32), pair_rows)  # of each entry, the sent pair
         trained = np.bincount(self.sent, self.times * train[self.row], len(pair_rows)) if len(pair_rows) else np.zeros(0)
-        self.word, self.context = word, context
         self.names, at = np.unique(word, return_inverse=True)
-        pair, place = np.unique((at.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | context, return_inverse=True)
-        self.count = np.bincount(place, trained, len(pair)).astype(np.int64)
-        self.owner = (pair >> np.uint64(CONTEXT_BITS)).astype(np.int64)
+        self.at, self.context = at.astype(np.int32), context  # of each sent pair
+        key = (at.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | context
+        del word, at, pair_rows
+        order = np.argsort(key)
+        key = key[order]
+        first = starts_of(key)
+        self.count = np.add.reduceat(trained[order], first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
+        pair = key[first]
+        del key, order, trained
+        self.owner = (pair >> np.uint64(CONTEXT_BITS)).astype(np.int32)
         self.contexts = pair & np.uint64((1 << CONTEXT_BITS) - 1)
         self.word_count = np.bincount(self.owner, self.count, len(self.names)).astype(np.int64)
 
@@ -217,7 +223,10 @@ class Shard:
         return Trie.build(self.names[known], np.log10(alone[known]), position[self.owner[seen]], self.contexts[seen], values), counts
 
 
-ANSWER = "block bigint, rows int, keys binary, sums binary"
+SUMS = ("tokens", "known", "base", "model")
+ANSWER = "block bigint, rows int, keys binary, tokens binary, known binary, base binary, model binary"
+#: Pairs looked up at once: a bound of memory only.
+LOOKUP = 250_000
 
 
 def scores(sent: DataFrame, spread: Spread, total: int, distinct: int, mu: float) -> DataFrame:
@@ -225,25 +234,32 @@ def scores(sent: DataFrame, spread: Spread, total: int, distinct: int, mu: float
     def answer(table: pa.Table) -> pa.Table:
         shard = Shard(table.to_pylist())
         data, counts = shard.trie(spread, total, distinct, mu)
+        del shard.count, shard.owner, shard.contexts
         trie = Trie(data)
         at, there = trie.find(shard.names)
-        which = np.searchsorted(shard.names, shard.word)
-        unseen = np.log10(mu / (total + distinct + 1))
-        pair = np.full(len(shard.word), unseen)
-        known = np.flatnonzero(there[which])
-        place, found = trie.lookup(at[which[known]], shard.context[known])
-        pair[known] = trie.alone[at[which[known]]]
-        pair[known[found]] = trie.pairs[place[found]]
-        count = counts[which]
+        pair = np.full(len(shard.at), np.log10(mu / (total + distinct + 1)))
+        for a in range(0, len(pair), LOOKUP):
+            which = shard.at[a:a + LOOKUP]
+            known = np.flatnonzero(there[which])
+            place, found = trie.lookup(at[which[known]], shard.context[a + known])
+            pair[a + known] = trie.alone[at[which[known]]]
+            pair[a + known[found]] = trie.pairs[place[found]]
+        del shard.context
         # the word is the context of what follows, unless it is the end
-        pair -= np.where(shard.word == END, 0.0, np.log10(count + mu))
-        plain = np.log10((count + 1.0) / (total + distinct + 1))
-        sums = [np.bincount(shard.row, shard.times * v[shard.sent], shard.rows) for v in (np.ones(len(pair)), (count > 0).astype(float), plain, pair)]
+        pair -= np.where(shard.names == END, 0.0, np.log10(counts + mu))[shard.at]
+        plain = np.log10((counts + 1.0) / (total + distinct + 1))
+        name = shard.at[shard.sent]
+        sums = [np.bincount(shard.row, shard.times * v, shard.rows) for v in (1, (counts > 0)[name])]
+        sums = [s.astype(np.int64) for s in sums] + [np.bincount(shard.row, shard.times * v, shard.rows) for v in (plain[name], pair[shard.sent])]
         ends = np.cumsum([m["rows"] for m in shard.mail])
-        parts = [np.ascontiguousarray(np.stack([s[e - m["rows"]:e] for s in sums])) for m, e in zip(shard.mail, ends, strict=True)]
+        parts = []
+        for m, e in zip(shard.mail, ends, strict=True):
+            tokens, known, base, model = (s[e - m["rows"]:e] for s in sums)
+            # the model's values have 16 bits, so single precision loses nothing of them
+            parts.append((pack(tokens), pack(known), base.tobytes(), model.astype(np.float32).tobytes()))
         return pa.table({
             "block": pa.array([m["block"] for m in shard.mail], pa.int64()), "rows": pa.array([m["rows"] for m in shard.mail], pa.int32()),
-            "keys": pa.array([m["keys"] for m in shard.mail], pa.binary()), "sums": pa.array([p.tobytes() for p in parts], pa.binary())})
+            "keys": pa.array([m["keys"] for m in shard.mail], pa.binary()), **{c: pa.array([p[i] for p in parts], pa.binary()) for i, c in enumerate(SUMS)}})
 
     return sent.groupBy("shard").applyInArrow(answer, ANSWER)
 
@@ -254,13 +270,14 @@ SCORED = "k1 bigint, k2 bigint, n_tokens bigint, n_known bigint, base_score doub
 def added(answers: DataFrame, begin: float) -> DataFrame:
     """Sums over all shards of every row; *begin* is the term of the context before the first word."""
     def add(table: pa.Table) -> pa.Table:
-        keys, total = None, 0.0
+        keys, total = None, [0, 0, 0.0, 0.0]
         for m in table.to_pylist():
-            total = total + np.frombuffer(m["sums"], np.float64).reshape(4, m["rows"])
+            parts = (unpack(m["tokens"]), unpack(m["known"]), np.frombuffer(m["base"], np.float64), np.frombuffer(m["model"], np.float32).astype(np.float64))
+            total = [t + p for t, p in zip(total, parts, strict=True)]
             if m["keys"] is not None:
                 keys = np.frombuffer(m["keys"], np.int64).reshape(-1, 2)
         return pa.table({
-            "k1": keys[:, 0], "k2": keys[:, 1], "n_tokens": np.rint(total[0]).astype(np.int64), "n_known": np.rint(total[1]).astype(np.int64),
+            "k1": keys[:, 0], "k2": keys[:, 1], "n_tokens": total[0].astype(np.int64), "n_known": total[1].astype(np.int64),
             "base_score": total[2], "score": total[3] - begin})
 
     return answers.groupBy("block").applyInArrow(add, SCORED)
