@@ -10,12 +10,12 @@ from scriptoria.operators import memory
 from scriptoria.operators import selection as sel
 from scriptoria.samples import Samples, oracle
 
-VARIANCE = "v as (select stem, manuscript, round(var_pop((299 * red + 587 * green + 114 * blue) / 1000), 2) as variance from grid join page using (page_id) group by stem, manuscript)"
+VARIANCE = "v as (select stem, manuscript, round(var_pop((299 * red + 587 * green + 114 * blue + 500) // 1000), 6) as variance from grid join page using (page_id) group by stem, manuscript)"
 
 
 def variances(s: Samples):
     pages = s.page.select("page_id", "stem", "manuscript")
-    found = sel.page_variance(s.grid).withColumn("variance", F.round("variance", 2))
+    found = sel.page_variance(s.grid).withColumn("variance", F.round("variance", 6))
     return pages.join(found, "page_id")
 
 

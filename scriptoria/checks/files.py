@@ -185,10 +185,16 @@ def run_name(s: Samples):
 @check(
     "o04_natural_sort",
     oracle("linemask", """select path, cast(row_number() over (partition by page_id order by
-      list_transform(regexp_extract_all(path, '(\\d+)'), lambda d: cast(d as bigint)), path) as int) as place from linemask"""),
+      list_filter(flatten(list_transform(list_zip(string_split_regex(path, '[0-9]+'), regexp_extract_all(path, '[0-9]+')),
+        lambda z: [z[1], case when z[2] is not null then lpad(cast(cast(z[2] as bigint) as varchar), 19, '0') end])), lambda p: p is not null), path) as int) as place from named""",
+      """named as (select page_id, path from linemask union all select m.page_id, x.name || cast(m.page_id % 3 as varchar) as path
+        from (select distinct page_id from linemask) m, (values ('page'), ('page-'), ('page '), ('page1.'), ('page10.'), ('page2.'), ('page02')) x(name))"""),
 )
 def natural_sort(s: Samples):
     from scriptoria.operators.scan import row_numbers
 
-    keyed = s.linemask.withColumn("key", S.natural_key(F.col("path")))
+    # names that differ in where digits begin, next to those of the masks
+    stems = F.explode(F.array(*[F.lit(n) for n in ("page", "page-", "page ", "page1.", "page10.", "page2.", "page02")]))
+    odd = s.linemask.select("page_id").distinct().select("page_id", stems.alias("stem")).select("page_id", F.concat("stem", (F.col("page_id") % 3).cast("string")).alias("path"))
+    keyed = s.linemask.select("page_id", "path").unionByName(odd).withColumn("key", S.natural_key(F.col("path")))
     return row_numbers(keyed, ["page_id"], [F.col("key"), F.col("path")], "place").select("path", "place")

@@ -196,14 +196,52 @@ def touching_boundary(s: Samples):
     )
 
 
-@check("r08_outline_band")
+# Small boxes that reach over all four edges of a page of 40 x 28 pixels.
+EDGE_BOXES = """
+edged as (select page_id, line_idx as inst_id, cast(x1 % 45 - 8 as int) as x1, cast(line_idx * 5 % 30 - 4 as int) as y1,
+  cast(x1 % 45 - 2 + pk % 12 as int) as x2, cast(line_idx * 5 % 30 - 2 + sk % 5 as int) as y2 from line),
+px as (select page_id, inst_id, x1, y1, x2, y2, y, unnest(range(greatest(x1 - 1, 0), least(x2 + 1, 39) + 1)) as x
+  from (select *, unnest(range(greatest(y1 - 1, 0), least(y2 + 1, 27) + 1)) as y from edged) r),
+band as (select distinct page_id, y, x from px where abs(x - x1) <= 1 or abs(x - x2) <= 1 or abs(y - y1) <= 1 or abs(y - y2) <= 1),
+owner as (select page_id, y, x, max(inst_id) as inst_id from px where x between x1 and x2 and y between y1 and y2 group by page_id, y, x),
+step as (select unnest([-1, 1, 0, 0]) as dy, unnest([0, 0, -1, 1]) as dx),
+touch as (select distinct a.page_id as page_id, a.y as y, a.x as x from owner a cross join step
+  join owner b on b.page_id = a.page_id and b.y = (a.y + dy + 28) % 28 and b.x = (a.x + dx + 40) % 40 and b.inst_id <> a.inst_id)
+"""
+SUMS = "page_id, count(*) as n, cast(sum(y) as bigint) as sum_y, cast(sum(x) as bigint) as sum_x"
+
+
+def edge_polygons(s: Samples):
+    boxes = s.line.selectExpr(
+        "page_id", "line_idx as inst_id", "cast(x1 % 45 - 8 as int) as x1", "cast(line_idx * 5 % 30 - 4 as int) as y1",
+        "cast(x1 % 45 - 2 + pk % 12 as int) as x2", "cast(line_idx * 5 % 30 - 2 + sk % 5 as int) as y2")
+    return boxes.withColumn("points", G.box_polygon(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]))
+
+
+def edge_size(s: Samples):
+    return s.line.select("page_id").distinct().withColumn("width", F.lit(40)).withColumn("height", F.lit(28))
+
+
+def span_sums(spans):
+    n = (F.col("x1") - F.col("x0") + 1).cast("long")
+    return spans.groupBy("page_id").agg(
+        F.sum(n).alias("n"), F.sum(F.col("y") * n).alias("sum_y"), F.sum((F.col("x0") + F.col("x1")) * n / 2).cast("long").alias("sum_x"))
+
+
+@check("r08_outline_band", oracle("line", f"select {SUMS} from band group by page_id", EDGE_BOXES))
 def outline_band(s: Samples):
-    return R.outline_band(points(s), ["page_id"]).groupBy("page_id").agg(R.span_area().alias("area"), F.count(F.lit(1)).alias("n_spans"))
+    placed = edge_polygons(s).join(edge_size(s), "page_id")
+    return span_sums(R.outline_band(placed, ["page_id"], bounds=("width", "height")))
+
+
+@check("r08_boundary_mask", oracle("line", f"select {SUMS} from (select * from band union select * from touch) u group by page_id", EDGE_BOXES))
+def boundary_mask(s: Samples):
+    return span_sums(R.boundary_mask(edge_polygons(s), edge_size(s)))
 
 
-@check("r09_gray_variance", oracle("grid", "select page_id, round(var_pop((299 * red + 587 * green + 114 * blue) / 1000), 2) as variance from grid group by page_id"))
+@check("r09_gray_variance", oracle("grid", "select page_id, round(var_pop((299 * red + 587 * green + 114 * blue + 500) // 1000), 6) as variance from grid group by page_id"))
 def gray_variance(s: Samples):
-    return sel.page_variance(s.grid).withColumn("variance", F.round("variance", 2))
+    return sel.page_variance(s.grid).withColumn("variance", F.round("variance", 6))
 
 
 TILES = """

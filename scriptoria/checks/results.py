@@ -14,6 +14,7 @@ from scriptoria.operators import metrics as Q
 from scriptoria.operators import selection as sel
 from scriptoria.operators.scan import row_numbers
 from scriptoria.samples import Samples, oracle
+from scriptoria.session import checkpointed
 
 
 @check(
@@ -29,8 +30,8 @@ def subset_summary(s: Samples):
         F.max((F.col("kind") == "pred_xml").cast("int")).alias("has_pred"), F.max((F.col("kind") == "gt_xml").cast("int")).alias("has_gt")
     )
     pages = s.page.select("page_id", "stem", "manuscript").join(kinds, "stem")
-    rated = pages.join(matching.scores(s).select("page_id", "DR", "RA", "FM"), "page_id", "left")
     both = (F.col("has_pred") == 1) & (F.col("has_gt") == 1)
+    rated = pages.join(matching.scores(s, pages.filter(both)).select("page_id", "DR", "RA", "FM"), "page_id", "left")
     return rated.groupBy(F.col("manuscript").alias("subset")).agg(
         F.count(F.lit(1)).alias("n_images"), F.sum("has_pred").alias("n_prediction_files"),
         *[F.round(F.avg(F.when(both, F.col(c))), 6).alias(c.lower()) for c in ("DR", "RA", "FM")],
@@ -93,10 +94,14 @@ def score_range(s: Samples):
 @check("a12_segment_variance", oracle("pixel", """select page_id, round(avg(power(prob - m, 2)), 9) as variance from (
     select *, sum(prob) over (partition by page_id, sp_id) / (count(*) over (partition by page_id, sp_id) + 1e-6::double) as m from pixel) d group by page_id"""))
 def segment_variance(s: Samples):
-    return Q.segment_variance(s.pixel).withColumn("variance", F.abs(F.round("variance", 9)))
+    return Q.segment_variance(s.pixel).withColumn("variance", F.round("variance", 9))
 
 
-LOSS = "avg(-(m * ln(p) + (1 - m) * ln(1 - p))) + 1.0 - (2.0 * sum(p * m) + 1.0) / (sum(p) + sum(m) + 1.0)"
+def held(p: str) -> str:
+    return f"least(greatest({p}, 1e-6::double), 1 - 1e-6::double)"
+
+
+LOSS = f"avg(-(m * ln({held('p')}) + (1 - m) * ln(1 - {held('p')}))) + 1.0 - (2.0 * sum(p * m) + 1.0) / (sum(p) + sum(m) + 1.0)"
 
 
 @check("a14_segmentation_loss", oracle("pixel", f"""select page_id, round(coalesce({LOSS}, 0.0), 7) as loss from (
@@ -105,14 +110,14 @@ def segmentation_loss(s: Samples):
     return Q.segmentation_loss(s.pixel, ~F.col("dont_care"), ["page_id"]).withColumn("loss", F.round("loss", 7))
 
 
-@check("a15_per_image_dice", oracle("pixel", """select round(1 - avg((2 * i + 1e-6::double) / (t + 1e-6::double)), 9) as dice_loss,
+@check("a15_per_image_dice", oracle("pixel", f"""select round(1 - avg((2 * i + 1e-6::double) / (t + 1e-6::double)), 9) as dice_loss,
     round(0.5::double * (sum(b) / sum(n)) + 0.5::double * (1 - avg((2 * i + 1e-6::double) / (t + 1e-6::double))), 9) as loss from (
-    select page_id, sum(prob * mask) as i, sum(prob) + sum(mask) as t, sum(-(mask * ln(prob) + (1 - mask) * ln(1 - prob))) as b, count(*) as n from pixel group by page_id) g"""))
+    select page_id, sum(prob * mask) as i, sum(prob) + sum(mask) as t, sum(-(mask * ln({held('prob')}) + (1 - mask) * ln(1 - {held('prob')}))) as b, count(*) as n from pixel group by page_id) g"""))
 def per_image_dice(s: Samples):
     return Q.per_image_dice_loss(s.pixel).select(F.round("dice_loss", 9).alias("dice_loss"), F.round("loss", 9).alias("loss"))
 
 
-@check("a16_boundary_loss", oracle("pixel", "select page_id, round(coalesce(avg(-ln(1 - prob)) filter (where boundary), 0.0), 7) as loss from pixel group by page_id"))
+@check("a16_boundary_loss", oracle("pixel", f"select page_id, round(coalesce(avg(-ln(1 - {held('prob')})) filter (where boundary), 0.0), 7) as loss from pixel group by page_id"))
 def boundary_loss(s: Samples):
     return Q.boundary_loss(s.pixel, ["page_id"]).withColumn("loss", F.round("loss", 7))
 
@@ -183,7 +188,7 @@ level as (select unnest(range(10)) as i),
 hit as (
   select i, o.page_id as page_id, o.gt_idx as gt_idx, arg_min(o.pred_idx, {'s': -p.score, 'p': o.pred_idx}) as pred_idx
   from overlap o join pred p on p.page_id = o.page_id and p.pred_idx = o.pred_idx, level where iou >= (50 + 5 * i) / 100.0::double group by i, o.page_id, o.gt_idx),
-flagged as (select l.i as i, round(p.score, 4) as score, case when h.pred_idx is not null then 1 else 0 end as tp
+flagged as (select l.i as i, p.score as score, case when h.pred_idx is not null then 1 else 0 end as tp
   from pred p cross join level l left join hit h on h.i = l.i and h.page_id = p.page_id and h.pred_idx = p.pred_idx),
 steps as (select i, score, sum(tp) as tp, count(*) as n from flagged group by i, score),
 curve as (select i, score, sum(tp) over w / sum(n) over w as prec, sum(tp) over w / (select count(*) from line) as rec from steps window w as (partition by i order by score desc)),
@@ -197,19 +202,25 @@ best as (select prec, rec from curve where i = 0 order by round(2 * prec * rec /
     round((select prec from best), 7) as "precision", round((select rec from best), 7) as recall""", DETECTION))
 def average_precision(s: Samples):
     # One pass for all ten IoU levels: a page at a level is a page of its own.
-    gt, pred = matching.gt_boxes(s), s.pred
+    gt, pred = checkpointed(matching.gt_boxes(s).select("page_id", "gt_idx", "x1", "y1", "x2", "y2")), s.pred
     order = [F.col("score").desc(), F.col("pred_idx")]
-    ranked = row_numbers(pred, ["page_id"], order, "turn", start=0)
+    ranked = checkpointed(row_numbers(pred, ["page_id"], order, "turn", start=0))
     overlaps = M.box_overlap(M.candidate_pairs(gt, ranked.drop("pred_idx").withColumnRenamed("turn", "pred_idx"), min_iou=0.5))
     levels = F.filter(F.array(*[F.lit(i) for i in range(10)]), lambda i: F.col("iou") >= (50 + 5 * i) / 100.0)
     exploded = overlaps.withColumn("i", F.explode(levels)).select(
         (F.col("page_id") * 10 + F.col("i")).alias("page_id"), F.col("pred_idx").alias("gt_idx"), F.col("gt_idx").alias("pred_idx"), "iou"
     )
-    wins = M.greedy_match(exploded, 0.5, lines=(gt, pred))
+    # sizes are looked up under the same page numbers as the pairs
+    counts = M.line_counts(gt, pred)
+    at_levels = counts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("page_id", F.col("page_id") * 10 + F.col("i"))
+    wins = M.greedy_match(exploded, 0.5, at_levels)
     true_hits = wins.select(F.floor(F.col("page_id") / 10).alias("page_id"), (F.col("page_id") % 10).cast("int").alias("i"), F.col("gt_idx").alias("turn"), F.lit(1).alias("tp"))
-    all_levels = ranked.select("page_id", "turn", "score", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"))
-    flagged = all_levels.join(true_hits, ["page_id", "i", "turn"], "left").fillna(0, ["tp"])
-    curve = Q.precision_recall(flagged, gt.count(), ["i"])
+    # the levels a prediction hits are one array until after the join
+    hits = true_hits.groupBy("page_id", "turn").agg(F.collect_set("i").alias("hits"))
+    marked = ranked.select("page_id", "turn", "score").join(hits, ["page_id", "turn"], "left")
+    summed = marked.select("score", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"), F.coalesce("hits", F.array().cast("array<int>")).alias("hits"))
+    flagged = summed.select("i", "score", F.array_contains("hits", F.col("i")).cast("int").alias("tp"))
+    curve = Q.precision_recall(flagged, counts.agg(F.sum("N_gt")).first()[0] or 0, ["i"])
     ap = Q.average_precision(curve, ["i"])
     first = lambda c: F.max(F.when(F.col("i") == 0, F.col(c)))
     return ap.agg(

@@ -25,7 +25,32 @@ def polygon_page_score(s: Samples):
     box = G.box_polygon(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
     gt = s.line.select("page_id", F.col("line_idx").alias("gt_idx"), box.alias("points"))
     pred = s.pred.select("page_id", "pred_idx", box.alias("points"))
-    return evaluate.score_polygons(spread(gt, "page_id"), spread(pred, "page_id"))
+    return evaluate.score_polygons(gt, pred)
+
+
+# Lines and predictions that overshoot a page of 400 x 200 pixels; pixels outside do not exist.
+BOUNDED = """
+gbox as (select page_id, line_idx, x1 - 80 as x1, y1 - 20 as y1, x2 - 80 as x2, y2 - 20 as y2 from line),
+pbox as (select page_id, pred_idx, case when x1 < 80 then x1 - 180 else x1 - 80 end as x1, y1 - 20 as y1,
+  case when x2 > 470 then x2 + 120 else x2 - 80 end as x2, y2 - 20 as y2 from pred),
+gclip as (select page_id, line_idx, greatest(x1, 0) as x1, greatest(y1, 0) as y1, least(x2, 399) as x2, least(y2, 199) as y2 from gbox
+  where x2 >= 0 and y2 >= 0 and x1 < 400 and y1 < 200),
+pclip as (select page_id, pred_idx, greatest(x1, 0) as x1, greatest(y1, 0) as y1, least(x2, 399) as x2, least(y2, 199) as y2 from pbox
+  where x2 >= 0 and y2 >= 0 and x1 < 400 and y1 < 200),
+""" + matching.SCORED.replace("from line g join pred p", "from gclip g join pclip p").replace("from line group", "from gbox group").replace("from pred group", "from pbox group").strip()
+
+
+@check(
+    "a01_bounded_page_score",
+    oracle("line pred", 'select page_id, n_gt as "N_gt", n_pred as "N_pred", m as "M", dr as "DR", ra as "RA", fm as "FM" from score', BOUNDED, recursive=True),
+)
+def bounded_page_score(s: Samples):
+    corners = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    gt = s.line.selectExpr("page_id", "line_idx as gt_idx", "x1 - 80 as x1", "y1 - 20 as y1", "x2 - 80 as x2", "y2 - 20 as y2")
+    pred = s.pred.selectExpr("page_id", "pred_idx", "case when x1 < 80 then x1 - 180 else x1 - 80 end as x1", "y1 - 20 as y1",
+                             "case when x2 > 470 then x2 + 120 else x2 - 80 end as x2", "y2 - 20 as y2")
+    size = s.page.select("page_id", F.lit(400).alias("width"), F.lit(200).alias("height"))
+    return evaluate.score_polygons(*(df.withColumn("points", G.box_polygon(*corners)) for df in (gt, pred)), size=size)
 
 
 @check(

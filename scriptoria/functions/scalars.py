@@ -60,12 +60,17 @@ def canonical_split(split: Column) -> Column:
 
 
 def natural_key(path: Column) -> Column:
-    """Sort key that compares digit runs as numbers, of any length."""
-    def piece(p: Column) -> Column:
-        digits = F.regexp_replace(p, "^0+(?=.)", "")
-        return F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits)).otherwise(p)
+    """Sort key that compares digit runs as numbers, of any length.
 
-    return F.array_join(F.transform(F.regexp_extract_all(path, F.lit(r"(\d+|\D+)"), F.lit(1)), piece), "")
+    An array that begins and ends with a text piece (maybe empty) and alternates with
+    numbers; arrays compare piece by piece, so text only ever meets text.  A number is its
+    digits after their count.
+    """
+    texts = F.split(path, "[0-9]+", -1)
+    runs = F.transform(F.regexp_extract_all(path, F.lit("[0-9]+"), F.lit(0)), lambda d: F.regexp_replace(d, "^0+(?=.)", ""))
+    numbers = F.transform(runs, lambda d: F.concat(F.lpad(F.length(d).cast("string"), 10, "0"), d))
+    pieces = F.flatten(F.zip_with(texts, numbers, lambda t, n: F.array(t, n)))
+    return F.filter(pieces, lambda p: p.isNotNull())
 
 
 def half_even(value: Column, digits: int = 4) -> Column:
@@ -94,11 +99,6 @@ def run_name(*parts: Column) -> Column:
     return F.concat_ws("_", *parts)
 
 
-def gray(r: Column, g: Column, b: Column) -> Column:
-    """Luma with weights 0.299, 0.587, 0.114, in whole thousandths so that it is exact."""
-    return (299 * r + 587 * g + 114 * b) / 1000
-
-
 def gray_level(r: Column, g: Column, b: Column) -> Column:
     """Luma rounded to a byte."""
     return F.floor((299 * r + 587 * g + 114 * b + 500) / 1000)

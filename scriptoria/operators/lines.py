@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.functions import geometry as G
 from scriptoria.operators.scan import GROUP_LIMIT, any_group_exceeds, prefix_scan, row_numbers
+from scriptoria.session import checkpointed
 
 
 def reading_order(lines: DataFrame, key: str = "page_id", idx: str = "line_idx", name: str = "place") -> DataFrame:
@@ -44,7 +44,12 @@ def lines_per_page(pages: DataFrame, lines: DataFrame, key: str = "page_id") ->
     return pages.select(key).join(counts, key, "left").fillna(0, ["n_lines"])
 
 
-def suppress_rows(boxes: DataFrame, threshold: float = 0.95, group_limit: int = GROUP_LIMIT) -> DataFrame:
+# Rows of a stretch that one array holds, and what keeps the share of a height defined.
+FOLD_ROWS = 20_000
+EPS = 1e-6
+
+
+def suppress_rows(boxes: DataFrame, threshold: float = 0.95, group_limit: int = GROUP_LIMIT, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Drop boxes whose vertical extent a kept box of the page covers; x is ignored.
 
     Boxes are taken by (y1, pred_idx).  A box more than *threshold* of whose height
@@ -52,9 +57,7 @@ def suppress_rows(boxes: DataFrame, threshold: float = 0.95, group_limit: int =
 
     A box can only meet kept boxes that reach below ``y1 + threshold * height``.  So
     the page falls into stretches: one ends where nothing before reaches far enough
-    down to meet anything after.  Stretches are independent; a stretch of one
-    box is kept as it is and only the others are folded, each read in order with no
-    more than its kept boxes in memory.
+    down to meet anything after.  Stretches are independent and are folded side by side.
     """
     order = [F.col("y1"), F.col("pred_idx")]
     need = F.col("y1") + threshold * (F.col("y2") - F.col("y1") + 1e-6)
@@ -68,37 +71,52 @@ def suppress_rows(boxes: DataFrame, threshold: float = 0.95, group_limit: int =
     placed = prefix_scan(
         both, ["page_id"], order, {"_stretch": ("sum", starts), "_n": ("count", F.lit(1))}, sliced=sliced
     )
-    sizes = placed.groupBy("page_id", "_stretch").agg(F.count(F.lit(1)).alias("_size"))
-    sized = placed.select("page_id", "pred_idx", "y1", "y2", "_n", "_stretch").join(sizes, ["page_id", "_stretch"])
-    alone = sized.filter("_size = 1").select("page_id", "pred_idx", "y1", "y2")
-    several = (
-        sized.filter("_size > 1")
-        .repartition("page_id", "_stretch")
-        .sortWithinPartitions("page_id", "_stretch", "_n")
-        .select("page_id", "_stretch", "pred_idx", "y1", "y2")
-    )
-
-    def fold(batches):
-        current, kept = None, []
-        for batch in batches:
-            done = []
-            for page, stretch, idx, y1, y2 in batch.itertuples(index=False):
-                if (page, stretch) != current:
-                    done += [(current[0], *k) for k in kept]
-                    current, kept = (page, stretch), []
-                for at, (_, k1, k2) in enumerate(kept):
-                    if (min(y2, k2) - max(y1, k1)) / (y2 - y1 + 1e-6) > threshold:
-                        if y2 - y1 > k2 - k1:
-                            kept[at] = (idx, y1, y2)
-                        break
-                else:
-                    kept.append((idx, y1, y2))
-            if done:
-                yield pd.DataFrame(done, columns=["page_id", "pred_idx", "y1", "y2"])
-        if kept:
-            yield pd.DataFrame([(current[0], *k) for k in kept], columns=["page_id", "pred_idx", "y1", "y2"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("page_id", "pred_idx", "y1", "y2"))
-    survivors = alone.unionByName(several.mapInPandas(fold, schema)).select("page_id", "pred_idx")
+    survivors = fold_stretches(placed, threshold, fold_rows).select("page_id", "pred_idx")
     return boxes.join(survivors, ["page_id", "pred_idx"], "left_semi")
+
+
+def fold_stretches(placed: DataFrame, threshold: float, fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """Boxes kept of every stretch: page_id, pred_idx from page_id, _stretch, _n, pred_idx, y1, y2.
+
+    The rows of a stretch are taken in parts of *fold_rows*; a part is one array, folded
+    onto what the parts before it kept.  Almost always one part is all there is.  What is
+    kept of a stretch barely overlaps, so it stays small however long the stretch is, and
+    there are as many steps as the longest stretch has parts.
+    """
+    parts = placed.groupBy("page_id", "_stretch").agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    dealt = placed.select("page_id", "_stretch", "_n", "pred_idx", "y1", "y2").join(parts, ["page_id", "_stretch"])
+    dealt = dealt.withColumn("_part", F.floor((F.col("_n") - F.col("_first")) / fold_rows).cast("int"))
+    box = F.struct("_n", "pred_idx", "y1", "y2")
+    packed = dealt.groupBy("page_id", "_stretch", "_part").agg(F.array_sort(F.collect_list(box)).alias("rows"), F.first("_size").alias("_size"))
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+    kept_type = f"array<struct<pred_idx:{kinds['pred_idx']},y1:{kinds['y1']},y2:{kinds['y2']}>>"
+
+    def place(kept: Column, row: Column) -> Column:
+        own = F.struct(row["pred_idx"].alias("pred_idx"), row["y1"].alias("y1"), row["y2"].alias("y2"))
+        height = row["y2"] - row["y1"]
+
+        def covered(k: Column) -> Column:
+            shared = F.least(k["y2"], row["y2"]) - F.greatest(k["y1"], row["y1"])
+            return shared > threshold * (height + EPS)
+
+        at = F.array_position(F.transform(kept, covered), F.lit(True))
+        taller = F.transform(kept, lambda k, i: F.when((i + 1 == at) & (height > k["y2"] - k["y1"]), own).otherwise(k))
+        return F.when(at == 0, F.concat(kept, F.array(own))).otherwise(taller)
+
+    def fold(rows: DataFrame, before: Column) -> DataFrame:
+        return rows.select("page_id", "_stretch", "_size", "_part", F.aggregate("rows", before, place).alias("kept"))
+
+    none = F.array().cast(kept_type)
+    longest = packed.agg(F.max("_size")).first()[0] or 0
+    if longest <= fold_rows:
+        done = fold(packed, none)
+    else:
+        packed = checkpointed(packed)
+        held = fold(packed.filter("_part = 0"), none)
+        for part in range(1, -(-longest // fold_rows)):
+            held = checkpointed(held)
+            more = packed.filter(F.col("_part") == part).select("page_id", "_stretch", "rows")
+            joined = held.join(more, ["page_id", "_stretch"], "left")
+            held = joined.select("page_id", "_stretch", "_size", "_part", F.aggregate(F.coalesce("rows", F.array().cast(dict(packed.dtypes)["rows"])), F.col("kept"), place).alias("kept"))
+        done = held
+    return done.select("page_id", F.explode("kept").alias("k")).select("page_id", "k.pred_idx")

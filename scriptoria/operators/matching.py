@@ -99,7 +99,7 @@ def span_overlap(gt_spans: DataFrame, pred_spans: DataFrame, min_iou: float = 0.
 def greedy_match(
     overlaps: DataFrame,
     threshold: float = 0.75,
-    lines: tuple[DataFrame, ...] = (),
+    counts: DataFrame | None = None,
     fold_limit: int = FOLD_LIMIT,
 ) -> DataFrame:
     """One-to-one matches in ground-truth order: each line takes its best free prediction.
@@ -107,20 +107,19 @@ def greedy_match(
     Ties go to the lower prediction index; a match needs ``iou >= threshold``.
     Dropping weaker pairs first is exact, since an accepted best is the best among
     the accepted.  Ordinary pages are folded in one row each; pages with more than
-    *fold_limit* rows in one of *lines* (or that many pairs, if *lines* is not
-    given) are matched by rounds of proposals over all their pairs at once.
+    *fold_limit* lines on a side (*counts*: page_id, N_gt, N_pred; or that many pairs,
+    without it) are matched by rounds of proposals over all their pairs at once.
     """
     live = overlaps.filter((F.col("iou") >= threshold) & (F.col("iou") > 0)).select("page_id", "gt_idx", "pred_idx", "iou")
-    sized = lines or (live,)
-    large = None
-    for df in sized:
-        counts = df.groupBy("page_id").agg(F.count(F.lit(1)).alias("_rows"))
-        over = counts.filter(F.col("_rows") > fold_limit).select("page_id")
-        large = over if large is None else large.unionByName(over)
+    if counts is None:
+        sized = live.groupBy("page_id").agg(F.count(F.lit(1)).alias("_rows"))
+    else:
+        sized = counts.select("page_id", F.greatest("N_gt", "N_pred").alias("_rows"))
+    large = sized.filter(F.col("_rows") > fold_limit).select("page_id")
     if large.isEmpty():
         return _fold_match(live)
     # Both branches read the pairs: store them once.
-    live, large = checkpointed(live), checkpointed(large.distinct())
+    live, large = checkpointed(live), checkpointed(large)
     folded = _fold_match(live.join(large, "page_id", "left_anti"))
     return folded.unionByName(_match_by_rounds(live.join(large, "page_id", "left_semi")))
 
@@ -176,19 +175,21 @@ def unique_match(overlaps: DataFrame, threshold: float = 0.75) -> DataFrame:
     return overlaps.filter(F.col("iou") >= threshold).select("page_id", "gt_idx", "pred_idx", "iou")
 
 
-def page_scores(gt_lines: DataFrame, pred_lines: DataFrame, matches: DataFrame, digits: int = 4) -> DataFrame:
-    """DR, RA and FM of each page that has lines on either side.
+def line_counts(gt_lines: DataFrame, pred_lines: DataFrame) -> DataFrame:
+    """page_id, N_gt, N_pred of each page that has lines on either side, in one aggregation.
 
-    Counts of the three inputs meet in one aggregation: every input is reduced to
-    counts per page before the shuffle.
+    The small result is stored: the size test of the matching and the page scores read it.
     """
-    def counts(df: DataFrame, gt: int, pred: int, m: int) -> DataFrame:
-        return df.select("page_id", F.lit(gt).alias("g"), F.lit(pred).alias("p"), F.lit(m).alias("m"))
+    sides = gt_lines.select("page_id", F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(
+        pred_lines.select("page_id", F.lit(0).alias("g"), F.lit(1).alias("p")))
+    return checkpointed(sides.groupBy("page_id").agg(F.sum("g").cast("long").alias("N_gt"), F.sum("p").cast("long").alias("N_pred")))
 
-    together = counts(gt_lines, 1, 0, 0).unionByName(counts(pred_lines, 0, 1, 0)).unionByName(counts(matches, 0, 0, 1))
-    totals = together.groupBy("page_id").agg(
-        F.sum("g").cast("long").alias("N_gt"), F.sum("p").cast("long").alias("N_pred"), F.sum("m").cast("long").alias("M")
-    )
+
+def page_scores(counts: DataFrame, matches: DataFrame, digits: int = 4) -> DataFrame:
+    """DR, RA and FM of each page of *counts* (page_id, N_gt, N_pred)."""
+    found = matches.select("page_id", F.lit(0).cast("long").alias("N_gt"), F.lit(0).cast("long").alias("N_pred"), F.lit(1).alias("M"))
+    together = counts.select("page_id", "N_gt", "N_pred", F.lit(0).alias("M")).unionByName(found)
+    totals = together.groupBy("page_id").agg(*(F.sum(c).cast("long").alias(c) for c in ("N_gt", "N_pred", "M")))
     return score_counts(totals, digits)
 
 

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptoria.operators.scan import attach_group_values, row_numbers, top_per_group
+from scriptoria.session import checkpointed
 
 # Prototypes one task holds at a time.
 BLOCK = 4096
+# Similarities are compared to this many decimals, so that the order of summation does not decide ties.
+DECIMALS = 12
 
 
 def last_per_class(vectors: DataFrame, n: int, key: str = "label", arrival: str = "vec_id") -> DataFrame:
@@ -30,16 +33,16 @@ def first_per_class(vectors: DataFrame, key: str = "label", arrival: str = "vec_
     return vectors.groupBy(key).agg(F.min_by("embedding", arrival).alias("embedding"))
 
 
-def _best_of_block(vector: Column, classes: np.ndarray, matrix: np.ndarray) -> Column:
-    kind = T.StructType([T.StructField("cost", T.DoubleType()), T.StructField("cls", T.LongType())])
+def _best_of_block(vector: Column, matrix: np.ndarray) -> Column:
+    kind = T.StructType([T.StructField("cost", T.DoubleType()), T.StructField("at", T.IntegerType())])
 
     @F.pandas_udf(kind)
     def best(batch: pd.Series) -> pd.DataFrame:
         x = np.stack(batch.to_numpy()).astype(np.float64)
         norm = np.linalg.norm(x, axis=1, keepdims=True)
-        similarity = (x / np.maximum(norm, 1e-12)) @ matrix.T
+        similarity = np.round((x / np.maximum(norm, 1e-12)) @ matrix.T, DECIMALS)
         top = similarity.argmax(axis=1)
-        return pd.DataFrame({"cost": -similarity[np.arange(len(x)), top], "cls": classes[top]})
+        return pd.DataFrame({"cost": -similarity[np.arange(len(x)), top], "at": top.astype(np.int32)})
 
     return best(vector)
 
@@ -49,18 +52,20 @@ def assign_to_prototypes(
 ) -> DataFrame:
     """Class of highest cosine similarity for each vector, the lowest class on ties.
 
-    Prototypes are one row per class.  Up to *block* of them, which are counted
-    first, go to the tasks as one matrix and no row is shuffled.  More are compared
-    in chunks that stay distributed.
+    Prototypes are one row per class; classes may be of any type.  Up to *block* of them,
+    which are counted first, go to the tasks as one matrix and no row is shuffled.  More
+    are compared in chunks that stay distributed; rows that agree in *keep* stay apart.
     """
     if prototypes.count() > block:
         return _assign_by_chunks(vectors, prototypes, key, keep)
     rows = prototypes.select(key, "embedding").orderBy(key).collect()
-    classes = np.array([r[key] for r in rows], dtype=np.int64)
+    if not rows:
+        return vectors.select(*keep, F.lit(None).cast(prototypes.schema[key].dataType).alias("cls"), F.lit(None).cast("double").alias("similarity")).limit(0)
+    classes = F.array(*[F.lit(r[key]).cast(prototypes.schema[key].dataType) for r in rows])
     matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-    best = vectors.select(*keep, _best_of_block(F.col("embedding"), classes, matrix).alias("b"))
-    return best.select(*keep, F.col("b.cls").alias("cls"), (-F.col("b.cost")).alias("similarity"))
+    best = vectors.select(*keep, _best_of_block(F.col("embedding"), matrix).alias("b"))
+    return best.select(*keep, F.get(classes, F.col("b.at")).alias("cls"), (-F.col("b.cost")).alias("similarity"))
 
 
 def _assign_by_chunks(vectors, prototypes, key, keep, size: int = 256):
@@ -71,9 +76,11 @@ def _assign_by_chunks(vectors, prototypes, key, keep, size: int = 256):
     """
     numbered = row_numbers(prototypes.select(key, "embedding"), [], [F.col(key)], "_n", start=0)
     numbered = numbered.withColumn("chunk", F.floor(F.col("_n") / size))
-    chunks = numbered.groupBy("chunk").agg(F.collect_list(F.struct(F.col(key).cast("long").alias("cls"), "embedding")).alias("members"))
+    chunks = numbered.groupBy("chunk").agg(F.collect_list(F.struct(F.col(key).alias("cls"), "embedding")).alias("members"))
     last = (prototypes.count() - 1) // size
-    met = vectors.select(*keep, "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("chunk"))
+    # the row's own number keeps rows with equal keys apart; it is stored, as it is read after a shuffle
+    numbered_rows = checkpointed(vectors.select(*keep, "embedding").withColumn("_row", F.monotonically_increasing_id()))
+    met = numbered_rows.select("_row", *keep, "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("chunk"))
     rows = attach_group_values(met, chunks, ["chunk"], salts=64)
 
     def dot(a: Column, b: Column) -> Column:
@@ -82,8 +89,8 @@ def _assign_by_chunks(vectors, prototypes, key, keep, size: int = 256):
 
     own = F.greatest(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), F.lit(1e-12))
     scored = F.transform("members", lambda m: F.struct(
-        (-dot(F.col("embedding"), m["embedding"]) / (own * F.greatest(F.sqrt(dot(m["embedding"], m["embedding"])), F.lit(1e-12)))).alias("cost"),
+        (-F.round(dot(F.col("embedding"), m["embedding"]) / (own * F.greatest(F.sqrt(dot(m["embedding"], m["embedding"])), F.lit(1e-12))), DECIMALS)).alias("cost"),
         m["cls"].alias("cls"),
     ))
-    best = rows.select(*keep, F.array_min(scored).alias("b")).groupBy(*keep).agg(F.min("b").alias("b"))
+    best = rows.select("_row", *keep, F.array_min(scored).alias("b")).groupBy("_row", *keep).agg(F.min("b").alias("b"))
     return best.select(*keep, F.col("b.cls").alias("cls"), (-F.col("b.cost")).alias("similarity"))

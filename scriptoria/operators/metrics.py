@@ -32,8 +32,15 @@ def mean_metrics(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.agg(*[F.coalesce(F.avg(k), F.lit(float("nan"))).alias(k) for k in keys])
 
 
+def held_prob(prob: Column, eps: float = EPS) -> Column:
+    """The probability kept off 0 and 1, as ``logit`` does, so that its logarithms are finite."""
+    return F.least(F.greatest(prob, F.lit(eps)), F.lit(1.0 - eps))
+
+
 def cross_entropy(prob: Column, target: Column) -> Column:
-    return -(target * F.log(prob) + (1 - target) * F.log(1 - prob))
+    """Cross-entropy of one pixel; pixels at 0 and 1 count like all others."""
+    p = F.when(prob.isNotNull(), held_prob(prob))
+    return -(target * F.log(p) + (1 - target) * F.log(1 - p))
 
 
 def soft_dice_loss(prob: Column, target: Column, smooth: float = 1.0) -> Column:
@@ -57,7 +64,7 @@ def pseudo_loss(pixels: DataFrame, confidence: float = 0.9, by: Sequence[str] =
 def boundary_loss(pixels: DataFrame, by: Sequence[str] = (), prob: str = "prob", boundary: str = "boundary") -> DataFrame:
     """Cross-entropy against 0 over boundary pixels; 0 without any."""
     return pixels.groupBy(*by).agg(
-        F.coalesce(F.avg(F.when(F.col(boundary), -F.log(1 - F.col(prob)))), F.lit(0.0)).alias("loss")
+        F.coalesce(F.avg(F.when(F.col(boundary), cross_entropy(F.col(prob), F.lit(0)))), F.lit(0.0)).alias("loss")
     )
 
 
@@ -81,12 +88,13 @@ def pooled_iou(pixels: DataFrame, by: Sequence[str] = (), prob: str = "prob", ma
 def segment_variance(pixels: DataFrame, key: str = "page_id", segment: str = "sp_id", prob: str = "prob") -> DataFrame:
     """Mean squared deviation from the segment mean per image, from one pass of sums.
 
-    The mean divides by n + 1e-6, so the deviation is expanded rather than taken as a variance.
+    The mean divides by n + 1e-6, so its distance from the plain mean is added to the
+    variance; both terms are squares, and the result cannot fall below zero.
     """
     p = F.col(prob)
-    sums = pixels.groupBy(key, segment).agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q"))
-    m = F.col("s") / (F.col("n") + EPS)
-    deviation = F.col("q") - 2 * m * F.col("s") + F.col("n") * m * m
+    sums = pixels.groupBy(key, segment).agg(F.count(p).alias("n"), F.avg(p).alias("a"), F.var_pop(p).alias("v"))
+    m = F.col("a") * F.col("n") / (F.col("n") + EPS)
+    deviation = F.col("n") * (F.col("v") + (F.col("a") - m) * (F.col("a") - m))
     return sums.groupBy(key).agg((F.sum(deviation) / F.sum("n")).alias("variance"))
 
 
@@ -156,34 +164,27 @@ def corpus_counts(pages: DataFrame, by: Sequence[str] = ("manuscript", "split"))
     return pages.rollup(*by).agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("n_lines"), F.lit(0)).alias("lines"))
 
 
-SCORE_DIGITS = 4
-
-
-def precision_recall(detections: DataFrame, n_gt: int | Column, by: Sequence[str] = ()) -> DataFrame:
+def precision_recall(detections: DataFrame, n_gt: int | Column, by: Sequence[str] = (), group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Cumulative precision and recall from the highest score down.
 
-    *detections* has score and tp (0/1).  Scores are taken to four digits and equal
-    scores count as one step, so a group has at most 10,001 steps whatever the
-    number of detections.
+    *detections* has score and tp (0/1).  Exactly equal scores count as one step; scores
+    are not rounded.  Sums run through ``prefix_scan``, so a group may have any number of
+    steps.
     """
     by = list(by)
-    steps = detections.groupBy(*by, F.round("score", SCORE_DIGITS).alias("score")).agg(
-        F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("n")
-    )
-    down = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("score"))
-    upto = down.rowsBetween(Window.unboundedPreceding, 0)
+    steps = detections.groupBy(*by, "score").agg(F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("n"))
     total = F.lit(n_gt) if isinstance(n_gt, int) else n_gt
-    curve = steps.select(*by, "score", F.sum("tp").over(upto).alias("ctp"), F.sum("n").over(upto).alias("cn"))
-    return curve.select(*by, "score", (F.col("ctp") / F.col("cn")).alias("precision"), (F.col("ctp") / total).alias("recall"))
+    curve = prefix_scan(steps, by, [F.desc("score")], {"ctp": ("sum", F.col("tp")), "cn": ("sum", F.col("n"))}, group_limit)
+    before = F.coalesce((F.col("ctp") - F.col("tp")) / total, F.lit(0.0))
+    return curve.select(*by, "score", (F.col("ctp") / F.col("cn")).alias("precision"), (F.col("ctp") / total).alias("recall"), before.alias("recall_before"))
 
 
-def average_precision(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def average_precision(curve: DataFrame, by: Sequence[str] = (), group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Area under the precision envelope, and precision and recall at the best F1 (highest score on ties)."""
     by = list(by)
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    envelope = F.max("precision").over(part.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(part.orderBy(F.desc("score"))), F.lit(0.0))
+    under = prefix_scan(curve, by, [F.asc("score")], {"_envelope": ("max", F.col("precision"))}, group_limit)
+    step = F.col("recall") - F.col("recall_before")
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-16)
-    rows = curve.select(*by, "score", "precision", "recall", (step * envelope).alias("_area"), f1.alias("_f1"))
+    rows = under.select(*by, "score", "precision", "recall", (step * F.col("_envelope")).alias("_area"), f1.alias("_f1"))
     best = F.min(F.struct((-F.round("_f1", 9)).alias("a"), (-F.col("score")).alias("b"), "precision", "recall"))
     return rows.groupBy(*by).agg(F.sum("_area").alias("ap"), best.alias("_b")).select(*by, "ap", "_b.precision", "_b.recall")

@@ -137,10 +137,23 @@ def row_numbers(
     return out.withColumn(name, (F.col(name) + (start - 1)).cast(kind))
 
 
-def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First *k* rows of each group; each task keeps k rows per group before the shuffle."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+# Up to this k Spark cuts each task's rows to k a group before the shuffle by itself.
+ENGINE_LIMIT = 1000
+SALTS = 64
+
+
+def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank", engine_limit: int = ENGINE_LIMIT) -> DataFrame:
+    """First *k* rows of each group; a group of any size comes down to at most k rows a part before it meets.
+
+    Beyond *engine_limit* the group is first cut to k rows in each of SALTS parts by a hash of the row.
+    """
+    def first(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order)
+        return rows.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+
+    if k > engine_limit:
+        df = first(df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))), [*by, "_part"]).drop("_part", rank)
+    return first(df, by)
 
 
 def attach_group_values(rows: DataFrame, values: DataFrame, keys: Sequence[str], salts: int = 16) -> DataFrame:

@@ -17,7 +17,7 @@ BROADCAST_ROWS = 10_000
 
 def page_variance(pixels: DataFrame, key: str = "page_id") -> DataFrame:
     """Population variance of the gray level of each page."""
-    level = S.gray(F.col("red"), F.col("green"), F.col("blue"))
+    level = S.gray_level(F.col("red"), F.col("green"), F.col("blue"))
     return pixels.groupBy(key).agg(F.var_pop(level).alias("variance"))
 
 

@@ -63,11 +63,19 @@ def _polygon_rows(offsets: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np
     return p[at], py[at], x0[at], np.maximum.reduceat(x1, at)
 
 
-def fill_polygons(df: DataFrame, points: str = "points") -> DataFrame:
+def within_page(spans: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
+    """Spans cut to the page whose size stands in two of their columns; what lies outside does not exist."""
+    cut = spans.filter((F.col("y") >= 0) & (F.col("y") < F.col(height)))
+    cut = cut.withColumn("x0", F.greatest("x0", F.lit(0))).withColumn("x1", F.least(F.col("x1"), F.col(width) - 1))
+    return cut.filter("x0 <= x1")
+
+
+def fill_polygons(df: DataFrame, points: str = "points", bounds: tuple[str, str] | None = None) -> DataFrame:
     """Polygon rows to spans of the pixels inside or on the outline.
 
     A narrow transformation over Arrow batches: nothing is shuffled, and the rows of
-    many polygons are computed together.
+    many polygons are computed together.  *bounds* names columns with the page's width
+    and height, to which spans are cut.
     """
     keep = [c for c in df.columns if c != points]
     rows = df.filter(F.size(points) > 0).select(*keep, G.xs(F.col(points)).alias("_xs"), G.ys(F.col(points)).alias("_ys"))
@@ -89,7 +97,8 @@ def fill_polygons(df: DataFrame, points: str = "points") -> DataFrame:
     schema = rows.select(*keep).schema
     for name in ("y", "x0", "x1"):
         schema = schema.add(name, T.IntegerType())
-    return rows.mapInArrow(fill, schema)
+    filled = rows.mapInArrow(fill, schema)
+    return within_page(filled, *bounds) if bounds else filled
 
 
 def box_spans(df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -219,11 +228,26 @@ def touching_boundary(owner: DataFrame, wrap_size: tuple[str, str] | None = None
     )
 
 
-def outline_band(df: DataFrame, keys: Sequence[str], points: str = "points", thickness: int = 3) -> DataFrame:
-    """Pixels within half the thickness of a polygon's outline, as merged spans."""
+def boundary_mask(polygons: DataFrame, size: DataFrame, thickness: int = 3) -> DataFrame:
+    """Pixels where instances touch, and the band along every outline, as merged spans of each page.
+
+    *polygons* has page_id, inst_id and points; *size* page_id, width and height.  Later
+    instances overwrite earlier ones; opposite page edges count as neighbours.
+    """
+    placed = polygons.select("page_id", "inst_id", "points").join(size.select("page_id", "width", "height"), "page_id")
+    owner = instance_map(fill_polygons(placed, bounds=("width", "height")).drop("width", "height"))
+    touching = touching_boundary(owner.join(size.select("page_id", "width", "height"), "page_id"), ("height", "width"))
+    band = outline_band(placed, ["page_id"], thickness=thickness, bounds=("width", "height"))
+    columns = ["page_id", "y", "x0", "x1"]
+    return merge_spans(touching.select(*columns).unionByName(band.select(*columns)), ["page_id"])
+
+
+def outline_band(df: DataFrame, keys: Sequence[str], points: str = "points", thickness: int = 3, bounds: tuple[str, str] | None = None) -> DataFrame:
+    """Pixels within half the thickness of a polygon's outline, as merged spans; cut to *bounds* if given."""
     half = thickness // 2
     p = F.col(points)
-    edges = df.select(*keys, F.explode(F.zip_with(p, G._rotated(p), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("e"))
+    size = list(bounds or ())
+    edges = df.select(*keys, *size, F.explode(F.zip_with(p, G._rotated(p), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("e"))
     lo_y, hi_y = F.least("e.a.y", "e.b.y"), F.greatest("e.a.y", "e.b.y")
     rows = edges.withColumn("y", F.explode(F.sequence(lo_y - half, hi_y + half)))
     up = F.col("e.a.y") <= F.col("e.b.y")
@@ -236,7 +260,9 @@ def outline_band(df: DataFrame, keys: Sequence[str], points: str = "points", thi
     u, v = at(F.col("y") - half - 0.5), at(F.col("y") + half + 0.5)
     x0 = F.greatest(left_x, F.coalesce(F.floor(F.least(u, v) + 0.5).cast("int"), left_x))
     x1 = F.least(right_x, F.coalesce(F.floor(F.greatest(u, v) + 0.5).cast("int"), right_x))
-    band = rows.select(*keys, "y", (x0 - half).alias("x0"), (x1 + half).alias("x1"))
+    band = rows.select(*keys, *size, "y", (x0 - half).alias("x0"), (x1 + half).alias("x1"))
+    if bounds:
+        band = within_page(band, *bounds).drop(*size)
     return merge_spans(band, keys)
 
 

@@ -11,6 +11,7 @@ from scriptoria.operators import lines as L
 from scriptoria.operators import matching as M
 from scriptoria.operators import spans as R
 from scriptoria.operators.scan import row_numbers
+from scriptoria.session import checkpointed
 
 
 def lines_from_probabilities(
@@ -50,20 +51,32 @@ def detected_boxes(boxes: DataFrame, region: DataFrame | None, min_score: float
     return L.suppress_rows(kept)
 
 
-def score_polygons(gt: DataFrame, pred: DataFrame, threshold: float = 0.75, digits: int = 4) -> DataFrame:
-    """Page scores of polygon lines (page_id, gt_idx / pred_idx, points), pixel-exact."""
-    gt_spans = R.fill_polygons(gt.select("page_id", "gt_idx", "points"))
-    pred_spans = R.fill_polygons(pred.select("page_id", "pred_idx", "points"))
+def score_polygons(gt: DataFrame, pred: DataFrame, threshold: float = 0.75, digits: int = 4, size: DataFrame | None = None) -> DataFrame:
+    """Page scores of polygon lines (page_id, gt_idx / pred_idx, points), pixel-exact.
+
+    With *size* (page_id, width, height) only pixels on the page count; lines outside
+    still count as lines.
+    """
+    def spans(lines: DataFrame, idx: str) -> DataFrame:
+        rows = lines.select("page_id", idx, "points")
+        if size is None:
+            return R.fill_polygons(rows)
+        placed = rows.join(size.select("page_id", "width", "height"), "page_id")
+        return R.fill_polygons(placed, bounds=("width", "height")).drop("width", "height")
+
+    gt_spans, pred_spans = spans(gt, "gt_idx"), spans(pred, "pred_idx")
     overlaps = M.span_overlap(gt_spans, pred_spans, min_iou=threshold)
-    matches = M.greedy_match(overlaps, threshold, lines=(gt, pred))
-    return M.page_scores(gt, pred, matches, digits)
+    counts = M.line_counts(gt, pred)
+    matches = M.greedy_match(overlaps, threshold, counts)
+    return M.page_scores(counts, matches, digits)
 
 
 def score_masks(gt_spans: DataFrame, pred_spans: DataFrame, threshold: float = 0.75, digits: int = 2) -> DataFrame:
     """Page scores of mask components (page_id, y, x0, x1)."""
-    gt = C.components(gt_spans).withColumnRenamed("comp", "gt_idx")
-    pred = C.components(pred_spans).withColumnRenamed("comp", "pred_idx")
+    # labelled spans are read for the overlap and for the counts: stored once
+    gt = checkpointed(C.components(gt_spans).withColumnRenamed("comp", "gt_idx"))
+    pred = checkpointed(C.components(pred_spans).withColumnRenamed("comp", "pred_idx"))
     overlaps = M.span_overlap(gt, pred, min_iou=threshold)
     n_gt, n_pred = (d.select("page_id", c).distinct() for d, c in ((gt, "gt_idx"), (pred, "pred_idx")))
     matches = M.unique_match(overlaps, threshold) if threshold > 0.5 else M.greedy_match(overlaps, threshold)
-    return M.page_scores(n_gt, n_pred, matches, digits)
+    return M.page_scores(M.line_counts(n_gt, n_pred), matches, digits)

@@ -110,10 +110,12 @@ def document_rows(image_rows: DataFrame, annotation_rows: DataFrame, groups: lis
 
 
 def write_documents(rows: DataFrame, path: str, groups: list[str], mode: str = "overwrite") -> None:
-    """Write document rows ordered over all files, partitioned by *groups*.
+    """Write the document of each group as one valid JSON file, in a folder by *groups*.
 
-    The part files of a folder in name order are the document, as a merge of the
-    folder gives it.  A group larger than a task is spread over several files.
+    A document is one file, so one task writes it: its rows are sorted (on disk where
+    needed) and streamed, never held.  Documents of different groups are written side by
+    side.
     """
-    ordered = rows.repartitionByRange(*groups, "part", "seq").sortWithinPartitions(*groups, "part", "seq")
-    ordered.select(*groups, "text").write.mode(mode).partitionBy(*groups).text(path)
+    ordered = rows.repartition(*groups).sortWithinPartitions(*groups, "part", "seq")
+    # a session may cut files by row number; a document must not be cut
+    ordered.select(*groups, "text").write.mode(mode).option("maxRecordsPerFile", 0).partitionBy(*groups).text(path)

@@ -151,16 +151,15 @@ def image_sizes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return read_images(spark, paths).select("path", "width", "height")
 
 
-def copy_new_images(spark: SparkSession, sources: DataFrame, target: str, existing: DataFrame | None = None) -> None:
+def copy_new_images(spark: SparkSession, sources: DataFrame, target: str, roots: str | list[str], existing: DataFrame | None = None) -> None:
     """Store image bytes by split, leaving out what *existing* (split, name) already holds.
 
-    *sources* has path and split.  Bytes go to parquet partitioned by split.
+    *sources* has path and split; *roots* are the folders that were listed.  Bytes go to
+    parquet partitioned by split.  Paths are joined to the files, so few paths reach the
+    files' tasks and no bytes are shuffled; beyond Spark's size threshold it sorts both.
     """
     wanted = sources.select("path", "split", S.basename(F.col("path")).alias("name"))
     if existing is not None:
         wanted = wanted.join(existing.select("split", "name"), ["split", "name"], "left_anti")
-    folders = [r["folder"] for r in wanted.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct().collect()]
-    if not folders:
-        return
-    content = spark.read.format("binaryFile").load(folders).select("path", "content")
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots).select("path", "content")
     wanted.join(content, "path").write.mode("append").partitionBy("split").parquet(target)

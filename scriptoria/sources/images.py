@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.operators.scan import spread
+from scriptoria.sources.files import with_on_missing
 
 
 def _channels(data: memoryview, height: int, width: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,14 +44,24 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return y, x0, x1 - 1
 
 
-def mask_spans(images: DataFrame, policy: str) -> DataFrame:
-    """Spans (path, kind, y, x0, x1) of the text and don't-care pixels of mask images."""
+def mask_spans(images: DataFrame, policy: str, on_missing: str = "skip") -> DataFrame:
+    """Spans (path, kind, y, x0, x1) of the text and don't-care pixels of mask images.
+
+    A mask that cannot be decoded has no spans (skip), ends the job (error), or gives one
+    row with nulls (keep).
+    """
     _text_and_dont_care(policy, *(np.zeros((1, 1), dtype=np.int32),) * 3)
+    readable = F.coalesce((F.col("height") > 0) & (F.length("data") > 0), F.lit(False))
+    told = with_on_missing(images.withColumn("data", F.when(readable, F.col("data"))), "data", on_missing, "mask")
 
     def decode(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in ("path", "height", "width", "n_channels", "data")}
+                if row["data"] is None:
+                    empty = [pa.array([row["path"]], pa.string()), pa.nulls(1, pa.string()), *[pa.nulls(1, pa.int32())] * 3]
+                    yield pa.RecordBatch.from_arrays(empty, names=["path", "kind", "y", "x0", "x1"])
+                    continue
                 planes = _channels(row["data"], row["height"], row["width"], row["n_channels"])
                 for kind, mask in zip(("text", "dont_care"), _text_and_dont_care(policy, *planes)):
                     y, x0, x1 = runs(mask)
@@ -58,7 +69,7 @@ def mask_spans(images: DataFrame, policy: str) -> DataFrame:
                     numbers = [pa.array(v.astype(np.int32)) for v in (y, x0, x1)]
                     yield pa.RecordBatch.from_arrays([*names, *numbers], names=["path", "kind", "y", "x0", "x1"])
 
-    return images.mapInArrow(decode, "path string, kind string, y int, x0 int, x1 int")
+    return told.mapInArrow(decode, "path string, kind string, y int, x0 int, x1 int")
 
 
 def gray_variance(images: DataFrame) -> DataFrame:

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+from xml.sax.saxutils import escape
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.functions import geometry as G
 from scriptoria.functions import scalars as S
 
+# Fixed values of the format.
 NAMESPACE = "http://schema.primaresearch.org/PAGE/gts/pagecontent/2013-07-15"
 
 # A fixed schema: inference would differ for a page without lines.
-LINE_FIELDS = (
-    "_id string,_custom string,Coords struct<_points:string>,"
-    "Baseline struct<_points:string>,TextEquiv struct<Unicode:string>"
-)
-SCHEMA = (
-    "Metadata struct<Creator:string,Created:string,LastChange:string>,"
-    "Page struct<_imageFilename:string,_imageWidth:int,_imageHeight:int,"
-    f"TextRegion:array<struct<_id:string,_custom:string,Coords:struct<_points:string>,TextLine:array<struct<{LINE_FIELDS}>>>>>"
-)
+LINE_FIELDS = "_id string,_custom string,Coords struct<_points:string>,Baseline struct<_points:string>"
+PAGE_FIELDS = "_imageFilename string,_imageWidth int,_imageHeight int"
+
+# Elements at any depth, with any namespace prefix.  Lines do not nest; a region's own
+# outline comes before its lines and inner regions.
+_OPEN, _CLOSE = r"<(?:[\w.-]+:)?", r"</(?:[\w.-]+:)?"
+LINE_PATTERN = rf"(?s){_OPEN}TextLine[\s>].*?{_CLOSE}TextLine\s*>"
+REGION_PATTERN = (rf"(?s){_OPEN}TextRegion(?:\s[^>]*)?>(?:(?:(?!{_OPEN}(?:TextLine|TextRegion|Coords)[\s>/])(?!{_CLOSE}TextRegion).)*"
+                  rf"{_OPEN}Coords\s[^>]*?points\s*=\s*[\"']([^\"']*)[\"'])?")
 
 # How readers differ: number type, fewest points of a line, point separator.
 READ_PROFILES = {
@@ -28,7 +31,7 @@ READ_PROFILES = {
     "decimal": ("double", 0, " "),
 }
 
-# How writers differ.
+# How writers differ; ids and attributes are fixed values of the formats.
 WRITE_PROFILES = {
     "crops": {"region": 'id="region_textline"', "dates": True, "line_id": "textline_%d", "line": ' custom="0"', "text": True},
     "components": {"region": 'id="r_text"', "dates": True, "line_id": "tl_%04d", "line": "", "text": False},
@@ -38,15 +41,18 @@ WRITE_PROFILES = {
 
 
 def read_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per document with its file path; namespaces and prefixes are ignored."""
-    reader = spark.read.format("xml").option("rowTag", "PcGts").option("ignoreNamespace", "true").schema(SCHEMA)
-    return reader.load(path).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("Page._imageFilename").alias("image"),
-        F.col("Page._imageWidth").alias("width"),
-        F.col("Page._imageHeight").alias("height"),
-        F.col("Page.TextRegion").alias("regions"),
-    ).withColumn("stem", S.stem(F.col("path")))
+    """One row per document: path, stem, image, width, height, document; prefixes are ignored.
+
+    Records end with the document's end tag, so documents may follow each other in a file.
+    """
+    records = spark.read.option("lineSep", "</PcGts>").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    found = records.filter(F.col("value").rlike(rf"{_OPEN}PcGts[\s>]"))
+    plain = F.regexp_replace("value", "(?s)<!--.*?-->", "")
+    head = F.concat(F.lit("<Page "), F.regexp_extract("document", rf"(?s){_OPEN}Page(\s[^>]*?)/?>", 1), F.lit("/>"))
+    return found.select("path", S.stem(F.col("path")).alias("stem"), plain.alias("document")).withColumn(
+        "_page", F.from_xml(head, PAGE_FIELDS)
+    ).select("path", "stem", F.col("_page._imageFilename").alias("image"), F.col("_page._imageWidth").alias("width"),
+             F.col("_page._imageHeight").alias("height"), "document")
 
 
 def line_points(points_text: Column, profile: str) -> Column:
@@ -57,10 +63,9 @@ def line_points(points_text: Column, profile: str) -> Column:
 
 
 def text_lines(pages: DataFrame, profile: str = "all_lines") -> DataFrame:
-    """Lines with coordinates in document order: stem, line_idx, line_id, points, baseline."""
-    lines = F.flatten(F.transform(F.coalesce("regions", F.array()), lambda r: F.coalesce(r["TextLine"], F.array())))
-    with_coords = F.filter(lines, lambda t: t["Coords"]["_points"].isNotNull())
-    parsed = F.transform(with_coords, lambda t: F.struct(
+    """Lines with coordinates in document order, at any depth of regions and tables: stem, line_idx, line_id, points, baseline."""
+    lines = F.regexp_extract_all("document", F.lit(LINE_PATTERN), F.lit(0))
+    parsed = F.transform(F.transform(lines, line_from_fragment), lambda t: F.struct(
         t["_id"].alias("line_id"), line_points(t["Coords"]["_points"], profile).alias("points"), t["Baseline"]["_points"].alias("baseline")
     ))
     # A document is one row, so its lines are filtered and numbered inside the row.
@@ -71,22 +76,22 @@ def text_lines(pages: DataFrame, profile: str = "all_lines") -> DataFrame:
 
 
 def line_from_fragment(fragment: Column) -> Column:
-    """One ``<TextLine>`` element as a struct."""
-    return F.from_xml(fragment, LINE_FIELDS, {"ignoreNamespace": "true"})
+    """One ``<TextLine>`` element as a struct; its transcription is passed over."""
+    plain = F.regexp_replace(fragment, rf"(?s){_OPEN}TextEquiv[\s>].*?{_CLOSE}TextEquiv\s*>", "")
+    return F.from_xml(plain, F.lit(LINE_FIELDS), {"ignoreNamespace": "true"})
 
 
 def page_size(fragment: Column) -> Column:
     """imageWidth and imageHeight of a ``<Page>`` element, without reading the image."""
-    page = F.from_xml(fragment, "_imageFilename string,_imageWidth int,_imageHeight int", {"ignoreNamespace": "true"})
+    page = F.from_xml(fragment, PAGE_FIELDS, {"ignoreNamespace": "true"})
     return F.struct(page["_imageWidth"].alias("width"), page["_imageHeight"].alias("height"))
 
 
 def regions(pages: DataFrame) -> DataFrame:
-    """Regions with coordinates: stem, region_idx, points."""
-    rows = pages.select("stem", F.posexplode("regions").alias("region_idx", "r"))
-    return rows.filter("r.Coords._points is not null").select(
-        "stem", "region_idx", G.parse_points(F.col("r.Coords._points")).alias("points")
-    )
+    """Regions with coordinates, at any depth: stem, region_idx, points."""
+    found = F.regexp_extract_all("document", F.lit(REGION_PATTERN), F.lit(1))
+    rows = pages.select("stem", F.posexplode(found).alias("region_idx", "outline"))
+    return rows.filter("outline <> ''").select("stem", "region_idx", G.parse_points(F.col("outline")).alias("points"))
 
 
 def main_region(region_rows: DataFrame, key: str = "stem", rule: str = "largest") -> DataFrame:
@@ -124,13 +129,13 @@ def line_element(index: Column, points: Column, baseline: Column, profile: str)
 def document_head(name: Column, width: Column, height: Column, profile: str, creator: str, timestamp: str) -> Column:
     style = WRITE_PROFILES[profile]
     w, h = width.cast("string"), height.cast("string")
-    dates = f"<Created>{timestamp}</Created><LastChange>{timestamp}</LastChange>" if style["dates"] else ""
+    dates = f"<Created>{escape(timestamp)}</Created><LastChange>{escape(timestamp)}</LastChange>" if style["dates"] else ""
     root = (
         f'<PcGts xmlns="{NAMESPACE}" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" '
         f'xsi:schemaLocation="{NAMESPACE} {NAMESPACE}/pagecontent.xsd">'
     )
     return F.concat(
-        F.lit(f"{root}<Metadata><Creator>{creator}</Creator>{dates}</Metadata><Page imageFilename=\""),
+        F.lit(f"{root}<Metadata><Creator>"), _text(F.lit(creator)), F.lit(f"</Creator>{dates}</Metadata><Page imageFilename=\""),
         _text(name), F.lit('" imageWidth="'), w, F.lit('" imageHeight="'), h,
         F.lit(f'"><TextRegion {style["region"]}><Coords points="0,0 '), w, F.lit(",0 "), w, F.lit(","), h, F.lit(" 0,"), h, F.lit('"/>'),
     )

@@ -13,15 +13,24 @@ from scriptoria.functions import scalars as S
 def read_metrics(spark: SparkSession, path: str | list[str], columns: Sequence[str]) -> DataFrame:
     """Numeric columns of CSV files with a header; what cannot be read becomes null.
 
-    Files may differ in their columns: each is matched by its own header.
+    Files may differ in their columns: each is matched by its own header.  Cells are split
+    by the CSV parser, so quoted cells may hold commas (not line ends).
     """
     rows = (
         spark.read.option("ignoreCorruptFiles", "true").text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n").alias("lines"))
     )
-    header = F.transform(F.split(F.col("lines")[0], ","), lambda t: F.trim(t))
-    body = rows.select("path", header.alias("header"), F.posexplode(F.slice("lines", 2, 1 << 30)).alias("row_no", "line"))
-    cells = body.filter(F.trim("line") != "").withColumn("cells", F.split("line", ","))
+    # as many cells as the widest header could have
+    width = rows.agg(F.max(F.size(F.split(F.col("lines")[0], ",")))).first()[0] or 1
+    fields = F.lit(", ".join(f"c{i} string" for i in range(width)))
+
+    def split(line: Column) -> Column:
+        parsed = F.from_csv(line, fields)
+        return F.array(*[parsed[f"c{i}"] for i in range(width)])
+
+    header = F.transform(split(F.col("lines")[0]), lambda t: F.trim(t))
+    body = rows.select("path", header.alias("header"), F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("row_no", "line"))
+    cells = body.filter(F.trim("line") != "").withColumn("cells", split(F.col("line")))
     def cell(c: str) -> Column:
         at = F.array_position(F.col("header"), c).cast("int")
         return F.when(at > 0, F.get(F.col("cells"), at - 1))

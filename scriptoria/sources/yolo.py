@@ -26,7 +26,7 @@ def label_kind(line: Column) -> Column:
 
 
 def numbers(line: Column) -> Column:
-    return F.transform(F.slice(tokens(line), 2, 1 << 20), lambda t: t.cast("double"))
+    return F.transform(F.slice(tokens(line), 2, F.greatest(F.size(tokens(line)) - 1, F.lit(0))), lambda t: t.cast("double"))
 
 
 def polygon_pixels(line: Column, width: Column, height: Column) -> Column:

@@ -53,7 +53,7 @@ def keep_last_per_class(vectors: DataFrame, n: int, folder: str, checkpoint: str
         fresh = last_per_class(batch.select("label", "arrival", "embedding"), n, "label", "arrival").drop("age")
         held = read_memory(spark, folder, before=number)
         merged = last_per_class(held.unionByName(fresh), n, "label", "arrival").drop("age")
-        merged.coalesce(1 if n <= 1000 else 8).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        merged.write.mode("overwrite").parquet(f"{folder}/batch={number}")
         for old in stored_batches(spark, folder)[:-keep_states]:
             target, fs = _path(spark, f"{folder}/batch={old}")
             fs.delete(target, True)

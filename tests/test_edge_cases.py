@@ -28,7 +28,7 @@ def boxes(spark, idx, rows):
 def score(spark, gt, pred, fold_limit=1000):
     g, p = boxes(spark, "gt_idx", gt), boxes(spark, "pred_idx", pred)
     m = M.greedy_match(M.box_overlap(M.candidate_pairs(g, p)), 0.75, fold_limit=fold_limit)
-    return {r.page_id: r for r in M.page_scores(g, p, m).collect()}, sorted((r.gt_idx, r.pred_idx) for r in m.collect())
+    return {r.page_id: r for r in M.page_scores(M.line_counts(g, p), m).collect()}, sorted((r.gt_idx, r.pred_idx) for r in m.collect())
 
 
 def test_two_lines_want_one_prediction(spark):

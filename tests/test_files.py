@@ -121,16 +121,18 @@ def test_conversion_to_coco_and_yolo(spark, corpus, tmp_path):
     image_rows, annotation_rows = pages_to_coco(pages, docs)
     coco.write_documents(coco.document_rows(image_rows, annotation_rows, ["manuscript", "split"]), str(tmp_path / "coco"), ["manuscript", "split"])
     folder = tmp_path / "coco/manuscript=M1/split=training"
-    text = "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+    [only] = folder.glob("part-*")
+    text = only.read_text()
     doc = json.loads(text)
     assert [i["id"] for i in doc["images"]] == [1, 2, 3, 4]
     assert [a["image_id"] for a in doc["annotations"]] == [1, 2, 3, 4]
     assert doc["annotations"][0]["bbox"] == [5, 3, 9, 4] and doc["annotations"][0]["area"] == 36
 
-    (tmp_path / "one").mkdir()
-    (tmp_path / "one/train.json").write_text(text)
-    back = coco.read_documents(spark, str(tmp_path / "one"))
+    back = coco.read_documents(spark, str(folder))
     assert coco.images(back).count() == 4
+    whole = coco.read_documents(spark, str(tmp_path / "coco/*/*"))
+    assert whole.count() == image_rows.select("manuscript", "split").distinct().count()
+    assert coco.annotations(whole).count() == annotation_rows.count()
     labels = yolo.labels_from_coco(coco.images(back), coco.annotations(back)).collect()
     assert labels[0].line.startswith("0 0.125000 0.100000 ")
 
@@ -188,10 +190,11 @@ def test_rebuild_policies(spark, tmp_path):
 def test_copy_only_new_images(spark, corpus, tmp_path):
     listing = files.list_files(spark, str(corpus / "M1/img-M1/img/training")).withColumn("split", F.lit("train"))
     out = str(tmp_path / "images")
-    files.copy_new_images(spark, listing, out)
+    root = str(corpus / "M1/img-M1/img/training")
+    files.copy_new_images(spark, listing, out, root)
     held = spark.read.parquet(out)
     assert held.count() == 4
-    files.copy_new_images(spark, listing, out, held.select("split", "name"))
+    files.copy_new_images(spark, listing, out, root, held.select("split", "name"))
     assert spark.read.parquet(out).count() == 4
 
 
