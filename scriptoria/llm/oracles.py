@@ -40,3 +40,29 @@ g as (
   from k window w as (partition by text_sha256 order by size desc, doc_id nulls first, n))
 select doc_id, keep_id, group_size::bigint as group_size, n = keep_n as kept, text_sha256 from g
 """
+
+
+def secret_scan(patterns: dict[str, str], base: tuple[str, ...], least_assigned: int) -> str:
+    """What ``secrets`` finds, from the same patterns; matches are placed by what lies between them."""
+    def of_kind(no: int, kind: str, pattern: str) -> str:
+        p = "'" + pattern.replace("'", "''") + "'"
+        group = 2 if kind == "assign" else 0
+        return (f"select n, {no} as kind_no, '{kind}' as kind, regexp_extract_all(t, {p}) as f, regexp_extract_all(t, {p}, {group}) as v,"
+                f" string_split_regex(t, {p}) as g from d where regexp_matches(t, {p})")
+
+    kinds = " union all ".join(of_kind(i, k, p) for i, (k, p) in enumerate(patterns.items()))
+    quoted = ", ".join(f"'{k}'" for k in base)
+    counts = ", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in base)
+    joined = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, kind_no) {0}, '')"
+    return f"""
+with d as (select doc_id, source, coalesce(text, '') as t, row_number() over () as n from documents),
+found as ({kinds}),
+one as (select n, kind_no, kind, unnest(f) as f, unnest(v) as v, unnest(g[1:len(f)]) as g, generate_subscripts(f, 1) as i from found),
+placed as (select *, sum(length(g) + length(f)) over (partition by n, kind_no order by i) as stop from one),
+span as (select n, kind_no, kind, v, (stop - length(f))::bigint as start, stop::bigint as stop from placed where kind <> 'assign' or length(v) >= {least_assigned}),
+owned as (select v, count(distinct n) as repositories, count(distinct coalesce('=' || source, '')) as owners from span join d using (n) group by v),
+told as (select span.*, owners < 2 and repositories < 4 as live from span join owned using (v)),
+summed as (select n, {counts}, sha256({joined.format(f"filter (where kind in ({quoted}))")}) as base_sha256, {joined.format("")} as spans,
+  count(*) filter (where live) as n_live from told group by n)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in base)}, coalesce(base_sha256, sha256('')) as base_sha256, coalesce(spans, '') as spans,
+  coalesce(n_live, 0) as n_live from d left join summed using (n)"""

@@ -37,7 +37,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-@query("op3_secret_scan")
+@query("op3_secret_scan", oracles.secret_scan(secrets.PATTERNS, secrets.BASE_KINDS, secrets.LEAST_ASSIGNED))
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, folder, "documents"))
     return found.select(
