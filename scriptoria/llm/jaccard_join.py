@@ -3,12 +3,15 @@
 Documents with equal shingle sets are one node.  To meet a similarity of t, two sets of size
 n and m share at least t / (1 + t) * (n + m) shingles, their sizes differ by at most the
 factor t, and in any common order of shingles they share one of the first
-n - ceil(t * n) + 1.  The order used here puts shingles that many documents have last, by a
-count sketch of fixed size (``SKETCH`` counters, summed over all documents), so that
-passages many documents share do not bring unrelated ones together.
-
-1. Nodes that share a shingle of these prefixes are joined to the least node that has it;
-   the connected parts of that graph hold every similar pair.
+n - ceil(t * n) + 1.  The order used here begins with shingles of rare words, which others
+have only if they copied them, and ends with shingles that stand out as common, by counts of
+words and shingles in sketches of fixed size over all documents.  So neither frequent words
+nor passages that many documents share bring unrelated ones together.
+
+1. Nodes most of whose prefix no other node has are alone: a similar set would share more of
+   it.  That leaves out documents which only share passages.  The others, while they share a
+   shingle, are joined to the least node that has it; the connected parts of that graph hold
+   every similar pair.
 2. A part becomes one tile, or, if it is large, tiles of two blocks each: nodes are dealt to
    bands of similar size and blocks of bounded size, and only blocks of the same or the next
    band meet, as others cannot be similar.
@@ -32,14 +35,18 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptoria.llm import words
-from scriptoria.llm.common import keep_marked, whole_text
+from scriptoria.llm.common import keep_marked, stored, whole_text
 from scriptoria.llm.components import connected
-from scriptoria.session import checkpointed
 
-#: Counters of the sketch (4 MB in all) and the pieces they are summed in.
+#: Counters of a sketch, of which there are two (16 MB in all), and the pieces they are summed in.
 SKETCH_BITS, PIECES = 20, 64
+#: How many times longer a prefix is than needed to share one shingle.
+EXTENDED = 1.6
+#: Standard deviations by which a counter of a common shingle exceeds the mean.
+STANDS_OUT = 8.0
 #: Most nodes and shingles of a block on average: bounds of a task's memory only.
 BLOCK_NODES, BLOCK_SHINGLES = 1000, 500_000
 #: Shingles that more nodes of a tile have are multiplied densely, others pair by pair.
@@ -48,15 +55,40 @@ DENSE = 24
 BAND_MARGIN = 1.001
 
 
+class Rarity:
+    """Counts of words and of shingles, and the order of shingles that follows from them."""
+
+    def __init__(self, counters: np.ndarray):
+        word, shingle = np.split(counters, 2)
+        mean = shingle.mean()
+        self.word = np.log2(word + 1.0).astype(np.float32)
+        common = shingle > mean + STANDS_OUT * np.sqrt(mean) + STANDS_OUT
+        self.common = np.where(common, 1e6 + shingle, 0.0).astype(np.float32)
+
+    def __call__(self, hashes: np.ndarray, rolled: np.ndarray, k: int) -> np.ndarray:
+        """The place of every shingle in the order: the sum of its words' logarithms, or far behind."""
+        logs = self.word[cell(hashes)]
+        place = self.common[cell(rolled)]
+        for i in range(k):
+            place = place + logs[i: i + len(rolled)]
+        return place
+
+
+def cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def sketch(docs: DataFrame, text: str, k: int) -> np.ndarray:
-    """How many documents have a shingle of each counter (an upper bound for one shingle)."""
+    """How often the words, then the shingles of each counter stand in the documents."""
     size = 1 << SKETCH_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(2 * size, np.int64)
         for batch in batches:
-            for hashes, counts in words.hashed(batch.column(0)):
-                total += np.bincount(np.concatenate([np.zeros(0, np.uint64), *words.shingles(hashes, counts, k)]) >> np.uint64(64 - SKETCH_BITS), minlength=size)
+            for hashes, _ in words.hashed(batch.column(0)):
+                # shingles over the ends of texts are counted too: noise of a counter's size
+                total[:size] += np.bincount(cell(hashes), minlength=size)
+                total[size:] += np.bincount(cell(words.rolled(hashes, k)), minlength=size)
         if total.any():
             pack = zstandard.ZstdCompressor(level=1)
             yield pa.RecordBatch.from_arrays(
@@ -74,12 +106,12 @@ def sketch(docs: DataFrame, text: str, k: int) -> np.ndarray:
 
     schema = "piece int, counts binary"
     parts = docs.select(whole_text(text).alias("text")).mapInArrow(count, schema)
-    # the sketch has a fixed size, whatever the documents' number
+    # the sketches have a fixed size, whatever the documents' number
     rows = parts.repartition(PIECES, "piece").mapInArrow(add, schema).collect()
-    total = np.zeros((PIECES, size // PIECES), np.int64)
+    total = np.zeros((PIECES, 2 * size // PIECES), np.int64)
     for r in rows:
         total[r["piece"]] += np.frombuffer(zstandard.decompress(bytes(r["counts"])), np.int64)
-    return np.minimum(total.ravel(), np.iinfo(np.int32).max).astype(np.int32)
+    return total.ravel()
 
 
 def set_key(found: np.ndarray) -> bytes:
@@ -88,12 +120,16 @@ def set_key(found: np.ndarray) -> bytes:
     return np.array([spread.sum(dtype=np.uint64), np.bitwise_xor.reduce(found) ^ np.uint64(len(found))], ">u8").tobytes()
 
 
-def prefix(found: np.ndarray, rare: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles by the number of documents, then hash, of which similar sets share one."""
+def prefix(found: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles in the order (hash decides ties).
+
+    A set lacks at most n - ceil(t * n) of its n shingles in a similar set.  One more makes
+    the prefix of which one is shared; it is taken EXTENDED times as long, so that more of
+    it must be shared.
+    """
     n = len(found)
     keep = n - -(-percent * n // 100) + 1
-    order = np.lexsort((found, rare[found >> np.uint64(64 - SKETCH_BITS)]))[:keep]
-    return found[order]
+    return found[np.lexsort((found, place))[: int(EXTENDED * keep)]]
 
 
 def signature(text: Column, rare, k: int, percent: int) -> Column:
@@ -102,14 +138,14 @@ def signature(text: Column, rare, k: int, percent: int) -> Column:
 
     @F.arrow_udf("struct<n:int,node:binary,tokens:array<bigint>>")
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counters = rare.value
+        order = Rarity(rare.value)
         for texts in batches:
             n, nodes, tokens = [], [], []
             for hashes, counts in words.hashed(texts):
-                for found in words.shingles(hashes, counts, k):
+                for found, place in words.shingles(hashes, counts, k, order):
                     n.append(len(found))
                     nodes.append(set_key(found) if len(found) else b"")
-                    tokens.append(prefix(found, counters, percent).view(np.int64) if len(found) else np.zeros(0, np.int64))
+                    tokens.append(prefix(found, place, percent).view(np.int64) if len(found) else np.zeros(0, np.int64))
             ends = np.cumsum([0] + [len(t) for t in tokens]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate([*tokens, np.zeros(0, np.int64)]))
             yield pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(nodes, pa.binary()), lists], fields=list(kind))
@@ -121,7 +157,7 @@ def shingle_sets(text: Column, k: int) -> Column:
     @F.arrow_udf("struct<node:binary,shingles:binary>")
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = [f for hashes, counts in words.hashed(texts) for f in words.shingles(hashes, counts, k)]
+            found = [f for hashes, counts in words.hashed(texts) for f, _ in words.shingles(hashes, counts, k)]
             yield pa.StructArray.from_arrays([pa.array([set_key(f) for f in found], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], ["node", "shingles"])
 
     return sets(text)
@@ -189,7 +225,7 @@ LINKS = "node binary, root binary, links bigint"
 
 
 def product(percent: int):
-    """Links of one tile: of all pairs in a whole tile, of pairs of its two sides otherwise."""
+    """Links of one tile: pairs of its two sides, and those within side 0 unless its name begins with x."""
     def run(table: pa.Table) -> pa.Table:
         seen: dict[bytes, tuple] = {}
         for node, side, copies, found in zip(*(table[c].to_pylist() for c in ("node", "side", "copies", "shingles")), strict=True):
@@ -200,8 +236,8 @@ def product(percent: int):
         sizes = np.array([len(s) for s in sets], np.int64)
         common = overlaps(sets).astype(np.int64)
         link = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-        if side.any():
-            link &= side[:, None] != side[None, :]
+        apart = side[:, None] != side[None, :]
+        link &= apart if table["tile"][0].as_py().startswith("x") else apart | (side == 0)[:, None] & (side == 0)[None, :]
         np.fill_diagonal(link, False)
         root, links = spanning(link), link @ copies
         some = np.flatnonzero(links)
@@ -215,7 +251,8 @@ def product(percent: int):
 def tiles(members: DataFrame, percent: int, block_nodes: int, block_shingles: int) -> DataFrame:
     """*members* (node, component, n, ...) with their tiles: array of (tile, side).
 
-    In a tile of one block side is 0; in a tile of two blocks it is 0 or 1.
+    A tile holds one block, a block and another one whose pairs alone count, or all of a
+    small band with all of the next.
     """
     wide = F.lit(float(np.log(100 / percent) * BAND_MARGIN))
     members = members.withColumn("band", F.floor(F.ln(F.col("n").cast("double")) / wide).cast("int"))
@@ -227,19 +264,49 @@ def tiles(members: DataFrame, percent: int, block_nodes: int, block_shingles: in
     plan = plan.select("component", "blocks", ((F.col("all_n") <= block_shingles) & (F.col("all_nodes") <= block_nodes)).alias("single"))
     dealt = members.join(plan, "component")
     blocks_of = lambda band: F.coalesce(F.try_element_at("blocks", band), F.lit(0))
-    own = F.pmod(F.xxhash64("node"), blocks_of(F.col("band")))
-    dealt = dealt.withColumn("own", own.cast("int"))
-    upto = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: i < n)
+    named = tile_names("single", "band", F.pmod(F.xxhash64("node"), blocks_of(F.col("band"))).cast("int"), *(blocks_of(F.col("band") + i) for i in (-1, 0, 1)))
+    return dealt.withColumn("tiles", named).drop("blocks", "single", "band")
 
-    def tile(low_band: Column, low: Column, high_band: Column, high: Column, side: Column) -> Column:
-        return F.struct(F.concat_ws(":", low_band, low, high_band, high).alias("tile"), side.cast("int").alias("side"))
 
-    band, up, down = F.col("band"), F.col("band") + 1, F.col("band") - 1
-    inside = F.transform(upto(blocks_of(band)), lambda i: tile(band, F.least("own", i), band, F.greatest("own", i), (F.col("own") > i)))
-    above = F.transform(upto(blocks_of(up)), lambda i: tile(band, F.col("own"), up, i, F.lit(0)))
-    below = F.transform(upto(blocks_of(down)), lambda i: tile(down, i, band, F.col("own"), F.lit(1)))
-    alone = F.array(F.struct(F.lit("").alias("tile"), F.lit(0).alias("side")))
-    return dealt.withColumn("tiles", F.when(F.col("single"), alone).otherwise(F.concat(inside, above, below))).drop("blocks", "single", "own", "band")
+@F.arrow_udf(T.ArrayType(T.StructType().add("tile", T.StringType()).add("side", T.IntegerType())))
+def tile_names(single: pa.Array, band: pa.Array, own: pa.Array, below: pa.Array, here: pa.Array, above: pa.Array) -> pa.Array:
+    """The tiles of each node: x marks two blocks that are only compared with each other."""
+    out = []
+    for alone, b, i, down, n, up in zip(*(a.to_pylist() for a in (single, band, own, below, here, above)), strict=True):
+        if alone:
+            out.append([("", 0)])
+            continue
+        # a small band and the next share one tile; otherwise blocks meet one by one
+        names = [(f"m:{b}", 0)] if n == 1 and up <= 1 else [
+            *((f"m:{b}:{j}" if i == j else f"x:{b}:{min(i, j)}:{b}:{max(i, j)}", int(i > j)) for j in range(n)),
+            *((f"x:{b}:{i}:{b + 1}:{j}", 0) for j in range(up))]
+        names += [(f"m:{b - 1}", 1)] if down == 1 and n == 1 else [(f"x:{b - 1}:{j}:{b}:{i}", 1) for j in range(down)]
+        out.append(names)
+    return pa.array([[{"tile": t, "side": side} for t, side in names] for names in out], pa.list_(pa.struct([("tile", pa.string()), ("side", pa.int32())])))
+
+
+def candidates(rows: DataFrame, nodes: DataFrame, percent: int, peelings: int = 3) -> DataFrame:
+    """node, component of the nodes (node, n) that may be similar to another one; *rows* have node and tokens.
+
+    Here nodes have 64-bit numbers; two nodes of one number would only be compared in vain.
+    """
+    # Of two similar sets, take the one whose prefix ends first in the order: what it shares with
+    # the other within its prefix lies in both prefixes.  Its size is at least percent of this one's.
+    least = F.ceil(F.col("n") * percent / 100)
+    missing = least - F.ceil(least * percent / 100)
+    needs = stored(nodes.select(F.xxhash64("node").alias("id"), (F.floor(EXTENDED * (missing + 1)) - missing).alias("need")))
+    left = rows.select(F.xxhash64("node").alias("id"), "tokens")
+    for _ in range(peelings):
+        # dealt by shingle once, for the counts and for the join with them; rows of one node count once
+        postings = left.select("id", F.explode("tokens").alias("token")).repartition("token").dropDuplicates(["token", "id"])
+        shared = postings.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1").select("token")
+        held = postings.join(shared.hint("merge"), "token").groupBy("id").agg(F.collect_list("token").alias("tokens"))
+        left = stored(held.join(needs, "id").where(F.size("tokens") >= F.col("need")).select("id", "tokens"))
+    postings = left.select("id", F.explode("tokens").alias("token"))
+    leaders = postings.groupBy("token").agg(F.min("id").alias("leader"), F.count("*").alias("holders")).where("holders > 1")
+    near = postings.join(leaders.select("token", "leader"), "token").where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
+    parts = connected(near).select(F.col("node").alias("id"), "component")
+    return nodes.select("node", F.xxhash64("node").alias("id")).join(parts, "id").select("node", "component")
 
 
 def similar(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id",
@@ -248,16 +315,12 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text",
     spark = docs.sparkSession
     rare = spark.sparkContext.broadcast(sketch(docs, text, k))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole_text(text)).alias("text_hash"), signature(whole_text(text), rare, k, percent).alias("s"))
-    rows = checkpointed(rows.select("doc_id", "text_hash", "s.n", "s.node", "s.tokens"))
+    rows = stored(rows.select("doc_id", "text_hash", "s.n", "s.node", "s.tokens"))
     some = rows.where("n > 0")
-    nodes = checkpointed(some.groupBy("node").agg(
-        F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    nodes = stored(some.groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
 
-    postings = nodes.select("node", F.explode("tokens").alias("token"))
-    shared = postings.groupBy("token").agg(F.min("node").alias("leader"), F.count("*").alias("holders")).where("holders > 1")
-    near = postings.join(shared.select("token", "leader"), "token").where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    members = connected(near).join(nodes.drop("tokens"), "node")
-    dealt = checkpointed(tiles(members, percent, block_nodes, block_shingles))
+    members = candidates(some.select("node", "tokens"), nodes, percent).join(nodes, "node")
+    dealt = stored(tiles(members, percent, block_nodes, block_shingles))
 
     # texts of members only; a row whose set is another than the member's has its id by chance
     wanted = dealt.select("node", "component", "tiles", "copies", F.col("doc_id").alias("member_id"))
@@ -265,7 +328,7 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text",
     sets = texts.join(wanted, F.col("id").eqNullSafe(F.col("member_id"))).select("node", "component", "tiles", "copies", shingle_sets(F.col("text"), k).alias("s"))
     sets = sets.where(F.col("s.node") == F.col("node")).select("node", "component", "copies", "s.shingles", F.explode("tiles").alias("t"))
     links = sets.select("node", "component", "copies", "shingles", "t.tile", "t.side").groupBy("component", "tile").applyInArrow(product(percent), LINKS)
-    links = checkpointed(links)
+    links = stored(links)
 
     classes = connected(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))

@@ -8,12 +8,13 @@ modulo 2**64, and a final mix: words of one text and of others get the same hash
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once: a bound of memory only.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -29,12 +30,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
+@lru_cache(maxsize=4)
+def _table_of_powers(base: int, bits: int) -> np.ndarray:
+    out = np.full(1 << bits, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first *n* powers; tables are kept, so that groups of one size share them."""
+    return _table_of_powers(int(base), max(CHUNK.bit_length(), int(n).bit_length()))[:n]
+
+
 def hash_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the slices of *data*."""
     sums = np.zeros(len(data) + 1, np.uint64)
@@ -66,23 +73,35 @@ def hashed(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield word_hashes(group)
 
 
-def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> Iterator[np.ndarray]:
-    """Distinct hashes of k words in a row of every text, ascending; a shorter text is one shingle."""
+def rolled(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k words in a row, also over the ends of texts."""
     n = max(0, len(words) - k + 1)
-    rolled = np.zeros(n, np.uint64)
+    out = np.zeros(n, np.uint64)
     for i in range(k):
-        rolled = rolled * _BASE + words[i: i + n]
-    rolled = mix(rolled + np.uint64(k))
+        out = out * _BASE + words[i: i + n]
+    return mix(out + np.uint64(k))
+
+
+def shingles(words: np.ndarray, counts: np.ndarray, k: int, order=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct hashes of k words in a row of every text, ascending, and their places in an order.
+
+    A text of fewer words is one shingle.  *order* gives places for (words, shingles, k).
+    """
+    runs = rolled(words, k)
+    places = order(words, runs, k) if order else np.zeros(len(runs), np.float32)
     at = 0
     for count in counts.tolist():
         if count >= k:
-            found = np.sort(rolled[at: at + count - k + 1])
-            yield found[np.append(True, found[1:] != found[:-1])]
+            part = slice(at, at + count - k + 1)
+            by_hash = np.argsort(runs[part], kind="stable")
+            found, place = runs[part][by_hash], places[part][by_hash]
+            first = np.append(True, found[1:] != found[:-1])
+            yield found[first], place[first]
         elif count:
             whole = np.zeros(1, np.uint64)
             for w in words[at: at + count]:
                 whole = whole * _BASE + w
-            yield mix(whole + np.uint64(count))
+            yield mix(whole + np.uint64(count)), np.zeros(1, np.float32)
         else:
-            yield np.zeros(0, np.uint64)
+            yield np.zeros(0, np.uint64), np.zeros(0, np.float32)
         at += count

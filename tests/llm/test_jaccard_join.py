@@ -127,3 +127,22 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({got[i] for i in range(41)}) == 1 and len({got[i] for i in range(100, 160)}) == 1
     assert got[200] == got[201] and len({got[0], got[100], got[200]}) == 3
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_similar_sets_share_what_the_peeling_asks_for(percent):
+    rnd = random.Random(percent)
+    close = 0
+    for _ in range(4000):
+        n = rnd.randint(1, 60)
+        a = set(rnd.sample(range(1000), n))
+        b = set(rnd.sample(sorted(a), max(1, n - rnd.randint(0, n // 8 + 1)))) | set(rnd.sample(range(1000), rnd.randint(0, n // 8 + 1)))
+        if 100 * len(a & b) < percent * len(a | b):
+            continue
+        close += 1
+        heads = [set(jaccard_join.prefix(np.array(sorted(s), np.uint64), np.arange(len(s), dtype=np.float32), percent).tolist()) for s in (a, b)]
+        for s in (a, b):
+            least = -(-len(s) * percent // 100)
+            missing = least - -(-least * percent // 100)
+            assert len(heads[0] & heads[1]) >= int(jaccard_join.EXTENDED * (missing + 1)) - missing
+    assert close > 500
