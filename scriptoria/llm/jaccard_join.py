@@ -311,48 +311,51 @@ def candidates(rows: DataFrame, nodes: DataFrame, percent: int, peelings: int =
 
 def similar(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id",
             block_nodes: int = BLOCK_NODES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, links: one row per document."""
+    """doc_id, text_hash, n_shingles, component_id, links, first: one row per document.
+
+    *first* marks the class's least row by id (null ids last) and text, and rows equal to it.
+    Classes are told apart by their nodes: ids may be null or stand for several texts.
+    """
     spark = docs.sparkSession
     rare = spark.sparkContext.broadcast(sketch(docs, text, k))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole_text(text)).alias("text_hash"), signature(whole_text(text), rare, k, percent).alias("s"))
     rows = stored(rows.select("doc_id", "text_hash", "s.n", "s.node", "s.tokens"))
     some = rows.where("n > 0")
-    nodes = stored(some.groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    by_id = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    nodes = stored(some.groupBy("node").agg(F.first("n").alias("n"), F.min(by_id).alias("least"), F.count("*").alias("copies")))
 
     members = candidates(some.select("node", "tokens"), nodes, percent).join(nodes, "node")
     dealt = stored(tiles(members, percent, block_nodes, block_shingles))
 
-    # texts of members only; a row whose set is another than the member's has its id by chance
-    wanted = dealt.select("node", "component", "tiles", "copies", F.col("doc_id").alias("member_id"))
-    texts = docs.select(F.col(doc_id).alias("id"), whole_text(text).alias("text"))
-    sets = texts.join(wanted, F.col("id").eqNullSafe(F.col("member_id"))).select("node", "component", "tiles", "copies", shingle_sets(F.col("text"), k).alias("s"))
+    # texts of members only, by id and text: many rows may have one id or none
+    wanted = dealt.select("node", "component", "tiles", "copies", F.col("least.doc_id").alias("member_id"), F.col("least.text_hash").alias("member_hash"))
+    texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(whole_text(text)).alias("hash"), whole_text(text).alias("text"))
+    same = F.col("id").eqNullSafe(F.col("member_id")) & (F.col("hash") == F.col("member_hash"))
+    sets = texts.join(wanted, same).select("node", "component", "tiles", "copies", shingle_sets(F.col("text"), k).alias("s"))
     sets = sets.where(F.col("s.node") == F.col("node")).select("node", "component", "copies", "s.shingles", F.explode("tiles").alias("t"))
     links = sets.select("node", "component", "copies", "shingles", "t.tile", "t.side").groupBy("component", "tile").applyInArrow(product(percent), LINKS)
     links = stored(links)
 
     classes = connected(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
-    named = nodes.select("node", "doc_id", "copies").join(classes, "node", "left").join(counted, "node", "left")
+    named = nodes.select("node", "least", "copies").join(classes, "node", "left").join(counted, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    classed = some.join(named, "node").select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "component_id", "links")
-    lone = rows.where("n = 0").select("doc_id", "text_hash", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("links"))
+    least = named.groupBy("component").agg(F.min("least").alias("least"))
+    named = named.drop("least").join(least, "component").select("node", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    classed = some.join(named, "node").select(
+        "doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), "links", first.alias("first"))
+    lone = rows.where("n = 0").select(
+        "doc_id", "text_hash", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("links"), F.lit(True).alias("first"))
     return classed.unionByName(lone)
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row of each class of similar documents (the least id), with its columns; of equal rows one.
+    """One row of each class of similar documents (the least id, then text), with its columns; of equal rows one.
 
     Documents without words are no one's copy and stay.
     """
-    found = similar(docs, k, percent, text, doc_id)
-    first = (F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))
-    # rows of one id and class, but other texts, are ranked by the text
-    rank = found.where(first & (F.col("n_shingles") > 0)).groupBy("component_id").agg(F.min(F.struct("text_hash")).alias("least"))
-    told = found.join(rank.withColumnRenamed("component_id", "c"), F.col("component_id").eqNullSafe(F.col("c")), "left")
-    kept = (F.col("n_shingles") == 0) | first & (F.col("text_hash") == F.col("least.text_hash"))
-    told = told.select(F.col("doc_id").alias("k0"), F.col("text_hash").alias("k1"), kept.alias("kept"), "n_shingles")
+    told = similar(docs, k, percent, text, doc_id).select(F.col("doc_id").alias("k0"), F.col("text_hash").alias("k1"), F.col("first").alias("kept"), "n_shingles")
     # of several equal rows only one is kept
     told = told.groupBy("k0", "k1").agg(F.count("*").alias("n"), F.max("kept").alias("kept"), F.max("n_shingles").alias("s"))
     told = told.select("k0", "k1", F.explode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.col("kept") & ((i == 1) | (F.col("s") == 0)))).alias("kept"))

@@ -103,6 +103,37 @@ def test_one_of_each_class_stays(spark):
     assert kept == sorted((c if d or c is None else c for c, d in classes), key=str)
 
 
+def test_classes_of_null_and_repeated_ids_stay_apart(spark):
+    """One row of each class stays, whatever ids its rows have in common with other classes."""
+    text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c", 41)), (None, ""), (None, None)]
+    # 1 is in two classes, and the least id of both; so is 5 of two texts of one class and another one
+    rows += [(1, text("d")), (2, text("d", 41)), (1, text("e")), (3, text("e", 41)), (5, text("f")), (5, text("f", 41)), (5, text("g")), (5, text("g"))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_one(df).collect()]
+    assert all(row in rows for row in kept)
+    named = sorted(((t or "")[:1], d) for d, t in kept if t)
+    assert named == [("a", None), ("b", None), ("c", None), ("d", 1), ("e", 1), ("f", 5), ("g", 5)]
+    assert len(kept) == len(named) + 2
+
+
+def test_texts_meet_members_by_id_and_text(spark, monkeypatch):
+    """Of many rows with one id each text is read once for its own node, not for every node of that id."""
+    text = lambda i, n: " ".join(f"{i}x{j}" for j in range(n))
+    rows = [(None, text(i, n)) for i in range(20) for n in (40, 41)]
+    read, sets = spark.sparkContext.accumulator(0), jaccard_join.shingle_sets
+
+    def counted(column, k):
+        one = jaccard_join.F.udf(lambda t: read.add(1) or t)
+        return sets(one(column), k)
+
+    monkeypatch.setattr(jaccard_join, "shingle_sets", counted)
+    found = jaccard_join.similar(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [r["links"] for r in found] == [1] * 40 and sum(r["first"] for r in found) == 20
+    # Spark may compute the column once more for the condition on it
+    assert 40 <= read.value <= 80
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=1, max_size=40))
 def test_overlap_counts(sets):
