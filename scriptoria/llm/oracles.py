@@ -66,3 +66,38 @@ summed as (select n, {counts}, sha256({joined.format(f"filter (where kind in ({q
   count(*) filter (where live) as n_live from told group by n)
 select doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in base)}, coalesce(base_sha256, sha256('')) as base_sha256, coalesce(spans, '') as spans,
   coalesce(n_live, 0) as n_live from d left join summed using (n)"""
+
+
+FILTER_AUDIT = r"""
+with d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (
+  select *, [x for x in string_split_regex(t, '[\x20\x09-\x0D]+') if x <> ''] as words, min(doc_id) over (partition by t) < doc_id as copy from d),
+r as (
+  select doc_id, part,
+    (len(words) < 200)::int + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::int
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+    + 16 * coalesce(copy, false)::int as mask from w),
+l as (
+  select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels where doc_id is not null group by doc_id),
+m as (
+  select part, mask, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic
+  from r left join l using (doc_id) group by part, mask),
+x as (
+  select chr(65 + i::int) as f, (1 << i)::int as bit from range(5) s(i)),
+o as (
+  select a.f || b.f || c.f || e.f || g.f as filter_order, [a.bit, b.bit, c.bit, e.bit, g.bit] as bits
+  from x a join x b on a.f <> b.f join x c on c.f not in (a.f, b.f) join x e on e.f not in (a.f, b.f, c.f) join x g on g.f not in (a.f, b.f, c.f, e.f)),
+s as (
+  select filter_order, k::int as step, bits[k] as bit, list_sum(bits[1:k]) - bits[k] as before from o, range(1, 6) t(k)),
+c as (
+  select part, filter_order, step, bit,
+    coalesce(sum(n) filter (where mask & (bit + before)::int = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter (where mask & bit <> 0 and mask & before::int = 0), 0)::bigint as removed,
+    coalesce(sum(n) filter (where mask & bit <> 0 and mask & before::int <> 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (where mask = bit), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (where mask & bit <> 0 and mask & before::int = 0), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (where mask & bit <> 0 and mask & before::int = 0), 0)::bigint as toxic_lost
+  from m, s group by part, filter_order, step, bit)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley from c
+"""

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm import exact_dedup, html_template, jaccard_join, lm_scoring, mixing, oracles, pii, quality, secrets, sentencepiece_bpe, vector_graph
-from scriptoria.llm.common import fold, of_kinds, span_list, table
+from scriptoria.llm import exact_dedup, filter_audit, html_template, jaccard_join, lm_scoring, mixing, oracles, pii, quality, secrets, sentencepiece_bpe, vector_graph
+from scriptoria.llm.common import fold, of_kinds, span_list, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,12 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     scored = lm_scoring.score_texts(table(spark, folder, "documents"), fold("doc_id", 7) != 2)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_filter_audit", oracles.FILTER_AUDIT)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    filters = filter_audit.text_filters(whole_text())
+    flags = labels.select("doc_id", (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    steps = filter_audit.audit(filter_audit.masks(docs, filters, "E", flags), [*filters, "E"])
+    return steps.select("*", F.col("lost")[0].alias("good_lost"), F.col("lost")[1].alias("toxic_lost")).drop("lost")
