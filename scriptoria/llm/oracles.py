@@ -101,3 +101,39 @@ c as (
   from m, s group by part, filter_order, step, bit)
 select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley from c
 """
+
+SOURCE_DIVERGENCE = r"""
+with d as (
+  select coalesce(text, '') as t, coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as n from documents),
+g as (
+  select distinct lang, source from d),
+x as (
+  select n, lang, source, translate(unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from d),
+kept as (
+  select lang, term, count(*) as total from x group by lang, term having count(distinct n) >= 30),
+c as (
+  select lang, source, term, count(*) as count from x join kept using (lang, term) group by lang, source, term),
+v as (
+  select lang, count(term) as v, coalesce(sum(total), 0) as n from (select distinct lang from g) left join kept using (lang) group by lang),
+gn as (
+  select g.lang, g.source, coalesce(sum(count), 0) as n, any_value(v.v) as v from g join v using (lang) left join c using (lang, source) group by g.lang, g.source),
+p as (
+  select gn.lang, gn.source, term, coalesce(count, 0) as count, 1 + 1000000000::hugeint * (coalesce(count, 0) + 5) // (gn.n + 5 * v) as p
+  from gn join kept using (lang) left join c using (lang, source, term)),
+q as (
+  select lang, term, 1 + 1000000000::hugeint * (total + 5) // (n + 5 * v) as q from kept join v using (lang)),
+f as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(sum(abs(a.p - b.p)), 0) as value
+  from gn x join gn y on x.lang = y.lang and x.source <> y.source
+  left join p a on a.lang = x.lang and a.source = x.source left join p b on b.lang = y.lang and b.source = y.source and b.term = a.term
+  where a.term is null or b.term is not null group by a.lang, a.source, b.source),
+z as (
+  select x.lang, x.source, 'pair' as part, y.source as item, 0 as value from gn x join gn y on x.lang = y.lang and x.source <> y.source where x.v = 0),
+t as (
+  select lang, source, 'term' as part, term as item, p - q as value from p join q using (lang, term) where count > 0 and p > q),
+a as (
+  select * from f where lang is not null union all select * from z union all select * from t),
+r as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from a)
+select lang, source, part, item, value::bigint as value, rank::int as rank from r where part = 'pair' or rank <= 50
+"""

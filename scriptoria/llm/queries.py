@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm import exact_dedup, filter_audit, html_template, jaccard_join, lm_scoring, mixing, oracles, pii, quality, secrets, sentencepiece_bpe, vector_graph
+from scriptoria.llm import exact_dedup, filter_audit, html_template, jaccard_join, lm_scoring, mixing, oracles, pii, quality, secrets, sentencepiece_bpe, source_divergence, vector_graph
 from scriptoria.llm.common import fold, of_kinds, span_list, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     flags = labels.select("doc_id", (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
     steps = filter_audit.audit(filter_audit.masks(docs, filters, "E", flags), [*filters, "E"])
     return steps.select("*", F.col("lost")[0].alias("good_lost"), F.col("lost")[1].alias("toxic_lost")).drop("lost")
+
+
+@query("op12_source_divergence", oracles.SOURCE_DIVERGENCE)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.diverge(table(spark, folder, "documents"))
