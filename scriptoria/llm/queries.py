@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm import exact_dedup, filter_audit, html_template, jaccard_join, lm_scoring, mixing, oracles, pii, quality, secrets, sentencepiece_bpe, source_divergence, vector_graph
+from scriptoria.llm import byte_bpe, exact_dedup, filter_audit, html_template, jaccard_join, lm_scoring, mixing, oracles, pii, quality, secrets, sentencepiece_bpe, source_divergence, vector_graph
 from scriptoria.llm.common import fold, of_kinds, span_list, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,13 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_source_divergence", oracles.SOURCE_DIVERGENCE)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return source_divergence.diverge(table(spark, folder, "documents"))
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = byte_bpe.add_ids(table(spark, folder, "documents").select("doc_id", "text"), path).drop("text")
+    ids = F.col("coded.ids")
+    return coded.select(
+        "doc_id", long_count(ids).alias("n_tokens"), F.sha2(byte_bpe.packed(ids), 256).alias("ids_sha256"),
+        F.sha2(byte_bpe.decode(F.col("coded"), path), 256).alias("decoded_sha256"))
