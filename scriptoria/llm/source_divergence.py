@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.llm.common import stored
 from scriptoria.llm.count_trees import Forest, shares
+from scriptoria.operators.scan import attach_group_values, spread
 
 LEAST_DOCUMENTS = 30
 EXTRA = 5
@@ -41,10 +42,14 @@ TOP_TERMS = 50
 #: Terms of a block and sources of a tile: bounds of a task's memory only.
 BLOCK_TERMS = 256
 TILE_SOURCES = 64
+#: Parts of a language's terms in a join.
+SALTS = 64
 #: Entries and bytes of terms a task counts before it hands them on, bytes of a text cut at once.
-COUNTED, COUNTED_BYTES, CUT_BYTES = 200_000, 8 << 20, 1 << 20
+COUNTED, COUNTED_BYTES, CUT_BYTES = 400_000, 16 << 20, 1 << 20
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: A task's number for a term: occurrences and, above them, documents.
+ONE_DOCUMENT = 1 << 40
 PARTIAL = "lang string, source string, term string, count long, docs long"
 GROUP, TOTAL, COUNT = 0, 1, 2
 PRICED = "lang string, source string, part string, item string, value long"
@@ -68,7 +73,7 @@ def text_terms(data: bytes) -> Counter:
 def partial_counts(docs: DataFrame) -> DataFrame:
     """PARTIAL rows of (text, lang, source); each group also gives the empty term with no count."""
     def flushed(held: dict) -> pa.RecordBatch:
-        rows = [(lang, source, term.decode(), c, d) for (lang, source), terms in held.items() for term, (c, d) in terms.items()]
+        rows = [(lang, source, term.decode(), n % ONE_DOCUMENT, n // ONE_DOCUMENT) for (lang, source), terms in held.items() for term, n in terms.items()]
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(),) * 3 + (pa.int64(),) * 2, strict=True)], ["lang", "source", "term", "count", "docs"])
 
@@ -79,15 +84,12 @@ def partial_counts(docs: DataFrame) -> DataFrame:
             for text, lang, source in zip(*batch.columns, strict=True):
                 mine = held[lang.as_py() or "", source.as_py() or ""]
                 before = len(mine)
-                mine.setdefault(b"", [0, 0])
+                mine.setdefault(b"", 0)
                 for term, n in text_terms(text.as_buffer().to_pybytes() if text.is_valid else b"").items():
-                    at = mine.get(term)
-                    if at is None:
-                        mine[term] = [n, 1]
-                        size += len(term)
-                    else:
-                        at[0] += n
-                        at[1] += 1
+                    have = mine.get(term)
+                    if have is None:
+                        have, size = 0, size + len(term)
+                    mine[term] = have + n + ONE_DOCUMENT
                 entries += len(mine) - before
                 if entries > COUNTED or size > COUNTED_BYTES:
                     yield flushed(held)
@@ -131,9 +133,9 @@ def block_rows(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of every block and pair of tiles: groups with their sizes, totals of terms, counts of terms in groups."""
     block = F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")
     tile = F.pmod(F.xxhash64("source"), F.col("tiles")).cast("int")
-    # a language's sizes reach all of its terms: one row a language, joined by Spark's own choice
+    # a language's sizes reach all of its terms, spread over tasks, since one language may hold most terms
     langs = groups.groupBy("lang").agg(*(F.first(c).alias(c) for c in ("v", "lang_n", "blocks", "tiles")))
-    terms = counts.where("term <> ''").join(langs, "lang").withColumn("block", block)
+    terms = attach_group_values(counts.where("term <> ''"), langs, ["lang"], SALTS).withColumn("block", block)
     per_group = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "lang", "block", _pairs_of_tiles(tile, F.col("tiles")).alias("at"), F.lit(GROUP).alias("kind"), "source", F.lit(None).cast("string").alias("term"),
         F.col("n").alias("count"), "v", "lang_n", tile.alias("tile"))
@@ -190,6 +192,8 @@ def diverge(docs: DataFrame, least: int = LEAST_DOCUMENTS, extra: int = EXTRA, t
     """lang, source, part, item, value, rank: the distances of a source from all others, and the terms it uses more than its language."""
     counts = stored(kept_counts(docs, least))
     rows = block_rows(counts, sizes(counts, block_terms, tile_sources))
+    # dealt by block, whatever the rows were dealt by before: a language is no task
+    rows = spread(rows, "lang", "block", "i", "j")
     priced = stored(rows.groupBy("lang", "block", "i", "j").applyInArrow(lambda table: price_block(table, extra, top), PRICED))
     ranked = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     pairs = priced.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
