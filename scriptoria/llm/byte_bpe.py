@@ -3,8 +3,8 @@
 The texts of a batch are joined and cut into pre-tokens at once (see ``pre_tokens``).  Each
 distinct pre-token is merged once and remembered; ids of a text are slices of one flat array.
 A pre-token that is in the vocabulary is one id; others merge the pair of least rank, the
-leftmost of equal ones, until no pair is in the vocabulary, with a heap of pairs, in time
-n log n for a pre-token of n bytes.  With the ids go their offsets, the byte of the text at
+leftmost of equal ones, until no pair is in the vocabulary: short ones as the rows of matrices,
+long ones with a heap of pairs, in time n log n for n bytes.  With the ids go their offsets, the byte of the text at
 which each begins: decoding lays the bytes of each id at its offset.
 
 Defined results: null and empty texts have no ids and decode to nothing; repeated rows are
@@ -15,6 +15,7 @@ be a new name.
 from __future__ import annotations
 
 import base64
+import bisect
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +32,10 @@ from scriptoria.llm.pre_tokens import boundaries
 BATCH_CHARS, CUT, CACHED = 300_000, 100_000, 200_000
 #: Pre-tokens longer than this are merged but not remembered.
 LONGEST_CACHED = 200
+#: Widths of the matrices in which pre-tokens are merged together; longer ones are merged one by one with a heap.
+WIDTHS = (6, 9, 12, 16, 24, 40, 100)
+#: No id.
+NONE = (1 << 31) - 1
 CODED = "struct<ids:array<int>,offsets:array<int>>"
 
 
@@ -42,47 +47,104 @@ class Vocabulary:
             self.rank = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
         if any(bytes([b]) not in self.rank for b in range(256)):
             raise ValueError("a byte-level vocabulary holds every byte")
-        self.longest = max(map(len, self.rank))
+        # what two ids become, for every way to cut a token into two
+        self.pair = {}
+        for token, k in self.rank.items():
+            for cut in range(1, len(token)):
+                a, b = self.rank.get(token[:cut]), self.rank.get(token[cut:])
+                if a is not None and b is not None:
+                    self.pair[a << 32 | b] = k
+        self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
+        self.keys = np.array(sorted(self.pair), np.int64)
+        self.merged = np.array([self.pair[k] for k in self.keys.tolist()], np.int64)
+        self.first = self.lookup(*np.meshgrid(self.byte, self.byte, indexing="ij"))
         size = np.zeros(max(self.rank.values()) + 1, np.int64)
         by_id = sorted((k, token) for token, k in self.rank.items())
         size[[k for k, _ in by_id]] = [len(token) for _, token in by_id]
         self.size, self.at = size, np.cumsum(size) - size
         self.data = np.frombuffer(b"".join(token for _, token in by_id), np.uint8)
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of a pre-token."""
-        rank = self.rank
-        if piece in rank:
-            return [rank[piece]]
-        n = len(piece)
-        end = list(range(1, n + 1))  # where the part that begins at a byte ends; 0 if none begins there
-        left = list(range(-1, n - 1))
-        pairs = [(r, i) for i in range(n - 1) if (r := rank.get(piece[i:i + 2])) is not None]
+    def merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of pre-tokens and the number of ids of each; *pieces* are distinct."""
+        whole = np.array([self.rank.get(p, -1) for p in pieces], np.int64)
+        found = [(np.flatnonzero(whole >= 0), whole[whole >= 0])]
+        rest = sorted(np.flatnonzero(whole < 0).tolist(), key=lambda k: len(pieces[k]))
+        lengths = [len(pieces[k]) for k in rest]
+        at = 0
+        for width in WIDTHS:
+            upto = bisect.bisect_right(lengths, width)
+            if upto > at:
+                found.append(self.merge_short([pieces[k] for k in rest[at:upto]], np.array(rest[at:upto]), width))
+            at = upto
+        for k in rest[at:]:
+            ids = self.merge_long(pieces[k])
+            found.append((np.full(len(ids), k), np.array(ids)))
+        piece, ids = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        order = np.argsort(piece, kind="stable")
+        return ids[order].astype(np.int32), np.bincount(piece, minlength=len(pieces))
+
+    def merge_short(self, pieces: list[bytes], names: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Name and id of every part of many pre-tokens; each round merges the best pair of each, so that all rows lose one column."""
+        size = np.array([len(p) for p in pieces])
+        code = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
+        part = np.where(np.arange(width) < size[:, None], self.byte[code], NONE)  # NONE pads
+        rank = np.where(part[:, 1:] < NONE, self.first[code[:, :-1], code[:, 1:]], NONE)
+        done = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        while len(part):
+            i = rank.argmin(axis=1)  # the leftmost of equal ones
+            row = np.arange(len(part))
+            least = rank[row, i]
+            over = least == NONE
+            if over.any():
+                own = part[over] < NONE
+                done.append((np.repeat(names[over], own.sum(axis=1)), part[over][own]))
+                part, rank, names, i, least = part[~over], rank[~over], names[~over], i[~over], least[~over]
+                row = np.arange(len(part))
+                if not len(part):
+                    break
+            part[row, i] = least
+            stay = np.ones(part.shape, bool)
+            stay[row, i + 1] = False
+            part = part[stay].reshape(len(row), -1)
+            stay = np.ones(rank.shape, bool)
+            stay[row, i] = False
+            rank = rank[stay].reshape(len(row), -1)
+            left, right = np.flatnonzero(i > 0), np.flatnonzero(i < rank.shape[1])
+            rank[left, i[left] - 1] = self.lookup(part[left, i[left] - 1], least[left])
+            rank[right, i[right]] = self.lookup(least[right], part[right, i[right] + 1])
+            if not rank.shape[1]:
+                done.append((names, part[:, 0]))
+                break
+        return tuple(np.concatenate([d[k] for d in done]) for k in (0, 1))
+
+    def lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What pairs of ids become; NONE where they do not merge."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.merged[at], NONE)
+
+    def merge_long(self, piece: bytes) -> list[int]:
+        """By a heap of pairs."""
+        get, n = self.pair.get, len(piece)
+        part = self.byte[np.frombuffer(piece, np.uint8)].tolist()  # -1 where a part has been joined to the one before
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pairs = [(r, i) for i, (a, b) in enumerate(zip(part, part[1:])) if (r := get(a << 32 | b)) is not None]
         heapq.heapify(pairs)
-
-        def offer(i: int) -> None:
-            """The pair that begins at i."""
-            if end[i] < n:
-                stop = end[end[i]]
-                if stop - i <= self.longest and (r := rank.get(piece[i:stop])) is not None:
-                    heapq.heappush(pairs, (r, i))
-
         while pairs:
             r, i = heapq.heappop(pairs)
-            j = end[i]
-            if not j or j == n or rank.get(piece[i:end[j]]) != r:
+            j = after[i]
+            if part[i] < 0 or j == n or get(part[i] << 32 | part[j]) != r:
                 continue  # one of the two has been merged since
-            end[i], end[j] = end[j], 0
-            if end[i] < n:
-                left[end[i]] = i
-            offer(i)
-            if i:
-                offer(left[i])
-        out, i = [], 0
-        while i < n:
-            out.append(rank[piece[i:end[i]]])
-            i = end[i]
-        return out
+            part[i], part[j] = r, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (x := get(r << 32 | part[k])) is not None:
+                    heapq.heappush(pairs, (x, i))
+            h = before[i]
+            if h >= 0 and (x := get(part[h] << 32 | r)) is not None:
+                heapq.heappush(pairs, (x, h))
+        return [p for p in part if p >= 0]
 
     def bytes_of(self, ids: np.ndarray, offsets: np.ndarray | None = None) -> bytes:
         """The bytes that ids stand for, each id's laid at its offset (one after another, if none are given)."""
@@ -108,15 +170,13 @@ class Encoder:
 
     def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all pre-tokens and the number of ids of each."""
-        merge = self.vocabulary.merge
         if len(self.slots) > CACHED:
             self.forget()
         slots = self.slots
         new = sorted((p for p in set(pieces) if p not in slots), key=len)
         slots.update(zip(new, range(len(slots), len(slots) + len(new)), strict=True))
-        ids = [merge(p.encode()) for p in new]
-        flat = np.append(self.flat, np.fromiter((i for x in ids for i in x), np.int32))
-        sizes = np.append(self.size, np.array([len(x) for x in ids], np.int64))
+        ids, counts = self.vocabulary.merge_all([p.encode() for p in new])
+        flat, sizes = np.append(self.flat, ids), np.append(self.size, counts)
         which = np.fromiter(map(slots.__getitem__, pieces), np.int64, len(pieces))
         n = sizes[which]
         shift = (np.cumsum(sizes) - sizes)[which] - (np.cumsum(n) - n)

@@ -71,7 +71,7 @@ def test_every_character():
 def test_long_pieces():
     rng = np.random.default_rng(3)
     same(["a" * 100_000, "ab" * 50_000, "".join(map(chr, rng.integers(97, 123, 60_000))), "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 20_000))),
-          " " * 50_000 + "x", "\n" * 5000 + " ", "=-" * 20_000, "the end", "7" * 30_000, "'ll've's" * 1000])
+          " " * 50_000 + "x", "\n" * 5000 + " ", "=-" * 20_000, "the end", "7" * 30_000, *("x9" * n + "=" * n for n in range(30, 70)), "'ll've's" * 1000])
 
 
 def test_a_long_text_in_parts():
