@@ -112,6 +112,34 @@ def outlines(s: Samples):
     return found.select("page_id", "comp", F.size("points").alias("n"), G.format_points(F.col("points")).alias("points"))
 
 
+# The gaps of a component's rows, with a frame of one pixel around it; those not reached from the frame are holes.
+HOLES = component_sql("gt", "mask = 1") + """,
+frame as (select page_id, comp, min(y) - 1 as top, max(y) + 1 as bottom from gt_comp group by page_id, comp),
+stop as (select page_id, comp, unnest(range(top, bottom + 1)) as y from frame),
+gap as (
+  select * from (
+    select page_id, comp, y, coalesce(lag(x1) over (partition by page_id, comp, y order by x0), -2) + 1 as g0, x0 - 1 as g1
+    from (select page_id, comp, y, x0, x1 from gt_comp union all select page_id, comp, y, 17, 17 from stop) e) q where g0 <= g1),
+outside(page_id, comp, y, g0, g1) as (
+  select g.page_id, g.comp, g.y, g.g0, g.g1 from gap g join frame f on f.page_id = g.page_id and f.comp = g.comp and f.top = g.y
+  union
+  select n.page_id, n.comp, n.y, n.g0, n.g1 from outside r join gap n
+    on n.page_id = r.page_id and n.comp = r.comp and (n.y = r.y + 1 or n.y = r.y - 1) and n.g0 <= r.g1 and n.g1 >= r.g0),
+covered as (
+  select page_id, comp, y, x0, x1 from gt_comp
+  union all select page_id, comp, y, g0, g1 from gap where not exists (select 1 from outside o where o.page_id = gap.page_id and o.comp = gap.comp and o.y = gap.y and o.g0 = gap.g0))"""
+
+
+@check(
+    "r06_filled_outlines",
+    oracle("grid", """select page_id, comp, min(x0) as "left", min(y) as top, max(x1) - min(x0) + 1 as width, max(y) - min(y) + 1 as height,
+      cast(sum(x1 - x0 + 1) as bigint) as area from covered group by page_id, comp""", HOLES, recursive=True),
+)
+def filled_outlines(s: Samples):
+    # An outline filled again is its component with its holes.
+    return C.component_stats(R.fill_polygons(C.outlines(C.components(mask_spans(s)))))
+
+
 @check(
     "k02_coco_from_mask",
     oracle("grid", f"""select page_id, comp, "left", top, width, height, area from ({STATS}) t where area >= 12""", component_sql("gt", "mask = 1"), recursive=True),

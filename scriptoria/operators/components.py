@@ -6,14 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptoria.operators.borders import run_outlines
 from scriptoria.operators.scan import spread, top_per_group
 from scriptoria.session import checkpointed
 
-# Pixel rows one task labels at a time; pages up to this height are one piece.
+# Pixel rows a task labels in order; pages up to this height are one band.
 BAND_ROWS = 8192
+# Runs of a band that are labelled together.
+PIECE_RUNS = 2_000_000
 _SHIFT = 1 << 31
 
 
@@ -66,37 +70,90 @@ def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[
         yield held
 
 
-def components(spans: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
+def _pieces(batches: Iterator[pd.DataFrame], keys: list[str], most: int) -> Iterator[tuple[pd.DataFrame, bool]]:
+    """Re-cut sorted batches at ends of groups, and within a group of more than *most* rows at ends of pixel rows.
+
+    With each piece goes whether its first group goes on from the piece before.
+    """
+    parts, rows, goes_on = [], 0, False
+    for batch in batches:
+        if batch.empty:
+            continue
+        parts.append(batch)
+        rows += len(batch)
+        one_group = (parts[0][keys].iloc[0] == batch[keys].iloc[-1]).all()
+        if one_group and rows <= most:
+            continue
+        batch = pd.concat(parts, ignore_index=True)
+        last = (batch[keys] == batch[keys].iloc[-1]).all(axis=1).to_numpy()
+        cut, inside = int(np.argmax(last)), False
+        if rows - cut > most:
+            y = batch["y"].to_numpy()
+            at = int(np.searchsorted(y[cut:], y[-1])) + cut  # the last pixel row may go on in the next batch
+            cut, inside = (at, True) if at > cut else (cut, False)
+        if cut:
+            yield batch.iloc[:cut], goes_on
+            goes_on = inside
+        parts, rows = [batch.iloc[cut:]], rows - cut
+    if rows:
+        yield pd.concat(parts, ignore_index=True), goes_on
+
+
+def components(spans: DataFrame, band_rows: int = BAND_ROWS, piece_runs: int = PIECE_RUNS) -> DataFrame:
     """Spans (page_id, y, x0, x1) with ``comp``, which orders components by their first pixel.
 
-    Bands of pixel rows are labelled on their own, many pages to an Arrow batch.
-    Pages taller than a band get their pieces joined afterwards.
+    Bands of pixel rows are labelled on their own, many pages to an Arrow batch.  A band of
+    more than *piece_runs* runs is labelled piece by piece, and only the last pixel row of a
+    piece stays for the next.  Labels that meet at the border of two pieces or bands are joined
+    afterwards.
     """
+    keys = ["page_id", "_band"]
     banded = spans.select("page_id", "y", "x0", "x1", F.floor(F.col("y") / band_rows).alias("_band"))
-    ordered = spread(banded, "page_id", "_band").sortWithinPartitions("page_id", "_band", "y", "x0")
+    ordered = spread(banded, *keys).sortWithinPartitions(*keys, "y", "x0")
 
     def label(batches):
-        for pdf in _whole_groups(batches, ["page_id", "_band"]):
+        row = None  # the last pixel row of the piece before: y, x0, x1, comp
+        for pdf, goes_on in _pieces(batches, keys, piece_runs):
             page, band = pdf["page_id"].to_numpy(), pdf["_band"].to_numpy()
             change = np.ones(len(pdf), dtype=bool)
             change[1:] = (page[1:] != page[:-1]) | (band[1:] != band[:-1])
-            y, x0 = pdf["y"].to_numpy(np.int64), pdf["x0"].to_numpy(np.int64)
-            root = label_sorted_spans(np.cumsum(change), y, x0, pdf["x1"].to_numpy(np.int64))
-            yield pdf[["page_id", "y", "x0", "x1"]].assign(comp=y[root] * _SHIFT + x0[root])
-
-    labelled = ordered.mapInPandas(label, "page_id long, y int, x0 int, x1 int, comp long")
-    if spans.filter(F.col("y") >= band_rows).isEmpty():
-        return labelled
-    return _join_bands(checkpointed(labelled), band_rows)
-
-
-def _join_bands(labelled: DataFrame, band_rows: int) -> DataFrame:
+            y, x0, x1 = (pdf[c].to_numpy(np.int64) for c in ("y", "x0", "x1"))
+            root = label_sorted_spans(np.cumsum(change), y, x0, x1)
+            comp = y[root] * _SHIFT + x0[root]
+            yield pdf[["page_id", "y", "x0", "x1"]].assign(comp=comp, meets=pd.array([pd.NA] * len(pdf), "Int64"))
+            if goes_on and row is not None and row[0][0] + 1 == y[0]:
+                first = np.flatnonzero((y == y[0]) & (page == page[0]) & (band == band[0]))
+                a, b = _touching(row[1], row[2], x0[first], x1[first])
+                if len(a):
+                    met = np.unique(np.column_stack([row[3][a], comp[first[b]]]), axis=0)
+                    yield pd.DataFrame({"page_id": page[0], "y": 0, "x0": 0, "x1": 0, "comp": met[:, 0], "meets": pd.array(met[:, 1], "Int64")})
+            last = np.flatnonzero((y == y[-1]) & (page == page[-1]) & (band == band[-1]))
+            row = y[last], x0[last], x1[last], comp[last]
+
+    labelled = ordered.mapInPandas(label, "page_id long, y int, x0 int, x1 int, comp long, meets long")
+    sizes = banded.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs")).agg(F.max("runs").alias("runs"), F.max("_band").alias("band")).first()
+    if (sizes["runs"] or 0) <= piece_runs and (sizes["band"] or 0) < 1:
+        return labelled.drop("meets")
+    labelled = checkpointed(labelled)
+    return _join_bands(labelled.filter("meets is null").drop("meets"), labelled.filter("meets is not null").select("page_id", F.col("comp").alias("a"), F.col("meets").alias("b")), band_rows)
+
+
+def _touching(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs of two pixel rows, each in order, that touch or meet at a corner."""
+    low, high = np.searchsorted(b1, a0 - 1, "left"), np.searchsorted(b0, a1 + 1, "right")
+    count = np.maximum(high - low, 0)
+    first = np.repeat(np.arange(len(a0)), count)
+    return first, np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _join_bands(labelled: DataFrame, met: DataFrame, band_rows: int) -> DataFrame:
+    """One label for all that meet: *met* has pairs (page_id, a, b) found inside bands, pairs of bands are found here."""
     above = labelled.filter(F.col("y") % band_rows == band_rows - 1).select(
         "page_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("comp").alias("a")
     )
     below = labelled.filter((F.col("y") % band_rows == 0) & (F.col("y") > 0)).withColumnRenamed("comp", "b")
     touching = above.join(below, ["page_id", "y"]).filter((F.col("a0") <= F.col("x1") + 1) & (F.col("a1") >= F.col("x0") - 1))
-    edges = checkpointed(touching.select("page_id", "a", "b").distinct())
+    edges = checkpointed(touching.select("page_id", "a", "b").unionByName(met).distinct())
     both = edges.unionByName(edges.select("page_id", F.col("b").alias("a"), F.col("a").alias("b")))
     labels = checkpointed(both.select("page_id", F.col("a").alias("node"), F.col("a").alias("label")).distinct())
     while True:
@@ -133,54 +190,21 @@ def largest_component(stats: DataFrame, by: str = "page_id") -> DataFrame:
     return top_per_group(stats, [by], [F.col("area").desc(), F.col("comp")], 1).drop("rank")
 
 
-# Steps around a pixel, clockwise from the left.
-_AROUND = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]
-
-
-def trace_outline(mask: np.ndarray) -> list[tuple[int, int]]:
-    """Outer border pixels (x, y) of the component holding the first foreground pixel, corners only."""
-    padded = np.pad(mask.astype(bool), 1)
-    start_y, start_x = divmod(int(np.argmax(padded)), padded.shape[1])
-    rows = padded.tolist()
-
-    def step(y, x, start):
-        for k in range(8):
-            d = (start + k) % 8
-            if rows[y + _AROUND[d][0]][x + _AROUND[d][1]]:
-                return d
-        return None
-
-    first = step(start_y, start_x, 1)
-    if first is None:
-        return [(start_x - 1, start_y - 1)]
-    y, x, d = start_y, start_x, first
-    path, moves = [], []
-    while True:
-        path.append((x - 1, y - 1))
-        moves.append(d)
-        y, x = y + _AROUND[d][0], x + _AROUND[d][1]
-        d = step(y, x, (d + 5) % 8)
-        if (y, x) == (start_y, start_x) and d == first:
-            break
-    return [p for i, p in enumerate(path) if moves[i] != moves[i - 1]]
-
-
 def outlines(labelled: DataFrame) -> DataFrame:
-    """Outer outline of each component: page_id, comp, points."""
+    """Outer outline of each component: page_id, comp, points.  Runs are maximal."""
     ordered = spread(labelled.select("page_id", "comp", "y", "x0", "x1"), "page_id", "comp").sortWithinPartitions("page_id", "comp", "y", "x0")
 
     def trace(batches):
         for pdf in _whole_groups(batches, ["page_id", "comp"]):
             page, comp = pdf["page_id"].to_numpy(), pdf["comp"].to_numpy()
-            y, x0, x1 = (pdf[c].to_numpy() for c in ("y", "x0", "x1"))
-            cuts = np.flatnonzero(np.r_[True, (page[1:] != page[:-1]) | (comp[1:] != comp[:-1]), True])
-            found = []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                top, left = int(y[a]), int(x0[a:b].min())
-                mask = np.zeros((int(y[b - 1]) - top + 1, int(x1[a:b].max()) - left + 1), dtype=bool)
-                for i in range(a, b):
-                    mask[y[i] - top, x0[i] - left : x1[i] - left + 1] = True
-                found.append([{"x": px + left, "y": py + top} for px, py in trace_outline(mask)])
-            yield pd.DataFrame({"page_id": page[cuts[:-1]], "comp": comp[cuts[:-1]], "points": found})
-
-    return ordered.mapInPandas(trace, "page_id long, comp long, points array<struct<x:int,y:int>>")
+            new = np.append(True, (page[1:] != page[:-1]) | (comp[1:] != comp[:-1]))
+            of, x, y = run_outlines(np.cumsum(new) - 1, *(pdf[c].to_numpy() for c in ("y", "x0", "x1")))
+            ends = np.append(0, np.cumsum(np.bincount(of))).astype(np.int32)
+            points = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32))], ["x", "y"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(page[new]), pa.array(comp[new]), pa.ListArray.from_arrays(ends, points)], names=["page_id", "comp", "points"])
+
+    def in_batches(batches):
+        return trace(b.to_pandas() for b in batches)
+
+    return ordered.mapInArrow(in_batches, "page_id long, comp long, points array<struct<x:int,y:int>>")

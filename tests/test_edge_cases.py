@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import geometry as G
 from scriptoria.functions import scalars as S
+from scriptoria.sources import images
+from scriptoria.operators.borders import run_outlines
 from scriptoria.operators import components as C
 from scriptoria.operators import lines as L
 from scriptoria.operators import matching as M
@@ -215,13 +217,16 @@ def test_ellipse_kernel_shape():
 
 
 def test_outline_of_known_shapes():
-    assert C.trace_outline(np.ones((1, 1))) == [(0, 0)]
-    assert set(C.trace_outline(np.ones((4, 6)))) == {(0, 0), (5, 0), (5, 3), (0, 3)}
-    line = C.trace_outline(np.ones((1, 5)))
-    assert set(line) == {(0, 0), (4, 0)}
+    def outline(mask):
+        y, x0, x1 = images.runs(mask.astype(bool))
+        return list(zip(*(v.tolist() for v in run_outlines(np.zeros(len(y)), y, x0, x1)[1:])))
+
+    assert outline(np.ones((1, 1))) == [(0, 0)]
+    assert outline(np.ones((4, 6))) == [(0, 0), (5, 0), (5, 3), (0, 3)]
+    assert set(outline(np.ones((1, 5)))) == {(0, 0), (4, 0)}
     ring = np.ones((5, 5))
     ring[2, 2] = 0
-    assert set(C.trace_outline(ring)) == {(0, 0), (4, 0), (4, 4), (0, 4)}
+    assert set(outline(ring)) == {(0, 0), (4, 0), (4, 4), (0, 4)}
 
 
 def test_outline_fills_back_to_the_component(spark):

@@ -128,15 +128,20 @@ def flood(pixels):
     return found
 
 
-@pytest.mark.parametrize("band_rows", [8192, 7])
-def test_components_equal_flood_fill(spark, band_rows):
+@pytest.mark.parametrize(("band_rows", "piece_runs", "batch"), [(8192, 10_000, 10_000), (7, 10_000, 10_000), (8192, 30, 10), (8192, 1, 3), (11, 20, 7)])
+def test_components_equal_flood_fill(spark, band_rows, piece_runs, batch):
     from scriptoria.operators.spans import pixels_to_spans, spans_to_pixels
 
     rng = random.Random(3)
     pages = {p: {(y, x) for y in range(40) for x in range(24) if rng.random() < 0.38} for p in (1, 2, 3)}
     rows = [(p, y, x) for p, px in pages.items() for y, x in px]
     df = spark.createDataFrame(rows, "page_id long, y int, x int")
-    labelled = C.components(pixels_to_spans(df, ["page_id"]), band_rows=band_rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        labelled = C.components(pixels_to_spans(df, ["page_id"]), band_rows=band_rows, piece_runs=piece_runs).cache()
+        labelled.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     got = {(r.page_id, r.y, r.x): r.comp for r in spans_to_pixels(labelled).collect()}
     want = {(p, y, x): s[0] * (1 << 31) + s[1] for p, px in pages.items() for (y, x), s in flood(px).items()}
     # The label is the first run of the component; compare the partition and the order of components.
