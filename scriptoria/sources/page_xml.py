@@ -49,12 +49,19 @@ def read_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     found = records.filter(F.col("value").rlike(rf"{_OPEN}PcGts[\s>]"))
     plain = F.regexp_replace("value", "(?s)<!--.*?-->", "")
     head = F.concat(F.lit("<Page "), F.regexp_extract("document", rf"(?s){_OPEN}Page(\s[^>]*?)/?>", 1), F.lit("/>"))
-    return found.select("path", S.stem(F.col("path")).alias("stem"), plain.alias("document")).withColumn(
+    return found.select("path", _stem_of(F.col("path")).alias("stem"), plain.alias("document")).withColumn(
         "_page", F.from_xml(head, PAGE_FIELDS)
     ).select("path", "stem", F.col("_page._imageFilename").alias("image"), F.col("_page._imageWidth").alias("width"),
              F.col("_page._imageHeight").alias("height"), "document")
 
 
+def _stem_of(path: Column) -> Column:
+    """The file's stem, or that of the folder ``stem=...`` that :func:`write_documents` gives a page."""
+    own = F.regexp_extract(path, r"/stem=([^/]+)/[^/]*$", 1)
+    # the name is escaped as a folder, and the path as a URI
+    return F.when(own == "", S.stem(path)).otherwise(F.url_decode(F.regexp_replace(F.url_decode(F.regexp_replace(own, r"\+", "%2B")), r"\+", "%2B")))
+
+
 def line_points(points_text: Column, profile: str) -> Column:
     """Polygon of a line in a reader profile; null when the line must be skipped."""
     number, fewest, separator = READ_PROFILES[profile]
