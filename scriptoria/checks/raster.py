@@ -256,8 +256,23 @@ def span_sums(spans):
         F.sum(n).alias("n"), F.sum(F.col("y") * n).alias("sum_y"), F.sum((F.col("x0") + F.col("x1")) * n / 2).cast("long").alias("sum_x"))
 
 
-@check("r08_outline_band", oracle("line", f"select {SUMS} from band group by page_id", EDGE_BOXES))
+@check(
+    "r08_outline_band",
+    oracle("poly", """select page_id, cast(sum(case when before is null or x1 > before then x1 - greatest(x0, coalesce(before + 1, x0)) + 1 else 0 end) as bigint) as area,
+        count(*) filter (where before is null or x0 > before + 1) as n_spans from reached group by page_id""", VERTEX + """,
+      side as (select page_id, least(y, ny) as lo, greatest(y, ny) as hi, case when y <= ny then x else nx end as xl, case when y <= ny then nx else x end as xh from edge),
+      level as (select *, unnest(range(lo - 1, hi + 2)) as y from side),
+      ends as (select *, xl + (xh - xl) * (y - 1.5::double - lo) / nullif(cast(hi - lo as double), 0) as u, xl + (xh - xl) * (y + 1.5::double - lo) / nullif(cast(hi - lo as double), 0) as v from level),
+      banded as (select page_id, y, greatest(least(xl, xh), coalesce(cast(floor(least(u, v) + 0.5) as int), least(xl, xh))) - 1 as x0,
+        least(greatest(xl, xh), coalesce(cast(floor(greatest(u, v) + 0.5) as int), greatest(xl, xh))) + 1 as x1 from ends),
+      reached as (select *, max(x1) over (partition by page_id, y order by x0, x1 rows between unbounded preceding and 1 preceding) as before from banded where x0 <= x1)"""),
+)
 def outline_band(s: Samples):
+    return R.outline_band(points(s), ["page_id"]).groupBy("page_id").agg(R.span_area().alias("area"), F.count(F.lit(1)).alias("n_spans"))
+
+
+@check("r08_edge_bands", oracle("line", f"select {SUMS} from band group by page_id", EDGE_BOXES))
+def edge_bands(s: Samples):
     placed = edge_polygons(s).join(edge_size(s), "page_id")
     return span_sums(R.outline_band(placed, ["page_id"], bounds=("width", "height")))
 

@@ -6,6 +6,7 @@ tasks; the number of runs in one row is limited by the page width.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from scriptoria.functions import geometry as G
+from scriptoria.operators.scan import spread
 
 
 def _polygon_rows(offsets: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -148,8 +150,8 @@ def instance_map(spans: DataFrame, cell: int = 1024) -> DataFrame:
     Spans are cut at multiples of *cell*; equal pieces keep their largest instance
     (combined before the shuffle), so the pieces of one cell are limited by
     ``cell * (cell + 1) / 2`` however many instances lie on top of each other.
-    Pieces that meet no other pass through; only the others are cut into the
-    intervals between their ends.
+    Pieces that meet no other pass through; the others go through a sweep along their
+    row, which keeps the instances it is inside of in a heap.
     """
     c = F.explode(F.sequence(F.floor(F.col("x0") / cell).cast("int"), F.floor(F.col("x1") / cell).cast("int")))
     cut = spans.select("page_id", "inst_id", "y", "x0", "x1", c.alias("cell")).select(
@@ -173,59 +175,115 @@ def instance_map(spans: DataFrame, cell: int = 1024) -> DataFrame:
     return free.filter(~at_edge).unionByName(joined)
 
 
+def sweep_row(x0: list[int], x1: list[int], inst: list[int]) -> list[tuple[int, int, int]]:
+    """Runs (x0, x1, instance) of a row that the largest instance owns; pieces in order of x0.
+
+    The sweep goes from one begin or end to the next with a heap of what it is inside of, so n
+    pieces take n log n steps and give at most 2 n runs.
+    """
+    out: list[tuple[int, int, int]] = []
+    active: list[tuple[int, int]] = []
+    at, i, n = 0, 0, len(x0)
+    while i < n or active:
+        if not active:
+            at = x0[i]
+        while i < n and x0[i] <= at:
+            heapq.heappush(active, (-inst[i], x1[i]))
+            i += 1
+        while active and active[0][1] < at:
+            heapq.heappop(active)  # ended behind a larger one
+        if not active:
+            continue
+        top, stop = -active[0][0], active[0][1]
+        # pieces that begin inside the owner's run matter only if they are larger
+        while i < n and x0[i] <= stop and inst[i] <= top:
+            heapq.heappush(active, (-inst[i], x1[i]))
+            i += 1
+        stop = min(stop, x0[i] - 1) if i < n else stop
+        if out and out[-1][2] == top and out[-1][1] + 1 == at:
+            out[-1] = out[-1][0], stop, top
+        else:
+            out.append((at, stop, top))
+        at = stop + 1
+    return out
+
+
 def _visible_pieces(pieces: DataFrame) -> DataFrame:
-    """Owner of every interval between the ends of the pieces of a cell."""
-    gathered = pieces.groupBy("page_id", "y", "cell").agg(F.collect_list(F.struct("x0", "x1", "inst_id")).alias("pieces"))
-    p = F.col("pieces")
-    ends = F.array_sort(F.array_distinct(F.concat(F.transform(p, lambda s: s["x0"]), F.transform(p, lambda s: s["x1"] + 1))))
-    # One row per interval first, so that each looks for its owner once.
-    at = gathered.select("page_id", "y", "pieces", F.explode(F.arrays_zip(ends.alias("x0"), F.slice(ends, F.lit(2), F.size(ends) - 1).alias("end"))).alias("i"))
-    owner = F.aggregate(
-        p,
-        F.lit(None).cast(pieces.schema["inst_id"].dataType),
-        lambda acc, s: F.when((s["x0"] <= F.col("i.x0")) & (s["x1"] >= F.col("i.end") - 1), F.greatest(acc, s["inst_id"])).otherwise(acc),
-    )
-    return at.filter("i.end is not null").select(
-        "page_id", owner.alias("inst_id"), "y", F.col("i.x0").alias("x0"), (F.col("i.end") - 1).alias("x1")
-    ).filter("inst_id is not null")
+    """Runs of the owners of overlapping pieces, by a sweep along each row of a cell."""
+    keys = ["page_id", "y", "cell"]
+    ordered = spread(pieces.select(*keys, "x0", "x1", "inst_id"), *keys).sortWithinPartitions(*keys, "x0", "x1")
+    schema = T.StructType([pieces.schema[c] for c in ("page_id", "inst_id", "y")])
+    for name in ("x0", "x1"):
+        schema = schema.add(name, T.IntegerType())
+
+    def sweep(batches):
+        parts = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts.append(batch)
+            if all(parts[0].column(c)[0] == batch.column(c)[-1] for c in keys):
+                continue  # still one row
+            held = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            key = [held.column(c).to_numpy(zero_copy_only=False) for c in keys]
+            new = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in key])])
+            yield swept(held.slice(0, int(new[-1])), new)
+            parts = [held.slice(int(new[-1]))]  # the last row may go on
+        if parts:
+            yield swept(pa.Table.from_batches(parts).combine_chunks().to_batches()[0], np.zeros(1, np.int64))
+
+    def swept(rows: pa.RecordBatch, begins: np.ndarray) -> pa.RecordBatch:
+        x0, x1, inst = (rows.column(c).to_pylist() for c in ("x0", "x1", "inst_id"))
+        cuts = [*begins[begins < rows.num_rows].tolist(), rows.num_rows]
+        found, of = [], []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            runs = sweep_row(x0[a:b], x1[a:b], inst[a:b])
+            found += runs
+            of += [a] * len(runs)
+        kept = rows.take(pa.array(of, pa.int64()))
+        start, stop, owner = zip(*found)
+        return pa.RecordBatch.from_arrays(
+            [kept.column("page_id"), pa.array(owner, rows.column("inst_id").type), kept.column("y"), pa.array(start, pa.int32()), pa.array(stop, pa.int32())],
+            names=["page_id", "inst_id", "y", "x0", "x1"])
+
+    return ordered.mapInArrow(sweep, schema)
 
 
 def touching_boundary(owner: DataFrame, wrap_size: tuple[str, str] | None = None) -> DataFrame:
     """Pixels of an instance map with another instance above, below, left or right.
 
-    *owner* has one span per owned run.  With *wrap_size* = (height column, width
-    column) opposite page edges count as neighbours.
+    *owner* has one span per owned run; runs of one pixel row do not overlap.  With
+    *wrap_size* = (height column, width column) opposite page edges count as neighbours.
+
+    Along a row, neighbours are runs that follow each other.  Between two rows, all runs of both
+    are swept once in order of x: where a run begins, the last run begun in the other row is the
+    only one it can lie beside.  No run meets all others of its row.
     """
     extra = list(wrap_size) if wrap_size else []
     a = owner.select("page_id", "inst_id", "y", "x0", "x1", *extra)
-    pieces = []
-    for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1)):
-        y, x0, x1 = F.col("y") + dy, F.col("x0") + dx, F.col("x1") + dx
-        moved = a.select("page_id", F.col("inst_id").alias("other"), y.alias("y"), x0.alias("m0"), x1.alias("m1"), *extra)
-        if wrap_size:
-            height, width = (F.col(c) for c in wrap_size)
-            moved = moved.withColumn("y", F.pmod(F.col("y"), height))
-            whole = F.struct(F.greatest("m0", F.lit(0)).alias("m0"), F.least(F.col("m1"), width - 1).alias("m1"))
-            left = F.struct((F.col("m0") + width).alias("m0"), (width - 1).alias("m1"))
-            right = F.struct(F.lit(0).alias("m0"), (F.col("m1") - width).alias("m1"))
-            parts = F.filter(F.array(
-                whole,
-                F.when(F.col("m0") < 0, left),
-                F.when(F.col("m1") >= width, right),
-            ), lambda s: s.isNotNull() & (s["m0"] <= s["m1"]))
-            moved = moved.select("page_id", "other", "y", F.explode(parts).alias("s")).select("page_id", "other", "y", "s.*")
-        else:
-            moved = moved.select("page_id", "other", "y", "m0", "m1")
-        pieces.append(moved)
-    neighbours = pieces[0]
-    for other in pieces[1:]:
-        neighbours = neighbours.unionByName(other)
-    hits = a.select("page_id", "inst_id", "y", "x0", "x1").join(neighbours, ["page_id", "y"]).filter(
-        (F.col("inst_id") != F.col("other")) & (F.col("m0") <= F.col("x1")) & (F.col("m1") >= F.col("x0"))
-    )
-    return merge_spans(
-        hits.select("page_id", "y", F.greatest("x0", "m0").alias("x0"), F.least("x1", "m1").alias("x1")), ["page_id"]
-    )
+    row = Window.partitionBy("page_id", "y").orderBy("x0")
+    after = F.lead(F.struct("inst_id", "x0")).over(row)
+    beside = a.withColumn("_next", after)
+    if wrap_size:
+        # the last run of a row goes on with the first one, if they reach the edges
+        whole = row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        first = F.first(F.struct("inst_id", "x0")).over(whole)
+        around = F.when((F.col("x1") == F.col(wrap_size[1]) - 1) & (first["x0"] == 0), F.struct(first["inst_id"].alias("inst_id"), F.col(wrap_size[1]).alias("x0")))
+        beside = a.withColumn("_next", F.coalesce(after, around))
+    meet = beside.filter((F.col("_next.x0") == F.col("x1") + 1) & (F.col("_next.inst_id") != F.col("inst_id")))
+    right = F.pmod(F.col("_next.x0"), F.col(wrap_size[1])) if wrap_size else F.col("_next.x0")
+    along = meet.select("page_id", "y", F.explode(F.array(F.col("x1"), right)).alias("x0")).withColumn("x1", F.col("x0"))
+
+    lower_pair = F.col("y") - 1 if not wrap_size else F.pmod(F.col("y") - 1, F.col(wrap_size[0]))
+    sides = F.array(F.struct(F.lit(True).alias("upper"), F.col("y").alias("pair")), F.struct(F.lit(False).alias("upper"), lower_pair.alias("pair")))
+    both = a.select("page_id", "inst_id", "x0", "x1", "y", F.explode(sides).alias("s")).select("page_id", "inst_id", "x0", "x1", "y", "s.*")
+    begun = Window.partitionBy("page_id", "pair").orderBy("x0").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda upper: F.last(F.when(F.col("upper") == upper, F.struct("inst_id", "x1", "y")), ignorenulls=True).over(begun)
+    swept = both.select("page_id", "pair", "x0", last(True).alias("u"), last(False).alias("l")).dropDuplicates(["page_id", "pair", "x0"])
+    stop = F.least("u.x1", "l.x1")
+    over = swept.filter((stop >= F.col("x0")) & (F.col("u.inst_id") != F.col("l.inst_id")))
+    across = over.select("page_id", F.explode(F.array("u.y", "l.y")).alias("y"), "x0", stop.alias("x1"))
+    return merge_spans(along.unionByName(across), ["page_id"])
 
 
 def boundary_mask(polygons: DataFrame, size: DataFrame, thickness: int = 3) -> DataFrame:
