@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scriptoria.checks.registry import check
@@ -9,6 +11,7 @@ from scriptoria.functions import geometry as G
 from scriptoria.functions import scalars as S
 from scriptoria.operators.scan import row_numbers
 from scriptoria.samples import Samples, oracle
+from scriptoria.session import ensure_checkpoint_dir
 from scriptoria.sources import coco, notes, page_xml, tables, yolo
 
 VERTEX = """
@@ -280,9 +283,13 @@ def label_summary(s: Samples):
     oracle("metric", "select user_id, count(try_cast(dr_text as double)) as n_read, count(*) as n_rows, round(avg(try_cast(dr_text as double)), 6) as mean_dr from metric group by user_id"),
 )
 def read_metrics(s: Samples):
-    value = F.col("dr_text").try_cast("double")
-    return s.metric.groupBy("user_id").agg(
-        F.count(value).alias("n_read"), F.count(F.lit(1)).alias("n_rows"), F.round(F.avg(value), 6).alias("mean_dr")
+    # written as CSV files first, with the columns in another order in some of them
+    folder = f"{ensure_checkpoint_dir(s.spark)}/metrics-{uuid.uuid4().hex}"
+    for i, columns in enumerate((["user_id", "dr_text"], ["dr_text", "user_id"])):
+        s.metric.filter(F.col("user_id") % 2 == i).select(*columns).write.option("header", True).csv(f"{folder}/{i}")
+    rows = tables.read_metrics(s.spark, [f"{folder}/{i}" for i in (0, 1)], ["user_id", "dr_text"])
+    return rows.groupBy(F.col("user_id").cast("long").alias("user_id")).agg(
+        F.count("dr_text").alias("n_read"), F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("dr_text"), 6).alias("mean_dr")
     )
 
 

@@ -101,21 +101,18 @@ def segment_variance(pixels: DataFrame, key: str = "page_id", segment: str = "sp
 def segment_affinity(pixels: DataFrame, key: str = "page_id", segment: str = "sp_id", prob: str = "prob") -> DataFrame:
     """Mean squared difference of neighbours in one segment, over rows and columns, averaged.
 
-    Neighbours meet by an equality join on their coordinates, so the work of a page
-    is spread by pixel.
+    Neighbours follow each other along a pixel row or column, so a window over each is all
+    there is: no pixel is copied, and a window holds a page's width or height at most.
     """
-    here = pixels.select(key, "y", "x", segment, F.col(prob).alias("_p"))
-    steps = F.explode(F.array(
-        F.struct(F.lit("h").alias("dir"), F.lit(0).alias("dy"), F.lit(1).alias("dx")),
-        F.struct(F.lit("v").alias("dir"), F.lit(1).alias("dy"), F.lit(0).alias("dx")),
-    )).alias("step")
-    before = here.select(key, segment, F.col("_p").alias("_q"), "y", "x", steps).select(
-        key, segment, "_q", (F.col("y") + F.col("step.dy")).alias("y"), (F.col("x") + F.col("step.dx")).alias("x"), "step.dir"
-    )
-    squared = F.pow(F.col("_p") - F.col("_q"), 2)
-    pairs = here.join(before, [key, segment, "y", "x"])
-    means = [F.avg(F.when(F.col("dir") == d, squared)) for d in ("h", "v")]
-    return pairs.agg(((means[0] + means[1]) / 2).alias("affinity"))
+    here = pixels.select(key, "y", "x", F.struct(segment, F.col(prob).alias("p"), "y", "x").alias("_c"))
+
+    def squared(along: str, across: str) -> Column:
+        after = F.lead("_c").over(Window.partitionBy(key, across).orderBy(along))
+        near = (after[along] == F.col(along) + 1) & (after[segment] == F.col("_c")[segment])
+        return F.when(near, F.pow(after["p"] - F.col("_c.p"), 2))
+
+    steps = here.select(squared("x", "y").alias("h"), squared("y", "x").alias("v"))
+    return steps.agg(((F.avg("h") + F.avg("v")) / 2).alias("affinity"))
 
 
 def otsu_thresholds(pixels: DataFrame, key: str = "page_id", prob: str = "prob") -> DataFrame:

@@ -6,36 +6,50 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptoria.functions import scalars as S
+from scriptoria.operators.scan import row_numbers
+
+
+def _first_lines(spark: SparkSession, path: str | list[str]) -> list[tuple[str, list[str], bool]]:
+    """Path, names of the columns, and whether a quoted cell holds a line end, of each file with a header.
+
+    One row a file comes to the driver, like Spark's own listing of the files.
+    """
+    lines = spark.read.option("ignoreCorruptFiles", "true").text(path).select(
+        F.col("_metadata.file_path").alias("path"), "value", F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("at"))
+    open_quote = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    files = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"), F.max(open_quote).alias("multi"))
+    width = files.agg(F.max(F.size(F.split("header", ",")))).first()[0] or 1
+    cells = F.from_csv("header", F.lit(", ".join(f"c{i} string" for i in range(width))))
+    named = files.select("path", F.transform(F.array(*(cells[f"c{i}"] for i in range(width))), F.trim).alias("names"), "multi")
+    return sorted((r.path, r.names, r.multi) for r in named.collect() if any(r.names))
 
 
 def read_metrics(spark: SparkSession, path: str | list[str], columns: Sequence[str]) -> DataFrame:
-    """Numeric columns of CSV files with a header; what cannot be read becomes null.
+    """Numeric columns of the CSV files of folders, with a header each; what cannot be read becomes null.
 
-    Files may differ in their columns: each is matched by its own header.  Cells are split
-    by the CSV parser, so quoted cells may hold commas (not line ends).
+    Files may differ in their columns: those with equal headers are read together, by Spark's CSV
+    reader.  A file is split over tasks unless a quoted cell holds a line end.  Columns: path,
+    row_no (from 0 in the file), *columns*.
     """
-    rows = (
-        spark.read.option("ignoreCorruptFiles", "true").text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n").alias("lines"))
-    )
-    # as many cells as the widest header could have
-    width = rows.agg(F.max(F.size(F.split(F.col("lines")[0], ",")))).first()[0] or 1
-    fields = F.lit(", ".join(f"c{i} string" for i in range(width)))
-
-    def split(line: Column) -> Column:
-        parsed = F.from_csv(line, fields)
-        return F.array(*[parsed[f"c{i}"] for i in range(width)])
-
-    header = F.transform(split(F.col("lines")[0]), lambda t: F.trim(t))
-    body = rows.select("path", header.alias("header"), F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("row_no", "line"))
-    cells = body.filter(F.trim("line") != "").withColumn("cells", split(F.col("line")))
-    def cell(c: str) -> Column:
-        at = F.array_position(F.col("header"), c).cast("int")
-        return F.when(at > 0, F.get(F.col("cells"), at - 1))
-
-    return cells.select("path", "row_no", *[cell(c).try_cast("double").alias(c) for c in columns])
+    groups: dict[tuple, list[str]] = {}
+    for file, names, multi in _first_lines(spark, path):
+        groups.setdefault((tuple(names), multi), []).append(file)
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("_at", T.StructType([T.StructField("start", T.LongType()), T.StructField("n", T.LongType())]))])
+    for c in columns:
+        schema = schema.add(c, T.DoubleType())
+    rows = spark.createDataFrame([], schema)
+    for (names, multi), files in groups.items():
+        width = next(i for i in range(len(names), 0, -1) if names[i - 1])
+        fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+        options = {"header": True, "multiLine": multi, "ignoreCorruptFiles": True, "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+        read = spark.read.options(**options).schema(fields).csv(files)
+        cells = [F.col(f"c{names.index(c)}").try_cast("double") if c in names else F.lit(None).cast("double") for c in columns]
+        at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+        rows = rows.unionAll(read.select(F.col("_metadata.file_path").alias("path"), at.alias("_at"), *(v.alias(c) for v, c in zip(cells, columns, strict=True))))
+    return row_numbers(rows, ["path"], [F.col("_at")], "row_no", start=0).select("path", "row_no", *columns)
 
 
 def mean_of_columns(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -164,6 +164,27 @@ def test_metric_files(spark, tmp_path):
     assert tables.write_metrics(rows, str(tmp_path / "some")) is True
 
 
+def test_metric_files_with_line_ends_in_cells_and_in_parts(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('name,DR\n"two\nlines ""x""",0.5\nplain, 0.25\n\n"",\n')
+    (tmp_path / "b.csv").write_text("name,DR\n" + "".join(f"row{i},{i}\n" for i in range(5000)))
+    (tmp_path / "c.csv").write_text("")
+    (tmp_path / "d.csv").write_text("DR\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 5000)
+    try:
+        rows = tables.read_metrics(spark, str(tmp_path), ["DR", "RA"]).cache()
+        got = sorted((r.path.rsplit("/", 1)[1], r.row_no, r.DR, r.RA) for r in rows.filter("path like '%a.csv' or row_no in (0, 4999)").collect())
+        assert rows.count() == 5003
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [g for g in got if g[0] == "a.csv"] == [("a.csv", 0, 0.5, None), ("a.csv", 1, 0.25, None), ("a.csv", 2, None, None)]
+    assert [g for g in got if g[0] == "b.csv"] == [("b.csv", 0, 0.0, None), ("b.csv", 4999, 4999.0, None)]
+
+
+def test_no_metric_files(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    assert tables.read_metrics(spark, str(tmp_path), ["DR"]).count() == 0
+
+
 def test_notes_file(spark, tmp_path):
     path = tmp_path / "pick.txt"
     path.write_text("  Grayscale variance method:\n    Image 1: a_max.jpg (variance: 1.0)\n\nPCA centroid method:\n    Image 0: c.jpg\n")
