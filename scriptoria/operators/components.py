@@ -153,7 +153,19 @@ def _join_bands(labelled: DataFrame, met: DataFrame, band_rows: int) -> DataFram
     )
     below = labelled.filter((F.col("y") % band_rows == 0) & (F.col("y") > 0)).withColumnRenamed("comp", "b")
     touching = above.join(below, ["page_id", "y"]).filter((F.col("a0") <= F.col("x1") + 1) & (F.col("a1") >= F.col("x0") - 1))
-    edges = checkpointed(touching.select("page_id", "a", "b").unionByName(met).distinct())
+    labels = connected(checkpointed(touching.select("page_id", "a", "b").unionByName(met).distinct()))
+    renamed = labels.withColumnRenamed("node", "comp")
+    return labelled.join(renamed, ["page_id", "comp"], "left").select(
+        "page_id", "y", "x0", "x1", F.coalesce("label", "comp").alias("comp")
+    )
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """Least node (label) that each node of stored *edges* (page_id, a, b) is connected with: page_id, node, label.
+
+    Labels are taken from neighbours and then from the nodes they name, so that chains take
+    rounds like the logarithm of their length.
+    """
     both = edges.unionByName(edges.select("page_id", F.col("b").alias("a"), F.col("a").alias("b")))
     labels = checkpointed(both.select("page_id", F.col("a").alias("node"), F.col("a").alias("label")).distinct())
     while True:
@@ -169,11 +181,7 @@ def _join_bands(labelled: DataFrame, met: DataFrame, band_rows: int) -> DataFram
         )
         labels = jumped.select("page_id", "node", "label")
         if jumped.filter("old <> label").isEmpty():
-            break
-    renamed = labels.withColumnRenamed("node", "comp")
-    return labelled.join(renamed, ["page_id", "comp"], "left").select(
-        "page_id", "y", "x0", "x1", F.coalesce("label", "comp").alias("comp")
-    )
+            return labels
 
 
 def component_stats(labelled: DataFrame) -> DataFrame:

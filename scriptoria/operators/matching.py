@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptoria.operators.components import connected
+from scriptoria.operators.scan import spread
 from scriptoria.session import checkpointed
 
 # Lines of one side a page may have for its matching to run as one row's fold.
@@ -108,7 +113,7 @@ def greedy_match(
     Dropping weaker pairs first is exact, since an accepted best is the best among
     the accepted.  Ordinary pages are folded in one row each; pages with more than
     *fold_limit* lines on a side (*counts*: page_id, N_gt, N_pred; or that many pairs,
-    without it) are matched by rounds of proposals over all their pairs at once.
+    without it) are matched component by component of competing lines.
     """
     live = overlaps.filter((F.col("iou") >= threshold) & (F.col("iou") > 0)).select("page_id", "gt_idx", "pred_idx", "iou")
     if counts is None:
@@ -121,7 +126,7 @@ def greedy_match(
     # Both branches read the pairs: store them once.
     live, large = checkpointed(live), checkpointed(large)
     folded = _fold_match(live.join(large, "page_id", "left_anti"))
-    return folded.unionByName(_match_by_rounds(live.join(large, "page_id", "left_semi")))
+    return folded.unionByName(_match_by_components(live.join(large, "page_id", "left_semi")))
 
 
 def _fold_match(live: DataFrame) -> DataFrame:
@@ -143,29 +148,37 @@ def _fold_match(live: DataFrame) -> DataFrame:
     ).select("page_id", "m.gt_idx", "m.pred_idx", "m.iou")
 
 
-def _match_by_rounds(live: DataFrame) -> DataFrame:
+def _match_by_components(live: DataFrame) -> DataFrame:
     """The same matching without gathering a page.
 
-    Every line proposes to its best remaining prediction and a prediction keeps the
-    earliest proposer, which every later line must respect; refused pairs go away
-    until no two lines propose to the same prediction.  The earliest line always
-    gets its wish, so the result is that of going through the lines in order.
+    Lines that compete for a prediction, directly or through others, are one component; what
+    happens in one does not touch another.  Components are dealt to tasks, whose sorted rows
+    stream through a loop that remembers the predictions taken in the component at hand.
     """
     live = checkpointed(live)
-    while True:
-        best = live.groupBy("page_id", "gt_idx").agg(
-            F.min(F.struct((-F.col("iou")).alias("cost"), "pred_idx")).alias("b")
-        ).select("page_id", "gt_idx", "b.pred_idx", (-F.col("b.cost")).alias("iou"))
-        held = best.groupBy("page_id", "pred_idx").agg(
-            F.min("gt_idx").alias("holder"), F.count(F.lit(1)).alias("proposals")
-        )
-        if held.filter("proposals > 1").isEmpty():
-            return best
-        live = checkpointed(
-            live.join(held.select("page_id", "pred_idx", "holder"), ["page_id", "pred_idx"], "left")
-            .filter(F.col("holder").isNull() | (F.col("gt_idx") <= F.col("holder")))
-            .drop("holder")
-        )
+    first, second = (F.col("gt_idx").cast("long") * 2).alias("a"), (F.col("pred_idx").cast("long") * 2 + 1).alias("b")
+    labels = connected(live.select("page_id", first, second))
+    named = live.join(labels.select("page_id", (F.col("node") / 2).cast("long").alias("gt_idx"), "label", F.col("node")).filter("node % 2 = 0").drop("node"), ["page_id", "gt_idx"])
+    order = ["page_id", "label", "gt_idx", F.col("iou").desc(), "pred_idx"]
+    dealt = spread(named.select("page_id", "gt_idx", "pred_idx", "iou", "label"), "page_id", "label").sortWithinPartitions(*order)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component = line = None
+        taken: set = set()
+        for batch in batches:
+            won = []
+            columns = (batch.column(c).to_pylist() for c in ("page_id", "label", "gt_idx", "pred_idx"))
+            for at, (page, label, gt, pred) in enumerate(zip(*columns, strict=True)):
+                if (page, label) != component:
+                    component, line, taken = (page, label), None, set()
+                if gt != line and pred not in taken:
+                    line = gt
+                    taken.add(pred)
+                    won.append(at)
+            yield batch.select(["page_id", "gt_idx", "pred_idx", "iou"]).take(pa.array(won, pa.int64()))
+
+    matches = dealt.select("page_id", "gt_idx", "pred_idx", "iou").schema
+    return dealt.mapInArrow(fold, matches).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in live.select("page_id", "gt_idx", "pred_idx", "iou").schema))
 
 
 def unique_match(overlaps: DataFrame, threshold: float = 0.75) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scriptoria.operators import components
 from scriptoria.operators import components as C
 from scriptoria.operators import lines as L
 from scriptoria.operators import matching as M
@@ -128,6 +129,21 @@ def flood(pixels):
     return found
 
 
+def test_a_long_chain_of_conflicts(spark):
+    # every line wants the next one's first choice more than its own: all shift by one
+    n = 5000
+    rows = [(1, g, g + d, 0.8 + 0.1 * d) for g in range(n) for d in (0, 1)] + [(1, n, n, 0.99)]
+    df = spark.createDataFrame(rows, "page_id long, gt_idx int, pred_idx int, iou double")
+    jobs = []
+    checkpointed = components.checkpointed
+    try:
+        components.checkpointed = lambda frame: jobs.append(1) or checkpointed(frame)
+        got = {(r.gt_idx, r.pred_idx) for r in M.greedy_match(df, 0.75, fold_limit=10).collect()}
+    finally:
+        components.checkpointed = checkpointed
+    assert got == {(g, g + 1) for g in range(n)} and len(jobs) < 30
+
+
 @pytest.mark.parametrize(("band_rows", "piece_runs", "batch"), [(8192, 10_000, 10_000), (7, 10_000, 10_000), (8192, 30, 10), (8192, 1, 3), (11, 20, 7)])
 def test_components_equal_flood_fill(spark, band_rows, piece_runs, batch):
     from scriptoria.operators.spans import pixels_to_spans, spans_to_pixels
