@@ -71,7 +71,7 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.nd
 
 def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of all texts with an end each, the token before each, and the text of each."""
-    hashes, counts = words.word_hashes(texts)
+    hashes, counts = words.hashes_of(texts)
     ends = np.cumsum(counts + 1) - 1
     token = np.empty(len(hashes) + len(texts), np.uint64)
     is_end = np.zeros(len(token), bool)
@@ -79,7 +79,7 @@ def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     token[~is_end], token[is_end] = hashes, END
     before = np.roll(token, 1)
     before[ends - counts] = BEGIN
-    return token, before, np.repeat(np.arange(len(texts)), counts + 1)
+    return token, before, np.repeat(np.arange(len(texts), dtype=np.int32), counts + 1)
 
 
 def prepared(docs: DataFrame, train: Column, text: str, doc_id: str) -> DataFrame:
@@ -149,10 +149,14 @@ def messages(rows: DataFrame, spread: Spread) -> DataFrame:
             block = (part << 32) | index
             token, before, doc = stream(texts)
             context = before >> np.uint64(64 - CONTEXT_BITS)
-            shard = spread(token, context)
-            _, rank = np.unique(token, return_inverse=True)
-            order = np.lexsort(((rank.astype(np.int64) << CONTEXT_BITS) | context.astype(np.int64), shard))
+            del before
+            shard = spread(token, context).astype(np.int32)
+            rank = np.unique(token, return_inverse=True)[1] << CONTEXT_BITS
+            rank |= context.view(np.int64)
+            order = np.lexsort((rank, shard))
+            del rank
             shard, token, context, doc = shard[order], token[order], context[order], doc[order]
+            del order
             e = starts_of(shard, token, context, doc)
             times = np.diff(np.append(e, len(token)))
             shard, token, context, doc = shard[e], token[e], context[e], doc[e]

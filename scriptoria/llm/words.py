@@ -73,6 +73,41 @@ def hashed(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield word_hashes(group)
 
 
+def in_parts(text: bytes, size: int = CHUNK) -> Iterator[bytes]:
+    """A text cut at blanks into parts of about *size* bytes, so that no word is cut."""
+    at = 0
+    while len(text) - at > size:
+        end = text.find(b" ", at + size)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
+def hashes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`word_hashes` with the memory of CHUNK bytes, also for long texts without long words."""
+    found, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
+    group, owner, size = [], [], 0
+
+    def flush() -> None:
+        hashes, n = word_hashes(group)
+        found.append(hashes)
+        np.add.at(counts, owner, n)
+
+    for i, text in enumerate(texts):
+        for part in in_parts(text):
+            if group and size + len(part) > CHUNK:
+                flush()
+                group, owner, size = [], [], 0
+            group.append(part)
+            owner.append(i)
+            size += len(part)
+    if group:
+        flush()
+    return np.concatenate(found), counts
+
+
 def rolled(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k words in a row, also over the ends of texts."""
     n = max(0, len(words) - k + 1)

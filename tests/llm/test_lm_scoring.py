@@ -102,3 +102,15 @@ def test_hashes_do_not_depend_on_neighbours():
     a, _ = words.word_hashes([b"one two three"])
     b, _ = words.word_hashes([b"", b"  three", b"TWO one"])
     assert a.tolist() == [b[2], b[1], b[0]]
+
+
+def test_hashes_in_parts(monkeypatch):
+    from scriptoria.llm import words
+
+    texts = [b"", b"one", b"  two  words ", "é ü\tß\nA".encode() * 30, b"x" * 500, b"a b " * 200, b" " * 300 + b"z"]
+    whole = words.word_hashes(texts)
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(words, "CHUNK", size)
+        monkeypatch.setattr(words.in_parts, "__defaults__", (size,))
+        got = words.hashes_of(texts)
+        assert got[0].tolist() == whole[0].tolist() and got[1].tolist() == whole[1].tolist()
