@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -217,50 +219,87 @@ def clip_to_crop(points: Column, x0: Column, y0: Column, size: Column) -> Column
 # --- per-polygon numeric functions, Arrow batches -------------------------------------
 
 
+def _first_of_largest(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Place in the flat array of the first largest value of each slice; slices are not empty."""
+    top = np.repeat(np.maximum.reduceat(values, starts), sizes)
+    at = np.flatnonzero(values == top)
+    return at[np.searchsorted(at, starts)]
+
+
+def simplify_rings(sizes: np.ndarray, x: np.ndarray, y: np.ndarray, ratio: float) -> np.ndarray:
+    """Which vertices Douglas-Peucker keeps of many closed rings, given one after another.
+
+    The tolerance is a share of each ring's perimeter.  A ring is cut at its two most distant
+    vertices; then, level by level, all open pieces of all rings are split at once.  Rings that
+    would keep under three vertices keep all.
+    """
+    keep = np.zeros(len(x), bool)
+    starts = np.cumsum(sizes) - sizes
+    full = np.flatnonzero(sizes >= 3)
+    if not len(full):
+        return ~keep
+    ring = np.repeat(np.arange(len(sizes)), sizes)
+    used = np.flatnonzero(sizes[ring] >= 3)
+    after = np.arange(len(x)) + 1
+    after[(starts + sizes - 1)[full]] = starts[full]
+    length = np.zeros(len(x))
+    length[used] = np.hypot(x[used] - x[after[used]], y[used] - y[after[used]])
+    n, base = sizes[full], starts[full]
+    flat = np.cumsum(n) - n  # of the full rings alone
+    tolerance = ratio * np.add.reduceat(length[used], flat)
+
+    def furthest(origin: np.ndarray) -> np.ndarray:
+        far = (x[used] - np.repeat(x[origin], n)) ** 2 + (y[used] - np.repeat(y[origin], n)) ** 2
+        return used[_first_of_largest(far, flat, n)]
+
+    first = furthest(base)
+    second = furthest(first)
+    low, high = np.minimum(first, second) - base, np.maximum(first, second) - base
+    cut = first != second
+    keep[first[cut]] = keep[second[cut]] = True
+    which = np.tile(np.flatnonzero(cut), 2)
+    start, end = np.concatenate([low[cut], high[cut]]), np.concatenate([high[cut], (low + n)[cut]])
+    while True:
+        inner = end - start - 1
+        some = inner > 0
+        which, start, end, inner = which[some], start[some], end[some], inner[some]
+        if not len(which):
+            break
+        piece = np.repeat(np.arange(len(which)), inner)
+        begin = np.cumsum(inner) - inner
+        at = base[which][piece] + (start[piece] + 1 + np.arange(len(piece)) - begin[piece]) % n[which][piece]
+        a, b = base[which] + start % n[which], base[which] + end % n[which]
+        dx, dy = (x[b] - x[a])[piece], (y[b] - y[a])[piece]
+        ox, oy = x[at] - x[a][piece], y[at] - y[a][piece]
+        chord = np.hypot(dx, dy)
+        distance = np.where(chord == 0, np.hypot(ox, oy), np.abs(dx * oy - dy * ox) / np.where(chord == 0, 1, chord))
+        worst = _first_of_largest(distance, begin, inner)
+        split = distance[worst] > tolerance[which]
+        keep[at[worst[split]]] = True
+        middle = (start + 1 + worst - begin)[split]
+        which = np.tile(which[split], 2)
+        start, end = np.concatenate([start[split], middle]), np.concatenate([middle, end[split]])
+    few = np.bincount(ring, keep, len(sizes)) < 3
+    return keep | few[ring]
+
+
 def simplify_ring(ring: np.ndarray, ratio: float) -> np.ndarray:
-    """Douglas-Peucker on a closed ring, tolerance a share of its perimeter."""
-    n = len(ring)
-    if n < 3:
-        return ring
-    tolerance = ratio * np.hypot(*(ring - np.roll(ring, -1, axis=0)).T).sum()
-    first = int(np.argmax(((ring - ring[0]) ** 2).sum(axis=1)))
-    second = int(np.argmax(((ring - ring[first]) ** 2).sum(axis=1)))
-    if first == second:
-        return ring
-    low, high = sorted((first, second))
-    keep = np.zeros(n, dtype=bool)
-    keep[[low, high]] = True
-    pending = [(low, high), (high, low + n)]
-    while pending:
-        start, end = pending.pop()
-        if end - start < 2:
-            continue
-        inner = np.arange(start + 1, end) % n
-        a, b = ring[start % n], ring[end % n]
-        chord = b - a
-        length = np.hypot(*chord)
-        offset = ring[inner] - a
-        distance = np.hypot(*offset.T) if length == 0 else np.abs(chord[0] * offset[:, 1] - chord[1] * offset[:, 0]) / length
-        worst = int(np.argmax(distance))
-        if distance[worst] > tolerance:
-            middle = start + 1 + worst
-            keep[middle % n] = True
-            pending += [(start, middle), (middle, end)]
-    return ring[keep] if keep.sum() >= 3 else ring
+    """Douglas-Peucker on one closed ring, tolerance a share of its perimeter."""
+    return ring[simplify_rings(np.array([len(ring)]), ring[:, 0], ring[:, 1], ratio)] if len(ring) else ring
 
 
 def simplify(points: Column, ratio: float) -> Column:
     """Simplified polygon with integer vertices; null when the input has under 3 points."""
 
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())])))
-    def run(batch: pd.Series) -> pd.Series:
-        def one(pts):
-            if pts is None or len(pts) < 3:
-                return None
-            ring = np.array([(p["x"], p["y"]) for p in pts], dtype=float)
-            return [{"x": int(x), "y": int(y)} for x, y in np.rint(simplify_ring(ring, ratio))]
-
-        return batch.map(one)
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())])))
+    def run(batch: pa.Array) -> pa.Array:
+        sizes = batch.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        x, y = (pc.struct_field(batch.flatten(), c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+        keep = simplify_rings(sizes, x, y, ratio)
+        kept = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
+        vertices = [pa.array(np.rint(v[keep]).astype(np.int32)) for v in (x, y)]
+        ends = np.append(0, np.cumsum(kept)).astype(np.int32)
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(vertices, ["x", "y"]), mask=pa.array(sizes < 3))
 
     return run(points)
 

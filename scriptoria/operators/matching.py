@@ -16,40 +16,57 @@ from scriptoria.session import checkpointed
 FOLD_LIMIT = 1000
 
 
-def _cells(df: DataFrame, width: int, height: int) -> DataFrame:
-    across = F.sequence(F.floor(F.col("x1") / width), F.floor(F.col("x2") / width))
-    down = F.sequence(F.floor(F.col("y1") / height), F.floor(F.col("y2") / height))
-    return df.withColumn("_cx", F.explode(across)).withColumn("_cy", F.explode(down))
+# Width and height of the cells of the coarse and of the fine grid.
+CELL, FINE_CELL = (2048, 256), (64, 16)
+# Which pairs meet: both small in the fine grid, all others in the coarse one.
+SMALL_PAIR, SMALL_GT, SMALL_PRED, LARGE_PAIR = range(4)
 
 
-def candidate_pairs(gt: DataFrame, pred: DataFrame, cell: tuple[int, int] = (2048, 256), min_iou: float = 0.0) -> DataFrame:
+def _cells(df: DataFrame, large_alone: int, small_alone: int, cell: tuple[int, int], fine: tuple[int, int]) -> DataFrame:
+    """Rows at the cells where a box meets others of its size and of the other size.
+
+    *large_alone* and *small_alone* are the kinds of pairs of a large, or small, box of this
+    side with one of the other size.
+    """
+    small = (F.col("x2") - F.col("x1") < fine[0]) & (F.col("y2") - F.col("y1") < fine[1])
+    place = lambda kind, wh: F.struct(F.lit(kind).alias("_kind"), F.lit(wh[0]).alias("_w"), F.lit(wh[1]).alias("_h"))
+    kinds = F.when(small, F.array(place(SMALL_PAIR, fine), place(small_alone, cell))).otherwise(F.array(place(LARGE_PAIR, cell), place(large_alone, cell)))
+    rows = df.withColumn("_at", F.explode(kinds)).select("*", "_at.*").drop("_at")
+    across = F.sequence(F.floor(F.col("x1") / F.col("_w")), F.floor(F.col("x2") / F.col("_w")))
+    down = F.sequence(F.floor(F.col("y1") / F.col("_h")), F.floor(F.col("y2") / F.col("_h")))
+    return rows.withColumn("_cx", F.explode(across)).withColumn("_cy", F.explode(down))
+
+
+def candidate_pairs(gt: DataFrame, pred: DataFrame, cell: tuple[int, int] = CELL, min_iou: float = 0.0, fine: tuple[int, int] = FINE_CELL) -> DataFrame:
     """Pairs of a ground-truth and a predicted box of one page that overlap.
 
     Both sides go to the page cells they cover and meet there, so the join key is
     (page, cell), not the page; a pair is kept only in the cell that holds the top
-    left corner of its intersection, hence once.  The overlap test is exact:
-    without it the IoU is 0.  With *min_iou* boxes whose areas alone rule out that
-    IoU are dropped inside the join.
+    left corner of its intersection, hence once.  Two boxes smaller than a *fine* cell
+    meet in the fine grid, other pairs in the coarse one, so that many small boxes in
+    one coarse cell do not all meet.  The overlap test is exact: without it the IoU is
+    0.  With *min_iou* boxes whose areas alone rule out that IoU are dropped inside the
+    join.
 
     *gt* has page_id, gt_idx and *pred* page_id, pred_idx, both x1, y1, x2, y2.
     """
-    g = _cells(gt.select("page_id", "gt_idx", "x1", "y1", "x2", "y2"), *cell)
+    g = _cells(gt.select("page_id", "gt_idx", "x1", "y1", "x2", "y2"), SMALL_PRED, SMALL_GT, cell, fine)
     p = _cells(
         pred.select(
             "page_id", "pred_idx", F.col("x1").alias("px1"), F.col("y1").alias("py1"),
             F.col("x2").alias("px2"), F.col("y2").alias("py2"),
             F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"),
         ),
-        *cell,
-    ).drop("x1", "y1", "x2", "y2")
+        SMALL_GT, SMALL_PRED, cell, fine,
+    ).drop("x1", "y1", "x2", "y2", "_w", "_h")
     left, top = F.greatest("x1", "px1"), F.greatest("y1", "py1")
     overlap = (left <= F.least("x2", "px2")) & (top <= F.least("y2", "py2"))
-    once = (F.floor(left / cell[0]) == F.col("_cx")) & (F.floor(top / cell[1]) == F.col("_cy"))
-    pairs = g.join(p, ["page_id", "_cx", "_cy"]).filter(overlap & once)
+    once = (F.floor(left / F.col("_w")) == F.col("_cx")) & (F.floor(top / F.col("_h")) == F.col("_cy"))
+    pairs = g.join(p, ["page_id", "_kind", "_cx", "_cy"]).filter(overlap & once)
     if min_iou > 0:
         a, b = _area("x1", "y1", "x2", "y2"), _area("px1", "py1", "px2", "py2")
         pairs = pairs.filter(F.least(a, b) >= F.greatest(a, b) * min_iou)
-    return pairs.drop("_cx", "_cy")
+    return pairs.drop("_kind", "_w", "_h", "_cx", "_cy")
 
 
 def _area(x1: str, y1: str, x2: str, y2: str) -> Column:

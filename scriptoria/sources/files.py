@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptoria.functions import scalars as S
 
@@ -151,15 +154,31 @@ def image_sizes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return read_images(spark, paths).select("path", "width", "height")
 
 
-def copy_new_images(spark: SparkSession, sources: DataFrame, target: str, roots: str | list[str], existing: DataFrame | None = None) -> None:
+# Paths that one read opens: a bound of the driver's memory and of a broadcast.
+PATHS_AT_ONCE = 10_000
+
+
+def bytes_of_paths(spark: SparkSession, rows: list, schema: T.StructType) -> DataFrame:
+    """*rows* (path and other columns, at most PATHS_AT_ONCE) with the content of their files, no other of which is opened."""
+    if len(rows) > PATHS_AT_ONCE:
+        raise ValueError(f"more than {PATHS_AT_ONCE} paths at once")
+    paths = [re.sub(r"([\\\[\]{}*?])", r"\\\1", r["path"]) for r in rows]  # names, not patterns
+    content = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return content.join(F.broadcast(spark.createDataFrame(rows, schema)), "path")
+
+
+def copy_new_images(spark: SparkSession, sources: DataFrame, target: str, roots: str | list[str] | None = None, existing: DataFrame | None = None) -> None:
     """Store image bytes by split, leaving out what *existing* (split, name) already holds.
 
-    *sources* has path and split; *roots* are the folders that were listed.  Bytes go to
-    parquet partitioned by split.  Paths are joined to the files, so few paths reach the
-    files' tasks and no bytes are shuffled; beyond Spark's size threshold it sorts both.
+    *sources* has path and split.  The new paths pass through the driver in parts, as a listing
+    of files does; tasks open these files only, however many others their folders hold, and
+    write their bytes where they read them.  Bytes go to parquet partitioned by split.  *roots*
+    is not needed any more.
     """
     wanted = sources.select("path", "split", S.basename(F.col("path")).alias("name"))
     if existing is not None:
         wanted = wanted.join(existing.select("split", "name"), ["split", "name"], "left_anti")
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots).select("path", "content")
-    wanted.join(content, "path").write.mode("append").partitionBy("split").parquet(target)
+    wanted = wanted.select("path", "split", "name")
+    new = wanted.toLocalIterator()
+    while rows := list(islice(new, PATHS_AT_ONCE)):
+        bytes_of_paths(spark, rows, wanted.schema).write.mode("append").partitionBy("split").parquet(target)
