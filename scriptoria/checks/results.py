@@ -12,9 +12,8 @@ from scriptoria.operators import lines as L
 from scriptoria.operators import matching as M
 from scriptoria.operators import metrics as Q
 from scriptoria.operators import selection as sel
-from scriptoria.operators.scan import row_numbers
+from scriptoria.plans import evaluate
 from scriptoria.samples import Samples, oracle
-from scriptoria.session import checkpointed
 
 
 @check(
@@ -201,29 +200,5 @@ best as (select prec, rec from curve where i = 0 order by round(2 * prec * rec /
 @check("a23_average_precision", oracle("line pred", """select round((select ap from ap where i = 0), 7) as map50, round((select avg(ap) from ap), 7) as map50_95,
     round((select prec from best), 7) as "precision", round((select rec from best), 7) as recall""", DETECTION))
 def average_precision(s: Samples):
-    # One pass for all ten IoU levels: a page at a level is a page of its own.
-    gt, pred = checkpointed(matching.gt_boxes(s).select("page_id", "gt_idx", "x1", "y1", "x2", "y2")), s.pred
-    order = [F.col("score").desc(), F.col("pred_idx")]
-    ranked = checkpointed(row_numbers(pred, ["page_id"], order, "turn", start=0))
-    overlaps = M.box_overlap(M.candidate_pairs(gt, ranked.drop("pred_idx").withColumnRenamed("turn", "pred_idx"), min_iou=0.5))
-    levels = F.filter(F.array(*[F.lit(i) for i in range(10)]), lambda i: F.col("iou") >= (50 + 5 * i) / 100.0)
-    exploded = overlaps.withColumn("i", F.explode(levels)).select(
-        (F.col("page_id") * 10 + F.col("i")).alias("page_id"), F.col("pred_idx").alias("gt_idx"), F.col("gt_idx").alias("pred_idx"), "iou"
-    )
-    # sizes are looked up under the same page numbers as the pairs
-    counts = M.line_counts(gt, pred)
-    at_levels = counts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("page_id", F.col("page_id") * 10 + F.col("i"))
-    wins = M.greedy_match(exploded, 0.5, at_levels)
-    true_hits = wins.select(F.floor(F.col("page_id") / 10).alias("page_id"), (F.col("page_id") % 10).cast("int").alias("i"), F.col("gt_idx").alias("turn"), F.lit(1).alias("tp"))
-    # the levels a prediction hits are one array until after the join
-    hits = true_hits.groupBy("page_id", "turn").agg(F.collect_set("i").alias("hits"))
-    marked = ranked.select("page_id", "turn", "score").join(hits, ["page_id", "turn"], "left")
-    summed = marked.select("score", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"), F.coalesce("hits", F.array().cast("array<int>")).alias("hits"))
-    flagged = summed.select("i", "score", F.array_contains("hits", F.col("i")).cast("int").alias("tp"))
-    curve = Q.precision_recall(flagged, counts.agg(F.sum("N_gt")).first()[0] or 0, ["i"])
-    ap = Q.average_precision(curve, ["i"])
-    first = lambda c: F.max(F.when(F.col("i") == 0, F.col(c)))
-    return ap.agg(
-        F.round(first("ap"), 7).alias("map50"), F.round(F.avg("ap"), 7).alias("map50_95"),
-        F.round(first("precision"), 7).alias("precision"), F.round(first("recall"), 7).alias("recall"),
-    )
+    found = evaluate.detection_scores(matching.gt_boxes(s), s.pred)
+    return found.select(*(F.round(c, 7).alias(c) for c in ("map50", "map50_95", "precision", "recall")))

@@ -107,11 +107,11 @@ def fold_stretches(placed: DataFrame, threshold: float, fold_rows: int = FOLD_RO
         return rows.select("page_id", "_stretch", "_size", "_part", F.aggregate("rows", before, place).alias("kept"))
 
     none = F.array().cast(kept_type)
+    packed = checkpointed(packed)  # read for the longest stretch and for the fold
     longest = packed.agg(F.max("_size")).first()[0] or 0
     if longest <= fold_rows:
         done = fold(packed, none)
     else:
-        packed = checkpointed(packed)
         held = fold(packed.filter("_part = 0"), none)
         for part in range(1, -(-longest // fold_rows)):
             held = checkpointed(held)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptoria.functions import geometry as G
 from scriptoria.operators.components import connected
 from scriptoria.operators.scan import spread
+from scriptoria.operators.spans import _polygon_rows as fill_rows
 from scriptoria.session import checkpointed
 
 # Lines of one side a page may have for its matching to run as one row's fold.
@@ -118,6 +121,85 @@ def span_overlap(gt_spans: DataFrame, pred_spans: DataFrame, min_iou: float = 0.
     ).filter(F.col("inter") > 0)
 
 
+def polygon_overlap(gt: DataFrame, pred: DataFrame, size: DataFrame | None = None, min_iou: float = 0.0) -> DataFrame:
+    """Pixel-exact IoU of polygons (page_id, gt_idx / pred_idx, points) whose boxes meet; pairs without a common pixel give no row.
+
+    Pairs come from the boxes of the vertices, so nothing is filled for them.  A pair then
+    carries both outlines to one task, which fills and compares them there: no pixel row is
+    shuffled.  With *size* (page_id, width, height) only pixels on the page count.
+    """
+    bounds = [] if size is None else ["width", "height"]
+
+    def placed(lines: DataFrame, idx: str) -> DataFrame:
+        rows = lines.filter(F.size("points") > 0).select("page_id", idx, F.col("points"))
+        if size is not None:
+            rows = rows.join(size.select("page_id", *bounds), "page_id")
+        return rows
+
+    def boxes(rows: DataFrame, idx: str) -> DataFrame:
+        box = G.bounding_box(F.col("points"))
+        corners = {c: F.floor(box[c]).cast("int") if c[1] == "1" else F.ceil(box[c]).cast("int") for c in ("x1", "y1", "x2", "y2")}
+        if size is not None:
+            corners |= {c: F.greatest(v, F.lit(0)) for c, v in corners.items() if c[1] == "1"}
+            corners |= {c: F.least(corners[c], F.col(full) - 1) for c, full in (("x2", "width"), ("y2", "height"))}
+        return rows.select("page_id", idx, *(v.alias(c) for c, v in corners.items())).filter("x1 <= x2 and y1 <= y2")
+
+    g, p = placed(gt, "gt_idx"), placed(pred, "pred_idx")
+    pairs = candidate_pairs(boxes(g, "gt_idx"), boxes(p, "pred_idx")).select("page_id", "gt_idx", "pred_idx")
+    outlined = pairs.join(g.withColumnRenamed("points", "_g"), ["page_id", "gt_idx"]).join(
+        p.select("page_id", "pred_idx", F.col("points").alias("_p")), ["page_id", "pred_idx"])
+    sides = [f(F.col(c)).alias(n) for c, f, n in (("_g", G.xs, "_gx"), ("_g", G.ys, "_gy"), ("_p", G.xs, "_px"), ("_p", G.ys, "_py"))]
+    rows = outlined.select("page_id", "gt_idx", "pred_idx", *bounds, *sides)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAIRS_AT_ONCE):
+                batch = whole.slice(at, PAIRS_AT_ONCE)
+                page = [batch.column(c).to_numpy(zero_copy_only=False) for c in bounds]
+                a, b = (_filled(batch.column(x), batch.column(y), page) for x, y in (("_gx", "_gy"), ("_px", "_py")))
+                inter, union = shared_pixels(a, b, batch.num_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("page_id", "gt_idx", "pred_idx")), pa.array(inter), pa.array(union)], names=["page_id", "gt_idx", "pred_idx", "inter", "union"])
+
+    schema = rows.select("page_id", "gt_idx", "pred_idx", F.lit(0).cast("long").alias("inter"), F.lit(0).cast("long").alias("union")).schema
+    found = spread(rows, "page_id", "gt_idx").mapInArrow(compare, schema).filter("inter > 0").withColumn("iou", F.col("inter") / F.col("union"))
+    return found.filter(F.col("iou") >= min_iou)
+
+
+# Pairs of polygons a task fills together.
+PAIRS_AT_ONCE = 2048
+
+
+def _filled(xs: pa.Array, ys: pa.Array, page: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Spans (row of the batch, y, x0, x1) of outlines, cut to their pages' width and height."""
+    offsets = np.append(0, np.cumsum(xs.value_lengths().to_numpy())).astype(np.int64)
+    x, y = (v.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for v in (xs, ys))
+    p, row, x0, x1 = fill_rows(offsets, x, y)
+    if page:
+        x0, x1 = np.maximum(x0, 0), np.minimum(x1, page[0][p] - 1)
+        on = (row >= 0) & (row < page[1][p]) & (x0 <= x1)
+        p, row, x0, x1 = p[on], row[on], x0[on], x1[on]
+    return p, row, x0, x1
+
+
+def shared_pixels(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common and joint pixels of *n* pairs of masks, as spans (pair, y, x0, x1) in order that do not overlap."""
+    area = sum(np.bincount(p, x1 - x0 + 1, n) for p, _, x0, x1 in (a, b)).astype(np.int64)
+    if not len(a[0]) or not len(b[0]):
+        return np.zeros(n, np.int64), area
+    low_y, low_x = (min(int(a[k].min()), int(b[k].min())) for k in (1, 2))
+    tall = max(int(a[1].max()), int(b[1].max())) - low_y + 1
+    wide = max(int(a[3].max()), int(b[3].max())) - low_x + 2
+    line = lambda s: (s[0] * tall + s[1] - low_y) * wide - low_x
+    at_a, at_b = line(a), line(b)
+    first = np.searchsorted(at_b + b[3], at_a + a[2], "left")
+    count = np.maximum(np.searchsorted(at_b + b[2], at_a + a[3], "right") - first, 0)
+    i = np.repeat(np.arange(len(count)), count)
+    j = np.repeat(first, count) + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+    inter = np.bincount(a[0][i], np.minimum(a[3][i], b[3][j]) - np.maximum(a[2][i], b[2][j]) + 1, n).astype(np.int64)
+    return inter, area - inter
+
+
 def greedy_match(
     overlaps: DataFrame,
     threshold: float = 0.75,

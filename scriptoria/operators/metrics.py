@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptoria.operators.scan import GROUP_LIMIT, prefix_scan
+from scriptoria.session import checkpointed
 
 EPS = 1e-6
 
@@ -161,15 +162,17 @@ def corpus_counts(pages: DataFrame, by: Sequence[str] = ("manuscript", "split"))
     return pages.rollup(*by).agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("n_lines"), F.lit(0)).alias("lines"))
 
 
-def precision_recall(detections: DataFrame, n_gt: int | Column, by: Sequence[str] = (), group_limit: int = GROUP_LIMIT) -> DataFrame:
+def precision_recall(detections: DataFrame, n_gt: int | Column, by: Sequence[str] = (), group_limit: int = GROUP_LIMIT, times: Column | None = None) -> DataFrame:
     """Cumulative precision and recall from the highest score down.
 
-    *detections* has score and tp (0/1).  Exactly equal scores count as one step; scores
+    *detections* has score and tp (0/1); a row stands for *times* detections, one by default.  Exactly equal scores count as one step; scores
     are not rounded.  Sums run through ``prefix_scan``, so a group may have any number of
     steps.
     """
     by = list(by)
-    steps = detections.groupBy(*by, "score").agg(F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("n"))
+    times = F.lit(1) if times is None else times
+    # stored: the scans look at the sizes of groups first, and what lies below is a whole matching
+    steps = checkpointed(detections.groupBy(*by, "score").agg(F.sum(F.col("tp") * times).alias("tp"), F.sum(times).alias("n")))
     total = F.lit(n_gt) if isinstance(n_gt, int) else n_gt
     curve = prefix_scan(steps, by, [F.desc("score")], {"ctp": ("sum", F.col("tp")), "cn": ("sum", F.col("n"))}, group_limit)
     before = F.coalesce((F.col("ctp") - F.col("tp")) / total, F.lit(0.0))

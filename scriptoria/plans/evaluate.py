@@ -9,6 +9,7 @@ from scriptoria.functions import geometry as G
 from scriptoria.operators import components as C
 from scriptoria.operators import lines as L
 from scriptoria.operators import matching as M
+from scriptoria.operators import metrics as Q
 from scriptoria.operators import spans as R
 from scriptoria.operators.scan import row_numbers
 from scriptoria.session import checkpointed
@@ -57,20 +58,46 @@ def score_polygons(gt: DataFrame, pred: DataFrame, threshold: float = 0.75, digi
     With *size* (page_id, width, height) only pixels on the page count; lines outside
     still count as lines.
     """
-    def spans(lines: DataFrame, idx: str) -> DataFrame:
-        rows = lines.select("page_id", idx, "points")
-        if size is None:
-            return R.fill_polygons(rows)
-        placed = rows.join(size.select("page_id", "width", "height"), "page_id")
-        return R.fill_polygons(placed, bounds=("width", "height")).drop("width", "height")
-
-    gt_spans, pred_spans = spans(gt, "gt_idx"), spans(pred, "pred_idx")
-    overlaps = M.span_overlap(gt_spans, pred_spans, min_iou=threshold)
+    overlaps = M.polygon_overlap(gt, pred, size, min_iou=threshold)
     counts = M.line_counts(gt, pred)
     matches = M.greedy_match(overlaps, threshold, counts)
     return M.page_scores(counts, matches, digits)
 
 
+LEVELS = 10
+
+
+def detection_scores(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """map50, map50_95 and precision and recall at the best F1 of IoU 0.5, of boxes (page_id, gt_idx / pred_idx, x1, y1, x2, y2; score).
+
+    Predictions of a page are matched in score order at IoU 0.50, 0.55, to 0.95, all in one pass:
+    a page at a level is a page of its own.
+    """
+    gt = checkpointed(gt.select("page_id", "gt_idx", "x1", "y1", "x2", "y2"))
+    order = [F.col("score").desc(), F.col("pred_idx")]
+    ranked = checkpointed(row_numbers(pred, ["page_id"], order, "turn", start=0))
+    overlaps = M.box_overlap(M.candidate_pairs(gt, ranked.drop("pred_idx").withColumnRenamed("turn", "pred_idx"), min_iou=0.5))
+    levels = F.filter(F.array(*[F.lit(i) for i in range(LEVELS)]), lambda i: F.col("iou") >= (50 + 5 * i) / 100.0)
+    exploded = overlaps.withColumn("i", F.explode(levels)).select(
+        (F.col("page_id") * LEVELS + F.col("i")).alias("page_id"), F.col("pred_idx").alias("gt_idx"), F.col("gt_idx").alias("pred_idx"), "iou"
+    )
+    # sizes are looked up under the same page numbers as the pairs
+    counts = M.line_counts(gt, ranked)
+    at_levels = counts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("page_id", F.col("page_id") * LEVELS + F.col("i"))
+    wins = M.greedy_match(exploded, 0.5, at_levels)
+    true_hits = wins.select(F.floor(F.col("page_id") / LEVELS).alias("page_id"), (F.col("page_id") % LEVELS).cast("int").alias("i"), F.col("gt_idx").alias("turn"))
+    # the levels a prediction hits are one array, and predictions of equal score and hits one row, until the levels are told apart
+    hits = true_hits.groupBy("page_id", "turn").agg(F.array_sort(F.collect_set("i")).alias("hits"))
+    marked = ranked.select("page_id", "turn", "score").join(hits, ["page_id", "turn"], "left")
+    alike = marked.groupBy("score", F.coalesce("hits", F.array().cast("array<int>")).alias("hits")).agg(F.count(F.lit(1)).alias("times"))
+    told = alike.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    flagged = told.select("i", "score", F.array_contains("hits", F.col("i")).cast("int").alias("tp"), "times")
+    curve = Q.precision_recall(flagged, counts.agg(F.sum("N_gt")).first()[0] or 0, ["i"], times=F.col("times"))
+    ap = Q.average_precision(curve, ["i"])
+    first = lambda c: F.max(F.when(F.col("i") == 0, F.col(c)))
+    return ap.agg(first("ap").alias("map50"), F.avg("ap").alias("map50_95"), first("precision").alias("precision"), first("recall").alias("recall"))
+
+
 def score_masks(gt_spans: DataFrame, pred_spans: DataFrame, threshold: float = 0.75, digits: int = 2) -> DataFrame:
     """Page scores of mask components (page_id, y, x0, x1)."""
     # labelled spans are read for the overlap and for the counts: stored once

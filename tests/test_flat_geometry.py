@@ -94,3 +94,24 @@ def test_only_listed_files_are_opened(spark, tmp_path):
     assert {bytes(r.content) for r in found.collect()} == {b"\x03", b"odd"}
     with pytest.raises(ValueError):
         files.bytes_of_paths(spark, [rows.first()] * (files.PATHS_AT_ONCE + 1), rows.schema)
+
+
+@pytest.mark.parametrize("bounded", [False, True])
+def test_polygon_overlap_equals_filled_spans(spark, bounded):
+    from scriptoria.operators import spans as R
+
+    rng = np.random.default_rng(9)
+    line = lambda: [(int(x), int(y)) for x, y in rng.integers(-10, 40, (rng.integers(1, 9), 2))]
+    made = lambda idx: spark.createDataFrame([(p, i, line()) for p in range(4) for i in range(12)] + [(9, 0, [])], f"page_id long, {idx} int, points array<struct<x:int,y:int>>")
+    g, p = made("gt_idx"), made("pred_idx")
+    size = spark.createDataFrame([(i, 20 + i, 25) for i in range(4)], "page_id long, width int, height int") if bounded else None
+
+    def filled(df, idx):
+        rows = R.fill_polygons(df) if size is None else R.fill_polygons(df.join(size, "page_id"), bounds=("width", "height"))
+        return rows.select("page_id", idx, "y", "x0", "x1")
+
+    want = {(r.page_id, r.gt_idx, r.pred_idx): (r.inter, r.union, r.iou) for r in M.span_overlap(filled(g, "gt_idx"), filled(p, "pred_idx")).collect()}
+    got = {(r.page_id, r.gt_idx, r.pred_idx): (r.inter, r.union, r.iou) for r in M.polygon_overlap(g, p, size).collect()}
+    assert got == want and len(got) > 100
+    some = {k for k, v in want.items() if v[2] >= 0.2}
+    assert {(r.page_id, r.gt_idx, r.pred_idx) for r in M.polygon_overlap(g, p, size, min_iou=0.2).collect()} == some
