@@ -71,6 +71,29 @@ def blended_windows(s: Samples):
     return probs.groupBy("page_id").agg(F.round(F.sum("prob"), 5).alias("total"), F.round(F.max("prob"), 6).alias("top"))
 
 
+@check(
+    "a04_rated_masks",
+    oracle("grid", """select page_id, round(tp / (tp + fp + fn + 1e-6::double), 9) as "IoU", round(tp / (tp + fn + 1e-6::double), 9) as "Recall" from (
+        select d.page_id as page_id, count(*) filter (where p > 0.4321 and mask = 1) as tp, count(*) filter (where p > 0.4321 and mask = 0) as fp, count(*) filter (where not p > 0.4321 and mask = 1) as fn
+        from (select page_id, y, x, sum(q * g) / greatest(sum(g), 1e-6) as p from (
+          select page_id, y, x, case when 64 * v > sum(v) over (partition by page_id, wy, wx) then 1.0::double else 0.0::double end as q,
+            exp(-(power((y - wy) * (2.0 / 7) - 1.0, 2) + power((x - wx) * (2.0 / 7) - 1.0, 2)) / 0.5) as g
+          from (select page_id, y, x, wy, red + green + blue as v, xs from (select *, unnest(list_filter(ys, lambda w: w <= y and y < w + 8)) as wy from placed)) a,
+            lateral (select unnest(list_filter(xs, lambda w: w <= x and x < w + 8)) as wx) b) c
+        group by page_id, y, x) d join grid g on g.page_id = d.page_id and g.y = d.y and g.x = d.x group by d.page_id) e""", """
+      size as (select page_id, max(y) + 1 as h from grid group by page_id),
+      axis as (select page_id, h, range(0, greatest(h - 7, 1), 4) as ys, range(0, 9, 4) as xs from size),
+      placed as (select g.*, case when h > 8 and list_last(ys) + 8 < h then list_append(ys, h - 8) else ys end as ys, xs from grid g join axis using (page_id))"""),
+)
+def rated_masks(s: Samples):
+    pixel = F.struct("y", "x", F.when(F.col("mask") == 1, "FF").otherwise("00").alias("m"))
+    rows = s.grid.groupBy("page_id").agg(F.array_sort(F.collect_list(pixel)).alias("p"), (F.max("y") + 1).alias("height"))
+    masks = rows.select("page_id", "height", F.lit(16).alias("width"), F.lit(1).alias("n_channels"), F.unhex(F.array_join(F.transform("p", lambda c: c["m"]), "")).alias("data"))
+    probs = predict.blended_probabilities(grid_images(s), make_brighter, size=8, stride=4)
+    found = predict.rated_masks(probs, masks, 0.4321, "gray_positive")
+    return found.select("page_id", F.round("IoU", 9).alias("IoU"), F.round("Recall", 9).alias("Recall"))
+
+
 # Each line of a page as a polygon on the grid: two pixel rows high, a few pixels wide.
 ON_GRID = "select page_id, line_idx, cast(x1 % 7 as int) as a, cast(x1 % 7 + 2 + x2 % 7 as int) as b, line_idx * 2 as y from line"
 

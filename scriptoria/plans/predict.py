@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptoria.functions import geometry as G
-from scriptoria.operators import cuts, matching, tiles
+from scriptoria.operators import cuts, matching, metrics, tiles
 from scriptoria.operators.scan import row_numbers, spread
 from scriptoria.operators.scoring import score_batches
+from scriptoria.operators.spans import pixels_to_spans, spans_to_pixels
 from scriptoria.plans import evaluate
 from scriptoria.session import checkpointed
-from scriptoria.sources import page_xml
+from scriptoria.sources import images as images_of_masks
+from scriptoria.sources import page_xml, tables
 
 
 def blended_probabilities(
@@ -34,6 +36,35 @@ def blended_probabilities(
     return tiles.blend(cuts.window_pixels(scored, "probs", size), size, F.col("prob"))
 
 
+METRICS = ("IoU", "Precision", "Recall", "F1", "Dice")
+
+
+def rated_masks(probs: DataFrame, masks: DataFrame, threshold: float = 0.5, policy: str = "any_channel") -> DataFrame:
+    """METRICS of each page of *probs* (page_id, y, x, prob) against mask images (page_id, height, width, n_channels, data); pages without a mask have no row."""
+    truth = images_of_masks.mask_spans(masks.select(F.col("page_id").cast("string").alias("path"), "height", "width", "n_channels", "data"), policy)
+    pixels = spans_to_pixels(truth.filter("kind = 'text'").select(F.col("path").cast("long").alias("page_id"), "y", "x0", "x1")).withColumn("gt", F.lit(1))
+    known = probs.join(masks.select("page_id"), "page_id", "left_semi")
+    rows = known.join(pixels, ["page_id", "y", "x"], "left").select("page_id", (F.col("prob") > threshold).cast("int").alias("pred"), F.coalesce("gt", F.lit(0)).alias("gt"))
+    return metrics.binary_metrics(rows, ["page_id"])
+
+
+def evaluate_masks(images: DataFrame, masks: DataFrame, make_model, path: str, size: int = 448, stride: int | None = None, threshold: float = 0.5,
+                   policy: str = "any_channel", batch_size: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Probabilities, masks and metrics of images (page_id, name, height, width, n_channels, data), written below *path*.
+
+    Folders: ``prob_maps`` (pixels), ``pred_masks`` (spans), ``mask_metrics`` and
+    ``mask_metrics_summary`` (CSV).  Returns the metrics by image and their means.
+    """
+    blended_probabilities(images, make_model, size, stride, batch_size).write.mode("overwrite").parquet(f"{path}/prob_maps")
+    probs = images.sparkSession.read.parquet(f"{path}/prob_maps")
+    pixels_to_spans(probs.filter(F.col("prob") > threshold), ["page_id"]).write.mode("overwrite").parquet(f"{path}/pred_masks")
+    rated = checkpointed(rated_masks(probs, masks, threshold, policy).join(images.select("page_id", F.col("name").alias("image")), "page_id").select("image", *METRICS))
+    mean = metrics.mean_metrics(rated, METRICS)
+    if tables.write_metrics(rated.orderBy("image"), f"{path}/mask_metrics"):
+        tables.write_metrics(mean, f"{path}/mask_metrics_summary")
+    return rated, mean
+
+
 def lines_from_boxes(
     images: DataFrame, boxes: DataFrame, region: DataFrame | None, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], min_score: float = 0.5
 ) -> DataFrame:

@@ -149,3 +149,23 @@ def test_crop_rows(spark, images):
     assert bytes(rows[0].bytes) == rgb(1)[1:7, 0:8].tobytes() and bytes(rows[1].bytes) == rgb(4).tobytes()
     assert [tuple(m) for m in rows[0]["mask"]] == [(2, 2, 6), (3, 2, 6), (4, 2, 6)]
     assert sum(m.x1 - m.x0 + 1 for m in rows[1]["mask"]) == 360
+
+
+def test_masks_evaluated_to_files(spark, images, tmp_path):
+    named = images.filter("page_id in (1, 2, 4)").withColumn("name", F.concat(F.lit("p"), "page_id", F.lit(".png")))
+    truth = {p: RNG.random(SIZES[p][:2]) < 0.4 for p in (1, 4)}
+    masks = spark.createDataFrame([(p, *m.shape, 1, (m * 255).astype(np.uint8).tobytes()) for p, m in truth.items()], "page_id long, height int, width int, n_channels int, data binary")
+    rated, mean = predict.evaluate_masks(named, masks, make_model, str(tmp_path), size=8, stride=4, threshold=0.3, batch_size=4)
+    probs = {(r.page_id, r.y, r.x): r.prob for r in spark.read.parquet(str(tmp_path / "prob_maps")).collect()}
+    spans = spark.read.parquet(str(tmp_path / "pred_masks"))
+    assert sum(r.x1 - r.x0 + 1 for r in spans.collect()) == sum(v > 0.3 for v in probs.values())
+    got = {r.image: r for r in rated.collect()}
+    assert got.keys() == {"p1.png", "p4.png"}  # the page without a mask is left out
+    for p, m in truth.items():
+        pred = np.array([[probs[p, y, x] > 0.3 for x in range(m.shape[1])] for y in range(m.shape[0])])
+        tp, fp, fn = (pred & m).sum(), (pred & ~m).sum(), (~pred & m).sum()
+        assert abs(got[f"p{p}.png"].IoU - tp / (tp + fp + fn + 1e-6)) < 1e-9 and abs(got[f"p{p}.png"].F1 - 2 * tp / (2 * tp + fp + fn + 1e-6)) < 1e-9
+    assert abs(mean.first().Recall - np.mean([r.Recall for r in got.values()])) < 1e-9
+    back = spark.read.option("header", True).csv(str(tmp_path / "mask_metrics"))
+    assert back.count() == 2 and back.columns == ["image", *predict.METRICS]
+    assert spark.read.option("header", True).csv(str(tmp_path / "mask_metrics_summary")).count() == 1
