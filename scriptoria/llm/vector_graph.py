@@ -1,10 +1,12 @@
 """Nearest neighbours on robust-pruned directed graphs.
 
 Distinct vectors are dealt to shards by a hash.  Each shard gets a graph: vectors are
-inserted in batches that double, a greedy search from the entry proposes neighbours, and
+inserted in batches that double, a greedy search from the entries proposes neighbours, and
 relaxed distance pruning keeps a candidate only if no kept one is ``1 / alpha`` times nearer
 to it than the inserted vector is; reverse edges are pruned the same way, and a second pass
-inserts every vector again.  A query is searched in every shard by a beam, what it meets is
+inserts every vector again.  Entries are the vector in the middle, vectors each of which is the
+farthest from all before it, so that every cluster has one, and whatever no entry reaches; a
+search begins at those nearest to the query.  A query is searched in every shard by a beam, what it meets is
 measured again in double precision on the original vectors, and the best over all shards
 are merged.
 
@@ -29,6 +31,8 @@ from scriptoria.session import checkpointed
 
 #: Rows of a numpy step: bounds of memory only.
 STEP = 512
+#: One entry for so many nodes, and the number of entries that a search begins at.
+NODES_PER_ENTRY, STARTS = 16, 16
 
 
 def usable(vector: Column) -> Column:
@@ -37,14 +41,41 @@ def usable(vector: Column) -> Column:
 
 
 class Graph:
-    """One shard: scaled vectors, neighbours (-1: none) and the entry."""
+    """One shard: scaled vectors, neighbours (-1: none) and entries."""
 
-    def __init__(self, vectors: np.ndarray, neighbours: np.ndarray | None = None, entry: int | None = None, degree: int = 32):
+    def __init__(self, vectors: np.ndarray, neighbours: np.ndarray | None = None, entries: np.ndarray | None = None, degree: int = 32):
         self.x = (vectors / np.abs(vectors).max()).astype(np.float32)
         self.norm = np.einsum("ij,ij->i", self.x, self.x)
-        self.entry = int(np.argmin(((self.x - self.x.mean(axis=0)) ** 2).sum(axis=1))) if entry is None else entry
+        self.entries = self.spread() if entries is None else entries
         self.out = np.full((len(vectors), degree), -1, np.int32) if neighbours is None else neighbours
 
+    def spread(self) -> np.ndarray:
+        """The node in the middle, then nodes that are farthest from all before them."""
+        least = ((self.x - self.x.mean(axis=0)) ** 2).sum(axis=1)
+        found = [int(np.argmin(least))]
+        least = np.full(len(self.x), np.inf, np.float32)
+        while len(found) <= len(self.x) // NODES_PER_ENTRY:
+            last = found[-1]
+            least = np.minimum(least, self.norm + self.norm[last] - 2 * (self.x @ self.x[last]))
+            least[last] = -np.inf
+            found.append(int(np.argmax(least)))
+        return np.array(found, np.int32)
+
+    def reach(self) -> None:
+        """Make a node that no entry reaches an entry, until all are reached."""
+        reached = np.zeros(len(self.x), bool)
+        front, more = self.entries, []
+        while True:
+            while len(front):
+                reached[front] = True
+                near = np.unique(self.out[front])
+                front = near[(near >= 0) & ~reached[near]]
+            if reached.all():
+                break
+            more.append(int(np.argmin(reached)))
+            front = np.array(more[-1:])
+        self.entries = np.append(self.entries, np.array(more, np.int32))
+
     def beam(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest nodes met by every query (-1 pads) and their squared distances, ascending."""
         b, n = len(queries), len(self.x)
@@ -55,8 +86,11 @@ class Graph:
         fresh = np.zeros((b, width), bool)
         seen = np.zeros((b, n), bool)
         q2 = np.einsum("ij,ij->i", queries, queries)
-        ids[:, 0], fresh[:, 0], seen[:, self.entry] = self.entry, True, True
-        dist[:, 0] = q2 + self.norm[self.entry] - 2 * queries @ self.x[self.entry]
+        d = q2[:, None] + self.norm[self.entries] - 2 * queries @ self.x[self.entries].T
+        order = np.argsort(d, axis=1, kind="stable")[:, :min(STARTS, width)]
+        some = order.shape[1]
+        ids[:, :some], dist[:, :some], fresh[:, :some] = self.entries[order], np.take_along_axis(d, order, axis=1), True
+        seen[rows[:, None], ids[:, :some]] = True
         while len(rows):
             first = fresh[rows].argmax(axis=1)
             live = fresh[rows, first]
@@ -66,7 +100,7 @@ class Graph:
             fresh[rows, first] = False
             near = self.out[ids[rows, first]]
             new = (near >= 0) & ~seen[rows[:, None], near]
-            seen[rows[:, None], np.where(near >= 0, near, self.entry)] = True
+            seen[rows[:, None], np.where(near >= 0, near, ids[rows, first][:, None])] = True
             d = q2[rows, None] + self.norm[near] - 2 * np.einsum("brd,bd->br", self.x[near], queries[rows])
             d[~new] = np.inf
             all_d = np.concatenate([dist[rows], d], axis=1)
@@ -119,7 +153,7 @@ class Graph:
 
     def build(self, width: int, alpha: float, seed: int = 0) -> Graph:
         order = np.random.default_rng(seed).permutation(len(self.x))
-        order = np.append(self.entry, order[order != self.entry]).astype(np.int32)
+        order = np.concatenate([self.entries, order[~np.isin(order, self.entries)]]).astype(np.int32)
         done = 1
         while done < len(order):
             step = min(done, max(STEP, len(order) // 8), len(order) - done)
@@ -127,10 +161,11 @@ class Graph:
             done += step
         for a in range(0, len(order), max(STEP, len(order) // 8)):
             self.insert(order[a:a + max(STEP, len(order) // 8)], width, alpha)
+        self.reach()
         return self
 
 
-GRAPH = "dim int, shard int, n int, entry int, vectors binary, neighbours binary, ends binary, ids binary"
+GRAPH = "dim int, shard int, n int, entries binary, vectors binary, neighbours binary, ends binary, ids binary"
 
 
 def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
@@ -154,7 +189,7 @@ def graphs(rows: DataFrame, most: int, shard_size: int, degree: int, width: int,
         sizes = np.cumsum(lists.value_lengths().to_numpy()).astype(np.int64)
         return pa.table({
             "dim": pa.array([dim], pa.int32()), "shard": pa.array([table["shard"][0].as_py()], pa.int32()), "n": pa.array([len(x)], pa.int32()),
-            "entry": pa.array([graph.entry], pa.int32()), "vectors": pa.array([x.tobytes()], pa.binary()),
+            "entries": pa.array([graph.entries.tobytes()], pa.binary()), "vectors": pa.array([x.tobytes()], pa.binary()),
             "neighbours": pa.array([graph.out.tobytes()], pa.binary()), "ends": pa.array([sizes.tobytes()], pa.binary()),
             "ids": pa.array([lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary())})
 
@@ -168,7 +203,7 @@ FOUND = pa.list_(pa.struct([("query", pa.int64()), ("id", pa.int64()), ("score",
 def search(width: int, k: int):
     """The nearest of one shard to a block of queries."""
     @F.arrow_udf(T.ArrayType(T.StructType().add("query", T.LongType()).add("id", T.LongType()).add("score", T.DoubleType())))
-    def run(dim: pa.Array, entry: pa.Array, vectors: pa.Array, neighbours: pa.Array, ends: pa.Array, ids: pa.Array, queries: pa.Array, asked: pa.Array) -> pa.Array:
+    def run(dim: pa.Array, entries: pa.Array, vectors: pa.Array, neighbours: pa.Array, ends: pa.Array, ids: pa.Array, queries: pa.Array, asked: pa.Array) -> pa.Array:
         out = []
         for row in range(len(dim)):
             d = dim[row].as_py()
@@ -178,7 +213,7 @@ def search(width: int, k: int):
             names = np.array(queries[row].as_py(), np.int64)
             q = asked[row].values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
             scale = np.abs(x).max()
-            graph = Graph(x, out_edges, entry[row].as_py())
+            graph = Graph(x, out_edges, np.frombuffer(entries[row].as_buffer(), np.int32))
             found = []
             for a in range(0, len(q), STEP):
                 near, _ = graph.beam((q[a:a + STEP] / scale).astype(np.float32), width)
@@ -215,7 +250,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 10, shard_size:
     sent = packed.select("dim", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "q")
     met = sent.join(built, ["dim", "shard"]).repartition(min(shards * blocks, 10_000), "dim", "shard", "block")
     run = search(search_width, k)
-    found = met.select(F.explode(run("dim", "entry", "vectors", "neighbours", "ends", "ids", F.col("q.query"), F.col("q.vector"))).alias("f")).select("f.*")
+    found = met.select(F.explode(run("dim", "entries", "vectors", "neighbours", "ends", "ids", F.col("q.query"), F.col("q.vector"))).alias("f")).select("f.*")
     order = Window.partitionBy("query").orderBy("score", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 

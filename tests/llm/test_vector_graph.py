@@ -51,6 +51,30 @@ def test_many_shards(spark):
     assert recall(got, brute(rows, rows[::50], 10)) >= 0.9
 
 
+@pytest.mark.parametrize("clusters", [40, 1000])
+def test_recall_of_clusters_in_full_shards(spark, clusters):
+    """8,192 vectors in tight clusters at production settings: two shards of 4,096."""
+    rnd = np.random.default_rng(clusters)
+    x = rnd.normal(size=(clusters, 24))[rnd.integers(clusters, size=8192)] + 0.01 * rnd.normal(size=(8192, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = collect(vector_graph.nearest(df, df.where("id % 100 = 0")))
+    hit = 0
+    for q in range(0, 8192, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        tenth = np.partition(np.delete(d, q), 9)[9]
+        hit += sum(s <= tenth * (1 + 1e-9) for s, _ in got[q])
+    assert hit / (82 * 10) >= 0.95
+
+
+def test_every_node_is_reached():
+    x = np.random.default_rng(5).normal(size=(700, 96))
+    graph = vector_graph.Graph(x).build(64, 1.2)
+    alone = vector_graph.Graph(x, graph.out, graph.entries)
+    alone.reach()
+    assert len(alone.entries) == len(graph.entries) == len(set(graph.entries.tolist()))
+
+
 def test_hot_vector_ties_and_bad_rows(spark):
     hot = [(i, [1.0, 2.0, 3.0]) for i in range(500, 100, -1)]
     other = [(i, [float(i % 7), 1.0, float(i % 5)]) for i in range(1, 60)]
