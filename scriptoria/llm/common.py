@@ -46,7 +46,17 @@ def stored(df: DataFrame) -> DataFrame:
     """
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
+    table.stored_in = folder
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` wrote, once nothing that is still to run reads them."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.stored_in)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, stem: str) -> str:
@@ -57,6 +67,11 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def bound(value: Column, body) -> Column:
+    """*body* of a column that is computed once, however often lambdas in *body* read it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def span_list(spans: Column, keep: Column | None = None) -> Column:
     """kind:start:end of an array of span structs, comma-joined in the array's order."""
     return F.array_join(

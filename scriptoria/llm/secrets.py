@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import whole_text
+from scriptoria.llm.common import bound, whole_text
 from scriptoria.session import checkpointed
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -36,6 +36,8 @@ VENDOR = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0
           r"|gh[oprsu]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}")
 PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "vendor": VENDOR}
 LEAST_ASSIGNED = 6
+#: Matches that are gone through at once.
+PIECE = 256
 
 SPAN = "struct<start:int,kind_no:int,kind:string,end:int,hash:binary>"
 
@@ -51,7 +53,7 @@ def matches(text: Column, kind: str) -> Column:
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else found
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     steps = F.arrays_zip(gaps.alias("gap"), found.alias("found"), values.alias("value"))
-    first = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("spans"))
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
 
     def step(acc: Column, s: Column) -> Column:
         start = acc["at"] + s["gap"]
@@ -61,8 +63,19 @@ def matches(text: Column, kind: str) -> Column:
         passes = F.length(s["value"]) >= (LEAST_ASSIGNED if kind == "assign" else 1)
         return F.struct(end.alias("at"), F.when(passes, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    spans = F.aggregate(steps, first, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    def piece(all_steps: Column, i: Column) -> Column:
+        """Spans of PIECE matches, as if the text began with them, and their length."""
+        return F.aggregate(F.slice(all_steps, i * PIECE + 1, F.lit(PIECE)), F.struct(F.lit(0).alias("at"), none.alias("spans")), step)
+
+    # Appending to an array copies it: matches are gone through in pieces, which are then moved to their place.
+    pieces = bound(steps, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / PIECE).cast("int")), lambda i: piece(s, i)))
+    begins = lambda p: F.aggregate(
+        p, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all")),
+        lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+    moved = lambda p: F.transform(p["p"]["spans"], lambda s: F.struct(
+        (s["start"] + p["at"]).alias("start"), s["kind_no"].alias("kind_no"), s["kind"].alias("kind"), (s["end"] + p["at"]).alias("end"), s["hash"].alias("hash")))
+    spans = bound(pieces, lambda p: F.flatten(F.transform(F.arrays_zip(p.alias("p"), begins(p).alias("at")), moved)))
+    return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
 def candidates(text: str | Column = "text") -> Column:
