@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import stored
+from scriptoria.llm.common import forget, stored
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -30,12 +30,15 @@ def connected(edges: DataFrame) -> DataFrame:
         rounds.append(to)
         left = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("a_")), "a")
         left = left.join(to.select(F.col("node").alias("b"), F.col("to").alias("b_")), "b")
-        edges = stored(left.select(F.col("a_").alias("a"), F.col("b_").alias("b")).where("a != b").distinct())
+        before, edges = edges, stored(left.select(F.col("a_").alias("a"), F.col("b_").alias("b")).where("a != b").distinct())
+        forget(before, near)
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    labels = rounds[-1].select("node", F.col("to").alias("component"))
+    forget(edges)
+    labels, read = rounds[-1].select("node", F.col("to").alias("component")), rounds[-1]
     for to in rounds[-2::-1]:
         later = labels.select(F.col("node").alias("to"), "component")
-        labels = to.join(later, "to", "left").select("node", F.coalesce("component", "to").alias("component"))
-        labels = stored(labels)
+        labels = stored(to.join(later, "to", "left").select("node", F.coalesce("component", "to").alias("component")))
+        forget(to, read)
+        read = labels
     return labels

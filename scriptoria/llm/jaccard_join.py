@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptoria.llm import words
-from scriptoria.llm.common import keep_marked, stored, whole_text
+from scriptoria.llm.common import forget, keep_marked, stored, whole_text
 from scriptoria.llm.components import connected
 
 #: Counters of a sketch, of which there are two (16 MB in all), and the pieces they are summed in.
@@ -295,17 +295,21 @@ def candidates(rows: DataFrame, nodes: DataFrame, percent: int, peelings: int =
     least = F.ceil(F.col("n") * percent / 100)
     missing = least - F.ceil(least * percent / 100)
     needs = stored(nodes.select(F.xxhash64("node").alias("id"), (F.floor(EXTENDED * (missing + 1)) - missing).alias("need")))
-    left = rows.select(F.xxhash64("node").alias("id"), "tokens")
+    first = left = rows.select(F.xxhash64("node").alias("id"), "tokens")
     for _ in range(peelings):
         # dealt by shingle once, for the counts and for the join with them; rows of one node count once
         postings = left.select("id", F.explode("tokens").alias("token")).repartition("token").dropDuplicates(["token", "id"])
         shared = postings.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1").select("token")
         held = postings.join(shared.hint("merge"), "token").groupBy("id").agg(F.collect_list("token").alias("tokens"))
-        left = stored(held.join(needs, "id").where(F.size("tokens") >= F.col("need")).select("id", "tokens"))
+        held = held.join(needs, "id").where(F.size("tokens") >= F.col("need")).select("id", "tokens")
+        before, left = left, stored(held)
+        if before is not first:
+            forget(before)
     postings = left.select("id", F.explode("tokens").alias("token"))
     leaders = postings.groupBy("token").agg(F.min("id").alias("leader"), F.count("*").alias("holders")).where("holders > 1")
     near = postings.join(leaders.select("token", "leader"), "token").where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
     parts = connected(near).select(F.col("node").alias("id"), "component")
+    forget(needs, *([left] if peelings else []))
     return nodes.select("node", F.xxhash64("node").alias("id")).join(parts, "id").select("node", "component")
 
 
@@ -319,19 +323,23 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text",
     spark = docs.sparkSession
     rare = spark.sparkContext.broadcast(sketch(docs, text, k))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole_text(text)).alias("text_hash"), signature(whole_text(text), rare, k, percent).alias("s"))
-    rows = stored(rows.select("doc_id", "text_hash", "s.n", "s.node", "s.tokens"))
+    signed = stored(rows.select("doc_id", "text_hash", "s.n", "s.node", "s.tokens"))
+    # the prefixes go once the candidates are known; the rest is small
+    rows = stored(signed.drop("tokens"))
     some = rows.where("n > 0")
     by_id = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     nodes = stored(some.groupBy("node").agg(F.first("n").alias("n"), F.min(by_id).alias("least"), F.count("*").alias("copies")))
 
-    members = candidates(some.select("node", "tokens"), nodes, percent).join(nodes, "node")
+    members = candidates(signed.where("n > 0").select("node", "tokens"), nodes, percent).join(nodes, "node")
     dealt = stored(tiles(members, percent, block_nodes, block_shingles))
+    forget(signed)
 
-    # texts of members only, by id and text: many rows may have one id or none
+    # Texts of members only, by id and text: many rows may have one id or none.  Members grow with
+    # the documents, so they are merged with the texts at every size and never broadcast.
     wanted = dealt.select("node", "component", "tiles", "copies", F.col("least.doc_id").alias("member_id"), F.col("least.text_hash").alias("member_hash"))
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(whole_text(text)).alias("hash"), whole_text(text).alias("text"))
     same = F.col("id").eqNullSafe(F.col("member_id")) & (F.col("hash") == F.col("member_hash"))
-    sets = texts.join(wanted, same).select("node", "component", "tiles", "copies", shingle_sets(F.col("text"), k).alias("s"))
+    sets = texts.join(wanted.hint("merge"), same).select("node", "component", "tiles", "copies", shingle_sets(F.col("text"), k).alias("s"))
     sets = sets.where(F.col("s.node") == F.col("node")).select("node", "component", "copies", "s.shingles", F.explode("tiles").alias("t"))
     links = sets.select("node", "component", "copies", "shingles", "t.tile", "t.side").groupBy("component", "tile").applyInArrow(product(percent), LINKS)
     links = stored(links)
