@@ -48,6 +48,37 @@ def test_titles_in_named_headers_stay():
     assert text("<div class='content'><div class='article-header'><h1>T</h1></div><p>some words</p></div>") == "T\nsome words"
 
 
+@pytest.mark.parametrize("html,expected", [
+    ("<article><p>x <button>Subscribe</button> y</p></article>", "x y"),
+    ("<article><p>x<button><div>Sub</div><p>scribe</p></button>y</p></article>", "xy"),
+    ("<article><p>a <svg><text>z</text></svg>b <select><option>o<option>p</select>c <object>q</object><canvas>w</canvas>d</p></article>", "a b c d"),
+    ("<article><p>see <span class=ad>BUY NOW</span> it</p></article>", "see it"),
+    ("<article><p>a long paragraph <span class='ad'>BUY</p><p>next</p></article>", "a long paragraph\nnext"),
+    ("<article>Lead text <a class='comment-link'>3 comments<p>next</p></a></article>", "Lead text"),
+    ("<article><p>one <span class=ad>x<p>two</span> more</p><p>three</p></article>", "one\ntwo more\nthree"),
+    ("<article><p>a <b>b<p>c</b> d</p><p>e</article>", "a b\nc d\ne"),
+    ("<article><p>q <button>Sub</p><p>r</p></article>", "q\nr"),
+    ("<article><a class=promo><div>Buy</div></a><p>k</p></article>", "k"),
+])
+def test_text_is_judged_by_its_own_open_tags(html, expected):
+    assert text(html) == expected
+
+
+@pytest.mark.parametrize("name", ["related-work", "menu-card", "search-warrant", "ad-hoc"])
+def test_names_that_only_contain_a_word_hide_nothing_in_an_article(name):
+    assert text(f"<article><p>x</p><section class='{name}'><p>y</p></section><p class='{name}'>z</p></article>") == "x\ny\nz"
+
+
+@pytest.mark.parametrize("name", ["ad", "comment-list", "related-posts", "comment-12", "share buttons", "site-menu"])
+def test_names_of_furniture_count_in_an_article(name):
+    assert text(f"<article><p>x</p><section class='{name}'><p>y</p></section></article>") == "x"
+
+
+@pytest.mark.parametrize("piece,kept", [("<b>x ", "x "), ("<div>x", "x\n"), ("<span class=ad>b</span> word ", "word ")])
+def test_long_deep_and_unclosed_markup_loses_nothing(piece, kept):
+    assert text("<article>" + piece * 5000 + "</article>") == (kept * 5000).strip()
+
+
 def page(i, body, extra=""):
     return (i, f"http://h.example/{i}", f"<html><body><div class=top><p>Welcome to us</p></div>{extra}<div class=x1><p>{body}</p></div><div class=bottom><p>All rights</p></div></body></html>")
 
@@ -108,6 +139,25 @@ def test_copies_do_not_make_text_fixed(spark):
     assert out == {i: f"own {i}\nshared" if i < 3 else f"own {i}" for i in range(40)}
 
 
+@pytest.mark.parametrize("share,fixed", [(49, False), (50, True)])
+def test_the_share_of_pages_is_exact(spark, share, fixed):
+    """A box on just half of a host's 100 pages is template, one on 49 is not; copies of pages change neither."""
+    box = "<div class=box><p>on some pages</p></div><div class=end><p>and so on</p></div>"
+    html = lambda i: f"<html><body><div class=own><p>own {i}</p></div>{box if i < share else ''}</body></html>"
+    rows = [(i, f"http://e.example/{i}?{c}", html(i)) for i in range(100) for c in range(1 + 3 * (i % 5 == 0) + 7 * (i == 99))]
+    out = {r["page_id"]: r["extracted"]["text"] for r in ht.extract(spark.createDataFrame(rows, SCHEMA).repartition(7)).collect()}
+    assert out == {i: f"own {i}" if fixed or i >= share else f"own {i}\non some pages\nand so on" for i in range(100)}
+
+
+def test_classes_decide_where_names_say_nothing(spark):
+    """One name for the story and for what every page repeats: only the template tells them apart."""
+    def html(i):
+        return f"<html><body><article><section class='menu-card'><p>today's dish {i}</p></section><section class='menu-bill'><p>Pay at the till</p></section></article></body></html>"
+    rows = [(i, f"http://n.example/{i}", html(i)) for i in range(6)]
+    out = {r["page_id"]: r["extracted"]["text"] for r in ht.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {i: f"today's dish {i}" for i in range(6)}
+
+
 def test_query_against_plain_rule(spark):
     """In the test pages every block of the article is a heading or a paragraph."""
     import html as entities
