@@ -101,8 +101,8 @@ def stream_memory(s: Samples):
     from scriptoria.streaming import memory as stream
     from uuid import uuid4
 
-    base = f"{ensure_checkpoint_dir(s.spark)}/memory-{uuid4().hex}"
+    progress = f"{ensure_checkpoint_dir(s.spark)}/memory-{uuid4().hex}"
     source = s.spark.readStream.schema(s.raw("embeddings").schema).parquet(f"{s.folder}/embeddings.parquet*")
     vectors = source.select("label", F.col("vec_id").alias("arrival"), "embedding")
-    stream.keep_last_per_class(vectors, 6, f"{base}/state", f"{base}/progress").awaitTermination()
-    return stream.read_memory(s.spark, f"{base}/state").select("label", "arrival")
+    stream.keep_last_per_class(vectors, 6, progress).awaitTermination()
+    return stream.read_memory(s.spark, progress).select("label", "arrival")

@@ -228,19 +228,40 @@ def test_box_table_and_descriptor(spark, tmp_path):
 
 
 def test_stream_memory_in_batches(spark, tmp_path):
-    source = tmp_path / "in"
+    source, progress = tmp_path / "in", str(tmp_path / "progress")
     for b, ids in enumerate(([0, 1, 2], [3, 4], [5, 6, 7, 8, 9, 10])):
         df = spark.createDataFrame([(0, i, [float(i)]) for i in ids] + [(1, 100 + b, [0.0])], stream.SCHEMA)
         df.coalesce(1).write.mode("append").parquet(str(source))
+    assert stream.read_memory(spark, progress).count() == 0
     run = lambda: stream.keep_last_per_class(
-        stream.stream_vectors(spark, str(source), files_per_batch=1), 4, str(tmp_path / "state"), str(tmp_path / "progress")
+        stream.stream_vectors(spark, str(source), files_per_batch=1), 4, progress
     ).awaitTermination()
     run()
-    held = stream.read_memory(spark, str(tmp_path / "state"))
+    held = stream.read_memory(spark, progress)
     assert sorted(r.arrival for r in held.filter("label = 0").collect()) == [7, 8, 9, 10]
     assert sorted(r.arrival for r in held.filter("label = 1").collect()) == [100, 101, 102]
+    assert all(r.embedding == [float(r.arrival)] for r in held.filter("label = 0").collect())
+    assert stream.read_memory(spark, progress, batch=1).count() == 6
     run()  # nothing new: the state stays
-    assert stream.read_memory(spark, str(tmp_path / "state")).count() == 7
+    assert stream.read_memory(spark, progress).count() == 7
+
+
+def test_stream_memory_of_odd_rows(spark, tmp_path):
+    """No class is a class, no vector is kept as it is, no arrival is not kept; equal arrivals fall by vector."""
+    rows = [(None, 5, [1.0]), (2, None, [1.0]), (3, 1, None), (4, 9, [1.0]), (4, 9, [3.0]), (4, 9, [2.0]), (4, 9, [3.0]), (4, 2**60 + 1, [])]
+    source, progress = str(tmp_path / "in"), str(tmp_path / "progress")
+    spark.createDataFrame(rows, stream.SCHEMA).repartition(3).write.parquet(source)
+    stream.keep_last_per_class(stream.stream_vectors(spark, source), 3, progress).awaitTermination()
+    held = {(r.label, r.arrival, tuple(r.embedding) if r.embedding is not None else None): 1 for r in stream.read_memory(spark, progress).collect()}
+    assert set(held) == {(None, 5, (1.0,)), (3, 1, None), (4, 2**60 + 1, ()), (4, 9, (3.0,))}
+    assert stream.read_memory(spark, progress).where("label = 4").count() == 3
+
+
+def test_stream_memory_of_an_empty_table(spark, tmp_path):
+    source, progress = str(tmp_path / "in"), str(tmp_path / "progress")
+    spark.createDataFrame([], stream.SCHEMA).write.parquet(source)
+    stream.keep_last_per_class(stream.stream_vectors(spark, source), 3, progress).awaitTermination()
+    assert stream.read_memory(spark, progress).count() == 0
 
 
 def test_span_and_probability_tables(spark, tmp_path):
