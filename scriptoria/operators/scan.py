@@ -164,6 +164,13 @@ def attach_group_values(rows: DataFrame, values: DataFrame, keys: Sequence[str],
     return salted.join(spread, keys + ["_salt"]).drop("_salt")
 
 
+def with_group_size(rows: DataFrame, keys: Sequence[str], name: str, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """Add the number of rows of each row's group; ordinary groups are counted where they lie, without a join."""
+    if any_group_exceeds(rows, keys, group_limit):
+        return attach_group_values(rows, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), keys)
+    return rows.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition for Python work, which is bound by CPU: the partitions are not merged for being small."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

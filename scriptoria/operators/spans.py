@@ -135,6 +135,38 @@ def pixels_to_spans(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def ragged(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and place within its row of each element of *lists*, and the elements."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes), lists.flatten()
+
+
+def rows_to_spans(rows: DataFrame, keys: Sequence[str], label: str, name: str | None = None) -> DataFrame:
+    """Maximal runs of equal labels of pixel rows (keys, y, and an array of labels from x = 0; null is background).
+
+    A narrow Arrow step: a row of pixels is one row, nothing is sorted or shuffled.  *name* keeps a run's label.
+    """
+    keep = [*keys, "y"]
+
+    def find(batches):
+        for batch in batches:
+            of, x, labels = ragged(batch.column(label))
+            inked, value = labels.is_valid().to_numpy(zero_copy_only=False), labels.fill_null(0).to_numpy(zero_copy_only=False)
+            other = np.ones(len(of) + 1, bool)  # whether a pixel differs from the one before it
+            other[1:-1] = (of[1:] != of[:-1]) | (inked[1:] != inked[:-1]) | (value[1:] != value[:-1])
+            start, stop = np.flatnonzero(other[:-1] & inked), np.flatnonzero(other[1:] & inked)
+            found = batch.select(keep).take(pa.array(of[start]))
+            named = [labels.take(pa.array(start))] if name else []
+            ends = [pa.array(x[at].astype(np.int32)) for at in (start, stop)]
+            yield pa.RecordBatch.from_arrays([*found.columns, *named, *ends], names=[*keep, *([name] if name else []), "x0", "x1"])
+
+    schema = rows.select(*keep).schema
+    if name:
+        schema = schema.add(name, rows.schema[label].dataType.elementType)
+    return rows.select(*keep, label).mapInArrow(find, schema.add("x0", T.IntegerType()).add("x1", T.IntegerType()))
+
+
 def spans_to_pixels(spans: DataFrame) -> DataFrame:
     keep = [c for c in spans.columns if c not in ("x0", "x1")]
     return spans.select(*keep, F.explode(F.sequence("x0", "x1")).alias("x"))
