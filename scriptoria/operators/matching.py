@@ -13,6 +13,7 @@ from scriptoria.functions import geometry as G
 from scriptoria.operators.components import connected
 from scriptoria.operators.scan import spread
 from scriptoria.operators.spans import _polygon_rows as fill_rows
+from scriptoria.operators.spans import ragged
 from scriptoria.session import checkpointed
 
 # Lines of one side a page may have for its matching to run as one row's fold.
@@ -88,37 +89,72 @@ def box_overlap(pairs: DataFrame) -> DataFrame:
     )
 
 
-def span_boxes(spans: DataFrame, idx: str) -> DataFrame:
-    return spans.groupBy("page_id", idx).agg(
-        F.min("x0").alias("x1"), F.min("y").alias("y1"), F.max("x1").alias("x2"), F.max("y").alias("y2"),
-        F.sum((F.col("x1") - F.col("x0") + 1).cast("long")).alias("area"),
-    )
+# Pixel rows of an instance that go to a pair as one row.
+PIECE_ROWS = 256
+
+
+def span_pieces(spans: DataFrame, idx: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Instances given as spans, cut at multiples of *piece_rows*: page_id, idx, piece, box, area and arrays of their runs."""
+    area = F.sum((F.col("x1") - F.col("x0") + 1).cast("long"))
+    rows = spans.select("page_id", idx, F.floor(F.col("y") / piece_rows).cast("int").alias("piece"), "y", "x0", "x1")
+    pieces = rows.groupBy("page_id", idx, "piece").agg(
+        F.min("x0").alias("bx1"), F.min("y").alias("by1"), F.max("x1").alias("bx2"), F.max("y").alias("by2"), area.alias("area"),
+        F.array_sort(F.collect_list(F.struct("y", "x0", "x1"))).alias("_runs"))
+    box = [F.col(f"b{c}").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    return pieces.select("page_id", idx, "piece", *box, "area", *(F.col(f"_runs.{c}").alias(f"run_{c}") for c in ("y", "x0", "x1")))
+
+
+def box_pieces(boxes: DataFrame, idx: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """:func:`span_pieces` of filled boxes (page_id, idx, closed x1, y1, x2, y2), without a row per pixel row."""
+    at = F.explode(F.sequence(F.floor(F.col("y1") / piece_rows).cast("int"), F.floor(F.col("y2") / piece_rows).cast("int")))
+    cut = boxes.filter("x1 <= x2 and y1 <= y2").select("page_id", idx, at.alias("piece"), "x1", "x2", "y1", "y2").select(
+        "page_id", idx, "piece", "x1", F.greatest("y1", F.col("piece") * piece_rows).alias("y1"), "x2",
+        F.least("y2", F.col("piece") * piece_rows + piece_rows - 1).alias("y2"))
+    rows = F.sequence("y1", "y2")
+    same = lambda c: F.transform(rows, lambda _: F.col(c))
+    return cut.select("*", _area("x1", "y1", "x2", "y2").alias("area"), rows.alias("run_y"), same("x1").alias("run_x0"), same("x2").alias("run_x1"))
 
 
 def span_overlap(gt_spans: DataFrame, pred_spans: DataFrame, min_iou: float = 0.0) -> DataFrame:
-    """Pixel-exact IoU of instances given as spans (gt_idx / pred_idx, y, x0, x1).
+    """Pixel-exact IoU of instances given as spans (gt_idx / pred_idx, y, x0, x1)."""
+    return piece_overlap(span_pieces(gt_spans, "gt_idx"), span_pieces(pred_spans, "pred_idx"), min_iou)
 
-    Instances meet by their boxes first; only the rows of surviving pairs are joined.
+
+def piece_overlap(gt: DataFrame, pred: DataFrame, min_iou: float = 0.0) -> DataFrame:
+    """Pixel-exact IoU of instances given as pieces of equal height.
+
+    Pieces meet by their boxes; a pair carries the runs of both to one task, which compares
+    them there: no single run is shuffled.  Pieces end at the same rows, so only pieces of
+    equal number can share pixels.
     """
-    g_box, p_box = span_boxes(gt_spans, "gt_idx"), span_boxes(pred_spans, "pred_idx")
+    def side(pieces: DataFrame, idx: str) -> tuple[DataFrame, DataFrame]:
+        named = pieces.withColumn(idx, F.struct(idx, "piece"))
+        return named.select("page_id", idx, "x1", "y1", "x2", "y2"), named
+
+    (g_box, g), (p_box, p) = side(gt, "gt_idx"), side(pred, "pred_idx")
     pairs = candidate_pairs(g_box, p_box).select("page_id", "gt_idx", "pred_idx")
-    sizes = pairs.join(g_box.select("page_id", "gt_idx", F.col("area").alias("g_area")), ["page_id", "gt_idx"]).join(
-        p_box.select("page_id", "pred_idx", F.col("area").alias("p_area")), ["page_id", "pred_idx"]
-    )
-    if min_iou > 0:
-        sizes = sizes.filter(F.least("g_area", "p_area") >= F.greatest("g_area", "p_area") * min_iou)
-    rows = sizes.join(gt_spans.select("page_id", "gt_idx", "y", "x0", "x1"), ["page_id", "gt_idx"]).join(
-        pred_spans.select("page_id", "pred_idx", "y", F.col("x0").alias("p0"), F.col("x1").alias("p1")),
-        ["page_id", "pred_idx", "y"],
-    )
-    shared = F.greatest(F.least("x1", "p1") - F.greatest("x0", "p0") + 1, F.lit(0)).cast("long")
-    found = rows.groupBy("page_id", "gt_idx", "pred_idx").agg(
-        F.sum(shared).alias("inter"), F.first("g_area").alias("g_area"), F.first("p_area").alias("p_area")
-    )
+    runs = ("run_y", "run_x0", "run_x1")
+    met = pairs.join(g.select("page_id", "gt_idx", *(F.col(c).alias(f"g_{c}") for c in runs)), ["page_id", "gt_idx"]).join(
+        p.select("page_id", "pred_idx", *(F.col(c).alias(f"p_{c}") for c in runs)), ["page_id", "pred_idx"])
+    met = met.select("page_id", "gt_idx.gt_idx", "pred_idx.pred_idx", *(f"{s}_{c}" for s in "gp" for c in runs))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAIRS_AT_ONCE):
+                batch = whole.slice(at, PAIRS_AT_ONCE)
+                sides = []
+                for s in "gp":
+                    of, _, y = ragged(batch.column(f"{s}_run_y"))
+                    sides.append((of, *(v.to_numpy(zero_copy_only=False).astype(np.int64) for v in (y, *(batch.column(f"{s}_{c}").flatten() for c in runs[1:])))))
+                inter, _ = shared_pixels(*sides, batch.num_rows)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "gt_idx", "pred_idx")), pa.array(inter)], names=["page_id", "gt_idx", "pred_idx", "inter"])
+
+    schema = met.select("page_id", "gt_idx", "pred_idx", F.lit(0).cast("long").alias("inter")).schema
+    shared = met.mapInArrow(compare, schema).filter("inter > 0").groupBy("page_id", "gt_idx", "pred_idx").agg(F.sum("inter").alias("inter"))
+    sizes = [d.groupBy("page_id", idx).agg(F.sum("area").alias(name)) for d, idx, name in ((gt, "gt_idx", "g_area"), (pred, "pred_idx", "p_area"))]
+    found = shared.join(sizes[0], ["page_id", "gt_idx"]).join(sizes[1], ["page_id", "pred_idx"])
     union = F.col("g_area") + F.col("p_area") - F.col("inter")
-    return found.select(
-        "page_id", "gt_idx", "pred_idx", "inter", union.alias("union"), (F.col("inter") / union).alias("iou")
-    ).filter(F.col("inter") > 0)
+    return found.select("page_id", "gt_idx", "pred_idx", "inter", union.alias("union"), (F.col("inter") / union).alias("iou")).filter(F.col("iou") >= min_iou)
 
 
 def polygon_overlap(gt: DataFrame, pred: DataFrame, size: DataFrame | None = None, min_iou: float = 0.0) -> DataFrame:
