@@ -8,7 +8,6 @@ recursive or numeric ones, which run per polygon in Arrow batches.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -343,15 +342,92 @@ def ring_iou(a: np.ndarray, b: np.ndarray) -> float:
     return float(inter / union) if union > 0 else 0.0
 
 
+#: Numbers that one step of :func:`rings_iou` holds at once in an array.
+IOU_CELLS = 1 << 19
+
+
+def _crossings(x: np.ndarray, y: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Ordered x at which rings (pairs x vertices) cross the levels (pairs x levels), filled up with infinity to an even number."""
+    nx, ny = np.roll(x, -1, axis=1), np.roll(y, -1, axis=1)
+    x, y, nx, ny = (v[:, None, :] for v in (x, y, nx, ny))
+    at = level[:, :, None]
+    cross = (y > at) != (ny > at)
+    share = np.where(cross, at - y, 0) / np.where(cross, ny - y, 1)
+    found = np.sort(np.where(cross, x + share * (nx - x), np.inf), axis=2)
+    most = int(cross.sum(axis=2).max(initial=0))
+    return found[:, :, :most]
+
+
+def _ring_pairs_iou(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """:func:`ring_iou` of many pairs whose rings have the same numbers of vertices (pairs x vertices)."""
+    px, py = np.hstack([ax, bx]), np.hstack([ay, by])
+    dx = np.hstack([np.roll(ax, -1, axis=1), np.roll(bx, -1, axis=1)]) - px
+    dy = np.hstack([np.roll(ay, -1, axis=1), np.roll(by, -1, axis=1)]) - py
+    i, j = np.triu_indices(px.shape[1], 1)
+    det = dx[:, i] * dy[:, j] - dy[:, i] * dx[:, j]
+    gx, gy = px[:, j] - px[:, i], py[:, j] - py[:, i]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, u = (gx * dy[:, j] - gy * dx[:, j]) / det, (gx * dy[:, i] - gy * dx[:, i]) / det
+    hit = (det != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+    # levels in order, each once, the others moved behind them
+    levels = np.sort(np.hstack([py, np.where(hit, py[:, i] + np.where(hit, t, 0) * dy[:, i], np.inf)]), axis=1)
+    again = np.zeros(levels.shape, bool)
+    again[:, 1:] = levels[:, 1:] == levels[:, :-1]
+    levels[again] = np.inf
+    levels.sort(axis=1)
+    levels = levels[:, : int(np.isfinite(levels).sum(axis=1).max())]
+    low, high = levels[:, :-1], levels[:, 1:]
+    used = np.isfinite(high)
+    height = np.where(used, high - np.where(used, low, 0), 0.0)
+    middle = np.where(used, (np.where(used, low, 0) + np.where(used, high, 0)) / 2, np.inf)
+    a, b = _crossings(ax, ay, middle), _crossings(bx, by, middle)
+
+    def area(c: np.ndarray) -> np.ndarray:
+        there = np.isfinite(c)
+        signed = np.where(there, c, 0.0)
+        return (height * (signed[:, :, 1::2] - signed[:, :, 0::2]).sum(axis=2)).sum(axis=1)
+
+    shared = np.zeros(height.shape)
+    for k in range(0, a.shape[2], 2):
+        for m in range(0, b.shape[2], 2):
+            start, stop = np.maximum(a[:, :, k], b[:, :, m]), np.minimum(a[:, :, k + 1], b[:, :, m + 1])
+            shared += np.where(start < stop, stop - np.where(np.isfinite(start), start, 0), 0.0)
+    inter = (height * shared).sum(axis=1)
+    union = area(a) + area(b) - inter
+    return np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
+
+
+def rings_iou(a_sizes: np.ndarray, ax: np.ndarray, ay: np.ndarray, b_sizes: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """:func:`ring_iou` of many pairs of rings, given one after another: pairs of equally many vertices together."""
+    out = np.zeros(len(a_sizes))
+    a_start, b_start = np.cumsum(a_sizes) - a_sizes, np.cumsum(b_sizes) - b_sizes
+    usable = np.flatnonzero((a_sizes >= 3) & (b_sizes >= 3))
+    kinds, of = np.unique(np.column_stack([a_sizes[usable], b_sizes[usable]]), axis=0, return_inverse=True)
+    of = of.ravel()
+    for kind, (n, m) in enumerate(kinds.tolist()):
+        rows = usable[of == kind]
+        step = IOU_CELLS // (n + m) ** 2
+        if step < 2:  # long outlines: the intervals of one level at a time
+            for r in rows.tolist():
+                i, j = a_start[r], b_start[r]
+                out[r] = ring_iou(np.column_stack([ax[i:i + n], ay[i:i + n]]), np.column_stack([bx[j:j + m], by[j:j + m]]))
+            continue
+        for first in range(0, len(rows), step):
+            some = rows[first:first + step]
+            i, j = a_start[some][:, None] + np.arange(n), b_start[some][:, None] + np.arange(m)
+            out[some] = _ring_pairs_iou(ax[i], ay[i], bx[j], by[j])
+    return out
+
+
 def polygon_iou(a: Column, b: Column) -> Column:
     """Exact-area IoU of two polygons of a row; self-crossing input counts by the even-odd rule."""
 
-    @F.pandas_udf("double")
-    def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        def ring(pts):
-            return np.array([(p["x"], p["y"]) for p in pts], dtype=float).reshape(-1, 2)
-
-        values = [0.0 if l is None or r is None else ring_iou(ring(l), ring(r)) for l, r in zip(left, right)]
-        return pd.Series(values, dtype="float64")
+    @F.arrow_udf("double")
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        rings = []
+        for side in (left, right):
+            rings.append(side.value_lengths().fill_null(0).to_numpy().astype(np.int64))
+            rings += [pc.struct_field(side.flatten(), c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y")]
+        return pa.array(rings_iou(*rings))
 
     return run(a, b)

@@ -115,3 +115,13 @@ def test_polygon_overlap_equals_filled_spans(spark, bounded):
     assert got == want and len(got) > 100
     some = {k for k, v in want.items() if v[2] >= 0.2}
     assert {(r.page_id, r.gt_idx, r.pred_idx) for r in M.polygon_overlap(g, p, size, min_iou=0.2).collect()} == some
+
+
+def test_ious_of_many_pairs_at_once():
+    rng = np.random.default_rng(17)
+    a_sizes, b_sizes = rng.integers(0, 8, 400), rng.integers(0, 8, 400)
+    a_sizes[7] = 1000  # beyond the cells of one step, on its own
+    a, b = (rng.integers(0, 12, (n.sum(), 2)).astype(float) for n in (a_sizes, b_sizes))
+    found = G.rings_iou(a_sizes, *a.T, b_sizes, *b.T)
+    expected = [G.ring_iou(x, y) for x, y in zip(np.split(a, np.cumsum(a_sizes)[:-1]), np.split(b, np.cumsum(b_sizes)[:-1]))]
+    assert np.allclose(found, expected, rtol=0, atol=1e-12) and (found > 0).sum() > 50
