@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from scriptoria.functions import geometry as G
+from scriptoria.operators import bands
 from scriptoria.operators.scan import spread
 
 
@@ -207,6 +208,19 @@ def instance_map(spans: DataFrame, cell: int = 1024) -> DataFrame:
     return free.filter(~at_edge).unionByName(joined)
 
 
+def polygon_owners(polygons: DataFrame, bounds: tuple[str, str] | None = None, limit: int | None = None) -> DataFrame:
+    """:func:`instance_map` of filled polygons (page_id, inst_id, points), cut to *bounds* if given.
+
+    Polygons meet by page and band of rows; a band with more than *limit* of them goes by pixel rows.
+    """
+    size = list(bounds or ())
+    rows = polygons.select("page_id", "inst_id", "points", *size)
+    gathered = bands.gather(rows, ["page_id"], 0, bounds, limit=limit)
+    if gathered is None:
+        return instance_map(fill_polygons(rows, bounds=bounds).drop(*size))
+    return bands.spans_of(gathered, ["page_id"], bounds, lambda band: bands.owned(band, False), rows.schema["inst_id"].dataType)
+
+
 def sweep_row(x0: list[int], x1: list[int], inst: list[int]) -> list[tuple[int, int, int]]:
     """Runs (x0, x1, instance) of a row that the largest instance owns; pieces in order of x0.
 
@@ -318,24 +332,47 @@ def touching_boundary(owner: DataFrame, wrap_size: tuple[str, str] | None = None
     return merge_spans(along.unionByName(across), ["page_id"])
 
 
-def boundary_mask(polygons: DataFrame, size: DataFrame, thickness: int = 3) -> DataFrame:
+def boundary_mask(polygons: DataFrame, size: DataFrame, thickness: int = 3, limit: int | None = None) -> DataFrame:
     """Pixels where instances touch, and the band along every outline, as merged spans of each page.
 
     *polygons* has page_id, inst_id and points; *size* page_id, width and height.  Later
-    instances overwrite earlier ones; opposite page edges count as neighbours.
+    instances overwrite earlier ones; opposite page edges count as neighbours.  A band of rows
+    with more than *limit* polygons goes by pixel rows.
     """
+    bounds = ("width", "height")
     placed = polygons.select("page_id", "inst_id", "points").join(size.select("page_id", "width", "height"), "page_id")
-    owner = instance_map(fill_polygons(placed, bounds=("width", "height")).drop("width", "height"))
+    half = thickness // 2
+    gathered = bands.gather(placed, ["page_id"], max(half, 1), bounds, wrap=True, limit=limit)
+    if gathered is not None:
+        def found(band: bands.Band) -> tuple[np.ndarray, ...]:
+            row, x0, x1, inst = bands.owned(band, True)
+            touch = bands.touching(row, x0, x1, inst, band.width[band.place(row)[0]])
+            return bands.merged(*(np.concatenate(v) for v in zip(touch, bands.band_of_edges(band, half))))
+
+        return bands.spans_of(gathered, ["page_id"], bounds, found)
+    owner = instance_map(fill_polygons(placed, bounds=bounds).drop(*bounds))
     touching = touching_boundary(owner.join(size.select("page_id", "width", "height"), "page_id"), ("height", "width"))
-    band = outline_band(placed, ["page_id"], thickness=thickness, bounds=("width", "height"))
+    band = outline_band(placed, ["page_id"], thickness=thickness, bounds=bounds, limit=limit)
     columns = ["page_id", "y", "x0", "x1"]
     return merge_spans(touching.select(*columns).unionByName(band.select(*columns)), ["page_id"])
 
 
-def outline_band(df: DataFrame, keys: Sequence[str], points: str = "points", thickness: int = 3, bounds: tuple[str, str] | None = None) -> DataFrame:
-    """Pixels within half the thickness of a polygon's outline, as merged spans; cut to *bounds* if given."""
+def outline_band(df: DataFrame, keys: Sequence[str], points: str = "points", thickness: int = 3, bounds: tuple[str, str] | None = None, limit: int | None = None) -> DataFrame:
+    """Pixels within half the thickness of a polygon's outline, as merged spans; cut to *bounds* if given.
+
+    A band of rows with more than *limit* polygons goes by pixel rows.
+    """
     half = thickness // 2
-    p = F.col(points)
+    rows = df.select(*keys, *(bounds or ()), F.col(points).alias("points"))
+    gathered = bands.gather(rows, keys, half, bounds, limit=limit)
+    if gathered is None:
+        return _outline_band_rows(rows, keys, half, bounds)
+    return bands.spans_of(gathered, keys, bounds, lambda band: bands.merged(*bands.band_of_edges(band, half)))
+
+
+def _outline_band_rows(df: DataFrame, keys: Sequence[str], half: int, bounds: tuple[str, str] | None) -> DataFrame:
+    """:func:`outline_band` by pixel rows."""
+    p = F.col("points")
     size = list(bounds or ())
     edges = df.select(*keys, *size, F.explode(F.zip_with(p, G._rotated(p), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("e"))
     lo_y, hi_y = F.least("e.a.y", "e.b.y"), F.greatest("e.a.y", "e.b.y")
