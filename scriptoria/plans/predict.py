@@ -20,20 +20,24 @@ from scriptoria.sources import images as images_of_masks
 from scriptoria.sources import page_xml, tables
 
 
-def blended_probabilities(
+def blended_rows(
     images: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], size: int = 448, stride: int | None = None, batch_size: int = 16
 ) -> DataFrame:
-    """Probability of every pixel (page_id, y, x, prob): a model over overlapping windows, blended.
+    """Probabilities of every pixel row (page_id, y, array prob from x = 0): a model over overlapping windows, blended.
 
     *images* has page_id, height, width, n_channels, data.  The model takes windows as
     n x (size * size * 3) floats in 0 to 1, zeros beyond the page, and gives n x (size * size)
     numbers.
     """
-    windows = tiles.inference_windows(images.select("page_id", "height", "width"), size, stride).drop("height", "width")
-    rows = cuts.cut(images, cuts.window_rectangles(windows), "page_id", pad=(size, size), as_values=True)
-    scored = rows.select(
-        "page_id", "y0", "x0", "hy", "hx", score_batches(F.col("values"), make_model, [size * size * 3], batch_size, T.ArrayType(T.FloatType())).alias("probs"))
-    return tiles.blend(cuts.window_pixels(scored, "probs", size), size, F.col("prob"))
+    return tiles.blend_images(images, make_model, size, stride or size // 2, batch_size)
+
+
+def blended_probabilities(
+    images: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], size: int = 448, stride: int | None = None, batch_size: int = 16
+) -> DataFrame:
+    """:func:`blended_rows` as pixels (page_id, y, x, prob)."""
+    rows = blended_rows(images, make_model, size, stride, batch_size)
+    return rows.select("page_id", "y", F.posexplode("prob").alias("x", "prob"))
 
 
 METRICS = ("IoU", "Precision", "Recall", "F1", "Dice")

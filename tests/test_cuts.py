@@ -169,3 +169,10 @@ def test_masks_evaluated_to_files(spark, images, tmp_path):
     back = spark.read.option("header", True).csv(str(tmp_path / "mask_metrics"))
     assert back.count() == 2 and back.columns == ["image", *predict.METRICS]
     assert spark.read.option("header", True).csv(str(tmp_path / "mask_metrics_summary")).count() == 1
+
+
+def test_blended_rows_are_made_where_the_image_is(spark, images):
+    rows = predict.blended_rows(images.filter("page_id < 5"), make_model, size=8, stride=4, batch_size=3)
+    assert {r.page_id: len(r.prob) for r in rows.collect()} == {p: rgb(p).shape[1] for p in IMAGES}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
