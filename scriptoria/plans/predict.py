@@ -13,7 +13,7 @@ from scriptoria.functions import geometry as G
 from scriptoria.operators import cuts, matching, metrics, tiles
 from scriptoria.operators.scan import row_numbers, spread
 from scriptoria.operators.scoring import score_batches
-from scriptoria.operators.spans import pixels_to_spans, spans_to_pixels
+from scriptoria.operators.spans import pixels_to_spans
 from scriptoria.plans import evaluate
 from scriptoria.session import checkpointed
 from scriptoria.sources import images as images_of_masks
@@ -45,11 +45,27 @@ METRICS = ("IoU", "Precision", "Recall", "F1", "Dice")
 
 def rated_masks(probs: DataFrame, masks: DataFrame, threshold: float = 0.5, policy: str = "any_channel") -> DataFrame:
     """METRICS of each page of *probs* (page_id, y, x, prob) against mask images (page_id, height, width, n_channels, data); pages without a mask have no row."""
+    at = F.struct("x", F.col("prob"))
+    rows = probs.groupBy("page_id", "y").agg(F.array_sort(F.collect_list(at)).alias("_at"))
+    return rated_rows(rows.select("page_id", "y", F.transform("_at", lambda v: v["prob"]).alias("prob"), F.transform("_at", lambda v: v["x"]).alias("x")), masks, threshold, policy)
+
+
+def rated_rows(rows: DataFrame, masks: DataFrame, threshold: float = 0.5, policy: str = "any_channel") -> DataFrame:
+    """:func:`rated_masks` of pixel rows (page_id, y, array prob, from x = 0 or with an array x of places).
+
+    Runs of text meet rows of probabilities, never single pixels.
+    """
     truth = images_of_masks.mask_spans(masks.select(F.col("page_id").cast("string").alias("path"), "height", "width", "n_channels", "data"), policy)
-    pixels = spans_to_pixels(truth.filter("kind = 'text'").select(F.col("path").cast("long").alias("page_id"), "y", "x0", "x1")).withColumn("gt", F.lit(1))
-    known = probs.join(masks.select("page_id"), "page_id", "left_semi")
-    rows = known.join(pixels, ["page_id", "y", "x"], "left").select("page_id", (F.col("prob") > threshold).cast("int").alias("pred"), F.coalesce("gt", F.lit(0)).alias("gt"))
-    return metrics.binary_metrics(rows, ["page_id"])
+    text = truth.filter("kind = 'text'").select(F.col("path").cast("long").alias("page_id"), "y", F.struct("x0", "x1").alias("_run"))
+    runs = text.groupBy("page_id", "y").agg(F.collect_list("_run").alias("_runs"))
+    known = rows.join(masks.select("page_id"), "page_id", "left_semi").join(runs, ["page_id", "y"], "left")
+    place = (lambda i: F.get("x", i)) if "x" in rows.columns else (lambda i: i)
+    none = F.array().cast(runs.schema["_runs"].dataType)
+    truth_at = lambda i: F.exists(F.coalesce("_runs", none), lambda r: place(i).between(r["x0"], r["x1"]))
+    cases = F.transform("prob", lambda p, i: F.when(p > threshold, F.when(truth_at(i), 3).otherwise(2)).otherwise(F.when(truth_at(i), 1).otherwise(0)))
+    counted = known.select("page_id", cases.alias("_case"))
+    count = lambda k: F.sum(F.size(F.filter("_case", lambda c: c == k)).cast("long"))
+    return metrics.metrics_of_counts(counted.groupBy("page_id").agg(count(3).alias("tp"), count(2).alias("fp"), count(1).alias("fn")), ["page_id"])
 
 
 def evaluate_masks(images: DataFrame, masks: DataFrame, make_model, path: str, size: int = 448, stride: int | None = None, threshold: float = 0.5,

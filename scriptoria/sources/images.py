@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from scriptoria.operators.scan import spread
 from scriptoria.sources.files import with_on_missing
 
+#: Bytes of masks that are worked on together.
+TOGETHER = 4 << 20
+
 
 def _channels(data: memoryview, height: int, width: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Red, green, blue of rows of B, G, R (A) or gray bytes."""
@@ -56,19 +59,37 @@ def mask_spans(images: DataFrame, policy: str, on_missing: str = "skip") -> Data
 
     def decode(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in ("path", "height", "width", "n_channels", "data")}
-                if row["data"] is None:
-                    empty = [pa.array([row["path"]], pa.string()), pa.nulls(1, pa.string()), *[pa.nulls(1, pa.int32())] * 3]
-                    yield pa.RecordBatch.from_arrays(empty, names=["path", "kind", "y", "x0", "x1"])
-                    continue
-                planes = _channels(row["data"], row["height"], row["width"], row["n_channels"])
-                for kind, mask in zip(("text", "dont_care"), _text_and_dont_care(policy, *planes)):
-                    y, x0, x1 = runs(mask)
-                    names = [pa.array([v] * len(y), pa.string()) for v in (row["path"], kind)]
-                    numbers = [pa.array(v.astype(np.int32)) for v in (y, x0, x1)]
-                    yield pa.RecordBatch.from_arrays([*names, *numbers], names=["path", "kind", "y", "x0", "x1"])
-
+            paths, data = batch.column("path"), batch.column("data")
+            gone = np.flatnonzero(~data.is_valid().to_numpy(zero_copy_only=False))
+            if len(gone):
+                yield pa.RecordBatch.from_arrays([paths.take(pa.array(gone)).cast(pa.string()), pa.nulls(len(gone), pa.string()), *[pa.nulls(len(gone), pa.int32())] * 3], names=names)
+            alike, size = {}, 0
+            heights, widths, channels = (batch.column(c).to_pylist() for c in ("height", "width", "n_channels"))
+            for i in np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                held = data[i].as_buffer()
+                if len(held) != heights[i] * widths[i] * channels[i]:
+                    raise ValueError(f"mask {paths[i]} has {len(held)} bytes, not {heights[i]} x {widths[i]} x {channels[i]}")
+                alike.setdefault((widths[i], channels[i]), []).append((i, heights[i], held))
+                size += len(held)
+                if size >= TOGETHER:
+                    yield from found(alike, paths)
+                    alike, size = {}, 0
+            yield from found(alike, paths)
+
+    def found(alike, paths):
+        # images of one width stand below each other and are worked on together
+        for (width, n), images_ in alike.items():
+            heights = np.array([h for _, h, _ in images_])
+            first = np.cumsum(heights) - heights
+            planes = _channels(b"".join(held for *_, held in images_), int(heights.sum()), width, n)
+            for kind, mask in zip(("text", "dont_care"), _text_and_dont_care(policy, *planes)):
+                y, x0, x1 = runs(mask)
+                of = np.searchsorted(first, y, "right") - 1
+                numbers = [pa.array(v.astype(np.int32)) for v in (y - first[of], x0, x1)]
+                named = paths.take(pa.array(np.array([i for i, *_ in images_], np.int64)[of])).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([named, pa.array([kind]).take(pa.array(np.zeros(len(y), np.int64))), *numbers], names=names)
+
+    names = ["path", "kind", "y", "x0", "x1"]
     return told.mapInArrow(decode, "path string, kind string, y int, x0 int, x1 int")
 
 

@@ -176,3 +176,27 @@ def test_blended_rows_are_made_where_the_image_is(spark, images):
     assert {r.page_id: len(r.prob) for r in rows.collect()} == {p: rgb(p).shape[1] for p in IMAGES}
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_masks_of_one_width_are_read_together(spark):
+    from scriptoria.sources import images as masks
+
+    rng = np.random.default_rng(3)
+    heights = [1, 3, 2, 3, 4, 1]
+    shapes = [(str(i), h, 4 + i % 2, 1 if i < 4 else 3) for i, h in enumerate(heights)]
+    held = {p: (rng.integers(0, 3, (h, w, n)) * 64).astype(np.uint8) for p, h, w, n in shapes}
+    rows = [(p, h, w, n, bytearray(held[p].tobytes())) for p, h, w, n in shapes] + [("no", 2, 2, 1, None)]
+    images = spark.createDataFrame(rows, "path string, height int, width int, n_channels int, data binary").coalesce(1)
+    found = {(r.path, r.y, x) for r in masks.mask_spans(images, "above_127").collect() for x in range(r.x0, r.x1 + 1)}
+    gray = {p: v.astype(int) @ [114, 587, 299] if v.shape[2] == 3 else v[..., 0].astype(int) * 1000 for p, v in held.items()}
+    assert found == {(p, y, x) for p, g in gray.items() for y, x in np.argwhere((g + 500) // 1000 > 127).tolist()}
+    kept = masks.mask_spans(images, "above_127", on_missing="keep").filter("kind is null").collect()
+    assert [r.path for r in kept] == ["no"]
+
+
+def test_rated_rows_of_pixels_with_gaps(spark):
+    # pixels in any order, some of them missing
+    probs = spark.createDataFrame([(1, 0, 2, 0.9), (1, 0, 0, 0.1), (1, 1, 1, 0.8), (2, 0, 0, 0.9)], "page_id long, y int, x int, prob double")
+    masks = spark.createDataFrame([(1, 2, 3, 1, bytearray([255, 0, 255, 0, 0, 0]))], "page_id long, height int, width int, n_channels int, data binary")
+    (row,) = predict.rated_masks(probs, masks, 0.5).collect()
+    assert row.page_id == 1 and abs(row.IoU - 1 / 3) < 1e-5 and abs(row.Recall - 0.5) < 1e-5
