@@ -109,7 +109,8 @@ def components(spans: DataFrame, band_rows: int = BAND_ROWS, piece_runs: int = P
     """
     keys = ["page_id", "_band"]
     banded = spans.select("page_id", "y", "x0", "x1", F.floor(F.col("y") / band_rows).alias("_band"))
-    ordered = spread(banded, *keys).sortWithinPartitions(*keys, "y", "x0")
+    sizes = banded.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs")).agg(F.max("runs").alias("runs"), F.max("_band").alias("band"), F.sum("runs").alias("all")).first()
+    ordered = spread(banded, *keys, rows=sizes["all"] or 0).sortWithinPartitions(*keys, "y", "x0")
 
     def label(batches):
         row = None  # the last pixel row of the piece before: y, x0, x1, comp
@@ -131,7 +132,6 @@ def components(spans: DataFrame, band_rows: int = BAND_ROWS, piece_runs: int = P
             row = y[last], x0[last], x1[last], comp[last]
 
     labelled = ordered.mapInPandas(label, "page_id long, y int, x0 int, x1 int, comp long, meets long")
-    sizes = banded.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs")).agg(F.max("runs").alias("runs"), F.max("_band").alias("band")).first()
     if (sizes["runs"] or 0) <= piece_runs and (sizes["band"] or 0) < 1:
         return labelled.drop("meets")
     labelled = checkpointed(labelled)

@@ -171,7 +171,14 @@ def with_group_size(rows: DataFrame, keys: Sequence[str], name: str, group_limit
     return rows.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition for Python work, which is bound by CPU: the partitions are not merged for being small."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+# Rows that one task sorts for Python work, where their number is known.
+TASK_ROWS = 1_000_000
+
+
+def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
+    """Repartition for Python work, which is bound by CPU: the partitions are not merged for being small.
+
+    Where the number of *rows* is known, there are more partitions for more of them, so that what a task sorts does not grow.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
     return df.repartition(n, *keys)
