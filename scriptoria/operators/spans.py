@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from scriptoria.functions import geometry as G
-from scriptoria.operators import bands
+from scriptoria.operators import bands, runs
 from scriptoria.operators.scan import spread
 
 
@@ -303,8 +303,11 @@ def touching_boundary(owner: DataFrame, wrap_size: tuple[str, str] | None = None
 
     Along a row, neighbours are runs that follow each other.  Between two rows, all runs of both
     are swept once in order of x: where a run begins, the last run begun in the other row is the
-    only one it can lie beside.  No run meets all others of its row.
+    only one it can lie beside.  No run meets all others of its row.  Without *wrap_size* that is
+    done by bands of rows behind one shuffle.
     """
+    if not wrap_size:
+        return runs.touching(owner)
     extra = list(wrap_size) if wrap_size else []
     a = owner.select("page_id", "inst_id", "y", "x0", "x1", *extra)
     row = Window.partitionBy("page_id", "y").orderBy("x0")
