@@ -96,3 +96,66 @@ def touching(owner: DataFrame) -> DataFrame:
         return group, at[own] - 1 + first, x0[own], x1[own]
 
     return _by_bands(_banded(owner.select("page_id", "inst_id", "y", "x0", "x1"), 1), found)
+
+
+def closed(spans: DataFrame, kernel: Sequence[tuple[int, int, int]], size: DataFrame, iterations: int = 1) -> DataFrame:
+    """Closing of a mask by the *kernel*'s rows (dy, first dx, last dx), on pages of a size (page_id, width, height); pixels outside never count against it.
+
+    The size of a page goes to its bands as one more row, so that nothing else is joined.
+    """
+    reach = 2 * iterations * max(abs(dy) for dy, *_ in kernel)
+    tall = BAND_ROWS + 2 * reach + 1
+    placed = _banded(spans.select("page_id", "y", "x0", "x1", F.lit(False).alias("_size")), reach, 0)
+    sizes = size.filter("width > 0 and height > 0").select(
+        "page_id", F.lit(0).alias("y"), F.col("width").cast("int").alias("x0"), F.col("height").cast("int").alias("x1"), F.lit(True).alias("_size"),
+        F.explode(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / BAND_ROWS).cast("int"))).alias("_band"))
+
+    def found(batch: pa.RecordBatch, of: np.ndarray) -> tuple[np.ndarray, ...]:
+        band, y, x0, x1 = (v.astype(np.int64) for v in numbers(batch, "_band", "y", "x0", "x1"))
+        told = batch.column("_size").to_numpy(zero_copy_only=False)
+        n = int(of[-1]) + 1
+        width, height, first = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        width[of[told]], height[of[told]], first[of] = x0[told], x1[told], band * BAND_ROWS - reach
+        # the rows of the page that a band sees, and the place of the first of them
+        low = np.maximum(first, 0)
+        seen = np.maximum(np.minimum(first + tall - 1, height) - low, 0)
+        group = np.repeat(np.arange(n), seen)
+        every = group * tall + (low - first)[group] + np.arange(len(group)) - np.repeat(np.cumsum(seen) - seen, seen)
+
+        def dilated(row, x0, x1):
+            parts = []
+            for dy, lo, hi in kernel:
+                of, to = row // tall, row % tall - dy
+                there = (to >= 0) & (to < tall - 1) & (first[of] + to >= 0) & (first[of] + to < height[of])
+                of, to = of[there], to[there]
+                a, b = np.maximum(x0[there] - hi, 0), np.minimum(x1[there] - lo, width[of] - 1)
+                some = a <= b
+                parts.append((of[some] * tall + to[some], a[some], b[some]))
+            return bands.merged(*(np.concatenate(v) for v in zip(*parts)))
+
+        def gaps(row, x0, x1):
+            edge = width[every // tall]
+            at, a, b = np.append(row, every), np.append(x0, edge), np.append(x1, edge)
+            if not len(at):
+                return at, a, b
+            order = np.lexsort((a, at))
+            at, a, b = at[order], a[order], b[order]
+            begin = np.append(True, at[1:] != at[:-1])
+            left = np.where(begin, 0, np.append(-1, b[:-1]) + 1)
+            some = left < a
+            return at[some], left[some], a[some] - 1
+
+        at = y - first[of]
+        near = ~told & (at >= 0) & (at < tall - 1) & (height[of] > 0)
+        runs = of[near] * tall + at[near], x0[near], x1[near]
+        for _ in range(iterations):
+            runs = dilated(*runs)
+        runs = gaps(*runs)
+        for _ in range(iterations):
+            runs = dilated(*runs)
+        row, x0, x1 = gaps(*runs)
+        own = (row % tall >= reach) & (row % tall < reach + BAND_ROWS)
+        of = row[own] // tall
+        return of, row[own] % tall + first[of], x0[own], x1[own]
+
+    return _by_bands(placed.unionByName(sizes), found)

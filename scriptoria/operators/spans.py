@@ -452,10 +452,4 @@ def complement(spans: DataFrame, size: DataFrame) -> DataFrame:
 
 def close_mask(spans: DataFrame, kernel: Sequence[tuple[int, int, int]], size: DataFrame, iterations: int = 1) -> DataFrame:
     """Morphological closing; pixels outside the page never count against it."""
-    grown = spans
-    for _ in range(iterations):
-        grown = dilate(grown, kernel, size)
-    background = complement(grown, size)
-    for _ in range(iterations):
-        background = dilate(background, kernel, size)
-    return complement(background, size)
+    return runs.closed(spans, kernel, size, iterations)

@@ -1,6 +1,7 @@
 """Runs worked on by bands of pixel rows give what whole pages give, behind one shuffle."""
 
 import numpy as np
+import pytest
 
 from scriptoria.operators import runs
 from scriptoria.operators import spans as R
@@ -30,6 +31,28 @@ def test_touching_over_bands(spark):
     assert shuffles(found) == (1, 0)
 
 
+@pytest.mark.parametrize("iterations", [1, 3])
+def test_closing_over_bands(spark, iterations):
+    kernel = R.rect_kernel(5, 4)
+    rows, expected = [], set()
+    for page, (w, h) in enumerate(PAGES):
+        mask = RNG.random((h, w)) < 0.2
+        rows += [(page, int(y), int(a), int(b)) for y, a, b in zip(*_runs(mask))]
+        for held in (mask, None):
+            grown = mask if held is not None else ~grown
+            for _ in range(iterations):
+                far = 10
+                wide = np.pad(grown, far)
+                grown = np.logical_or.reduce([wide[far + dy:far + dy + h, far + dx:far + dx + w] for dy, lo, hi in kernel for dx in range(lo, hi + 1)])
+        expected |= {(page, int(y), int(x)) for y, x in zip(*np.nonzero(~grown))}
+    rows.append((99, 0, 0, 3))  # a page whose size is not known
+    size = spark.createDataFrame([(p, *s) for p, s in enumerate(PAGES)] + [(77, 5, 5)], "page_id long, width int, height int")
+    found = R.close_mask(spark.createDataFrame(rows, "page_id long, y int, x0 int, x1 int"), kernel, size, iterations)
+    got = [(r.page_id, r.y, r.x) for r in R.spans_to_pixels(found).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    assert shuffles(found) == (1, 0)
+
+
 def _runs(mask):
     from scriptoria.sources.images import runs as of
 
