@@ -74,4 +74,4 @@ def mask_page_score(s: Samples):
 
 @check("x03_lines_from_probabilities")
 def lines_from_probabilities(s: Samples):
-    return evaluate.lines_from_probabilities(s.grid.select("page_id", "y", "x", "prob"), s.grid_size, 0.5, min_area=20)
+    return evaluate.lines_from_probability_rows(s.grid_rows(prob="prob"), s.grid_size, 0.5, min_area=20)

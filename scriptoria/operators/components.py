@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.operators.borders import run_outlines
+from scriptoria.operators.runs import numbers, starts, whole_groups
 from scriptoria.operators.scan import spread, top_per_group
 from scriptoria.session import checkpointed
 
@@ -53,23 +54,6 @@ def label_sorted_spans(group: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.
     return label
 
 
-def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Re-cut sorted batches so that no group of *keys* is split."""
-    held = None
-    for batch in batches:
-        if held is not None:
-            batch = pd.concat([held, batch], ignore_index=True)
-        if batch.empty:
-            continue
-        last = (batch[keys] == batch[keys].iloc[-1]).all(axis=1).to_numpy()
-        cut = len(last) if not last.any() else int(np.argmax(last))
-        if cut:
-            yield batch.iloc[:cut]
-        held = batch.iloc[cut:]
-    if held is not None and len(held):
-        yield held
-
-
 def _pieces(batches: Iterator[pd.DataFrame], keys: list[str], most: int) -> Iterator[tuple[pd.DataFrame, bool]]:
     """Re-cut sorted batches at ends of groups, and within a group of more than *most* rows at ends of pixel rows.
 
@@ -99,17 +83,26 @@ def _pieces(batches: Iterator[pd.DataFrame], keys: list[str], most: int) -> Iter
         yield pd.concat(parts, ignore_index=True), goes_on
 
 
-def components(spans: DataFrame, band_rows: int = BAND_ROWS, piece_runs: int = PIECE_RUNS) -> DataFrame:
+def _most_runs(size: DataFrame, band_rows: int) -> DataFrame:
+    """Bounds of what :func:`components` counts, from the pages' sizes: a pixel row has a run for two pixels at most."""
+    in_row, rows = F.floor((F.col("width") + 1) / 2), F.least(F.col("height"), F.lit(band_rows))
+    return size.agg(F.max(rows * in_row).alias("runs"), F.max(F.floor((F.col("height") - 1) / band_rows)).alias("band"), F.sum(F.col("height") * in_row).alias("all"))
+
+
+def components(spans: DataFrame, band_rows: int = BAND_ROWS, piece_runs: int = PIECE_RUNS, size: DataFrame | None = None) -> DataFrame:
     """Spans (page_id, y, x0, x1) with ``comp``, which orders components by their first pixel.
 
     Bands of pixel rows are labelled on their own, many pages to an Arrow batch.  A band of
     more than *piece_runs* runs is labelled piece by piece, and only the last pixel row of a
     piece stays for the next.  Labels that meet at the border of two pieces or bands are joined
-    afterwards.
+    afterwards.  Runs are counted first, which reads *spans* once more, unless the *size* of all
+    pages (page_id, width, height) tells that none is so large.
     """
     keys = ["page_id", "_band"]
     banded = spans.select("page_id", "y", "x0", "x1", F.floor(F.col("y") / band_rows).alias("_band"))
-    sizes = banded.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs")).agg(F.max("runs").alias("runs"), F.max("_band").alias("band"), F.sum("runs").alias("all")).first()
+    sizes = _most_runs(size, band_rows).first() if size is not None else None
+    if sizes is None or (sizes["runs"] or 0) > piece_runs or (sizes["band"] or 0) >= 1:
+        sizes = banded.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs")).agg(F.max("runs").alias("runs"), F.max("_band").alias("band"), F.sum("runs").alias("all")).first()
     ordered = spread(banded, *keys, rows=sizes["all"] or 0).sortWithinPartitions(*keys, "y", "x0")
 
     def label(batches):
@@ -200,19 +193,37 @@ def largest_component(stats: DataFrame, by: str = "page_id") -> DataFrame:
 
 def outlines(labelled: DataFrame) -> DataFrame:
     """Outer outline of each component: page_id, comp, points.  Runs are maximal."""
-    ordered = spread(labelled.select("page_id", "comp", "y", "x0", "x1"), "page_id", "comp").sortWithinPartitions("page_id", "comp", "y", "x0")
+    return outlined(labelled).select("page_id", "comp", "points")
+
+
+def outlined(labelled: DataFrame, min_area: int = 0) -> DataFrame:
+    """Statistics and outer outline of each component of at least *min_area* pixels: those of :func:`component_stats`, and points.  Runs are maximal.
+
+    Both come from one pass over the sorted runs; what is too small is not traced.
+    """
+    keys = ["page_id", "comp"]
+    ordered = spread(labelled.select("page_id", "comp", "y", "x0", "x1"), *keys).sortWithinPartitions(*keys, "y", "x0")
 
     def trace(batches):
-        for pdf in _whole_groups(batches, ["page_id", "comp"]):
-            page, comp = pdf["page_id"].to_numpy(), pdf["comp"].to_numpy()
-            new = np.append(True, (page[1:] != page[:-1]) | (comp[1:] != comp[:-1]))
-            of, x, y = run_outlines(np.cumsum(new) - 1, *(pdf[c].to_numpy() for c in ("y", "x0", "x1")))
+        for batch in whole_groups(batches, keys):
+            new = starts(batch, keys)
+            page, comp, y, x0, x1 = numbers(batch, "page_id", "comp", "y", "x0", "x1")
+            begin = np.flatnonzero(new)
+            area = np.add.reduceat((x1 - x0 + 1).astype(np.int64), begin)
+            kept = area >= min_area
+            runs = kept[np.cumsum(new) - 1]
+            begin, area, top = begin[kept], area[kept], y[begin[kept]]
+            if not len(begin):
+                continue
+            y, x0, x1 = y[runs], x0[runs], x1[runs]
+            at = np.flatnonzero(new[runs])
+            left, height = np.minimum.reduceat(x0, at), y[np.append(at[1:], len(y)) - 1] - top + 1
+            width = np.maximum.reduceat(x1, at) - left + 1
+            of, px, py = run_outlines(np.cumsum(new[runs]) - 1, y, x0, x1)
             ends = np.append(0, np.cumsum(np.bincount(of))).astype(np.int32)
-            points = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32))], ["x", "y"])
+            points = pa.StructArray.from_arrays([pa.array(px.astype(np.int32)), pa.array(py.astype(np.int32))], ["x", "y"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(page[new]), pa.array(comp[new]), pa.ListArray.from_arrays(ends, points)], names=["page_id", "comp", "points"])
-
-    def in_batches(batches):
-        return trace(b.to_pandas() for b in batches)
+                [pa.array(page[begin]), pa.array(comp[begin]), *(pa.array(v.astype(np.int32)) for v in (left, top, width, height)), pa.array(area), pa.ListArray.from_arrays(ends, points)],
+                names=["page_id", "comp", "left", "top", "width", "height", "area", "points"])
 
-    return ordered.mapInArrow(in_batches, "page_id long, comp long, points array<struct<x:int,y:int>>")
+    return ordered.mapInArrow(trace, "page_id long, comp long, left int, top int, width int, height int, area long, points array<struct<x:int,y:int>>")

@@ -143,10 +143,11 @@ def ragged(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return of, np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes), lists.flatten()
 
 
-def rows_to_spans(rows: DataFrame, keys: Sequence[str], label: str, name: str | None = None) -> DataFrame:
+def rows_to_spans(rows: DataFrame, keys: Sequence[str], label: str, name: str | None = None, above: float | None = None) -> DataFrame:
     """Maximal runs of equal labels of pixel rows (keys, y, and an array of labels from x = 0; null is background).
 
     A narrow Arrow step: a row of pixels is one row, nothing is sorted or shuffled.  *name* keeps a run's label.
+    With *above*, labels are numbers, of which those above it are foreground, all alike; NaN is above all, as in SQL.
     """
     keep = [*keys, "y"]
 
@@ -154,6 +155,8 @@ def rows_to_spans(rows: DataFrame, keys: Sequence[str], label: str, name: str |
         for batch in batches:
             of, x, labels = ragged(batch.column(label))
             inked, value = labels.is_valid().to_numpy(zero_copy_only=False), labels.fill_null(0).to_numpy(zero_copy_only=False)
+            if above is not None:
+                inked, value = inked & ~(value <= above), inked
             other = np.ones(len(of) + 1, bool)  # whether a pixel differs from the one before it
             other[1:-1] = (of[1:] != of[:-1]) | (inked[1:] != inked[:-1]) | (value[1:] != value[:-1])
             start, stop = np.flatnonzero(other[:-1] & inked), np.flatnonzero(other[1:] & inked)

@@ -23,11 +23,20 @@ def lines_from_probabilities(
     Pixels above the threshold are closed with a 7 x 3 rectangle; each component of
     at least *min_area* pixels gives a simplified outline and a baseline on its last row.
     """
-    mask = R.pixels_to_spans(pixels.filter(F.col("prob") > threshold), ["page_id"])
-    labelled = C.components(R.close_mask(mask, R.rect_kernel(7, 3), size))
-    stats = C.component_stats(labelled).filter(F.col("area") >= min_area)
-    outlines = C.outlines(labelled.join(stats.select("page_id", "comp"), ["page_id", "comp"], "left_semi"))
-    kept = stats.join(outlines.filter(F.size("points") >= 3), ["page_id", "comp"])
+    return _lines_of(R.pixels_to_spans(pixels.filter(F.col("prob") > threshold), ["page_id"]), size, min_area, ratio)
+
+
+def lines_from_probability_rows(
+    rows: DataFrame, size: DataFrame, threshold: float = 0.5, min_area: int = 200, ratio: float = 0.005
+) -> DataFrame:
+    """:func:`lines_from_probabilities` of pixel rows (page_id, y, array prob from x = 0); single pixels are not sorted."""
+    return _lines_of(R.rows_to_spans(rows, ["page_id"], "prob", above=threshold), size, min_area, ratio)
+
+
+def _lines_of(mask: DataFrame, size: DataFrame, min_area: int, ratio: float) -> DataFrame:
+    labelled = C.components(R.close_mask(mask, R.rect_kernel(7, 3), size), size=size)
+    # stored: numbering looks at the sizes of groups first, and what lies below is the whole job
+    kept = checkpointed(C.outlined(labelled, min_area).filter(F.size("points") >= 3))
     numbered = row_numbers(kept, ["page_id"], [F.col("comp")], "line_no", start=0)
     base = G.baseline_from_box(F.col("left"), F.col("top"), F.col("width"), F.col("height"), "bottom")
     return numbered.select(

@@ -67,3 +67,44 @@ def test_groups_stay_whole():
     cut = list(runs.whole_groups((batch.slice(i, 7) for i in range(0, len(values), 7)), ["k"], 20))
     assert np.concatenate([c.column("k").to_numpy() for c in cut]).tolist() == values.tolist()
     assert all(a.column("k")[-1] != b.column("k")[0] for a, b in zip(cut, cut[1:])) and len(cut) > 5
+
+
+def test_lines_of_pixel_rows(spark):
+    """Pixel rows give the lines of their pixels, and no pixel is sorted on the way."""
+    from pyspark.sql import functions as F
+
+    from scriptoria.plans import evaluate
+
+    rows = [(p, y, (RNG.random(w) ** 9).round(2).tolist()) for p, (w, h) in enumerate(PAGES) for y in range(min(h, 60))]
+    rows[3][2][4] = float("nan")
+    rows[5][2][2] = 0.5
+    df = spark.createDataFrame(rows, "page_id long, y int, prob array<double>")
+    size = spark.createDataFrame([(p, w, min(h, 60)) for p, (w, h) in enumerate(PAGES)], "page_id long, width int, height int")
+    pixels = df.select("page_id", "y", F.posexplode("prob").alias("x", "prob"))
+    found, other = (sorted(map(tuple, f(d, size, 0.5, 5).collect())) for f, d in ((evaluate.lines_from_probability_rows, df), (evaluate.lines_from_probabilities, pixels)))
+    assert found == other and len(found) > 10
+
+
+def test_components_of_known_sizes(spark):
+    from scriptoria.operators import components as C
+
+    rows = [(p, int(y), int(a), int(b)) for p, (w, h) in enumerate(PAGES) for y, a, b in zip(*_runs(RNG.random((h, w)) < 0.4))]
+    spans = spark.createDataFrame(rows, "page_id long, y int, x0 int, x1 int")
+    size = spark.createDataFrame([(p, *s) for p, s in enumerate(PAGES)], "page_id long, width int, height int")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    watched = spans.mapInArrow(counted, spans.schema)
+    labelled = C.components(watched, size=size).localCheckpoint()
+    assert read.value == len(rows)  # runs are not read a second time to be counted
+    for known in ({}, {"size": size, "band_rows": 100}, {"size": size, "piece_runs": 50}):
+        assert sorted(map(tuple, C.components(spans, **known).collect())) == sorted(map(tuple, labelled.collect()))
+    stats = {(r.page_id, r.comp): tuple(r) for r in C.component_stats(labelled).collect()}
+    points = {(r.page_id, r.comp): r.points for r in C.outlines(labelled).collect()}
+    found = C.outlined(labelled, 9).collect()
+    assert {(r.page_id, r.comp): tuple(r[:7]) for r in found} == {k: v for k, v in stats.items() if v[6] >= 9} and found
+    assert all(r.points == points[r.page_id, r.comp] for r in found) and points.keys() == stats.keys()
