@@ -124,10 +124,16 @@ def components(spans: DataFrame, band_rows: int = BAND_ROWS, piece_runs: int = P
             last = np.flatnonzero((y == y[-1]) & (page == page[-1]) & (band == band[-1]))
             row = y[last], x0[last], x1[last], comp[last]
 
-    labelled = ordered.mapInPandas(label, "page_id long, y int, x0 int, x1 int, comp long, meets long")
+    def label_whole(batches):
+        for batch in whole_groups(batches, keys):
+            y, x0, x1 = (v.astype(np.int64) for v in numbers(batch, "y", "x0", "x1"))
+            root = label_sorted_spans(np.cumsum(starts(batch, keys)), y, x0, x1)
+            own = batch.select(["page_id", "y", "x0", "x1"])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(y[root] * _SHIFT + x0[root])], names=["page_id", "y", "x0", "x1", "comp"])
+
     if (sizes["runs"] or 0) <= piece_runs and (sizes["band"] or 0) < 1:
-        return labelled.drop("meets")
-    labelled = checkpointed(labelled)
+        return ordered.mapInArrow(label_whole, "page_id long, y int, x0 int, x1 int, comp long")
+    labelled = checkpointed(ordered.mapInPandas(label, "page_id long, y int, x0 int, x1 int, comp long, meets long"))
     return _join_bands(labelled.filter("meets is null").drop("meets"), labelled.filter("meets is not null").select("page_id", F.col("comp").alias("a"), F.col("meets").alias("b")), band_rows)
 
 
