@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from scriptoria.operators.components import label_sorted_spans
 from scriptoria.operators.borders import run_outlines
 from scriptoria.operators.scan import spread
-from scriptoria.sources.images import runs
 
 #: Rectangles that go with one copy of an image, and bytes of cuts handed on at once.
 RECTANGLES, CUT_BYTES = 1000, 8 << 20
@@ -46,11 +45,12 @@ def pixels_of(data: memoryview, height: int, width: int, n: int) -> np.ndarray:
 def _rows(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, np.ndarray, list[dict]]]:
     """Key, pixels and rectangles of each image row; images that cannot be decoded have none."""
     for batch in batches:
+        told, images, wanted = [batch.column(c).to_pylist() for c in (key, "height", "width", "n_channels")], batch.column("data"), batch.column("_rects")
         for i in range(batch.num_rows):
-            name, h, w, n = (batch.column(c)[i].as_py() for c in (key, "height", "width", "n_channels"))
-            data = batch.column("data")[i]
+            name, h, w, n = (c[i] for c in told)
+            data = images[i]
             if data.is_valid and (h or 0) > 0 and len(data.as_buffer()) == h * w * n:
-                yield name, pixels_of(data.as_buffer(), h, w, n), batch.column("_rects")[i].as_py()
+                yield name, pixels_of(data.as_buffer(), h, w, n), wanted[i].as_py()
 
 
 def cut(images: DataFrame, rectangles: DataFrame, key: str = "path", pad: tuple[int, int] | None = None, as_values: bool = False) -> DataFrame:
@@ -121,7 +121,7 @@ def segment(
     arrow = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in schema.fields])
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, held = make_model(), []
+        model, held, size = make_model(), [], 0
         for name, pixels, wanted in _rows(batches, key):
             h, w, _ = pixels.shape
             for r in wanted:
@@ -129,29 +129,58 @@ def segment(
                 crop = pixels[top:min(r["y1"], h), left:min(r["x1"], w)]
                 if not crop.size:
                     continue
-                found = largest_outline(np.asarray(model(crop)).astype(bool))
-                if found is None or not least <= found[0] <= most:
-                    continue
-                held.append((name, *(r[f.name] for f in rects), found[0], [{"x": x + left, "y": y + top} for x, y in found[1]]))
-                if len(held) >= RECTANGLES:
-                    yield _batch(held, arrow)
-                    held = []
+                held.append((name, r, top, left, np.asarray(model(crop)).astype(bool)))
+                size += crop.shape[0] * crop.shape[1]
+                if len(held) >= RECTANGLES or size >= CUT_BYTES:
+                    yield traced(held)
+                    held, size = [], 0
         if held:
-            yield _batch(held, arrow)
+            yield traced(held)
+
+    def traced(held: list[tuple]) -> pa.RecordBatch:
+        # small crops are labelled and traced together
+        of, ratio, count, px, py = largest_outlines([mask for *_, mask in held])
+        kept = (least <= ratio) & (ratio <= most)
+        points = np.repeat(kept, count)
+        of, ratio, count, px, py = of[kept], ratio[kept], count[kept], px[points], py[points]
+        top, left = (np.array([held[i][k] for i in of], np.int64) for k in (2, 3))
+        xy = [pa.array((v + np.repeat(by, count)).astype(np.int32)) for v, by in ((px, left), (py, top))]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.StructArray.from_arrays(xy, ["x", "y"]))
+        own = [pa.array([held[i][0] for i in of], arrow.field(0).type), *(pa.array([held[i][1][f.name] for i in of], arrow.field(f.name).type) for f in rects)]
+        return pa.RecordBatch.from_arrays([*own, pa.array(ratio), lists], names=arrow.names)
 
     return with_rectangles(images, rectangles, key).mapInArrow(outline, schema)
 
 
+def largest_outlines(masks: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Of the masks that are not empty: number, share that the largest component fills (the first of equal ones), points of its outline, and all their x and y."""
+    wide = np.array([m.shape[1] + 1 for m in masks], np.int64)
+    area = np.array([m.size for m in masks], np.int64)
+    first = np.append(0, np.cumsum([m.shape[0] * (m.shape[1] + 1) for m in masks])).astype(np.int64)
+    flat = np.zeros(first[-1] + 1, bool)
+    for mask, at in zip(masks, first.tolist()):
+        flat[at:at + mask.shape[0] * (mask.shape[1] + 1)].reshape(mask.shape[0], -1)[:, :-1] = mask
+    edge = np.diff(flat.astype(np.int8), prepend=0)
+    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    of = np.searchsorted(first, start, "right") - 1
+    y, x0 = np.divmod(start - first[of], wide[of])
+    x1 = x0 + stop - start
+    if not len(of):
+        return of, np.zeros(0), of, of, of
+    root = label_sorted_spans(of, y, x0, x1)
+    filled = np.bincount(root, x1 - x0 + 1, len(root)).astype(np.int64)
+    roots = np.flatnonzero(filled)
+    ordered = roots[np.lexsort((roots, -filled[roots], of[roots]))]
+    best = ordered[np.append(True, of[ordered[1:]] != of[ordered[:-1]])]
+    own = np.isin(root, best)
+    comp, px, py = run_outlines(np.searchsorted(best, root[own]), y[own], x0[own], x1[own])
+    return of[best], filled[best] / area[of[best]], np.bincount(comp, minlength=len(best)), px, py
+
+
 def largest_outline(mask: np.ndarray) -> tuple[float, list[tuple[int, int]]] | None:
     """Share of a mask that its largest component fills, and that one's outline; None of an empty mask."""
-    y, x0, x1 = (v.astype(np.int64) for v in runs(mask))
-    if not len(y):
-        return None
-    root = label_sorted_spans(np.zeros(len(y), np.int64), y, x0, x1)
-    area = np.bincount(root, x1 - x0 + 1)
-    own = root == int(area.argmax())  # the first of equal ones
-    _, px, py = run_outlines(np.zeros(int(own.sum()), np.int64), y[own], x0[own], x1[own])
-    return float(area.max()) / mask.size, list(zip(px.tolist(), py.tolist(), strict=True))
+    _, ratio, _, px, py = largest_outlines([mask])
+    return (float(ratio[0]), list(zip(px.tolist(), py.tolist(), strict=True))) if len(ratio) else None
 
 
 def tile_rectangles(tiles: DataFrame) -> DataFrame:

@@ -200,3 +200,23 @@ def test_rated_rows_of_pixels_with_gaps(spark):
     masks = spark.createDataFrame([(1, 2, 3, 1, bytearray([255, 0, 255, 0, 0, 0]))], "page_id long, height int, width int, n_channels int, data binary")
     (row,) = predict.rated_masks(probs, masks, 0.5).collect()
     assert row.page_id == 1 and abs(row.IoU - 1 / 3) < 1e-5 and abs(row.Recall - 0.5) < 1e-5
+
+
+def test_crops_traced_together():
+    """Crops of any size traced in one go give what each gives alone; before, there was one pass for each crop."""
+    from scriptoria.operators import components as C
+    from scriptoria.operators.borders import run_outlines
+    from scriptoria.sources.images import runs
+
+    masks = [RNG.random((h, w)) < share for h, w in ((1, 1), (1, 9), (9, 1), (5, 7), (30, 40)) for share in (0.0, 0.2, 0.5, 0.8, 1.0) for _ in range(3)]
+    of, ratio, count, px, py = cuts.largest_outlines(masks)
+    assert of.tolist() == [i for i, m in enumerate(masks) if m.any()]
+    ends = np.append(0, np.cumsum(count))
+    for k, i in enumerate(of.tolist()):
+        y, x0, x1 = (v.astype(np.int64) for v in runs(masks[i]))
+        root = C.label_sorted_spans(np.zeros(len(y), np.int64), y, x0, x1)
+        area = np.bincount(root, x1 - x0 + 1)
+        own = root == int(area.argmax())
+        _, x, z = run_outlines(np.zeros(int(own.sum()), np.int64), y[own], x0[own], x1[own])
+        assert ratio[k] == area.max() / masks[i].size
+        assert (px[ends[k]:ends[k + 1]].tolist(), py[ends[k]:ends[k + 1]].tolist()) == (x.tolist(), z.tolist())
