@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import geometry as G
 from scriptoria.operators.components import connected
+from scriptoria.operators.runs import numbers, starts, whole_groups
 from scriptoria.operators.scan import spread
 from scriptoria.operators.spans import _polygon_rows as fill_rows
 from scriptoria.operators.spans import ragged
@@ -316,6 +317,69 @@ def _match_by_components(live: DataFrame) -> DataFrame:
     return dealt.mapInArrow(fold, matches).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in live.select("page_id", "gt_idx", "pred_idx", "iou").schema))
 
 
+# Lines of one side up to which all pairs of a page are compared in arrays.
+PAGE_LINES = 100
+
+
+def hits_of_pages(lines: DataFrame, levels: int) -> DataFrame:
+    """Scores, hits and times of predictions, matched in score order at IoU 0.50, 0.55 and so on: bit i of hits is a match at level i.
+
+    *lines* has page_id, truth, idx, a closed box x1, y1, x2, y2 and score, of pages with at most
+    PAGE_LINES lines on a side or about as many.  A prediction takes the best free line, the first
+    one on ties.  Whole pages are matched together, a prediction of each at a time, behind one
+    shuffle of the boxes; only counts go on.
+    """
+    keys, box = ["page_id"], ("x1", "y1", "x2", "y2")
+    least = np.array([(50 + 5 * i) / 100.0 for i in range(levels)])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, keys):
+            page = np.cumsum(starts(batch, keys)) - 1
+            truth, idx, *sides = numbers(batch, "truth", "idx", *box)
+            gone = ~batch.column("score").is_valid().to_numpy(zero_copy_only=False)
+            score = batch.column("score").to_numpy(zero_copy_only=False).astype(float)
+            # highest first: NaN is above all, null below
+            kind = np.where(gone, 2, np.where(np.isnan(score), 0, 1))
+            order = np.lexsort((idx, np.where(kind == 1, -score, 0), kind, page))
+            p, g = order[~truth[order]], order[truth[order]]
+            if not len(p):
+                continue
+            n = int(page[-1]) + 1
+            n_g, n_p = np.bincount(page[g], minlength=n), np.bincount(page[p], minlength=n)
+            first_g = (np.cumsum(n_g) - n_g)[page[p]]
+            turn = np.arange(len(p)) - (np.cumsum(n_p) - n_p)[page[p]]
+            many = n_g[page[p]]
+            a = np.repeat(np.arange(len(p)), many)
+            b = np.repeat(first_g, many) + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+            (px1, py1, px2, py2), (gx1, gy1, gx2, gy2) = ([v[at] for v in sides] for at in (p[a], g[b]))
+            across, down = np.minimum(px2, gx2) - np.maximum(px1, gx1), np.minimum(py2, gy2) - np.maximum(py1, gy1)
+            area = lambda x1, y1, x2, y2: np.trunc(x2 - x1 + 1.0) * (y2 - y1 + 1)
+            inter = np.trunc(across + 1.0) * (down + 1)
+            union = area(px1, py1, px2, py2) + area(gx1, gy1, gx2, gy2) - inter
+            some = (across >= 0) & (down >= 0) & (union > 0)
+            iou = np.divide(inter, union, out=np.zeros(len(a)), where=some)
+            some &= iou >= least[0]
+            a, b, iou = a[some], b[some], iou[some]
+            # pairs by turn, then prediction, best line first
+            at = np.lexsort((idx[g[b]], -iou, a, turn[a]))
+            a, b, iou = a[at], b[at], iou[at]
+            taken, hits = np.zeros((len(g), levels), bool), np.zeros(len(p), np.int64)
+            ends = np.flatnonzero(np.append(True, turn[a[1:]] != turn[a[:-1]])) if len(a) else np.zeros(0, np.int64)
+            for lo, hi in zip(ends.tolist(), [*ends[1:].tolist(), len(a)]):
+                who, line = a[lo:hi], b[lo:hi]
+                free = (iou[lo:hi, None] >= least) & ~taken[line]
+                begin = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+                best = np.minimum.reduceat(np.where(free, np.arange(hi - lo)[:, None], hi - lo), begin)
+                of, level = np.nonzero(best < hi - lo)
+                taken[line[best[of, level]], level] = True
+                np.add.at(hits, who[begin[of]], 1 << level)
+            counted = pa.table({"score": batch.column("score").take(pa.array(p)), "hits": hits}).group_by(["score", "hits"]).aggregate([([], "count_all")])
+            yield from counted.rename_columns(["score", "hits", "times"]).combine_chunks().to_batches()
+
+    kind = dict(lines.dtypes)["score"]
+    return spread(lines, *keys).sortWithinPartitions(*keys).mapInArrow(match, f"score {kind}, hits long, times long")
+
+
 def unique_match(overlaps: DataFrame, threshold: float = 0.75) -> DataFrame:
     """Matches when instances of a side are disjoint: above 0.5 each has at most one partner."""
     if threshold <= 0.5:
