@@ -11,31 +11,45 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptoria.operators.components import label_sorted_spans
 from scriptoria.operators.borders import run_outlines
-from scriptoria.operators.scan import spread
 
 #: Rectangles that go with one copy of an image, and bytes of cuts handed on at once.
 RECTANGLES, CUT_BYTES = 1000, 8 << 20
 _SIDES = ("y0", "x0", "y1", "x1")
 
 
-def with_rectangles(images: DataFrame, rectangles: DataFrame, key: str) -> DataFrame:
+def with_rectangles(images: DataFrame, rectangles: DataFrame | Column, key: str) -> DataFrame:
     """*images* (key, height, width, n_channels, data) with an array of rectangles each: struct of all their columns but *key*.
 
-    Rectangles have y0, x0, y1, x1, the ends not included.
+    Rectangles have y0, x0, y1, x1, the ends not included.  A column gives the array of each image
+    out of the image's own columns; nothing is joined then.
     """
+    if isinstance(rectangles, Column):
+        own = images.select(key, "height", "width", "n_channels", "data", rectangles.alias("_all"))
+        return own.select(key, "height", "width", "n_channels", "data", F.explode(_parts(F.col("_all"))).alias("_rects"))
     columns = [c for c in rectangles.columns if c != key]
     gathered = rectangles.groupBy(key).agg(F.collect_list(F.struct(*columns)).alias("_all"))
-    parts = F.transform(F.sequence(F.lit(1), F.size("_all"), F.lit(RECTANGLES)), lambda at: F.slice("_all", at, RECTANGLES))
-    dealt = gathered.select(F.col(key).alias("_key"), F.explode(parts).alias("_rects"))
+    dealt = gathered.select(F.col(key).alias("_key"), F.explode(_parts(F.col("_all"))).alias("_rects"))
     return images.select(key, "height", "width", "n_channels", "data").join(dealt, F.col(key) == F.col("_key")).drop("_key")
 
 
+def _parts(rectangles: Column) -> Column:
+    many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(rectangles), F.lit(1)), F.lit(RECTANGLES)), lambda at: F.slice(rectangles, at, RECTANGLES))
+    return F.when(F.size(rectangles) > RECTANGLES, many).otherwise(F.array(rectangles))
+
+
+def _fields(images: DataFrame, rectangles: DataFrame | Column, key: str) -> list[T.StructField]:
+    """The columns of the rectangles but *key*."""
+    columns = images.select(rectangles).schema[0].dataType.elementType if isinstance(rectangles, Column) else rectangles.schema
+    return [f for f in columns.fields if f.name != key]
+
+
 def pixels_of(data: memoryview, height: int, width: int, n: int) -> np.ndarray:
     """Red, green, blue of an image's rows of gray or B, G, R (A) bytes, as height x width x 3."""
     pixels = np.frombuffer(data, np.uint8).reshape(height, width, n)
@@ -53,7 +67,7 @@ def _rows(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object,
                 yield name, pixels_of(data.as_buffer(), h, w, n), wanted[i].as_py()
 
 
-def cut(images: DataFrame, rectangles: DataFrame, key: str = "path", pad: tuple[int, int] | None = None, as_values: bool = False) -> DataFrame:
+def cut(images: DataFrame, rectangles: DataFrame | Column, key: str = "path", pad: tuple[int, int] | None = None, as_values: bool = False) -> DataFrame:
     """One row per rectangle: key, the rectangle's columns, cut_height, cut_width and the cut.
 
     The cut holds rows of R, G, B bytes (``bytes``), or with *as_values* the same as floats in
@@ -61,39 +75,55 @@ def cut(images: DataFrame, rectangles: DataFrame, key: str = "path", pad: tuple[
     width) zeros fill up what lies beyond, so that all cuts are equally large.  A rectangle with
     nothing on the image, or of an image without bytes, gives no row.
     """
-    rects = [f for f in rectangles.schema.fields if f.name != key]
-    fields = [rectangles.schema[key], *rects, T.StructField("cut_height", T.IntegerType()), T.StructField("cut_width", T.IntegerType())]
+    rects = _fields(images, rectangles, key)
+    fields = [images.schema[key], *rects, T.StructField("cut_height", T.IntegerType()), T.StructField("cut_width", T.IntegerType())]
     fields.append(T.StructField("values", T.ArrayType(T.FloatType())) if as_values else T.StructField("bytes", T.BinaryType()))
     schema = T.StructType(fields)
     arrow = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in fields])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for name, pixels, wanted in _rows(batches, key):
-            h, w, _ = pixels.shape
-            for r in wanted:
-                y0, x0, y1, x1 = max(r["y0"], 0), max(r["x0"], 0), min(r["y1"], h), min(r["x1"], w)
-                if y0 >= y1 or x0 >= x1:
-                    continue
-                piece = pixels[y0:y1, x0:x1]
-                if pad:
-                    full = np.zeros((*pad, 3), np.uint8)
-                    full[: y1 - y0, : x1 - x0] = piece
-                    piece = full
-                value = (piece.ravel() / np.float32(255)).astype(np.float32) if as_values else piece.tobytes()
-                held.append((name, *(r[f.name] for f in rects), piece.shape[0], piece.shape[1], value))
-                size += piece.size * (4 if as_values else 1)
-                if size > CUT_BYTES:
-                    yield _batch(held, arrow)
-                    held, size = [], 0
-        if held:
-            yield _batch(held, arrow)
+        for names, own, pieces in _pieces(batches, key, (4 if as_values else 1) * (pad[0] * pad[1] * 3 if pad else 0), 4 if as_values else 1):
+            if pad:
+                pieces = [np.pad(p, ((0, pad[0] - p.shape[0]), (0, pad[1] - p.shape[1]), (0, 0))) for p in pieces]
+            values = [(p.ravel() / np.float32(255)).astype(np.float32) if as_values else p.tobytes() for p in pieces]
+            sides = [pa.array([p.shape[i] for p in pieces], pa.int32()) for i in (0, 1)]
+            yield _batch([names, *map(own.field, (f.name for f in rects)), *sides, pa.array(values, arrow[-1].type)], arrow)
 
     return with_rectangles(images, rectangles, key).mapInArrow(take, schema)
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+def _pieces(batches: Iterator[pa.RecordBatch], key: str, least: int = 0, times: int = 1) -> Iterator[tuple[pa.Array, pa.StructArray, list[np.ndarray]]]:
+    """Keys, rectangles and pixels of the cuts that lie on an image, some CUT_BYTES at once.
+
+    A cut counts with *times* its bytes, with *least* at least.
+    """
+    from scriptoria.operators.spans import ragged
+
+    for batch in batches:
+        data = batch.column("data")
+        h, w, n = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("height", "width", "n_channels"))
+        told = pc.binary_length(data).fill_null(-1).to_numpy(zero_copy_only=False)
+        of, _, rects = ragged(batch.column("_rects"))
+        y0, x0, y1, x1 = (rects.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in _SIDES)
+        y0, x0, y1, x1 = np.maximum(y0, 0), np.maximum(x0, 0), np.minimum(y1, h[of]), np.minimum(x1, w[of])
+        on = np.flatnonzero(((h > 0) & (told == h * w * n))[of] & (y0 < y1) & (x0 < x1))
+        if not len(on):
+            continue
+        of, y0, x0, y1, x1 = (v[on] for v in (of, y0, x0, y1, x1))
+        names, rects = batch.column(key).take(pa.array(of)), rects.take(pa.array(on))
+        part = np.cumsum(np.maximum((y1 - y0) * (x1 - x0) * 3 * times, least)) // CUT_BYTES + np.arange(len(on)) // (4 * RECTANGLES)
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(on)]
+        for a, b in zip(edges, edges[1:]):
+            pieces, at = [], -1
+            for i, *box in zip(*(v[a:b].tolist() for v in (of, y0, x0, y1, x1))):
+                if i != at:
+                    at, pixels = i, pixels_of(data[i].as_buffer(), *(int(v[i]) for v in (h, w, n)))
+                pieces.append(pixels[box[0]:box[2], box[1]:box[3]])
+            yield names.slice(a, b - a), rects.slice(a, b - a), pieces
+
+
+def _batch(columns: list[pa.Array], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:
@@ -205,12 +235,22 @@ def crop_rows(images: DataFrame, crops: DataFrame, key: str = "page_id") -> Data
     """Training rows of line crops: the crop's bytes and, as runs of its own pixels, the line's mask.
 
     *crops* has key, line_idx, x1, y1, x2, y2 (ends not included) and points inside the crop.
+    A crop's mask is filled where its bytes are cut, many together; it is null without a pixel in the crop.
     """
-    from scriptoria.operators.spans import fill_polygons
+    from scriptoria.operators.spans import filled_lists
 
     placed = crops.withColumnsRenamed({"x1": "x0", "x2": "x1", "y1": "y0", "y2": "y1"})
-    pixels = cut(images, placed.drop("points"), key)
-    size = placed.withColumn("_w", F.col("x1") - F.col("x0")).withColumn("_h", F.col("y1") - F.col("y0"))
-    masks = fill_polygons(spread(size.select(key, "line_idx", "points", "_w", "_h"), key), bounds=("_w", "_h")).groupBy(key, "line_idx").agg(
-        F.array_sort(F.collect_list(F.struct("y", "x0", "x1"))).alias("mask"))
-    return pixels.join(masks, [key, "line_idx"], "left")
+    rects = [f for f in placed.schema.fields if f.name not in (key, "points")]
+    run = T.StructType([T.StructField(c, T.IntegerType()) for c in ("y", "x0", "x1")])
+    fields = [images.schema[key], *rects, T.StructField("cut_height", T.IntegerType()), T.StructField("cut_width", T.IntegerType())]
+    fields += [T.StructField("bytes", T.BinaryType()), T.StructField("mask", T.ArrayType(run))]
+    arrow = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in fields])
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, own, pieces in _pieces(batches, key):
+            y0, x0, y1, x1 = (own.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in _SIDES)
+            sides = [pa.array([p.shape[i] for p in pieces], pa.int32()) for i in (0, 1)]
+            masks = filled_lists(own.field("points"), x1 - x0, y1 - y0)
+            yield _batch([names, *map(own.field, (f.name for f in rects)), *sides, pa.array([p.tobytes() for p in pieces], pa.binary()), masks], arrow)
+
+    return with_rectangles(images, placed, key).mapInArrow(take, T.StructType(fields))

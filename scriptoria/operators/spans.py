@@ -104,6 +104,18 @@ def fill_polygons(df: DataFrame, points: str = "points", bounds: tuple[str, str]
     return within_page(filled, *bounds) if bounds else filled
 
 
+def filled_lists(points: pa.ListArray, width: np.ndarray, height: np.ndarray) -> pa.ListArray:
+    """Runs (y, x0, x1) in order of each polygon, cut to its width and height; null of one without any."""
+    of, _, vertices = ragged(points)
+    x, y = (vertices.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in "xy")
+    p, y, x0, x1 = _polygon_rows(np.append(0, np.cumsum(np.bincount(of, minlength=len(points)))), x, y)
+    x0, x1 = np.maximum(x0, 0), np.minimum(x1, width[p] - 1)
+    inside = (y >= 0) & (y < height[p]) & (x0 <= x1)
+    runs = pa.StructArray.from_arrays([pa.array(v[inside].astype(np.int32)) for v in (y, x0, x1)], ["y", "x0", "x1"])
+    n = np.bincount(p[inside], minlength=len(points))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32), mask=np.append(n == 0, False)), runs)
+
+
 def box_spans(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Boxes (closed x1,y1,x2,y2) to one span per row."""
     return df.select(*keep, F.explode(F.sequence("y1", "y2")).alias("y"), F.col("x1").alias("x0"), F.col("x2").alias("x1"))
