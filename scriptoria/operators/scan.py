@@ -20,6 +20,8 @@ from scriptoria.session import checkpointed
 
 # Rows of one group that one task may sort; a window spills, so this is about time.
 GROUP_LIMIT = 1_000_000
+# Rows that one task sorts, where their number is known: small shuffled rows may be large in memory.
+TASK_ROWS = 1_000_000
 
 _LOCAL = {
     "count": F.count,
@@ -38,6 +40,14 @@ def any_group_exceeds(df: DataFrame, by: Sequence[str], limit: int) -> bool:
     return not sizes.filter(F.col("_size") > limit).isEmpty()
 
 
+def group_sizes(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
+    """Number of all rows and of those in the largest group of *by*, in one pass."""
+    if not by:
+        return (n := df.count()), n
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    return tuple(v or 0 for v in sizes.agg(F.sum("_size"), F.max("_size")).first())
+
+
 def _combine(op: str, before: Column, local: Column) -> Column:
     if op in ("count", "sum"):
         return F.coalesce(before + local, local, before)
@@ -66,7 +76,10 @@ def prefix_scan(
     """
     by = list(by)
     if sliced is None:
-        sliced = any_group_exceeds(df, by, group_limit)
+        rows, largest = group_sizes(df, by)
+        sliced = largest > group_limit
+        if by and not sliced and rows > TASK_ROWS:
+            df = spread(df, *by, rows=rows)
     if not sliced:
         whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
         whole = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -171,10 +184,6 @@ def with_group_size(rows: DataFrame, keys: Sequence[str], name: str, group_limit
     return rows.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
 
-# Rows that one task sorts for Python work, where their number is known.
-TASK_ROWS = 1_000_000
-
-
 def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
     """Repartition for Python work, which is bound by CPU: the partitions are not merged for being small.
 
