@@ -84,3 +84,18 @@ def test_tasks_of_a_window_follow_the_rows(spark, monkeypatch):
     cut = scan.row_numbers(df, ["k"], [F.col("v")], "n")
     assert cut.rdd.getNumPartitions() == 9 and sorted(cut.collect()) == want
     assert scan.group_sizes(df.limit(0), ["k"]) == (0, 0) and scan.group_sizes(df, ["k"]) == (900, 10)
+
+
+def test_contains_join_leaves_other_shapes_out(spark, monkeypatch):
+    from scriptoria.operators import joins
+
+    texts = spark.createDataFrame([(t,) for t in ("ab_12.png", "xab_12_34", "ab-12", "", "Äb_12é𝄞9", "12ab_12ab_12", None)], "t string")
+    names = spark.createDataFrame([(n,) for n in ("ab_12", "12", "b_1", "Äb", "é𝄞9", "", "zz_99", None, "2")], "n string")
+    want = sorted((t.t, n.n) for t in texts.collect() for n in names.collect() if t.t and n.n and n.n in t.t)
+    for limit in (1000, 2, 0):
+        monkeypatch.setattr(joins, "SHAPES", limit)
+        joined = joins.contains_join(texts, names, "t", "n")
+        assert joined.columns == ["t", "n"] and sorted(map(tuple, joined.collect())) == want
+    monkeypatch.setattr(joins, "SHAPES", 1000)
+    one = joins.contains_join(texts, names.filter("n = 'ab_12'"), "t", "n")
+    assert "translate" in plan_of(one)
