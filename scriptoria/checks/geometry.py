@@ -75,8 +75,9 @@ def normalised_box(s: Samples):
 )
 def denormalised(s: Samples):
     rows = s.label.join(s.page.select("page_id", "width", "height"), "page_id")
-    pts = rows.select(*KEYS, yolo.polygon_pixels(F.col("line"), F.col("width"), F.col("height")).alias("points")).filter("points is not null")
-    return pts.select(*KEYS, F.round(double_sum(G.xs(P())), 6).alias("sum_x"), F.round(double_sum(G.ys(P())), 6).alias("sum_y"))
+    sums = lambda p: F.when(p.isNotNull(), F.struct(*[F.round(double_sum(v(p)), 6).alias(n) for n, v in (("sum_x", G.xs), ("sum_y", G.ys))]))
+    found = G.bound(yolo.polygon_pixels(F.col("line"), F.col("width"), F.col("height")), sums)
+    return rows.select(*KEYS, G.kept_fields(found, lambda r: r.isNotNull()))
 
 
 @check(
@@ -226,8 +227,9 @@ def min_area(s: Samples):
       group by page_id, line_idx having count(*) >= 3 and count(*) filter (where y >= low - 2) >= 2""", VERTEX),
 )
 def enough_points(s: Samples):
-    rows = points(s).select(*KEYS, F.size(P()).alias("n"), F.size(G.baseline_bottom_band(P())).alias("n_base"))
-    return rows.filter("n >= 3 and n_base >= 2")
+    sizes = lambda p: F.struct(F.size(p).alias("n"), F.size(G.baseline_bottom_band(p)).alias("n_base"))
+    found = G.bound(G.parse_points(P()), sizes)
+    return s.poly.select(*KEYS, G.kept_fields(found, lambda r: (r["n"] >= 3) & (r["n_base"] >= 2)))
 
 
 @check(

@@ -7,6 +7,8 @@ recursive or numeric ones, which run per polygon in Arrow batches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,13 +18,31 @@ from pyspark.sql import types as T
 
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What *use* makes of a value that is worked out once, however often *use* names it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def kept_fields(row: Column, keep: Callable[[Column], Column]) -> Column:
+    """The fields of a struct as columns, without rows that *keep* does not hold for.
+
+    The struct is worked out once: a filter behind a projection would be moved before it and work it out again.
+    """
+    return F.inline(F.filter(F.array(row), keep))
+
+
+def split_spaces(text: Column) -> Column:
+    """The text trimmed and split at white space; a pattern is only compiled for texts with more than single spaces."""
+    return bound(F.trim(text), lambda t: F.when(t.rlike(r"[^\S ]|  "), F.split(t, r"\s+")).otherwise(F.split(t, " ")))
+
+
 def parse_points(text: Column, number: str = "int", separator: str = r"\s+") -> Column:
     """``"x,y x,y"`` to points."""
     def point(t: Column) -> Column:
         xy = F.split(t, ",")
         return F.struct(xy[0].cast(number).alias("x"), xy[1].cast(number).alias("y"))
 
-    return F.transform(F.split(F.trim(text), separator), point)
+    return F.transform(split_spaces(text) if separator == r"\s+" else F.split(F.trim(text), separator), point)
 
 
 def format_points(points: Column) -> Column:
@@ -87,12 +107,12 @@ def unflatten_points(flat: Column, x_scale: Column | None = None, y_scale: Colum
     """Inverse of :func:`flatten_points`, optionally scaling both axes."""
     sx = F.lit(1) if x_scale is None else x_scale
     sy = F.lit(1) if y_scale is None else y_scale
-    starts = F.sequence(F.lit(0), F.floor(F.size(flat) / 2).cast("int") - 1)
-    pairs = F.transform(
-        starts,
-        lambda i: F.struct((F.get(flat, i * 2) * sx).alias("x"), (F.get(flat, i * 2 + 1) * sy).alias("y")),
-    )
-    return F.when(F.size(flat) >= 2, pairs)
+
+    def paired(v: Column) -> Column:
+        pair = lambda i: F.struct((F.get(v, i * 2) * sx).alias("x"), (F.get(v, i * 2 + 1) * sy).alias("y"))
+        return F.when(F.size(v) >= 2, F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 2).cast("int") - 1), pair))
+
+    return bound(flat, paired)
 
 
 def _rotated(points: Column) -> Column:
@@ -146,8 +166,8 @@ def contains_point(points: Column, px: Column, py: Column) -> Column:
 
 def baseline_bottom_band(points: Column, band: int = 2) -> Column:
     """Vertices within *band* pixels of the lowest one, from left to right."""
-    low = F.array_max(ys(points)) - band
-    return F.array_sort(F.filter(points, lambda p: p["y"] >= low))
+    low = lambda p: F.array_max(ys(p)) - band
+    return bound(points, lambda all_: bound(low(all_), lambda least: F.array_sort(F.filter(all_, lambda p: p["y"] >= least))))
 
 
 def baseline_percentile(points: Column, q: float = 0.9) -> Column:
