@@ -16,17 +16,16 @@ def read_labels(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def tokens(line: Column) -> Column:
-    return F.split(F.trim(line), r"\s+")
+    return G.split_spaces(line)
 
 
 def label_kind(line: Column) -> Column:
     """polygon, box or other, by the number of tokens."""
-    n = F.size(tokens(line))
-    return F.when(n > 5, "polygon").when(n == 5, "box").otherwise("other")
+    return G.bound(F.size(tokens(line)), lambda n: F.when(n > 5, "polygon").when(n == 5, "box").otherwise("other"))
 
 
 def numbers(line: Column) -> Column:
-    return F.transform(F.slice(tokens(line), 2, F.greatest(F.size(tokens(line)) - 1, F.lit(0))), lambda t: t.cast("double"))
+    return G.bound(tokens(line), lambda t: F.transform(F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), lambda v: v.cast("double")))
 
 
 def polygon_pixels(line: Column, width: Column, height: Column) -> Column:
@@ -36,11 +35,8 @@ def polygon_pixels(line: Column, width: Column, height: Column) -> Column:
 
 def box_pixels(line: Column, width: Column, height: Column) -> Column:
     """Corners in pixels of a box line; null for other lines."""
-    v = numbers(line)
-    return F.when(
-        label_kind(line) == "box",
-        F.struct(*G.denormalised_box(F.get(v, F.lit(0)), F.get(v, F.lit(1)), F.get(v, F.lit(2)), F.get(v, F.lit(3)), width, height)),
-    )
+    corners = lambda v: F.struct(*G.denormalised_box(*(F.get(v, F.lit(i)) for i in range(4)), width, height))
+    return F.when(label_kind(line) == "box", G.bound(numbers(line), corners))
 
 
 def box_label(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
