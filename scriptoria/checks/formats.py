@@ -63,15 +63,12 @@ def annotations(s: Samples):
 )
 def parse_page_xml(s: Samples):
     fragment = page_xml.line_element(F.col("line_idx"), F.col("points"), F.lit("0,0 1,0"), "crops")
-    parsed = s.poly.select("page_id", "line_idx", page_xml.line_from_fragment(fragment).alias("tl"))
-    rows = parsed.select("page_id", "line_idx", page_xml.line_points(F.col("tl.Coords._points"), "polygons").alias("p")).filter("p is not null")
-    weighted = F.aggregate(
-        F.transform(F.col("p"), lambda q, i: q["y"].cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, v: a + v
-    )
-    return rows.select(
-        "page_id", "line_idx", F.size("p").alias("n"),
-        F.aggregate(G.xs(F.col("p")), F.lit(0).cast("long"), lambda a, v: a + v).alias("sum_x"), weighted.alias("sum_y"),
-    )
+    points = page_xml.line_points(page_xml.line_from_fragment(fragment)["Coords"]["_points"], "polygons")
+    total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
+    weighted = lambda p: F.transform(p, lambda q, i: q["y"].cast("long") * (i + 1))
+    sums = lambda p: F.struct(F.size(p).alias("n"), total(G.xs(p)).alias("sum_x"), total(weighted(p)).alias("sum_y"))
+    found = G.bound(points, lambda p: F.when(p.isNotNull(), sums(p)))
+    return s.poly.select("page_id", "line_idx", G.kept_fields(found, lambda r: r.isNotNull()))
 
 
 REGION_AREA = """

@@ -65,8 +65,7 @@ def _stem_of(path: Column) -> Column:
 def line_points(points_text: Column, profile: str) -> Column:
     """Polygon of a line in a reader profile; null when the line must be skipped."""
     number, fewest, separator = READ_PROFILES[profile]
-    points = G.parse_points(points_text, number, separator)
-    return F.when(F.size(points) >= fewest, points)
+    return G.bound(G.parse_points(points_text, number, separator), lambda points: F.when(F.size(points) >= fewest, points))
 
 
 def text_lines(pages: DataFrame, profile: str = "all_lines") -> DataFrame:

@@ -99,3 +99,36 @@ def test_contains_join_leaves_other_shapes_out(spark, monkeypatch):
     monkeypatch.setattr(joins, "SHAPES", 1000)
     one = joins.contains_join(texts, names.filter("n = 'ab_12'"), "t", "n")
     assert "translate" in plan_of(one)
+
+
+def test_texts_are_parsed_once(spark):
+    def times(name, what):
+        return E.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+    assert times("s04_parse_page_xml", "from_xml") == 1
+    # trimmed once: split at spaces, or by a pattern, and each point at its comma
+    assert times("p05_enough_points", "split(") == times("s04_parse_page_xml", "split(") == 4
+    assert times("g05_denormalised", "split(") == 4 and times("s08_read_yolo", "split(") <= 14
+
+
+def test_split_spaces_is_the_pattern(spark):
+    from scriptoria.functions import geometry as G
+
+    texts = ["", " ", "a", " a b ", "a  b", "a\tb", "\ta b\n", "a b c", "a \n b", "a\x0bb c", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.filter(~F.split(F.trim("t"), r"\s+").eqNullSafe(G.split_spaces(F.col("t")))).count() == 0
+
+
+def test_fields_of_nothing(spark):
+    from scriptoria.functions import geometry as G
+    from scriptoria.sources import yolo
+
+    df = spark.createDataFrame([("0 0.5 0.5 0.25 0.5",), ("0 0.1 0.2 0.3 0.4 0.5 0.6",), ("",), ("0 1",), (None,)], "line string")
+    polygon, box = yolo.polygon_pixels(F.col("line"), F.lit(10), F.lit(10)), yolo.box_pixels(F.col("line"), F.lit(8), F.lit(8))
+    rows = df.select(F.size(polygon).alias("n"), box["x1"].alias("x1"), yolo.label_kind(F.col("line")).alias("kind")).collect()
+    assert [r.x1 for r in rows] == [3.0, None, None, None, None] and [r.n for r in rows][1] == 3
+    assert [r.kind for r in rows] == ["box", "polygon", "other", "other", "other"]
+    kept = df.select(G.kept_fields(F.struct("line"), lambda r: r["line"].isNotNull()))
+    assert kept.columns == ["line"] and kept.count() == 4
+    none = df.select(F.lit(None).cast("array<struct<x:int,y:int>>").alias("p")).select(F.size(G.baseline_bottom_band(F.col("p"))).alias("n"), G.baseline_bottom_band(F.col("p")).alias("b"))
+    assert none.first().b is None
