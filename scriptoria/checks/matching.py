@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from scriptoria.checks.registry import check
 from scriptoria.operators import matching as M
+from scriptoria.operators import pages as P
 from scriptoria.samples import Samples, oracle
-from scriptoria.session import checkpointed
 
 PAIRS = """
 pair as (
@@ -56,24 +56,13 @@ def gt_boxes(s: Samples):
     return s.line.withColumnRenamed("line_idx", "gt_idx")
 
 
-def sides(s: Samples, pages=None):
-    """Both sides, numbered and stored once; only lines of *pages* if given."""
-    columns = ("x1", "y1", "x2", "y2")
-    gt, pred = gt_boxes(s).select("page_id", "gt_idx", *columns), s.pred.select("page_id", "pred_idx", *columns)
-    if pages is not None:
-        gt, pred = (df.join(pages.select("page_id"), "page_id", "left_semi") for df in (gt, pred))
-    return checkpointed(gt), checkpointed(pred)
+def paired(s: Samples, shape=None):
+    """Lines and predictions by page, with what is known of their number."""
+    return P.Sides(s.sides, shape or P.Boxes(), s.most_lines)
 
 
-def matches(s: Samples, pages=None):
-    gt, pred = sides(s, pages)
-    counts = M.line_counts(gt, pred)
-    overlaps = M.box_overlap(M.candidate_pairs(gt, pred, min_iou=0.75))
-    return counts, M.greedy_match(overlaps, 0.75, counts)
-
-
-def scores(s: Samples, pages=None):
-    return M.page_scores(*matches(s, pages))
+def scores(s: Samples):
+    return M.score_counts(paired(s).totals(0.75))
 
 
 @check("j05_candidate_pairs", oracle("line pred", "select page_id, gt_idx, pred_idx from overlap", PAIRS))
@@ -95,7 +84,7 @@ def box_iou(s: Samples):
     oracle("line pred", "select page_id, gt_idx, pred_idx, round(iou, 6) as iou from matched", GREEDY, recursive=True),
 )
 def greedy(s: Samples):
-    return matches(s)[1].withColumn("iou", F.round("iou", 6))
+    return paired(s).matches(0.75).withColumn("iou", F.round("iou", 6))
 
 
 @check(
@@ -135,5 +124,6 @@ def corpus_score(s: Samples):
     kinds = s.file.groupBy("stem").agg(F.collect_set("kind").alias("kinds"))
     complete = kinds.filter(F.size(F.array_intersect("kinds", F.array(*map(F.lit, ("gt_xml", "pred_xml", "image"))))) == 3)
     pages = s.page.select("page_id", "stem").join(complete, "stem", "left_semi")
-    out = M.corpus_score(scores(s, pages))
+    # a page's score is one small row: scores are joined, not the lines of the pages
+    out = M.corpus_score(scores(s).join(pages.select("page_id"), "page_id", "left_semi"))
     return out.select("pages", *[F.round(f"mean_{c}", 6).alias(f"mean_{c.lower()}") for c in ("DR", "RA", "FM")])

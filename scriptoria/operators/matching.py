@@ -399,10 +399,14 @@ def line_counts(gt_lines: DataFrame, pred_lines: DataFrame) -> DataFrame:
 
 def page_scores(counts: DataFrame, matches: DataFrame, digits: int = 4) -> DataFrame:
     """DR, RA and FM of each page of *counts* (page_id, N_gt, N_pred)."""
+    return score_counts(page_totals(counts, matches), digits)
+
+
+def page_totals(counts: DataFrame, matches: DataFrame) -> DataFrame:
+    """page_id, N_gt, N_pred and the number M of matches of each page of *counts*."""
     found = matches.select("page_id", F.lit(0).cast("long").alias("N_gt"), F.lit(0).cast("long").alias("N_pred"), F.lit(1).alias("M"))
     together = counts.select("page_id", "N_gt", "N_pred", F.lit(0).alias("M")).unionByName(found)
-    totals = together.groupBy("page_id").agg(*(F.sum(c).cast("long").alias(c) for c in ("N_gt", "N_pred", "M")))
-    return score_counts(totals, digits)
+    return together.groupBy("page_id").agg(*(F.sum(c).cast("long").alias(c) for c in ("N_gt", "N_pred", "M")))
 
 
 def score_counts(totals: DataFrame, digits: int = 4) -> DataFrame:

@@ -66,17 +66,19 @@ def prefix_scan(
     group_limit: int = GROUP_LIMIT,
     inclusive: bool = True,
     sliced: bool | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Add running aggregates over the rows of a group up to each row.
 
     *running* maps a new column to ``(op, value)`` with op one of count, sum, max,
     min, last (last non-null value).  *order* must order the rows of a group totally.
     The row itself counts only if *inclusive*.  *sliced* tells whether large groups
-    are to be cut, where the caller has looked at the sizes already.
+    are to be cut, where the caller has looked at the sizes already; *sizes* are those of
+    :func:`group_sizes`, whose number of rows may be 0 for rows that lie as they should.
     """
     by = list(by)
     if sliced is None:
-        rows, largest = group_sizes(df, by)
+        rows, largest = sizes or group_sizes(df, by)
         sliced = largest > group_limit
         if by and not sliced and rows > TASK_ROWS:
             df = spread(df, *by, rows=rows)
@@ -143,9 +145,13 @@ def row_numbers(
     name: str,
     start: int = 1,
     group_limit: int = GROUP_LIMIT,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """``row_number()`` counted from *start*, as an int column, for groups of any size."""
-    out = prefix_scan(df, by, order, {name: ("count", F.lit(1))}, group_limit)
+    """``row_number()`` counted from *start*, as an int column, for groups of any size.
+
+    *sizes* is what :func:`group_sizes` gives, or bounds of it, where the caller knows them.
+    """
+    out = prefix_scan(df, by, order, {name: ("count", F.lit(1))}, group_limit, sizes=sizes)
     kind = "int" if by else "long"
     return out.withColumn(name, (F.col(name) + (start - 1)).cast(kind))
 
