@@ -79,3 +79,12 @@ def test_sides_are_line_and_pred(spark, monkeypatch):
     assert found(s.sides) == want
     monkeypatch.setattr(samples, "GROUP_LIMIT", 3)  # predictions are counted for themselves
     assert found(samples.Samples(spark, FOLDER).sides) == want
+
+
+@pytest.mark.parametrize("name, shuffles, joins", [("a02_corpus_score", 2, 2), ("a03_subset_summary", 3, 2)])
+def test_scores_are_joined_not_lines(spark, name, shuffles, joins):
+    found = exchanges(spark, name)
+    assert found[0] <= shuffles and found[1] <= joins
+    df = E.queries()[name](spark, FOLDER)
+    # no line is written to be read again
+    assert "ExistingRDD" not in plan_of(df)
