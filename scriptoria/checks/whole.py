@@ -23,9 +23,7 @@ from scriptoria.samples import Samples, oracle
 )
 def polygon_page_score(s: Samples):
     box = G.box_polygon(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
-    gt = s.line.select("page_id", F.col("line_idx").alias("gt_idx"), box.alias("points"))
-    pred = s.pred.select("page_id", "pred_idx", box.alias("points"))
-    return evaluate.score_polygons(gt, pred)
+    return evaluate.score_polygon_lines(s.sides.select("page_id", "truth", "idx", box.alias("points")), most=s.most_lines)
 
 
 # Lines and predictions that overshoot a page of 400 x 200 pixels; pixels outside do not exist.
@@ -46,11 +44,10 @@ pclip as (select page_id, pred_idx, greatest(x1, 0) as x1, greatest(y1, 0) as y1
 )
 def bounded_page_score(s: Samples):
     corners = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    gt = s.line.selectExpr("page_id", "line_idx as gt_idx", "x1 - 80 as x1", "y1 - 20 as y1", "x2 - 80 as x2", "y2 - 20 as y2")
-    pred = s.pred.selectExpr("page_id", "pred_idx", "case when x1 < 80 then x1 - 180 else x1 - 80 end as x1", "y1 - 20 as y1",
-                             "case when x2 > 470 then x2 + 120 else x2 - 80 end as x2", "y2 - 20 as y2")
+    lines = s.sides.selectExpr("page_id", "truth", "idx", "case when not truth and x1 < 80 then x1 - 180 else x1 - 80 end as x1", "y1 - 20 as y1",
+                               "case when not truth and x2 > 470 then x2 + 120 else x2 - 80 end as x2", "y2 - 20 as y2")
     size = s.page.select("page_id", F.lit(400).alias("width"), F.lit(200).alias("height"))
-    return evaluate.score_polygons(*(df.withColumn("points", G.box_polygon(*corners)) for df in (gt, pred)), size=size)
+    return evaluate.score_polygon_lines(lines.withColumn("points", G.box_polygon(*corners)), size=size, most=s.most_lines)
 
 
 @check(

@@ -10,6 +10,7 @@ from scriptoria.operators import components as C
 from scriptoria.operators import lines as L
 from scriptoria.operators import matching as M
 from scriptoria.operators import metrics as Q
+from scriptoria.operators import pages as P
 from scriptoria.operators import spans as R
 from scriptoria.operators.scan import row_numbers
 from scriptoria.session import checkpointed
@@ -67,10 +68,12 @@ def score_polygons(gt: DataFrame, pred: DataFrame, threshold: float = 0.75, digi
     With *size* (page_id, width, height) only pixels on the page count; lines outside
     still count as lines.
     """
-    overlaps = M.polygon_overlap(gt, pred, size, min_iou=threshold)
-    counts = M.line_counts(gt, pred)
-    matches = M.greedy_match(overlaps, threshold, counts)
-    return M.page_scores(counts, matches, digits)
+    return score_polygon_lines(P.side_by_side(gt, pred, "points"), threshold, digits, size)
+
+
+def score_polygon_lines(lines: DataFrame, threshold: float = 0.75, digits: int = 4, size: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """:func:`score_polygons` of both sides in one table (page_id, truth, idx, points); *most* bounds the lines of a page on a side, where that is known."""
+    return M.score_counts(P.Sides(lines, P.Polygons(size), most).totals(threshold), digits)
 
 
 LEVELS = 10

@@ -17,7 +17,7 @@ def exchanges(spark, name):
     return plan.count("Exchange hashpartitioning"), plan.count("Join")
 
 
-@pytest.mark.parametrize("name", ["a01_page_score", "j07_greedy_match", "j06_span_iou"])
+@pytest.mark.parametrize("name", ["a01_page_score", "j07_greedy_match", "j06_span_iou", "a01_polygon_page_score"])
 def test_lines_move_once(spark, name):
     assert exchanges(spark, name) == (1, 0)
 
@@ -95,3 +95,15 @@ def test_runs_overlap_as_pieces(spark):
     gt, pred = apart(lines)
     want = found(M.piece_overlap(M.box_pieces(gt, "gt_idx"), M.box_pieces(pred, "pred_idx")))
     assert len(want) > 10 and found(P.Sides(lines, P.Runs(), 100).overlaps()) == want == found(P.Sides(lines, P.Runs(), page_lines=4).overlaps())
+
+
+def test_polygons_overlap_as_pairs(spark):
+    rng = random.Random(3)
+    corner = lambda: (rng.randrange(-3, 14), rng.randrange(-3, 14))
+    rows = [(page, truth, i, [corner() for _ in range(rng.choice([0, 1, 2, 3, 5]))]) for page in range(12) for truth in (True, False) for i in range(6)]
+    rows += [(3, True, 60, None), (None, True, 0, [(0, 0), (4, 0), (4, 4)]), (None, False, 0, [(0, 0), (4, 0), (4, 4)])]
+    lines = spark.createDataFrame(rows, "page_id long, truth boolean, idx int, points array<struct<x:int,y:int>>")
+    size = spark.createDataFrame([(p, 9, 7) for p in range(10)] + [(10, 0, 5)], "page_id long, width int, height int")
+    for pages in (None, size):
+        want = found(M.polygon_overlap(*apart(lines), pages))
+        assert len(want) > 10 and found(P.Sides(lines, P.Polygons(pages), 100).overlaps()) == want == found(P.Sides(lines, P.Polygons(pages), page_lines=4).overlaps())
