@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptoria.checks import matching
-from scriptoria.checks.raster import component_sql, mask_spans
+from scriptoria.checks.raster import component_sql, mask_rows
 from scriptoria.checks.registry import check
 from scriptoria.functions import geometry as G
 from scriptoria.operators.scan import spread
@@ -65,7 +65,7 @@ def bounded_page_score(s: Samples):
         where iou >= 0.75 group by page_id) m using (page_id)""", component_sql("gt", "mask = 1") + "," + component_sql("pr", "mask <> flip"), recursive=True),
 )
 def mask_page_score(s: Samples):
-    scored = evaluate.score_masks(mask_spans(s), mask_spans(s, "mask <> flip"))
+    scored = evaluate.score_mask_rows(mask_rows(s), most=s.most_pixels)
     return scored.select("page_id", "N_gt", "N_pred", "M", "DR")
 
 

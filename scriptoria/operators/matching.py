@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.functions import geometry as G
-from scriptoria.operators.components import connected
+from scriptoria.operators.components import components, connected
 from scriptoria.operators.runs import numbers, starts, whole_groups
 from scriptoria.operators.scan import spread
 from scriptoria.operators.spans import _polygon_rows as fill_rows
@@ -387,6 +387,17 @@ def unique_match(overlaps: DataFrame, threshold: float = 0.75) -> DataFrame:
     return overlaps.filter(F.col("iou") >= threshold).select("page_id", "gt_idx", "pred_idx", "iou")
 
 
+def component_matches(gt_spans: DataFrame, pred_spans: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """Numbers of components of two masks given as spans on each page, and the matches of components."""
+    # labelled spans are read for the overlap and for the counts: stored once
+    gt = checkpointed(components(gt_spans).withColumnRenamed("comp", "gt_idx"))
+    pred = checkpointed(components(pred_spans).withColumnRenamed("comp", "pred_idx"))
+    overlaps = span_overlap(gt, pred, min_iou=threshold)
+    n_gt, n_pred = (d.select("page_id", c).distinct() for d, c in ((gt, "gt_idx"), (pred, "pred_idx")))
+    matches = unique_match(overlaps, threshold) if threshold > 0.5 else greedy_match(overlaps, threshold)
+    return line_counts(n_gt, n_pred), matches
+
+
 def line_counts(gt_lines: DataFrame, pred_lines: DataFrame) -> DataFrame:
     """page_id, N_gt, N_pred of each page that has lines on either side, in one aggregation.
 

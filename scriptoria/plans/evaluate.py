@@ -12,6 +12,7 @@ from scriptoria.operators import matching as M
 from scriptoria.operators import metrics as Q
 from scriptoria.operators import pages as P
 from scriptoria.operators import spans as R
+from scriptoria.operators.mask_pages import Masks
 from scriptoria.operators.scan import row_numbers
 from scriptoria.session import checkpointed
 
@@ -128,10 +129,9 @@ def _hits_by_pairs(gt: DataFrame, pred: DataFrame, counts: DataFrame) -> DataFra
 
 def score_masks(gt_spans: DataFrame, pred_spans: DataFrame, threshold: float = 0.75, digits: int = 2) -> DataFrame:
     """Page scores of mask components (page_id, y, x0, x1)."""
-    # labelled spans are read for the overlap and for the counts: stored once
-    gt = checkpointed(C.components(gt_spans).withColumnRenamed("comp", "gt_idx"))
-    pred = checkpointed(C.components(pred_spans).withColumnRenamed("comp", "pred_idx"))
-    overlaps = M.span_overlap(gt, pred, min_iou=threshold)
-    n_gt, n_pred = (d.select("page_id", c).distinct() for d, c in ((gt, "gt_idx"), (pred, "pred_idx")))
-    matches = M.unique_match(overlaps, threshold) if threshold > 0.5 else M.greedy_match(overlaps, threshold)
-    return M.page_scores(M.line_counts(n_gt, n_pred), matches, digits)
+    return M.page_scores(*M.component_matches(gt_spans, pred_spans, threshold), digits)
+
+
+def score_mask_rows(rows: DataFrame, threshold: float = 0.75, digits: int = 2, most: int | None = None) -> DataFrame:
+    """:func:`score_masks` of pixel rows (page_id, y, arrays of booleans gt and pred); *most* bounds the pixels of a page, where that is known."""
+    return M.score_counts(Masks(rows, most).totals(threshold), digits)
