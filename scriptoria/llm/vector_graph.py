@@ -12,7 +12,7 @@ are merged.
 
 Equal vectors are one node that carries their least ids, as many as a result can hold, so a
 vector that a third of the rows share is a node like any other.  Shards hold ``shard_size``
-vectors on average; queries travel in blocks, a row a block and shard.
+vectors on average; every shard reads the blocks of queries.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite numbers, and
 rows without id, take no part; repeated rows count once; vectors meet those of their own
@@ -21,11 +21,12 @@ length only; fewer candidates than asked for are all returned; empty tables give
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scriptoria.session import checkpointed
 
@@ -197,41 +198,46 @@ def graphs(rows: DataFrame, most: int, shard_size: int, degree: int, width: int,
     return dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, GRAPH), shards
 
 
-FOUND = pa.list_(pa.struct([("query", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
+FOUND = "query long, id long, score double"
 
 
 def search(width: int, k: int):
-    """The nearest of one shard to a block of queries."""
-    @F.arrow_udf(T.ArrayType(T.StructType().add("query", T.LongType()).add("id", T.LongType()).add("score", T.DoubleType())))
-    def run(dim: pa.Array, entries: pa.Array, vectors: pa.Array, neighbours: pa.Array, ends: pa.Array, ids: pa.Array, queries: pa.Array, asked: pa.Array) -> pa.Array:
-        out = []
-        for row in range(len(dim)):
-            d = dim[row].as_py()
-            x = np.frombuffer(vectors[row].as_buffer(), np.float64).reshape(-1, d)
-            out_edges = np.frombuffer(neighbours[row].as_buffer(), np.int32).reshape(len(x), -1)
-            end, members = np.frombuffer(ends[row].as_buffer(), np.int64), np.frombuffer(ids[row].as_buffer(), np.int64)
-            names = np.array(queries[row].as_py(), np.int64)
-            q = asked[row].values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
-            scale = np.abs(x).max()
-            graph = Graph(x, out_edges, np.frombuffer(entries[row].as_buffer(), np.int32))
-            found = []
-            for a in range(0, len(q), STEP):
-                near, _ = graph.beam((q[a:a + STEP] / scale).astype(np.float32), width)
-                for name, vector, nodes in zip(names[a:a + STEP].tolist(), q[a:a + STEP], near, strict=True):
-                    nodes = nodes[nodes >= 0]
-                    exact = np.sqrt(((x[nodes] - vector) ** 2).sum(axis=1))
-                    sizes = end[nodes] - np.where(nodes > 0, end[nodes - 1], 0)
-                    at = np.repeat(end[nodes] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
-                    score, who = np.repeat(exact, sizes), members[at]
-                    score, who = score[who != name], who[who != name]
-                    best = np.lexsort((who, score))[:k]
-                    found += [{"query": name, "id": i, "score": s} for i, s in zip(who[best].tolist(), score[best].tolist(), strict=True)]
-            out.append(found)
-        return pa.array(out, FOUND)
+    """The nearest of shards to blocks of queries."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_struct_array():
+                name, who, score = one(*(row[c] for c in ("dim", "entries", "vectors", "neighbours", "ends", "ids", "q")))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (name, who, score)], names=["query", "id", "score"])
+
+    def one(dim, entries, vectors, neighbours, ends, ids, asked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.frombuffer(vectors.as_buffer(), np.float64).reshape(-1, dim.as_py())
+        out_edges = np.frombuffer(neighbours.as_buffer(), np.int32).reshape(len(x), -1)
+        end, members = np.frombuffer(ends.as_buffer(), np.int64), np.frombuffer(ids.as_buffer(), np.int64)
+        names = asked.values.field("query").to_numpy(zero_copy_only=False)
+        q = asked.values.field("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim.as_py())
+        scale = np.abs(x).max()
+        graph = Graph(x, out_edges, np.frombuffer(entries.as_buffer(), np.int32))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for a in range(0, len(q), STEP):
+            near, _ = graph.beam((q[a:a + STEP] / scale).astype(np.float32), width)
+            for name, vector, nodes in zip(names[a:a + STEP], q[a:a + STEP], near, strict=True):
+                nodes = nodes[nodes >= 0]
+                exact = np.sqrt(((x[nodes] - vector) ** 2).sum(axis=1))
+                sizes = end[nodes] - np.where(nodes > 0, end[nodes - 1], 0)
+                at = np.repeat(end[nodes] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+                score, who = np.repeat(exact, sizes), members[at]
+                score, who = score[who != name], who[who != name]
+                best = np.lexsort((who, score))[:k]
+                found.append((np.full(len(best), name), who[best], score[best]))
+        return tuple(np.concatenate(v) for v in zip(*found))
 
     return run
 
 
+#: Tasks of a search at most, unless there are more shards.
+TASKS = 10_000
+
+
 def nearest(candidates: DataFrame, queries: DataFrame, k: int = 10, shard_size: int = 4096, degree: int = 32, build_width: int = 64,
             search_width: int = 128, alpha: float = 1.2, block: int = 2048) -> DataFrame:
     """query, rank, id, score: the *k* nearest of *candidates* (id, vector) to each of *queries* (id, vector).
@@ -246,11 +252,11 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 10, shard_size:
     blocks = max(1, -(-asked.count() // block))
     # a block holds about as many queries as asked for, hashed by id, and is met by every shard of its length
     packed = asked.groupBy(F.size("vector").alias("dim"), F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).agg(
-        F.collect_list(F.struct("query", "vector")).alias("q"))
-    sent = packed.select("dim", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "q")
-    met = sent.join(built, ["dim", "shard"]).repartition(min(shards * blocks, 10_000), "dim", "shard", "block")
-    run = search(search_width, k)
-    found = met.select(F.explode(run("dim", "entries", "vectors", "neighbours", "ends", "ids", F.col("q.query"), F.col("q.vector"))).alias("f")).select("f.*")
+        F.collect_list(F.struct("query", "vector")).alias("q")).repartition(max(1, min(blocks, TASKS // shards)), "dim", "block").withColumnRenamed("dim", "q_dim")
+    # Shards and blocks are read where they are stored, by each task those it compares: nothing goes through the
+    # driver, and no graph or query is shuffled once for each block or shard.
+    met = built.join(packed.hint("shuffle_replicate_nl"), F.col("dim") == F.col("q_dim"))
+    found = met.select("dim", "entries", "vectors", "neighbours", "ends", "ids", "q").mapInArrow(search(search_width, k), FOUND)
     order = Window.partitionBy("query").orderBy("score", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 

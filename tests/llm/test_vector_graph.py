@@ -100,3 +100,17 @@ def test_prune_keeps_diverse_neighbours():
     x = np.array([[0.0, 1.0], [1.0, 1.0], [1.1, 1.0], [0.0, 3.0], [5.0, 1.0]])
     kept = vector_graph.Graph(x, degree=4).prune(np.array([0], np.int32), np.array([[1, 2, 3, 4]], np.int32), 1.2)[0]
     assert kept.tolist() == [1, 3, -1, -1]
+
+
+def test_shards_and_queries_meet_without_a_broadcast(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(300, 6)).tolist())] + [(300 + i, v) for i, v in enumerate(rng.normal(size=(20, 3)).tolist())]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    asked = df.where("id % 10 = 0")
+    found = vector_graph.nearest(df, asked, k=5, shard_size=40, block=7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # queries times shards went through the driver before
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+    want = brute(rows, [r for r in rows if r[0] % 10 == 0], 5)
+    got = collect(found)
+    assert got.keys() == want.keys() and recall(got, want) >= 0.95
