@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,31 @@ def of_kinds(spans: Column, kinds: tuple[str, ...]) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*kinds))
 
 
+#: Bits of a sketch of keys (2 MB), as a power of two: more keys only let more other rows through.
+KEY_BITS = 24
+
+
+def among(key: Column, keys: DataFrame) -> Column:
+    """Whether a 64-bit hash may be one of *keys* (a column of such hashes): true for all of them, and for few others.
+
+    A bit sketch of fixed size goes to the tasks, so that rows which no key can match are not moved.
+    """
+    cell = F.shiftrightunsigned(F.col(keys.columns[0]), 64 - KEY_BITS) + 1
+    parts = keys.select(cell.alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits")).collect()
+    size = max((len(r["bits"]) for r in parts), default=1)
+    bits = np.zeros(-(-(1 << KEY_BITS) // (8 * size)) * size, np.uint8)
+    for r in parts:
+        bits[(r["part"] - 1) * size: r["part"] * size] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    sent = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def found(hashes: pa.Array) -> pa.Array:
+        at = (hashes.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+        return pa.array((sent.value[at >> 3] >> (at & 7)) & 1 == 1)
+
+    return found(key)
+
+
 def keep_marked(docs: DataFrame, keys: list[Column], decisions: DataFrame) -> DataFrame:
     """The rows of *docs* that *decisions* (k0, k1, ..., kept) keeps, with their columns.
 
@@ -96,10 +123,12 @@ def keep_marked(docs: DataFrame, keys: list[Column], decisions: DataFrame) -> Da
         F.count("*").alias(rows), F.sum(F.col("kept").cast("int")).alias(stay)).where(F.col(rows) > F.col(stay))
     lost = checkpointed(lost)
     keyed = docs.withColumns(dict(zip(names, keys, strict=True)))
+    touched = among(F.xxhash64(*(keyed[k] for k in names)), lost.select(F.xxhash64(*theirs).alias("key")))
+    near = keyed.where(touched)
     same = F.lit(True)
     for name, k in zip(names, theirs, strict=True):
-        same = same & keyed[name].eqNullSafe(lost[k])
-    joined = keyed.join(lost, same, "left")
-    whole = joined.where(F.col(rows).isNull()).select(*docs.columns)
+        same = same & near[name].eqNullSafe(lost[k])
+    joined = near.join(lost, same, "left")
+    whole = keyed.where(~touched).select(*docs.columns).unionByName(joined.where(F.col(rows).isNull()).select(*docs.columns))
     one = joined.where(F.col(stay) > 0).dropDuplicates(names).select(*docs.columns)
     return whole.unionByName(one)

@@ -10,8 +10,8 @@
 
 A value that a third of the rows hold costs each partition one fingerprint and each task
 one partly aggregated row.  Owners are as many as rows need (``owner_rows`` each at most on
-average).  Suspect ids select the texts by a semi join, which Spark broadcasts only below
-its own size threshold and sorts otherwise.
+average).  Suspect ids select the texts by a sketch of fixed size and a semi join, which Spark
+broadcasts only below its own size threshold and sorts otherwise.
 
 Defined results: null counts as the empty text, and empty texts are copies of each other; a
 null id comes before other ids; of rows equal in text, length and id one stays; an empty
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.llm import golomb
-from scriptoria.llm.common import SPACE, keep_marked, whole_text
+from scriptoria.llm.common import SPACE, among, keep_marked, whole_text
 from scriptoria.session import checkpointed
 
 FINGERPRINT_BITS = 60
@@ -111,7 +111,8 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owne
     suspects, single = told.where("suspect").drop("suspect"), told.where("not suspect")
 
     ids = suspects.select(F.col("doc_id").alias("suspect_id")).distinct()
-    texts = docs.select(F.col(doc_id).alias("id"), normalised(F.col(text)).alias("bytes")).join(ids, F.col("id").eqNullSafe(F.col("suspect_id")), "left_semi")
+    near = docs.where(among(F.xxhash64(docs[doc_id]), ids.select(F.xxhash64("suspect_id").alias("key"))))
+    texts = near.select(F.col(doc_id).alias("id"), normalised(F.col(text)).alias("bytes")).join(ids, F.col("id").eqNullSafe(F.col("suspect_id")), "left_semi")
     compared = texts.groupBy("bytes").agg(F.count("*").alias("rows")).groupBy(F.unhex(F.sha2("bytes", 256)).alias("sha")).agg(F.count("*").alias("texts"))
     best = F.min(F.struct((-F.col("length")).alias("shorter"), "doc_id", "row"))
     groups = suspects.groupBy("sha").agg(best.alias("best"), F.count("*").alias("group_size")).join(compared, "sha")

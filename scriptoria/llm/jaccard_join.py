@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptoria.llm import words
-from scriptoria.llm.common import forget, keep_marked, stored, whole_text
+from scriptoria.llm.common import among, forget, keep_marked, stored, whole_text
 from scriptoria.llm.components import connected
+from scriptoria.operators.scan import spread
 
 #: Counters of a sketch, of which there are two (16 MB in all), and the pieces they are summed in.
 SKETCH_BITS, PIECES = 20, 64
@@ -297,8 +298,10 @@ def candidates(rows: DataFrame, nodes: DataFrame, percent: int, peelings: int =
     needs = stored(nodes.select(F.xxhash64("node").alias("id"), (F.floor(EXTENDED * (missing + 1)) - missing).alias("need")))
     first = left = rows.select(F.xxhash64("node").alias("id"), "tokens")
     for _ in range(peelings):
-        # dealt by shingle once, for the counts and for the join with them; rows of one node count once
-        postings = left.select("id", F.explode("tokens").alias("token")).repartition("token").dropDuplicates(["token", "id"])
+        # dealt by shingle once, for the counts and for the join with them; rows of one node count once.
+        # There are as many tasks as there are millions of shingles: a task's sorts stay in memory.
+        many = left.agg(F.sum(F.size("tokens"))).first()[0] or 0
+        postings = spread(left.select("id", F.explode("tokens").alias("token")), "token", rows=many).dropDuplicates(["token", "id"])
         shared = postings.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1").select("token")
         held = postings.join(shared.hint("merge"), "token").groupBy("id").agg(F.collect_list("token").alias("tokens"))
         held = held.join(needs, "id").where(F.size("tokens") >= F.col("need")).select("id", "tokens")
@@ -335,9 +338,11 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text",
     forget(signed)
 
     # Texts of members only, by id and text: many rows may have one id or none.  Members grow with
-    # the documents, so they are merged with the texts at every size and never broadcast.
+    # the documents, so they are merged with the texts at every size and never broadcast; a sketch
+    # of them keeps most other texts from being moved.
     wanted = dealt.select("node", "component", "tiles", "copies", F.col("least.doc_id").alias("member_id"), F.col("least.text_hash").alias("member_hash"))
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(whole_text(text)).alias("hash"), whole_text(text).alias("text"))
+    texts = texts.where(among(F.xxhash64("id", "hash"), wanted.select(F.xxhash64("member_id", "member_hash").alias("key"))))
     same = F.col("id").eqNullSafe(F.col("member_id")) & (F.col("hash") == F.col("member_hash"))
     sets = texts.join(wanted.hint("merge"), same).select("node", "component", "tiles", "copies", shingle_sets(F.col("text"), k).alias("s"))
     sets = sets.where(F.col("s.node") == F.col("node")).select("node", "component", "copies", "s.shingles", F.explode("tiles").alias("t"))
