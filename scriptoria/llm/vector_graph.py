@@ -252,7 +252,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 10, shard_size:
     blocks = max(1, -(-asked.count() // block))
     # a block holds about as many queries as asked for, hashed by id, and is met by every shard of its length
     packed = asked.groupBy(F.size("vector").alias("dim"), F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).agg(
-        F.collect_list(F.struct("query", "vector")).alias("q")).repartition(max(1, min(blocks, TASKS // shards)), "dim", "block").withColumnRenamed("dim", "q_dim")
+        F.collect_list(F.struct("query", "vector")).alias("q")).repartition(max(1, min(blocks, TASKS // shards))).withColumnRenamed("dim", "q_dim")
     # Shards and blocks are read where they are stored, by each task those it compares: nothing goes through the
     # driver, and no graph or query is shuffled once for each block or shard.
     met = built.join(packed.hint("shuffle_replicate_nl"), F.col("dim") == F.col("q_dim"))
